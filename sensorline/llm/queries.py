@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorline.llm import bpe
+from sensorline.llm import bpe, html, secrets, tokencount
 from sensorline.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -15,8 +15,23 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def queries() -> dict:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_token_counts": op10_token_counts,
         "op8_bpe_codec": op8_bpe_codec,
     }
 
