@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorline.llm import bpe, html, secrets, tokencount
+from sensorline.llm import bpe, html, rules, secrets, tokencount
 from sensorline.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +19,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return rules.judge(documents, rules.learn(documents, table(spark, sf_dir, "labels")))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(table(spark, sf_dir, "pages"))
 
@@ -30,6 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_quality_rules": op3_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_token_counts": op10_token_counts,
         "op8_bpe_codec": op8_bpe_codec,
