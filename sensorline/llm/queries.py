@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorline.llm import bpe, html, rules, secrets, tokencount
+from sensorline.llm import bagminhash, bpe, html, langid, mixing, rules, secrets, tokencount, urls
 from sensorline.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,11 +19,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return rules.judge(documents, rules.learn(documents, table(spark, sf_dir, "labels")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_pages(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def op7_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(table(spark, sf_dir, "pages"))
 
@@ -35,7 +51,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_mixing": op2_mixing,
         "op3_quality_rules": op3_quality_rules,
+        "op4_url_filter": op4_url_filter,
+        "op5_language_id": op5_language_id,
+        "op7_bagminhash_dedup": op7_bagminhash_dedup,
         "op9_html_extraction": op9_html_extraction,
         "op10_token_counts": op10_token_counts,
         "op8_bpe_codec": op8_bpe_codec,
@@ -43,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": urls.ORACLE}
