@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorline.llm import bagminhash, bpe, html, langid, mixing, rules, secrets, tokencount, urls
+from sensorline.llm import bagminhash, bpe, html, itq, langid, mixing, rules, secrets, tokencount, urls
 from sensorline.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op6_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filter": op4_url_filter,
         "op5_language_id": op5_language_id,
+        "op6_itq_dedup": op6_itq_dedup,
         "op7_bagminhash_dedup": op7_bagminhash_dedup,
         "op9_html_extraction": op9_html_extraction,
         "op10_token_counts": op10_token_counts,
