@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorline.llm import bpe
-from sensorline.llm.common import fresh_name, shared_dir, text_or_empty
+from sensorline.llm.common import fresh_name, shared_dir, stage_table, text_or_empty
 
 _CACHE = "content string, n_tokens long"
 
@@ -104,7 +104,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_dir: str, text_col: s
     encode_counts(misses, tokenizer_path).write.mode("append").parquet(cache_path)
     rest = [c for c in df.columns if c.lower() != count_col.lower()]
     key = fresh_name(df, "content")
-    counts = read_cache(spark, cache_path).select(F.col("content").alias(key), F.col("n_tokens").alias(count_col))
+    # written, so that the join can split the rows of a text with very many copies
+    counts = stage_table(read_cache(spark, cache_path), "token-counts").select(F.col("content").alias(key), F.col("n_tokens").alias(count_col))
     held = df.withColumn(key, digest) if count_col.lower() not in map(str.lower, df.columns) else df.select(*[F.col(f"`{c}`") for c in rest], digest.alias(key))
     return held.join(counts, key).select(*[F.col(f"`{c}`") for c in rest], F.col(count_col))
 
