@@ -218,9 +218,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
     """
     table = stage_table(band_table(docs, rows, bands), "bands")
     with_words = table.filter("size(bands) > 0 and doc_id is not null")
-    texts = with_words.groupBy("content").agg(F.min("doc_id").alias("text_id"))
+    texts = stage_table(with_words.groupBy("content").agg(F.min("doc_id").alias("text_id")), "texts")
     single = with_words.join(texts, (with_words.content == texts.content) & (with_words.doc_id == texts.text_id)).select("text_id", F.explode("bands").alias("band"))
-    hubs = single.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("last")).filter("hub < last").drop("last")
+    hubs = stage_table(single.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("last")).filter("hub < last").drop("last"), "hubs")
     members = stage_table(single.join(hubs, "band"), "band-members")
     stars = members.filter("text_id > hub").groupBy("text_id", "hub").agg(F.count("*").alias("n"))
     best = stars.groupBy(F.col("text_id").alias("b")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a"))

@@ -14,12 +14,12 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "stars")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stage_table(edges.groupBy("a").agg(F.min("b").alias("m")), "stars")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     so lineage does not grow and the driver sees two numbers a round. Stars
     double what a node sees, so rounds grow with the logarithm of the longest
     path. A node of very many edges is split by the joins' skew handling; its
-    minimum is aggregated before the shuffle.
+    minimum is aggregated before the shuffle and written, since a join splits the
+    rows of a key only if neither side's order serves another step.
     """
     a, b = F.col("a"), F.col("b")
     now = stage_table(edges.filter("a is not null and b is not null and a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "components")
