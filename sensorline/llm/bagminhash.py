@@ -20,6 +20,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ SIMILARITY = 0.8
 #: Places of a band and bands. A pair of similarity 0.8 misses all bands with probability 8e-5, of 0.85 with 2e-7.
 ROWS, BANDS = 7, 40
 CHUNK_CHARS = 500_000
+#: Texts of a block of a full band, rows of a comparing task (about) and numbers of a matrix at once.
+BLOCK = 256
+TASK_ROWS = 500
+COMPARE_CELLS = 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -202,6 +207,68 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(run, "a long, b long")
 
 
+def compare_bands(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs (a, b) of classes that some pair of texts of one unit links.
+
+    All pairs of a unit are compared at once: a shingle that comes c times is a
+    column for each of 1..c, and the product of the 0/1 matrix with itself
+    counts the shared ones.
+    """
+    found = set()
+    rows = rows.sort_values(["unit", "block"], kind="stable").reset_index(drop=True)
+    unit, block, group, text = (rows[c].to_numpy() for c in ("unit", "block", "class", "text"))
+    edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+    for a, b in zip(edge[:-1], edge[1:]):
+        n, mine = b - a, group[a:b]
+        first = int(np.searchsorted(block[a:b], 1))
+        if n < 2 or (mine == mine[0]).all():
+            continue
+        owner, key, count = shingle_counts([t or "" for t in text[a:b]])
+        weight = np.bincount(owner, count, n)
+        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        owner, key = np.repeat(owner, count), _mix(np.repeat(key, count) + level.astype(np.uint64) * _STEP)
+        _, column, times = np.unique(key, return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        _, column = np.unique(column[shared], return_inverse=True)
+        owner = owner[shared]
+        both = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        width = max(1, COMPARE_CELLS // n)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            at = slice(*np.searchsorted(column, [start, start + width]))
+            part = np.zeros((n, min(width, int(column[-1]) + 1 - start)), np.float32)
+            part[owner[at], column[at] - start] = 1
+            both += part @ part.T
+        alike = both >= (similarity - 1e-9) * np.maximum(weight[:, None] + weight - both, 1)
+        alike &= mine[:, None] < mine
+        if first < n:
+            side = np.arange(n) >= first
+            alike &= side[:, None] != side
+        found.update((int(mine[x]), int(mine[y])) for x, y in zip(*np.nonzero(alike)))
+    return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+
+def class_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes that texts of a common band link, of rows band, text_id, class.
+
+    A band of more than BLOCK texts becomes a unit for each pair of its blocks,
+    so all its pairs are compared, in many small tasks, and none is ever a row;
+    what comes out is at most a row per pair of linked classes and task.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").cast("string").alias("text"))
+    sizes = stage_table(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band-sizes")
+    own = F.pmod(F.xxhash64(F.lit(4), "text_id"), F.col("blocks").cast("long")).cast("int")
+    held = members.join(sizes, "band").withColumn("own", own).join(texts, "text_id")
+    paired = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    units = paired.select("class", "text", F.when((low == high) | (F.col("own") == low), 0).otherwise(1).alias("block"), F.xxhash64("band", low, high).alias("unit"))
+    n = members.join(sizes, "band").agg(F.sum("blocks").alias("n")).first().n or 0
+    tasks = max(1, math.ceil(n / TASK_ROWS))
+    linked = units.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInPandas(lambda rows: compare_bands(rows, similarity), "a long, b long")
+    return linked.distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and kept (doc_id = class_id)
     of every row.
@@ -212,9 +279,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
 
     Copies are reduced to one text before anything is paired. In a band, every
     text meets the smallest id first, and of those hubs each text is verified
-    with the one it shares most bands with. Then the pairs of a band that are
-    still in different classes are verified, all of them. A class of thousands
-    so costs one verification a text, and no link between classes is lost.
+    with the one it shares most bands with. Then all pairs of the bands that
+    still hold several classes are compared, block by block. A class of
+    thousands around its smallest id so costs one verification a text, and no
+    link between classes is lost.
     """
     table = stage_table(band_table(docs, rows, bands), "bands")
     with_words = table.filter("size(bands) > 0 and doc_id is not null")
@@ -229,10 +297,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, rows: int =
     placed = members.join(classes, members.text_id == classes.node, "left").select("band", "text_id", F.coalesce("component", "text_id").alias("class"))
     split = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("band")
     apart = stage_table(placed.join(split, "band"), "bands-apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.class") < F.col("y.class"))).select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b")).distinct()
-    rest = rest.join(best.select(F.greatest("a", "b").alias("g"), F.least("a", "b").alias("l")), (F.greatest("a", "b") == F.col("g")) & (F.least("a", "b") == F.col("l")), "left_anti")
-    second = stage_table(verified(rest, docs, similarity), "links")
+    second = stage_table(class_links(apart, docs, similarity), "links")
     if second.take(1):
         classes = connected_components(first.unionByName(second))
     named = texts.join(classes, texts.text_id == classes.node, "left").select("content", F.coalesce("component", "text_id").alias("class_id"))
