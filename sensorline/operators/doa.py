@@ -98,7 +98,7 @@ def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEY
             return out
         rng = np.random.default_rng([seed, *[abs(int(v)) for v in out.iloc[0][list(keys)]]])
         limit = np.median(np.abs(t - np.median(t)))
-        best, most = np.ones(len(s), bool), -1
+        best, most = np.ones(len(s), bool), 0
         for _ in range(trials):
             k = rng.choice(len(s), 3, replace=False)
             if np.ptp(s[k]) == 0:
@@ -107,7 +107,7 @@ def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEY
             inside = np.abs(t - a * s - b) <= limit
             if inside.sum() > most:
                 best, most = inside, inside.sum()
-        if np.ptp(s[best]) > 0:
+        if best.sum() > 1 and np.ptp(s[best]) > 0:
             out["slope"], out["intercept"] = np.polyfit(s[best], t[best], 1)
         return out
 
@@ -215,6 +215,7 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int = 5, speed: float =
             return out
         a, b = np.polyfit(s, t, 1) if np.ptp(s) else (0.0, t.mean())
         label = _clusters(s, t - a * s - b, k, 1)
+        lines: list[tuple[float, float]] = []
         for _ in range(rounds):
             present = [j for j in range(k) if (label == j).sum() >= 2]
             if not present:

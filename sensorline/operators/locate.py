@@ -34,28 +34,28 @@ def cone_plane_points(fits: DataFrame, source_u: float = SOURCE_U, spread_deg: f
     direction comes from the opposite one; where a ring meets the plane nowhere
     within window and range, the other hemisphere is taken.
     """
-    rings = F.explode(F.array(*[F.struct(F.lit(n).alias("ring"), F.lit(d).alias("off")) for n, d in (("inner", -spread_deg), ("nominal", 0.0), ("outer", spread_deg))])).alias("r")
+    rings = F.explode(F.array(*[F.struct(F.lit(n).alias("ring"), F.lit(d).alias("off")) for n, d in (("inner", -spread_deg), ("nominal", 0.0), ("outer", spread_deg))])).alias("ring_")
     clip = lambda a: F.greatest(F.lit(EDGE_DEG), F.least(F.lit(180.0 - EDGE_DEG), a))
     held = fits.select("packet", "subarray_id", "angle_deg", "ax", "ay", "az", "re", "rn", "ru", rings)
-    held = held.withColumn("theta", F.radians(clip(clip(F.col("angle_deg")) + F.col("r.off"))))
+    held = held.withColumn("theta", F.radians(clip(clip(F.col("angle_deg")) + F.col("ring_.off"))))
     e1, e2, e3 = _basis(F.col("ax"), F.col("ay"), F.col("az"))
     held = held.withColumns({f"{v}{c}": x for v, vec in (("p", e2), ("q", e3)) for c, x in zip("xyz", vec)})
-    around = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"), F.lit(None).cast("int").alias("__x")).drop("__x")
+    around = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
     phi = F.col("k") * (2 * math.pi / samples)
     prop = {c: F.cos("theta") * F.col(f"a{c}") + F.sin("theta") * (F.cos(phi) * F.col(f"p{c}") + F.sin(phi) * F.col(f"q{c}")) for c in "xyz"}
     both = around.withColumns({f"d{c}": -prop[c] for c in "xyz"}).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("flipped"))
     sign = F.when(F.col("flipped"), -1.0).otherwise(1.0)
     nz = sign * F.col("dz")
     far = F.when(F.abs(nz) > 1e-8, (source_u - F.col("ru")) / nz)
-    met = both.withColumn("R", far).filter("R > 0").withColumns({"e": F.col("re") + F.col("R") * sign * F.col("dx"), "n": F.col("rn") + F.col("R") * sign * F.col("dy"), "u": F.lit(source_u)})
+    met = both.withColumn("dist", far).filter("dist > 0").withColumns({"e": F.col("re") + F.col("dist") * sign * F.col("dx"), "n": F.col("rn") + F.col("dist") * sign * F.col("dy"), "u": F.lit(source_u)})
     if max_range is not None:
-        met = met.filter(F.col("R") <= max_range)
+        met = met.filter(F.col("dist") <= max_range)
     if window is not None:
         met = met.filter(F.col("e").between(window[0], window[1]) & F.col("n").between(window[2], window[3]))
-    ring = W.partitionBy("packet", "subarray_id", "r.ring")
+    ring = W.partitionBy("packet", "subarray_id", "ring_.ring")
     straight = F.count_if(~F.col("flipped")).over(ring) > 0
     kept = met.withColumn("__s", straight).filter(F.col("flipped") != F.col("__s"))
-    return kept.select("packet", "subarray_id", F.col("r.ring").alias("ring"), "k", "flipped", "e", "n", "u")
+    return kept.select("packet", "subarray_id", F.col("ring_.ring").alias("ring"), "k", "flipped", "e", "n", "u")
 
 
 def band_polygon(points: DataFrame) -> DataFrame:
