@@ -52,7 +52,7 @@ def text_or_empty(col: str | Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of a text as an array; no words for an empty or blank text."""
-    return F.filter(F.split(text, GAP_PATTERN, -1), lambda w: w != "")
+    return F.array_remove(F.split(text, GAP_PATTERN, -1), "")
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorline.llm.common import GAP_CHARS, fresh_name, let, stage_table, text_or_empty, words_of
+from sensorline.llm.common import fresh_name, let, stage_table, text_or_empty
 from sensorline.llm.rules import SYMBOLS
 
 #: Domains of the labelled table, in order: (name, condition on a label row).
@@ -35,32 +35,24 @@ SMOOTHING = 4.0
 MAX_STEPS = 60
 TOLERANCE = 1e-6
 
-_EDGE = ".,;:!?\"'()[]"
+_CUT = r"""[\x20\x09-\x0D.,;:!?"'()\[\]]+"""
 
 
-def _plain_words(text: Column) -> Column:
-    """Distinct words of a text in lower case, without marks at their ends' positions."""
-    return F.array_distinct(words_of(F.translate(F.lower(text), _EDGE, " " * len(_EDGE))))
+def plain_words(text: Column) -> Column:
+    """Words of a text in lower case, cut at white space and marks."""
+    return F.array_remove(F.split(F.lower(text), _CUT, -1), "")
 
 
-def _shape_bits(text: Column, distinct: Column) -> dict[str, Column]:
-    """Bits that tell prose from junk: symbols, capitals, words that repeat."""
-    chars = F.greatest(F.length(F.translate(text, GAP_CHARS, "")), F.lit(1))
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    return {"#symbols": symbols * 50 > chars, "#capitals": capitals * 3 > chars, "#few": distinct * 20 < chars}
-
-
-def document_signs(text: Column, lexicon: Column | None = None) -> Column:
-    """Signs of a text that the classifier knows: words of the lexicon (all words
-    without one) and names of shape bits."""
-    words = _plain_words(text)
+def document_signs(text: Column, words: Column, lexicon: Column | None = None) -> Column:
+    """Signs of a text with these plain words that the classifier knows: distinct
+    words of the lexicon (all without one) and the names of bits that tell prose
+    from junk by symbols, capitals and words that repeat."""
+    chars = F.greatest(F.length(text), F.lit(1))
+    symbols, capitals = F.regexp_count(text, F.lit(SYMBOLS)), F.regexp_count(text, F.lit("[A-Z]"))
+    bits = lambda d: {"#symbols": symbols * 50 > chars, "#capitals": capitals * 3 > chars, "#few": F.size(d) * 24 < chars}
     return let(
-        words,
-        lambda w: F.concat(
-            w if lexicon is None else F.array_intersect(w, lexicon),
-            F.filter(F.array(*[F.when(bit, F.lit(name)) for name, bit in _shape_bits(text, F.size(w)).items()]), lambda s: s.isNotNull()),
-        ),
+        F.array_distinct(words),
+        lambda d: F.concat(d if lexicon is None else F.array_intersect(d, lexicon), F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in bits(d).items()]))),
     )
 
 
@@ -72,7 +64,7 @@ class Classifier:
     def __init__(self, prior: list[float], weights: dict[str, list[float]]):
         self.prior, self.weights = prior, weights
 
-    def posteriors(self, text: Column) -> Column:
+    def posteriors(self, text: Column, words: Column) -> Column:
         """array<double> with a probability per domain, in the order of DOMAINS."""
         n = len(self.prior)
         names = sorted(self.weights)
@@ -82,7 +74,7 @@ class Classifier:
         if table is None:
             scores = zero
         else:
-            signs = F.array_intersect(document_signs(text, lexicon), lexicon)
+            signs = F.array_intersect(document_signs(text, words, lexicon), lexicon)
             scores = F.aggregate(signs, zero, lambda acc, s: let(F.element_at(table, s), lambda w: F.zip_with(acc, w, lambda a, b: a + b)))
         return let(scores, lambda v: let(F.transform(v, lambda a: F.exp(a - F.array_max(v))), lambda e: F.transform(e, lambda a: a / F.aggregate(e, F.lit(0.0), lambda s, b: s + b))))
 
@@ -103,7 +95,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains=DOMAINS, limit: i
     share = min(1.0, limit / max(1, known.count()))
     sample = F.broadcast(known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))  # at most limit rows of 12 bytes
     text = text_or_empty("text")
-    signs = stage_table(docs.select("doc_id", "text").join(sample, "doc_id").select("domain", document_signs(text).alias("signs")), "signs")
+    signs = stage_table(docs.select("doc_id", "text").join(sample, "doc_id").select("domain", document_signs(text, plain_words(text)).alias("signs")), "signs")
     n = len(domains)
     totals = {r.domain: r.n for r in signs.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row per domain
     size = [totals.get(k, 0) for k in range(n)]
@@ -149,27 +141,36 @@ def fit_rates(members: DataFrame, targets: list[float], max_steps: int = MAX_STE
     """Rates of the rows of ``members`` (tokens, p: array of posteriors).
 
     Minimises the squared distance of the expected domain totals from the
-    targets, measured by the inverse of G = sum tokens * p p^T, over rates that
-    are not negative, starting from 1. In the scaled unknowns z_i =
-    sqrt(tokens_i) * r_i the gradient is then 1-Lipschitz, so steps of length 1
-    descend and the first would end the fit if no rate met 0. Gives the column
+    targets over rates that are not negative, starting from 1. The distance is
+    measured by the inverse of G = sum tokens * p p^T over the rows whose rate
+    is above 0: in the scaled unknowns z_i = sqrt(tokens_i) * r_i a gradient
+    step of length 1 then meets the targets unless more rates fall to 0, and
+    the next step takes those out. If a step does not come nearer, G is taken
+    over all rows, for which steps of length 1 always descend. Gives the column
     of rates, the totals reached and the number of steps. Rows with no tokens
     keep rate 1.
     """
     n = len(targets)
     p = lambda k: F.get("p", F.lit(k))
     t = F.col("tokens").cast("double")
-    row = members.agg(*[F.sum(t * p(i) * p(j)).alias(f"g{i}_{j}") for i in range(n) for j in range(n)]).first()
-    gram = [[row[f"g{i}_{j}"] or 0.0 for j in range(n)] for i in range(n)]
     rate, reached = F.lit(1.0), [0.0] * n
+    whole, last, careful = None, math.inf, False
     scale = max(math.sqrt(sum(b * b for b in targets)), 1e-300)
     for step in range(max_steps + 1):
-        row = members.agg(*[F.sum(rate * t * p(k)).alias(f"s{k}") for k in range(n)]).first()
+        now = members.select(t.alias("t"), *[p(k).alias(f"p{k}") for k in range(n)], rate.alias("r"))
+        sums = [F.sum(F.col("r") * F.col("t") * F.col(f"p{k}")).alias(f"s{k}") for k in range(n)]
+        grams = [F.sum(F.when(F.col("r") > 0, F.col("t") * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
+        row = now.agg(*sums, *grams).first()
+        gram = [[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]
+        whole = whole or gram
         reached = [row[f"s{k}"] or 0.0 for k in range(n)]
         miss = [a - b for a, b in zip(reached, targets)]
-        if step == max_steps or math.sqrt(sum(x * x for x in miss)) <= TOLERANCE * scale:
+        far = math.sqrt(sum(x * x for x in miss))
+        if step == max_steps or far <= TOLERANCE * scale:
             break
-        move = _solve(gram, miss)
+        careful = careful or far >= last
+        last = far
+        move = _solve(whole if careful else gram, miss)
         if max(map(abs, move)) < 1e-12:
             break
         rate = F.greatest(F.lit(0.0), rate - sum((p(k) * F.lit(move[k]) for k in range(n)), F.lit(0.0)))
@@ -185,8 +186,13 @@ def token_targets(totals: list[float], shares: list[float]) -> list[float]:
 
 def domain_members(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, tokens (words of the whole text) and posteriors p; null texts have no tokens."""
+    return docs.select("doc_id", member(classifier).alias("m")).select("doc_id", "m.tokens", "m.p")
+
+
+def member(classifier: Classifier) -> Column:
+    """Struct of tokens and p; the words of the text are cut once for both."""
     text = text_or_empty("text")
-    return docs.select("doc_id", F.size(words_of(text)).cast("long").alias("tokens"), classifier.posteriors(text).alias("p"))
+    return let(plain_words(text), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), classifier.posteriors(text, w).alias("p")))
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS, domains=DOMAINS) -> tuple[Column, Classifier, DataFrame]:
@@ -235,8 +241,7 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     doc_id alone. One pass after the fit, no shuffle."""
     rate, classifier, _ = mix(docs, labels, **options)
     tokens, p, n = (fresh_name(docs, x) for x in ("tokens", "p", "copies"))
-    text = text_or_empty("text")
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.size(words_of(text)).cast("long").alias("tokens"), classifier.posteriors(text).alias("p")).alias(p))
+    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], member(classifier).alias(p))
     flat = held.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(n), F.col(f"{p}.tokens").alias("tokens"), F.col(f"{p}.p").alias("p"))
     drawn = flat.withColumn(tokens, _copies(rate, F.col(f"{n}.doc_id"))).filter(F.col(tokens) > 0)
     return drawn.select(F.explode(F.array_repeat(n, F.col(tokens).cast("int"))).alias(n)).select(f"{n}.*")

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorline.llm.common import GAP_CHARS, fresh_name, let, stage_table, text_or_empty, words_of
+from sensorline.llm.common import WORD_PATTERN, fresh_name, let, stage_table, text_or_empty, words_of
 
 #: Words of a window whose second coming counts as repetition.
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 #: Labelled documents that rules are learned from, at most (a documented bound:
 #: the ones with the smallest hash of doc_id are taken).
@@ -72,7 +72,7 @@ def base_features(df: DataFrame, text_col: str = "text", out: str = "q") -> Data
     must be free in ``df``.
     """
     text = text_or_empty(F.col(f"`{text_col}`"))
-    lines = F.filter(F.split(text, "\n", -1), lambda s: F.length(F.translate(s, GAP_CHARS, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(WORD_PATTERN))
     as_long = lambda c: c.cast("long")
     counted = let(
         words_of(text),
@@ -80,20 +80,21 @@ def base_features(df: DataFrame, text_col: str = "text", out: str = "q") -> Data
             as_long(F.size(w)).alias("n_words"),
             as_long(F.when(F.size(w) < WINDOW + 1, F.lit(0)).otherwise(_repeat_words(w))).alias("n_repeat_words"),
             as_long(F.size(F.array_distinct(w))).alias("n_distinct"),
+            as_long(F.length(F.array_join(w, ""))).alias("word_chars"),
         ),
     )
     return df.withColumn(out, counted).withColumn(
         out,
         F.struct(
             F.col(f"{out}.n_words").alias("n_words"),
-            as_long(F.length(F.translate(text, GAP_CHARS, ""))).alias("word_chars"),
-            as_long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+            F.col(f"{out}.word_chars").alias("word_chars"),
+            as_long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
             as_long(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
             F.col(f"{out}.n_repeat_words").alias("n_repeat_words"),
             F.col(f"{out}.n_distinct").alias("n_distinct"),
-            as_long(F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")) * -1 + F.length(text)).alias("n_capitals"),
-            as_long(F.length(text) - F.length(F.translate(text, "!?", ""))).alias("n_marks"),
-            as_long(F.length(text) - F.length(F.translate(text, "0123456789", ""))).alias("n_digits"),
+            as_long(F.regexp_count(text, F.lit("[A-Z]"))).alias("n_capitals"),
+            as_long(F.regexp_count(text, F.lit("[!?]"))).alias("n_marks"),
+            as_long(F.regexp_count(text, F.lit("[0-9]"))).alias("n_digits"),
             as_long(F.size(lines)).alias("n_lines"),
         ),
     )
