@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHIPS, TONES = 176, 26
@@ -32,9 +34,6 @@ def extract_receptions(samples: DataFrame, arrivals: DataFrame, length: int) ->
 def chip_dft(receptions: DataFrame, fs: float, f_min: float, df: float, chips: int = CHIPS, tones: int = TONES) -> DataFrame:
     """channel, packet, chip, bin, re, im: correlation of each chip with e^{+2 pi i f t}
     at ``tones`` frequencies f_min + bin * df; a matrix product over all chips of a batch."""
-    import numpy as np
-    import pandas as pd
-
     per_chip = round(fs / df)
     t = np.arange(per_chip) / fs
     tone = np.exp(2j * np.pi * np.outer(t, f_min + df * np.arange(tones)))
@@ -94,9 +93,6 @@ def convolutional_decode(coded: DataFrame, keys: tuple[str, ...] = ("channel", "
 
     All receptions of a batch advance through the 256 states together.
     """
-    import numpy as np
-    import pyarrow as pa
-
     states = 1 << MEMORY
     register = np.arange(2 * states)  # new bit above the memory
     out = np.stack([[bin(r & p).count("1") & 1 for r in register] for p in POLYNOMIALS], 1)

@@ -1 +1,691 @@
+"""Queries over samples, blocks, polylines, packets and streams, each with its SQL twin."""
+
+from __future__ import annotations
+
+
+import tempfile
+import uuid
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sensorline.functions import geo, scalars
+from sensorline.operators import conditioning as C
+from sensorline.operators import detection, packets, polyline, sensitivity, signal
+from sensorline.plans import bindings as B
+from sensorline.sources import blocks as block_files
+from sensorline.sources import tables
+from sensorline.streaming import streams
+
 QUERIES: dict = {}
+
+
+def _query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = (f, sql)
+        return f
+
+    return add
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+# blocks and samples
+
+
+@_query("a8_scan_blocks", f"with {B.BLK} select channel, block_no, block_no * 64 as start_sample from blk where channel >= 2 and channel < 6 and block_no * 64 < 900 and block_no * 64 + 64 > 130")
+def _(spark, sf):
+    b = B.blocks(spark, sf).filter((F.col("channel") >= 2) & (F.col("channel") < 6))
+    return C.select_block_range(b, [2, 3, 4, 5], 130, 770).select("channel", "block_no", (F.col("block_no") * 64).alias("start_sample"))
+
+
+@_query("a9_find_blocks", "select user_id, count(*) as n from events where ts > (select min(ts) from events) + interval 90 second and ts <= (select min(ts) from events) + interval 86500 second and user_id % 3 = 0 group by user_id")
+def _(spark, sf):
+    e = B.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    start = e.agg((F.min("ts") + F.expr("interval 100 seconds")).alias("t0"))
+    found = block_files.find_blocks(e.join(F.broadcast(start)), F.col("t0"), 86400.0)
+    return found.filter("user_id % 3 = 0").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@_query("a10_block_inventory", f"with {B.BLK} select 0 as run_id, channel, count(*) as n_blocks, min(block_no * 64) as first_sample, max(block_no * 64) as last_block_sample from blk group by channel")
+def _(spark, sf):
+    return block_files.block_inventory(B.blocks(spark, sf))
+
+
+@_query("b1_select_range", f"with {B.SMP} select channel, sample_idx, value from smp where channel >= 4 and channel < 90 and (channel - 4) % 3 = 0 and sample_idx >= 5 and sample_idx < 25")
+def _(spark, sf):
+    return C.select_range(B.samples(spark, sf), (4, 90, 3), 5, 20).select("channel", "sample_idx", "value")
+
+
+@_query("b2_time_axis", f"with {B.SMP} select channel, sample_idx, strftime(ts + to_microseconds(cast(floor(sample_idx * 40000 / 1000) as bigint)), '%Y-%m-%d %H:%M:%S.%f') as at from smp")
+def _(spark, sf):
+    at = C.time_axis(F.col("ts"), F.col("sample_idx"), 1 / 25000)
+    return B.samples(spark, sf).select("channel", "sample_idx", F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
+@_query("b2_relative_time", f"with {B.SMP} select channel, sample_idx, round((epoch_us(ts) - min(epoch_us(ts)) over (partition by channel)) / 1e6, 3) as rel_s from smp")
+def _(spark, sf):
+    return C.relative_time(B.samples(spark, sf)).select("channel", "sample_idx", _r("rel_s", 3).alias("rel_s"))
+
+
+@_query("b3_to_units", f"with {B.BLK} select channel, sample_idx, round(value * (0.5 / 8.0), 6) + 0.0 as value from lng")
+def _(spark, sf):
+    b = B.blocks(spark, sf).withColumn("samples", C.to_units(F.col("samples"), 0.5, [4.0, 8.0], 1))
+    return C.explode_blocks(b).withColumn("value", _r("value") + 0.0)
+
+
+@_query("b4_despike", "select event_id, case when abs(value) > 400 then 0.0 else value end as v from events")
+def _(spark, sf):
+    return B.table(spark, sf, "events").select("event_id", scalars.despike(F.col("value"), 400.0).alias("v"))
+
+
+@_query("b5_wrap", "select event_id, round((value + 45.0) - 90.0 * floor((value + 45.0) / 90.0) - 45.0, 6) + 0.0 as v from events")
+def _(spark, sf):
+    return B.table(spark, sf, "events").select("event_id", (_r(scalars.wrap(F.col("value"), 90.0)) + 0.0).alias("v"))
+
+
+@_query(
+    "b6_unwrap",
+    f"""with {B.SMP}, d as (select channel, sample_idx, value, value - lag(value) over w as j from smp window w as (partition by sample_idx order by channel)),
+    s as (select *, coalesce(j + 45.0 - 90.0 * floor((j + 45.0) / 90.0) - 45.0, value) as d from d) select channel, sample_idx, round(sum(d) over (partition by sample_idx order by channel), 5) + 0.0 as unwrapped from s""",
+)
+def _(spark, sf):
+    return C.unwrap(B.samples(spark, sf), 90.0).select("channel", "sample_idx", (_r("unwrapped", 5) + 0.0).alias("unwrapped"))
+
+
+@_query("b7_integrate", f"with {B.SMP} select channel, sample_idx, round(sum(value) over (partition by channel order by sample_idx) * 0.04, 6) as integral from smp")
+def _(spark, sf):
+    return C.integrate(B.samples(spark, sf).select("channel", "sample_idx", "value"), 0.04, 16).select("channel", "sample_idx", _r("integral").alias("integral"))
+
+
+@_query("b7_integrate_blocks", f"with {B.BLK} select channel, sample_idx, round(sum(value) over (partition by channel order by sample_idx) * 0.04, 5) + 0.0 as value from lng")
+def _(spark, sf):
+    return C.explode_blocks(C.integrate_blocks(B.blocks(spark, sf), 0.04)).withColumn("value", _r("value", 5) + 0.0)
+
+
+@_query("b8_bandpass", None)
+def _(spark, sf):
+    return C.explode_blocks(signal.bandpass(B.blocks(spark, sf), 10.0, 30.0, 100.0, 2, 1e-3))
+
+
+@_query("b11_noise_psd", None)
+def _(spark, sf):
+    windows = B.blocks(spark, sf).select("channel", F.col("block_no").alias("packet"), "samples")
+    return signal.noise_psd(windows, 100.0, 16, 8)
+
+
+_POINTS = "pnt as (select channel, event_id as packet, sample_idx as pos from smp where event_type = 'purchase')"
+
+
+def _points(spark, sf):
+    return B.samples(spark, sf).filter("event_type = 'purchase'").select("channel", F.col("event_id").alias("packet"), F.col("sample_idx").alias("at"))
+
+
+@_query("b12_window_around", f"with {B.SMP}, {_POINTS} select s.channel, packet, sample_idx, sample_idx - pos as rel, value from smp s join pnt p on s.channel = p.channel and sample_idx >= pos - 4 and sample_idx < pos + 4")
+def _(spark, sf):
+    return C.window_around(B.samples(spark, sf), _points(spark, sf), 4, 4)
+
+
+TEMPLATE = [0.5, -1.0, 2.0, 0.25]
+
+
+@_query(
+    "c1_matched_filter",
+    f"with {B.BLK}, c as (select channel, sample_idx, 0.5 * value - lead(value, 1) over w + 2.0 * lead(value, 2) over w + 0.25 * lead(value, 3) over w as value from lng window w as (partition by channel order by sample_idx)) select channel, sample_idx, round(value, 5) + 0.0 as value from c where value is not null",
+)
+def _(spark, sf):
+    return C.explode_blocks(signal.matched_filter(B.blocks(spark, sf), TEMPLATE)).withColumn("value", _r("value", 5) + 0.0)
+
+
+@_query("c1_matched_filter_native", QUERIES["c1_matched_filter"][1])
+def _(spark, sf):
+    return C.explode_blocks(signal.matched_filter_native(B.blocks(spark, sf), TEMPLATE)).withColumn("value", _r("value", 5) + 0.0)
+
+
+@_query("c2_envelope", None)
+def _(spark, sf):
+    return C.explode_blocks(signal.envelope(signal.matched_filter(B.blocks(spark, sf), TEMPLATE)))
+
+
+@_query(
+    "c3_local_maxima",
+    f"""with {B.SMP}, r as (select *, row_number() over w as i, case when lag(value) over w = value then 0 else 1 end as ch from smp window w as (partition by channel order by sample_idx)),
+    g as (select *, sum(ch) over (partition by channel order by sample_idx) as g from r), f as (select channel, g, min(i) as a, max(i) as b, min(value) as v from g group by all),
+    t as (select channel, a, b, v, lag(v) over w as p, lead(v) over w as n from f window w as (partition by channel order by g))
+    select r.channel, r.sample_idx as peak, r.value as level from t join r on r.channel = t.channel and r.i = (a + b) // 2 where v > p and v > n and v >= 250""",
+)
+def _(spark, sf):
+    return detection.local_maxima(B.samples(spark, sf), 250.0)
+
+
+@_query("c3_find_peaks", None)
+def _(spark, sf):
+    return detection.find_peaks(B.samples(spark, sf), 250.0, 100.0, 5)
+
+
+@_query("c6_detect_packets", None)
+def _(spark, sf):
+    env = C.explode_blocks(signal.envelope(signal.matched_filter(B.blocks(spark, sf), TEMPLATE)))
+    runs = env.agg(F.lit(0).alias("run_id"), F.min("sample_idx").alias("offset"), F.lit(64).alias("period"), F.floor(F.max("sample_idx") / 64).alias("n_packets"))
+    return detection.detect_packets(env, runs, 20.0, 0.2, 0.1, 8)
+
+
+# polylines and geodesy
+
+_FILL = """kn as (select *, {x} as x, case when {known} then {x} end as kx, case when {known} then alt end as kz from {src}),
+  br as (select *, last_value(kx ignore nulls) over b as x0, last_value(kz ignore nulls) over b as z0, first_value(kx ignore nulls) over a as x1, first_value(kz ignore nulls) over a as z1 from kn
+    window b as (partition by cable_id order by seq rows between unbounded preceding and current row), a as (partition by cable_id order by seq rows between current row and unbounded following))
+  select cable_id, seq, round(case when x0 is null then z1 when x1 is null then z0 when x0 = x1 then z0 else z0 + (z1 - z0) * (x - x0) / (x1 - x0) end, 6) as alt from br"""
+
+
+@_query("e1_fill_alt_by_index", f"with {B.POL}, " + _FILL.format(x="cast(seq + 1 as double)", known="alt is not null and abs(alt) >= 1e-9", src="pol"))
+def _(spark, sf):
+    return polyline.fill_alt_by_index(B.polylines(spark, sf)).select("cable_id", "seq", _r("alt").alias("alt"))
+
+
+_FLAT = B.POL + ", lg as (select *, lag(lat) over w as plat, lag(lon) over w as plon from pol window w as (partition by cable_id order by seq)), ds as (select *, sum(coalesce(sqrt(power((lon - plon) * 111320 * cos(radians((lat + plat) / 2)), 2) + power((lat - plat) * 111320, 2)), 0)) over (partition by cable_id order by seq) as d from lg)"
+
+
+@_query("e2_fill_alt_by_distance", f"with {_FLAT}, " + _FILL.format(x="d", known="seq < 1 or coalesce(alt, 0) <> 0", src="ds"))
+def _(spark, sf):
+    return polyline.fill_alt_by_distance(B.polylines(spark, sf)).select("cable_id", "seq", _r("alt").alias("alt"))
+
+
+@_query("e3_chainage", f"with {B.CUM} select cable_id, seq, round(cum, 4) as cum from cum")
+def _(spark, sf):
+    return polyline.chainage(B.full_lines(spark, sf)).select("cable_id", "seq", _r("cum", 4).alias("cum"))
+
+
+_XYZ = "(alt + 6378000) * sin(radians(lon)) * cos(radians(lat)) as x, (alt + 6378000) * sin(radians(lat)) as y, (alt + 6378000) * cos(radians(lon)) * cos(radians(lat)) as z"
+
+
+@_query("e4_gps_distance", f"with {B.LIN}, c as (select cable_id, seq, {_XYZ} from lin), d as (select cable_id, seq, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2) + power(z - lag(z) over w, 2)) as d from c window w as (partition by cable_id order by seq)) select cable_id, seq, round(sum(coalesce(d, 0)) over (partition by cable_id order by seq), 3) as cum from d")
+def _(spark, sf):
+    return polyline.cumulative_gps_distance(B.full_lines(spark, sf)).select("cable_id", "seq", _r("cum", 3).alias("cum"))
+
+
+def _near_points(spark, sf):
+    o = B.table(spark, sf, "orders").filter("o_orderkey % 8 = 0")
+    return o.select(F.col("o_custkey").alias("cable_id"), F.col("o_orderkey").alias("point_id"), (63.0 + (F.col("o_orderkey") % 613) / 1e5).alias("lat"), (10.0 + (F.col("o_orderkey") % 419) / 1e5).alias("lon"))
+
+
+@_query(
+    "e5_nearest_vertex",
+    f"""with {B.LIN}, p as (select o_custkey as cable_id, o_orderkey as point_id, 63.0 + (o_orderkey % 613) / 1e5 as a, 10.0 + (o_orderkey % 419) / 1e5 as o from orders where o_orderkey % 8 = 0),
+    m as (select cable_id, point_id, seq, row_number() over (partition by cable_id, point_id order by sqrt(power((lon - o) * 111320 * cos(radians((a + lat) / 2)), 2) + power((lat - a) * 111320, 2)), seq) as r from p join lin using (cable_id))
+    select cable_id, point_id, seq from m where r = 1""",
+)
+def _(spark, sf):
+    return polyline.nearest_vertex(_near_points(spark, sf), polyline.chainage(B.full_lines(spark, sf))).drop("cum")
+
+
+@_query(
+    "e6_sample_polyline",
+    f"""with {B.CUM}, sg as (select *, lead(cum) over w as c1, lead(lat) over w as la1, lead(lon) over w as lo1, lead(alt) over w as al1 from cum window w as (partition by cable_id order by seq)),
+    s2 as (select * from sg where c1 > cum), sl as (select *, case when lead(seq) over (partition by cable_id order by seq) is null then c1 + 1e-6 else c1 end as ce from s2),
+    ln as (select cable_id, max(cum) as len from cum group by cable_id), tg as (select cable_id, channel, greatest(0.0, least(5.0 + channel * 50.0, len)) as s from ln, range(20) as g(channel))
+    select tg.cable_id, cast(channel as int) as channel, round(s, 4) as s, round(lat + (la1 - lat) * (s - cum) / (c1 - cum), 8) as lat, round(lon + (lo1 - lon) * (s - cum) / (c1 - cum), 8) as lon, round(alt + (al1 - alt) * (s - cum) / (c1 - cum), 4) as alt
+    from tg join sl on tg.cable_id = sl.cable_id and s >= cum and s < ce""",
+)
+def _(spark, sf):
+    line = polyline.chainage(B.full_lines(spark, sf))
+    targets = polyline.channel_targets(line.select("cable_id").distinct(), 50.0, 20, 5.0)
+    return polyline.sample_polyline(line, targets).select("cable_id", "channel", _r("s", 4).alias("s"), _r("lat", 8).alias("lat"), _r("lon", 8).alias("lon"), _r("alt", 4).alias("alt"))
+
+
+@_query("e7_interpolate_coordinates", None)
+def _(spark, sf):
+    line = polyline.chainage(B.full_lines(spark, sf)).withColumnRenamed("cum", "d")
+    q = polyline.channel_targets(line.select("cable_id").distinct(), 40.0, 10).withColumnsRenamed({"s": "d", "channel": "point_id"})
+    return polyline.interpolate_coordinates(q, line)
+
+
+@_query("e8_lead_in_remap", "with c as (select distinct cast(l_suppkey as bigint) as channel from lineitem), h as (select channel as k, channel * 1.5 as lat from c), n as (select max(channel) - min(channel) + 1 as n from c) select channel, lat from (select channel, greatest(channel - 3, 0) as k from c, n where channel < n - 2) join h using (k)")
+def _(spark, sf):
+    c = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("channel")).distinct().withColumn("lat", F.col("channel") * 1.5)
+    return polyline.lead_in_remap(c, 2)
+
+
+@_query("e9_tidal_offset", f"with {B.POL} select cable_id, seq, round(case when alt <> 0 then alt - 0.975 else alt end, 4) as alt from pol")
+def _(spark, sf):
+    return B.polylines(spark, sf).select("cable_id", "seq", _r(polyline.tidal_offset(F.col("alt")), 4).alias("alt"))
+
+
+@_query("e10_decimate_polyline", f"with {B.POL} select cable_id, seq from pol where seq % 5 = 0 or seq = (select max(seq) from pol q where q.cable_id = pol.cable_id)")
+def _(spark, sf):
+    return polyline.decimate_polyline(B.polylines(spark, sf)).select("cable_id", "seq")
+
+
+@_query("e11_spacing_check", f"with {B.LIN}, n as (select *, lead(lat) over w as nlat, lead(lon) over w as nlon, lead(alt) over w as nalt from lin window w as (partition by cable_id order by seq)) select cable_id, seq, round(" + B.DIST.format(p="n") + ", 4) as spacing from n where nlat is not null")
+def _(spark, sf):
+    return polyline.spacing_check(B.full_lines(spark, sf), "seq").withColumn("spacing", _r("spacing", 4))
+
+
+@_query("e12_to_cartesian", f"with {B.LIN} select cable_id, seq, round(x, 2) as x, round(y, 2) as y, round(z, 2) as z from (select cable_id, seq, {_XYZ} from lin)")
+def _(spark, sf):
+    x, y, z = geo.to_cartesian(F.col("lat"), F.col("lon"), F.col("alt"))
+    return B.full_lines(spark, sf).select("cable_id", "seq", _r(x, 2).alias("x"), _r(y, 2).alias("y"), _r(z, 2).alias("z"))
+
+
+@_query("e12_to_gps", f"with {B.LIN} select cable_id, seq, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 3) as alt from lin")
+def _(spark, sf):
+    gps = geo.to_gps(*geo.to_cartesian(F.col("lat"), F.col("lon"), F.col("alt")))
+    return B.full_lines(spark, sf).select("cable_id", "seq", *[_r(c, d).alias(n) for c, d, n in zip(gps, (7, 7, 3), ("lat", "lon", "alt"))])
+
+
+_ECEF = "(6378137.0 / sqrt(1 - e2 * power(sin(radians({a})), 2)) + {h}) * cos(radians({a})) * cos(radians({o})) as x{s}, (6378137.0 / sqrt(1 - e2 * power(sin(radians({a})), 2)) + {h}) * cos(radians({a})) * sin(radians({o})) as y{s}, (6378137.0 / sqrt(1 - e2 * power(sin(radians({a})), 2)) * (1 - e2) + {h}) * sin(radians({a})) as z{s}"
+
+
+@_query(
+    "e13_geodetic_to_enu",
+    f"""with {B.LIN}, k as (select *, (1 / 298.257223563) * (2 - 1 / 298.257223563) as e2 from lin),
+    p as (select cable_id, seq, {_ECEF.format(a="lat", o="lon", h="alt", s="")}, {_ECEF.format(a="63.005", o="10.004", h="0.0", s="0")} from k), d as (select cable_id, seq, x - x0 as dx, y - y0 as dy, z - z0 as dz, radians(63.005) as la, radians(10.004) as lo from p)
+    select cable_id, seq, round(-sin(lo) * dx + cos(lo) * dy, 4) as e, round(cos(la) * dz - sin(la) * (cos(lo) * dx + sin(lo) * dy), 4) as n, round(cos(la) * (cos(lo) * dx + sin(lo) * dy) + sin(la) * dz, 4) as u from d""",
+)
+def _(spark, sf):
+    o = geo.Origin(F.lit(63.005), F.lit(10.004), F.lit(0.0))
+    enu = geo.geodetic_to_enu(F.col("lat"), F.col("lon"), F.col("alt"), o)
+    return B.full_lines(spark, sf).select("cable_id", "seq", *[_r(c, 4).alias(n) for c, n in zip(enu, "enu")])
+
+
+@_query("e13_enu_to_geodetic", f"with {B.LIN} select cable_id, seq, round(lat, 7) as lat, round(lon, 7) as lon, round(alt, 3) as alt from lin")
+def _(spark, sf):
+    o = geo.Origin(F.lit(63.005), F.lit(10.004), F.lit(0.0))
+    back = geo.enu_to_geodetic(*geo.geodetic_to_enu(F.col("lat"), F.col("lon"), F.col("alt"), o), o)
+    return B.full_lines(spark, sf).select("cable_id", "seq", *[_r(c, d).alias(n) for c, d, n in zip(back, (7, 7, 3), ("lat", "lon", "alt"))])
+
+
+@_query("e14_distance_equirect", f"with {B.LIN}, q as (select *, 63.005 as qlat, 10.004 as qlon, 0.0 as qalt from lin) select cable_id, seq, round(" + B.DIST.format(p="q") + ", 4) as d from q")
+def _(spark, sf):
+    d = geo.distance_equirect(F.lit(63.005), F.lit(10.004), F.col("lat"), F.col("lon"), F.lit(0.0), F.col("alt"))
+    return B.full_lines(spark, sf).select("cable_id", "seq", _r(d, 4).alias("d"))
+
+
+@_query(
+    "e15_range_and_grazing",
+    f"""with {B.LIN}, l as (select cable_id, seq, lat * 1000 as x, lon * 1000 as y, alt as z from lin),
+    d as (select *, coalesce(x - lag(x) over w, lead(x) over w - x) as dx, coalesce(y - lag(y) over w, lead(y) over w - y) as dy, coalesce(z - lag(z) over w, lead(z) over w - z) as dz from l window w as (partition by cable_id order by seq)),
+    m as (select *, sum(dx) over w / 5 as mx, sum(dy) over w / 5 as my, sum(dz) over w / 5 as mz from d window w as (partition by cable_id order by seq rows between 4 preceding and current row)),
+    s as (select o_custkey as cable_id, o_orderkey as source_id, o_orderkey % 90 + 62950.0 as sx, o_orderkey % 70 + 9990.0 as sy, 30.0 as sz from orders where o_orderkey % 16 = 0),
+    j as (select *, sqrt(power(x - sx, 2) + power(y - sy, 2) + power(z - sz, 2)) as r, sqrt(mx * mx + my * my + mz * mz) as l from s join m using (cable_id) where mx is not null)
+    select cable_id, source_id, seq, round(r, 4) as range_m, case when l > 1e-9 then round(((x - sx) * mx + (y - sy) * my + (z - sz) * mz) / l / r, 6) + 0.0 end as cos_grazing from j""",
+)
+def _(spark, sf):
+    line = B.full_lines(spark, sf).select("cable_id", "seq", (F.col("lat") * 1000).alias("x"), (F.col("lon") * 1000).alias("y"), F.col("alt").alias("z"))
+    many = line.groupBy("cable_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    k = F.col("o_orderkey")
+    src = B.table(spark, sf, "orders").filter("o_orderkey % 16 = 0").select(F.col("o_custkey").alias("cable_id"), k.alias("source_id"), (k % 90 + 62950.0).alias("x"), (k % 70 + 9990.0).alias("y"), F.lit(30.0).alias("z"))
+    return polyline.range_and_grazing(src, line.join(many, "cable_id", "left_semi")).select("cable_id", "source_id", "seq", _r("range_m", 4).alias("range_m"), (_r("cos_grazing") + 0.0).alias("cos_grazing"))
+
+
+@_query("e16_bearing_segment", f"with {B.LIN}, s as (select *, seq * 7.0 as b from lin) select cable_id, seq, round(lat - 50 * cos(radians(b)) / 111320, 8) as lat0, round(lon - 50 * sin(radians(b)) / (111320 * cos(radians(lat))), 8) as lon0, round(lat + 50 * cos(radians(b)) / 111320, 8) as lat1, round(lon + 50 * sin(radians(b)) / (111320 * cos(radians(lat))), 8) as lon1 from s")
+def _(spark, sf):
+    ends = geo.bearing_segment(F.col("lat"), F.col("lon"), F.col("seq") * 7.0, 100.0)
+    return B.full_lines(spark, sf).select("cable_id", "seq", *[_r(c, 8).alias(n) for c, n in zip(ends, ("lat0", "lon0", "lat1", "lon1"))])
+
+
+@_query("e17_tx_times", "select o_orderkey as run_id, k as packet, strftime(o_orderdate + to_microseconds(cast(round(k * 562500 / 25000.0 * 1e6) as bigint)), '%Y-%m-%d %H:%M:%S.%f') as ts, o_custkey + k * 562500 as sample_idx from (select *, unnest(range(0, 4)) as k from orders)")
+def _(spark, sf):
+    runs = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("seq_start_ts"), F.col("o_custkey").alias("offset"), F.lit(562500).alias("period"), F.lit(25000.0).alias("fs"), F.lit(4).alias("n_packets"))
+    return polyline.tx_times(runs).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+_RUNS = "runs as (select user_id as run_id, min(ts) as a, min(ts) + interval 5400 second as b from events where user_id % 10 = 0 group by user_id)"
+
+
+@_query("e18_run_window", f"with {_RUNS} select run_id, event_id from events join runs on ts >= a - interval 180 second and ts <= b + interval 180 second")
+def _(spark, sf):
+    e = B.table(spark, sf, "events")
+    runs = e.filter("user_id % 10 = 0").groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("start_ts"), (F.min("ts") + F.expr("interval 5400 seconds")).alias("stop_ts"))
+    return polyline.run_window(e.select("event_id", "ts"), runs).select("run_id", "event_id")
+
+
+_FIX = "ev as (select user_id, event_id, event_type, epoch_us(ts) / 1e6 as t, value from events), fx as (select user_id, t, max(63 + value / 1e4) as lat, max(10 + value / 2e4) as lon from ev where event_type = 'purchase' group by all), qs as (select user_id, event_id, t from ev where event_type = 'view')"
+_BOTH = _FIX + """, lo as (select q.user_id, q.event_id, q.t, f.t as t0, f.lat as la0, f.lon as lo0 from qs q asof left join fx f on q.user_id = f.user_id and q.t >= f.t),
+  hi as (select q.event_id, f.t as t1, f.lat as la1, f.lon as lo1 from qs q asof left join fx f on q.user_id = f.user_id and q.t <= f.t), bt as (select * from lo join hi using (event_id))"""
+
+
+def _fixes(spark, sf):
+    e = B.table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    fixes = e.filter("event_type = 'purchase'").groupBy("user_id", "t").agg(F.max(63 + F.col("value") / 1e4).alias("lat"), F.max(10 + F.col("value") / 2e4).alias("lon"))
+    return e.filter("event_type = 'view'").select("user_id", "event_id", "t"), fixes
+
+
+@_query("e19_interp_positions", f"with {_BOTH} select user_id, event_id, round(case when t1 = t0 then la0 else la0 + (la1 - la0) * (t - t0) / (t1 - t0) end, 6) as lat, round(case when t1 = t0 then lo0 else lo0 + (lo1 - lo0) * (t - t0) / (t1 - t0) end, 6) as lon from bt where t0 is not null and t1 is not null")
+def _(spark, sf):
+    q, f = _fixes(spark, sf)
+    return polyline.interp_positions(q, f, ("user_id",)).select("user_id", "event_id", _r("lat").alias("lat"), _r("lon").alias("lon"))
+
+
+_TXYZ = "(30.0 + 6378000) * sin(radians({o})) * cos(radians({a})) as x{s}, (30.0 + 6378000) * sin(radians({a})) as y{s}, (30.0 + 6378000) * cos(radians({o})) * cos(radians({a})) as z{s}"
+
+
+@_query(
+    "e20_tx_locations",
+    f"""with {_BOTH}, c as (select user_id, event_id, t, t0, t1, {_TXYZ.format(o="lo0", a="la0", s="0")}, {_TXYZ.format(o="lo1", a="la1", s="1")} from bt where t0 is not null or t1 is not null),
+    w as (select *, case when t0 is null then 1.0 when t1 is null or t1 = t0 then 0.0 else (t - t0) / (t1 - t0) end as w from c),
+    p as (select user_id, event_id, case when w = 0 then x0 when w = 1 then x1 else x0 + (x1 - x0) * w end as x, case when w = 0 then y0 when w = 1 then y1 else y0 + (y1 - y0) * w end as y, case when w = 0 then z0 when w = 1 then z1 else z0 + (z1 - z0) * w end as z from w)
+    select user_id, event_id, round(degrees(asin(y / sqrt(x * x + y * y + z * z))), 5) as lat, round(degrees(atan2(x, z)), 5) as lon, round(sqrt(x * x + y * y + z * z) - 6378000, 3) as alt from p""",
+)
+def _(spark, sf):
+    q, f = _fixes(spark, sf)
+    out = polyline.tx_locations(q, f, 30.0, ("user_id",)).filter("lat is not null")
+    return out.select("user_id", "event_id", _r("lat", 5).alias("lat"), _r("lon", 5).alias("lon"), _r("alt", 3).alias("alt"))
+
+
+_SEG = "sg as (select l_suppkey * 10 as receiver_min, l_suppkey * 10 + 7 as receiver_max, min(l_quantity) as q, max(l_discount) * 1000 as d from lineitem group by l_suppkey)"
+
+
+def _segments(spark, sf):
+    g = B.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.min("l_quantity").alias("q"), (F.max("l_discount") * 1000).alias("d"))
+    s = F.col("l_suppkey")
+    return g.select((s * 10).alias("receiver_min"), (s * 10 + 7).alias("receiver_max"), (s % 4 != 3).alias("success"), F.when(s % 2 == 0, F.col("d") * 3).alias("theta_deg_continuous"), F.when(s % 3 == 0, F.col("d") * 2).alias("theta_deg_norm"), (F.col("q") * 20.0).alias("theta_deg"))
+
+
+@_query(
+    "e21_interp_segment_angles",
+    f"""with {_SEG}, a as (select (receiver_min + receiver_max) / 2.0 as x, coalesce(case when (receiver_min // 10) % 2 = 0 then d * 3 end, case when (receiver_min // 10) % 3 = 0 then d * 2 end, q * 20.0) as r from sg where (receiver_min // 10) % 4 <> 3),
+    k as (select x, r + 180.0 - 360.0 * floor((r + 180.0) / 360.0) - 180.0 as th from a), c as (select distinct l_suppkey * 10 + l_linenumber as channel from lineitem),
+    l as (select channel, k.x as x0, k.th as t0 from c asof left join k on c.channel >= k.x), h as (select channel, k.x as x1, k.th as t1 from c asof left join k on c.channel <= k.x)
+    select channel, round(case when x0 is null then t1 when x1 is null or x0 = x1 then t0 else t0 + (t1 - t0) * (channel - x0) / (x1 - x0) end, 6) + 0.0 as theta from l join h using (channel)""",
+)
+def _(spark, sf):
+    c = B.table(spark, sf, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("channel")).distinct()
+    return polyline.interp_segment_angles(_segments(spark, sf), c).select("channel", (_r("theta") + 0.0).alias("theta"))
+
+
+@_query(
+    "e22_redraw_polyline",
+    f"""with {B.LIN}, p as (select cable_id, seq as channel, (lon - 10) * 1e5 as e, (lat - 63) * 1e5 as n from lin), q as (select *, e - lag(e) over w as le, n - lag(n) over w as ln from p window w as (partition by cable_id order by channel)),
+    t as (select *, channel between 2 and 8 and le is not null as tn from q), m as (select *, case when tn then sqrt(le * le + ln * ln) * cos(radians(channel * 11.0)) else 0 end as me, case when tn then sqrt(le * le + ln * ln) * sin(radians(channel * 11.0)) else 0 end as mn from t),
+    s as (select *, sum(me) over w as se, sum(mn) over w as sn from m window w as (partition by cable_id order by channel)),
+    b as (select *, last_value(case when not tn then e - se end ignore nulls) over w as be, last_value(case when not tn then n - sn end ignore nulls) over w as bn from s window w as (partition by cable_id order by channel))
+    select cable_id, channel, round(case when tn then be + se else e end, 3) + 0.0 as e, round(case when tn then bn + sn else n end, 3) + 0.0 as n from b""",
+)
+def _(spark, sf):
+    p = B.full_lines(spark, sf).select("cable_id", F.col("seq").alias("channel"), ((F.col("lon") - 10) * 1e5).alias("e"), ((F.col("lat") - 63) * 1e5).alias("n"))
+    angles = p.select("channel").distinct().withColumn("theta", F.col("channel") * 11.0)
+    return polyline.redraw_polyline(p, angles, 2, 8).select("cable_id", "channel", (_r("e", 3) + 0.0).alias("e"), (_r("n", 3) + 0.0).alias("n"))
+
+
+@_query(
+    "e23_continuous_angles",
+    "with a as (select l_orderkey as k, l_linenumber as c, min(l_quantity) * 11.0 as th from lineitem group by all), j as (select *, th - lag(th) over w + 90.0 as j from a window w as (partition by k order by c)), d as (select *, coalesce(j - 180.0 * floor(j / 180.0) - 90.0, th) as d from j) select k, c, round(sum(d) over (partition by k order by c), 6) as theta_cont from d",
+)
+def _(spark, sf):
+    a = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("c")).agg((F.min("l_quantity") * 11.0).alias("theta"))
+    return polyline.continuous_angles(a, "k", "c").select("k", "c", _r("theta_cont").alias("theta_cont"))
+
+
+@_query("a4_polyline_features", None)
+def _(spark, sf):
+    return tables.polyline_features(polyline.chainage(B.full_lines(spark, sf)))
+
+
+@_query("a15_export_features", "select o_orderkey as packet, '{\"type\":\"Feature\",\"properties\":{\"kind\":\"tx\",\"label\":\"' || o_orderkey || '\"},\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || o_custkey || ',' || o_custkey + 1 || ']}}' as json from (select *, row_number() over (order by o_orderkey) - 1 as i from orders) where i % 3 = 0")
+def _(spark, sf):
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("packet"), F.col("o_custkey").alias("lon"), (F.col("o_custkey") + 1).alias("lat"))
+    return tables.export_features(o, "tx", 3)
+
+
+# decoding
+
+
+def _hop(df):
+    """Slots 0..12 of 32 chips, by rule."""
+    return df.select(F.explode(F.sequence(F.lit(0), F.lit(31))).alias("chip")).distinct().withColumn("slot", (F.col("chip") * 7 + 3) % 13)
+
+
+_HOP = "hop as (select k as chip, (k * 7 + 3) % 13 as slot from range(32) as g(k)), pat as (select a.chip, a.slot, b.slot as noise from hop a join hop b on a.chip = (b.chip + 6) % 32 where a.chip <> 0)"
+_BINS = "bin as (select l_suppkey as channel, l_partkey as packet, l_orderkey % 32 as chip, l_linenumber * 3 % 26 as bin, sum(l_quantity) as re, sum(l_discount) as im from lineitem group by all)"
+
+
+def _bins(spark, sf):
+    li = B.table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("channel"), F.col("l_partkey").alias("packet"), (F.col("l_orderkey") % 32).cast("int").alias("chip"), (F.col("l_linenumber") * 3 % 26).cast("int").alias("bin")).agg(F.sum("l_quantity").alias("re"), F.sum("l_discount").alias("im"))
+
+
+def _some(spark, sf):
+    return B.table(spark, sf, "region").limit(1)
+
+
+@_query("h2_extract_receptions", f"with {B.SMP}, {_POINTS}, g as (select channel, packet, pos, k from pnt, range(6) as r(k)) select g.channel, packet, cast(k as int) as k, coalesce(value, 0.0) as value from g left join smp on smp.channel = g.channel and sample_idx = pos + k")
+def _(spark, sf):
+    arr = _points(spark, sf).withColumnRenamed("at", "sample_idx")
+    cut = packets.extract_receptions(B.samples(spark, sf), arr, 6)
+    return cut.select("channel", "packet", F.posexplode("samples").alias("k", "value"))
+
+
+@_query(
+    "h3_chip_dft",
+    f"""with {B.BLK}, c as (select channel, block_no as packet, (sample_idx % 64) // 16 as chip, (sample_idx % 64) % 16 as i, value from lng)
+    select channel, packet, cast(chip as int) as chip, cast(b as int) as bin, round(sum(value * cos(2 * pi() * (2.0 + b) * i / 16)), 5) + 0.0 as re, round(sum(value * sin(2 * pi() * (2.0 + b) * i / 16)), 5) + 0.0 as im from c, range(4) as g(b) group by all""",
+)
+def _(spark, sf):
+    rec = B.blocks(spark, sf).select("channel", F.col("block_no").alias("packet"), "samples")
+    return packets.chip_dft(rec, 16.0, 2.0, 1.0, 4, 4).select("channel", "packet", "chip", "bin", (_r("re", 5) + 0.0).alias("re"), (_r("im", 5) + 0.0).alias("im"))
+
+
+_SNR = f"{_HOP}, {_BINS}, pw as (select channel, packet, sum(case when bin // 2 = slot then re * re + im * im end) as s, sum(case when bin // 2 = noise then re * re + im * im end) as z from bin join pat using (chip) group by all), snr as (select channel, packet, case when s > 0 and z > 0 then 10 * log10(s / z) end as snr_db, sqrt(z) as noise_rms from pw)"
+
+
+@_query("h4_reception_snr", f"with {_SNR} select channel, packet, round(snr_db, 6) as snr_db, round(noise_rms, 6) as noise_rms from snr")
+def _(spark, sf):
+    out = packets.reception_snr(_bins(spark, sf), _hop(_some(spark, sf)))
+    return out.select("channel", "packet", _r("snr_db").alias("snr_db"), _r("noise_rms").alias("noise_rms"))
+
+
+@_query("h5_stack_receptions", f"with {_SNR} select packet, chip, bin, round(sum(sqrt(re * re + im * im) / noise_rms), 6) as level from bin join snr using (channel, packet) where snr_db >= 3 and noise_rms > 0 group by all")
+def _(spark, sf):
+    b = _bins(spark, sf)
+    return packets.stack_receptions(b, packets.reception_snr(b, _hop(_some(spark, sf)))).withColumn("level", _r("level"))
+
+
+@_query("h6_hop_bits", f"with {_HOP}, {_BINS} select channel, packet, chip, cast(arg_max(bin % 2, row(re * re + im * im, -bin)) as int) as bit from bin join hop using (chip) where bin // 2 = slot group by all")
+def _(spark, sf):
+    return packets.hop_bits(_bins(spark, sf), _hop(_some(spark, sf)))
+
+
+_BITS = "bt as (select l_orderkey as packet, cast(l_linenumber - 1 as int) as chip, min(cast(l_quantity as int)) % 2 as bit from lineitem group by all)"
+
+
+def _packet_bits(spark, sf):
+    li = B.table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("packet"), (F.col("l_linenumber") - 1).cast("int").alias("chip")).agg((F.min(F.col("l_quantity").cast("int")) % 2).alias("bit"))
+
+
+@_query("h7_deinterleave", f"with {_BITS} select packet, string_agg(bit, '' order by ((chip - 2) * 3) % 5) as bits from bt where chip >= 2 group by packet")
+def _(spark, sf):
+    return packets.deinterleave(_packet_bits(spark, sf), ("packet",), 5, 3, 2).select("packet", F.array_join(F.transform("bits", lambda b: b.cast("string")), "").alias("bits"))
+
+
+@_query("h8_convolutional_decode", None)
+def _(spark, sf):
+    bits = _packet_bits(spark, sf).groupBy("packet").agg(F.transform(F.array_sort(F.collect_list(F.struct("chip", "bit"))), lambda x: x["bit"]).alias("bits"))
+    coded = bits.select("packet", F.flatten(F.array_repeat("bits", 144)).alias("bits")).withColumn("bits", F.slice("bits", 1, 144))
+    return packets.convolutional_decode(coded, ("packet",))
+
+
+def _sixty_four(spark, sf):
+    """64 bits a packet from the order's key and customer."""
+    o = B.table(spark, sf, "orders")
+    bit = lambda c, n: F.transform(F.sequence(F.lit(n - 1), F.lit(0)), lambda k: F.pmod(F.floor(c / F.pow(F.lit(2.0), k)), F.lit(2)).cast("int"))
+    return o.select(F.col("o_orderkey").alias("packet"), F.concat(bit(F.col("o_orderkey"), 32), bit(F.col("o_custkey"), 32)).alias("bits"))
+
+
+_CRC = "select *, (o_orderkey << 32) | o_custkey as v from orders"
+
+
+@_query(
+    "h9_crc8",
+    """with recursive b as (select o_orderkey as packet, o_orderkey as hi, o_custkey >> 8 as lo from orders),
+    r(packet, hi, lo, k, c) as (select packet, hi, lo, 0, 0 from b union all select packet, hi, lo, k + 1, case when xor((c >> 7) & 1, bit) = 1 then xor((c * 2) & 255, 7) else (c * 2) & 255 end
+      from (select *, case when k < 32 then (hi >> (31 - k)) & 1 else (lo >> (55 - k)) & 1 end as bit from r) where k < 56)
+    select packet, cast(c as int) as crc from r where k = 56""",
+)
+def _(spark, sf):
+    return _sixty_four(spark, sf).select("packet", packets.crc8(F.slice("bits", 1, 56)).alias("crc"))
+
+
+@_query(
+    "h10_unpack_fields",
+    "select o_orderkey as packet, cast((o_orderkey >> 28) & 15 as int) as version, cast((o_orderkey >> 16) & 255 as int) as classUserID, cast((o_orderkey >> 10) & 63 as int) as appType, ((o_orderkey & 1023) << 24) | (o_custkey >> 8) as appData, cast(o_custkey & 255 as int) as crc8 from orders",
+)
+def _(spark, sf):
+    return packets.unpack_fields(_sixty_four(spark, sf), ("packet",)).select("packet", "version", "classUserID", "appType", "appData", "crc8")
+
+
+@_query("h11_bpsk", f"select l_orderkey as k, l_linenumber as line, l_partkey as p, cast(abs(m - pi()) > pi() / 2 as int) as bit from (select *, atan2(l_tax - 0.04, l_discount - 0.05) + pi() - 0.3 - 2 * pi() * floor((atan2(l_tax - 0.04, l_discount - 0.05) + pi() - 0.3) / (2 * pi())) as m from lineitem)")
+def _(spark, sf):
+    return B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("p"), scalars.bpsk_slice(F.col("l_discount") - 0.05, F.col("l_tax") - 0.04, 0.3).alias("bit"))
+
+
+# sensitivity
+
+
+@_query(
+    "i1_lookup_interp",
+    "with t as (select l_quantity * 10 as x, min(l_tax) as y from lineitem group by all), q as (select o_orderkey as k, cast(o_custkey * 1.7 as double) as x from orders), l as (select k, q.x, t.x as x0, t.y as y0 from q asof left join t on q.x >= t.x), h as (select k, t.x as x1, t.y as y1 from q asof left join t on q.x <= t.x) select k, round(case when x0 is null then y1 when x1 is null or x0 = x1 then y0 else y0 + (y1 - y0) * (x - x0) / (x1 - x0) end, 8) as y from l join h using (k)",
+)
+def _(spark, sf):
+    t = B.table(spark, sf, "lineitem").groupBy((F.col("l_quantity") * 10).alias("x")).agg(F.min("l_tax").alias("y"))
+    q = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") * 1.7).alias("x"))
+    return sensitivity.lookup_interp(q, t).select("k", _r("y", 8).alias("y"))
+
+
+@_query("i2_transmission_loss", "select l_orderkey as k, l_linenumber as line, l_partkey as p, round(20.0 * log10(l_extendedprice), 6) as loss_db from lineitem")
+def _(spark, sf):
+    return B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("p"), _r(scalars.transmission_loss(F.col("l_extendedprice"))).alias("loss_db"))
+
+
+@_query("i3_cross_spectrum", None)
+def _(spark, sf):
+    rec = B.blocks(spark, sf).select("channel", F.col("block_no").alias("packet"), "samples")
+    return sensitivity.cross_spectrum(rec, TEMPLATE, 100.0)
+
+
+@_query(
+    "i4_sensitivity_db",
+    f"""with s as (select l_suppkey as channel, l_orderkey as packet, l_linenumber * 100.0 as freq, sum(l_quantity) as re, sum(l_tax) as im from lineitem group by all),
+    f as (select distinct freq, freq / 10 as psd, freq / 50 as tx from s), l as (select distinct channel, packet, channel + packet % 7 as loss from s)
+    select channel, packet, freq, round(10 * log10(re * re + im * im) - (psd + tx - loss), 6) as sens_db from s join f using (freq) join l using (channel, packet)""",
+)
+def _(spark, sf):
+    s = B.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("channel"), F.col("l_orderkey").alias("packet"), (F.col("l_linenumber") * 100.0).alias("freq")).agg(F.sum("l_quantity").alias("re"), F.sum("l_tax").alias("im"))
+    f = s.select("freq").distinct()
+    loss = s.select("channel", "packet", (F.col("channel") + F.col("packet") % 7).alias("loss_db")).distinct()
+    return sensitivity.sensitivity_db(s, f.withColumn("db", F.col("freq") / 10), f.withColumn("db", F.col("freq") / 50), loss).withColumn("sens_db", _r("sens_db"))
+
+
+@_query(
+    "i5_binned_sensitivity",
+    """with v as (select l_suppkey as channel, l_orderkey as packet, l_extendedprice as freq, l_quantity as sens, l_tax * 100 as snr, (l_orderkey * 13 + l_suppkey) % 90 as angle from lineitem),
+    b as (select cast(k as int) as bin_no, k * 2000.0 as lo, k * 2000.0 + 2000.0 as hi from range(10) as g(k)), p as (select bin_no, channel, packet, avg(sens) as sens, min(angle) as angle from v join b on freq >= lo and freq < hi where snr >= 3 group by all), a as (select k * 5.0 as angle from range(18) as g(k))
+    select bin_no, a.angle, count(*) as n, round(avg(sens), 6) as mean, round(stddev_samp(sens), 6) as std, round(quantile_cont(sens, 0.5), 6) as median, round(quantile_cont(sens, 0.25), 6) as q1 from p join a on abs(p.angle - a.angle) < 2 group by all having count(*) > 1""",
+)
+def _(spark, sf):
+    v = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("channel"), F.col("l_orderkey").alias("packet"), F.col("l_extendedprice").alias("freq"), F.col("l_quantity").alias("sens_db"), (F.col("l_tax") * 100).alias("snr"), ((F.col("l_orderkey") * 13 + F.col("l_suppkey")) % 90).alias("angle_deg"))
+    some = _some(spark, sf)
+    bins = some.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin_no")).select("bin_no", (F.col("bin_no") * 2000.0).alias("lo"), (F.col("bin_no") * 2000.0 + 2000.0).alias("hi"))
+    angles = some.select(F.explode(F.sequence(F.lit(0), F.lit(17))).alias("a")).select((F.col("a") * 5.0).alias("angle"))
+    out = sensitivity.binned_sensitivity(v, bins, angles, ["mean", "std", "median", "q1"]).filter("n > 1")
+    return out.select("bin_no", "angle", "n", *[_r(c).alias(c) for c in ("mean", "std", "median", "q1")])
+
+
+_KERNEL = "p as (select o_custkey * 1.0 as xp, case when o_orderkey % 9 <> 0 then o_totalprice / 1000 end as fp from orders), q as (select event_id as qid, value / 3 as x from events where event_id % 5 = 0)"
+
+
+def _kernel(spark, sf):
+    p = B.table(spark, sf, "orders").select((F.col("o_custkey") * 1.0).alias("xp"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") / 1000).alias("fp"))
+    return B.table(spark, sf, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("qid"), (F.col("value") / 3).alias("x")), p
+
+
+@_query("i6_kernel_mean", f"with {_KERNEL}, m as (select qid, avg(coalesce(fp, 0)) as m from q join p on abs(x - xp) < 2 group by qid) select qid, round(x, 6) as x, round(m, 6) as mean from q left join m using (qid)")
+def _(spark, sf):
+    return sensitivity.kernel_mean(*_kernel(spark, sf), 2.0).select("qid", _r("x").alias("x"), _r("mean").alias("mean"))
+
+
+@_query("i7_hann_kernel_mean", f"with {_KERNEL}, m as (select qid, sum((0.5 + 0.5 * cos(pi() * (xp - x) / 2)) * coalesce(fp, 0)) / sum(0.5 + 0.5 * cos(pi() * (xp - x) / 2)) as m from q join p on abs(x - xp) < 2 group by qid) select qid, round(x, 6) as x, round(m, 5) as mean from q left join m using (qid)")
+def _(spark, sf):
+    return sensitivity.kernel_mean(*_kernel(spark, sf), 2.0, scalars.hann_kernel).select("qid", _r("x").alias("x"), _r("mean", 5).alias("mean"))
+
+
+@_query("i8_modelled_strain", "with a as (select event_id, value / 2.5 as a from events), s as (select event_id, a, abs(power(cos(radians(a)), 2) - 0.17 * power(sin(radians(a)), 2)) as s from a) select event_id, case when a between 0 and 180 and s > 0 then round(120.0 + 20 * log10(s / 7e10), 4) end as strain_db from s")
+def _(spark, sf):
+    return B.table(spark, sf, "events").select("event_id", _r(scalars.modelled_strain_db(F.col("value") / 2.5, F.lit(120.0)), 4).alias("strain_db"))
+
+
+@_query(
+    "i9_modelled_gain",
+    "with w as (select event_id, abs(100.0 * cos(radians(value / 2.5)) / 1475.0) as k from events), g as (select event_id, k * 4 as x from w) select event_id, round(case when abs(x) < 1e-12 then 1.0 else power(sin(pi() * x) / (pi() * x), 2) end * case when x <= 0.4 then 1.0 when x >= 0.45 then 0.0 else 0.5 + 0.5 * cos(pi() * (x - 0.4) / 0.05) end, 7) as gain from g",
+)
+def _(spark, sf):
+    return B.table(spark, sf, "events").select("event_id", _r(scalars.modelled_gain(F.col("value") / 2.5, F.lit(100.0)), 7).alias("gain"))
+
+
+# scalars
+
+
+@_query("j1_time_list", "select o_orderkey as k, strftime(timestamp '2020-01-01' + to_seconds(o_custkey * 10), '%H%M%S') as hhmmss from orders")
+def _(spark, sf):
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), ((F.col("o_custkey") * 10) % 86400).alias("second"))
+    return o.join(F.broadcast(scalars.time_list(spark, "000000", "240000", 10)), "second").select("k", "hhmmss")
+
+
+@_query("j2_seconds_of_day", "select event_id, round(epoch_us(ts) / 1e6 - floor(epoch_us(ts) / 1e6 / 86400) * 86400, 3) as s from events")
+def _(spark, sf):
+    return B.table(spark, sf, "events").select("event_id", _r(scalars.seconds_of_day(F.col("ts").cast("timestamp")), 3).alias("s"))
+
+
+@_query("j3_parse_ts", "select event_id, strftime(case when event_id % 4 = 3 then null when event_id % 4 = 1 then timestamp '1970-01-01' + (date_trunc('second', ts) - date_trunc('day', ts)) when event_id % 4 = 0 then date_trunc('second', ts) else ts end, '%Y-%m-%d %H:%M:%S.%f') as t from events")
+def _(spark, sf):
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 4
+    text = F.when(k == 0, F.date_format(ts, "yyyyMMdd HHmmss")).when(k == 1, F.date_format(ts, "HHmmss")).when(k == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(F.lit("at noon"))
+    return B.table(spark, sf, "events").select("event_id", F.date_format(scalars.parse_ts(text), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t"))
+
+
+@_query("j4_strip_trailing", "select o_orderkey as k, rtrim(cast(o_custkey * 100 as varchar), '0') as s from orders")
+def _(spark, sf):
+    return B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), scalars.strip_trailing((F.col("o_custkey") * 100).cast("string"), "0").alias("s"))
+
+
+@_query("j6_json_path", "select event_id, json_extract_string(props, '$.k') as k from events")
+def _(spark, sf):
+    return B.table(spark, sf, "events").select("event_id", scalars.json_path(F.col("props"), "k").alias("k"))
+
+
+# streams
+
+
+def _run_stream(spark, stream, mode: str = "append"):
+    """Result table of a stream that takes all its input and ends; files lie in the shared folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _event_stream(spark, sf):
+    schema = B.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@_query("k1_stream_coverage", None)
+def _(spark, sf):
+    a = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"), F.col("event_id").alias("packet"))
+    return _run_stream(spark, streams.block_coverage(a, "1 hour", "10 minutes"))
+
+
+@_query("k2_stream_integral", None)
+def _(spark, sf):
+    s = _event_stream(spark, sf).select(F.col("user_id").alias("channel"), F.col("event_id").alias("sample_idx"), "value")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return _run_stream(spark, streams.running_integral(s, 400.0, 0.04))
+
+
+@_query("k3_stream_assignment", None)
+def _(spark, sf):
+    p = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"))
+    return _run_stream(spark, streams.assign_stream(p, 10.0, 900.0, 120.0))
