@@ -164,12 +164,12 @@ def shared_slope(points: DataFrame, keys: tuple[str, ...] = KEYS, cluster: str =
     return off.groupBy(*keys).agg(F.regr_slope("__t", "__s").alias("slope"), F.count("*").alias("n"))
 
 
-def _clusters(s: np.ndarray, r: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Labels of seeded k-means on (0.2 * scaled place, residual)."""
+def _clusters(s: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k-means on (0.2 * scaled place, residual), started from points
+    spread evenly over the order of residuals."""
     span = np.ptp(s) or 1.0
     x = np.stack([0.2 * (s - s.min()) / span, r / (np.abs(r).max() or 1.0)], 1)
-    rng = np.random.default_rng(seed)
-    centre = x[rng.choice(len(x), k, replace=False)]
+    centre = x[np.argsort(r, kind="stable")[((np.arange(k) + 0.5) * len(x) / k).astype(int)]]
     label = np.zeros(len(x), int)
     for _ in range(50):
         new = ((x[:, None] - centre) ** 2).sum(2).argmin(1)
@@ -214,7 +214,7 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int = 5, speed: float =
         if len(s) < max(3, k):
             return out
         a, b = np.polyfit(s, t, 1) if np.ptp(s) else (0.0, t.mean())
-        label = _clusters(s, t - a * s - b, k, 1)
+        label = _clusters(s, t - a * s - b, k)
         lines: list[tuple[float, float]] = []
         for _ in range(rounds):
             present = [j for j in range(k) if (label == j).sum() >= 2]
