@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 #: Places of a band and bands. A pair of similarity 0.8 misses all bands with probability 8e-5, of 0.85 with 2e-7.
 ROWS, BANDS = 7, 40
 CHUNK_CHARS = 500_000
+#: Points made at once.
+POINTS = 500_000
 #: Texts of a block of a full band, rows of a comparing task (about) and numbers of a matrix at once.
 BLOCK = 256
 TASK_ROWS = 500
@@ -111,19 +113,27 @@ def bag_signatures(owner: np.ndarray, key: np.ndarray, count: np.ndarray, texts:
     open_ = weight > 0
     while open_.any():
         mine = np.flatnonzero(open_[who])
-        w, s, b, lo, wd = who[mine], seed[mine], below[mine], low[mine], width[mine]
-        value, k = np.zeros(len(mine)), 0
+        value, k, ahead = np.zeros(len(mine)), 0, 1
         slots, values, marks = [], [], []
-        while len(w):
-            k += 1
-            mark = _mix(s + np.uint64(k * int(_STEP) % (1 << 64)))
-            value = value - np.log(_unit(_mix(mark ^ _STEP))) / (places * wd)
-            go = value <= limit[w]
-            w, s, b, lo, wd, value, mark = w[go], s[go], b[go], lo[go], wd[go], value[go], mark[go]
-            good = lo + (_unit(_mix(mark + _STEP)) * wd - 1e-12).astype(np.int64) < b
-            slots.append(w[good] * places + (mark[good] % np.uint64(places)).astype(np.int64))
-            values.append(value[good])
-            marks.append(mark[good])
+        while len(mine):
+            go = np.zeros(len(mine), bool)
+            step = max(1, POINTS // ahead)
+            for at in (slice(i, i + step) for i in range(0, len(mine), step)):
+                m = mine[at]
+                count_to = np.array([(k + j) * int(_STEP) % (1 << 64) for j in range(1, ahead + 1)], np.uint64)
+                mark = _mix(seed[m, None] + count_to)
+                wait = -np.log(_unit(_mix(mark ^ _STEP))) / (places * width[m, None])
+                wait[:, 0] += value[at]
+                when = np.cumsum(wait, axis=1)
+                value[at], go[at] = when[:, -1], when[:, -1] <= limit[who[m]]
+                row, col = np.nonzero(when <= limit[who[m], None])
+                m, mark, when = m[row], mark[row, col], when[row, col]
+                good = low[m] + (_unit(_mix(mark + _STEP)) * width[m] - 1e-12).astype(np.int64) < below[m]
+                slots.append(who[m[good]] * places + (mark[good] % np.uint64(places)).astype(np.int64))
+                values.append(when[good])
+                marks.append(mark[good])
+            mine, value = mine[go], value[go]
+            k, ahead = k + ahead, min(256, 2 * ahead if k else 1)
         slots, values, marks = map(np.concatenate, (slots, values, marks))
         np.minimum.at(best, slots, values)
         least = values == best[slots]
@@ -208,7 +218,8 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
 
 
 def compare_bands(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs (a, b) of classes that some pair of texts of one unit links.
+    """Pairs (a, b) of classes that some pair of texts of one unit links, as far
+    as they connect classes that other pairs of the task leave apart.
 
     All pairs of a unit are compared at once: a shingle that comes c times is a
     column for each of 1..c, and the product of the 0/1 matrix with itself
@@ -246,7 +257,25 @@ def compare_bands(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
             side = np.arange(n) >= first
             alike &= side[:, None] != side
         found.update((int(mine[x]), int(mine[y])) for x, y in zip(*np.nonzero(alike)))
-    return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(_forest(found), columns=["a", "b"]).astype("int64")
+
+
+def _forest(pairs: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Some of the pairs that connect the same classes without a cycle."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.setdefault(x, x)) != x:
+            top[x] = x = top.setdefault(y, y)
+        return x
+
+    out = []
+    for a, b in sorted(pairs):
+        x, y = find(a), find(b)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
 
 
 def class_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -254,7 +283,7 @@ def class_links(members: DataFrame, docs: DataFrame, similarity: float) -> DataF
 
     A band of more than BLOCK texts becomes a unit for each pair of its blocks,
     so all its pairs are compared, in many small tasks, and none is ever a row;
-    what comes out is at most a row per pair of linked classes and task.
+    a task gives fewer rows than it has classes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").cast("string").alias("text"))
     sizes = stage_table(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band-sizes")
