@@ -90,23 +90,24 @@ def sinc(x: Column) -> Column:
     return F.when(F.abs(x) < 1e-12, F.lit(1.0)).otherwise(F.sin(math.pi * x) / (math.pi * x))
 
 
-def modelled_gain(angle_deg: Column, freq: Column, gauge: float = 4.0, pulse: float = 4.0, speed: float = 1475.0) -> Column:
-    """Gain of gauge length and pulse shape at the wavenumber along the line.
+def modelled_gain(angle_deg: Column, freq: Column, speed: float = 1500.0, spacing: float = 1.02, gauge_factor: float = 2.0) -> Column:
+    """Gain of pulse shape and gauge length at the wavenumber along the line.
 
-    The gauge averages twice (squared sinc); the pulse passes wavenumbers up to
-    0.40 per pulse length and fades to 0 at 0.45 by a raised cosine.
+    The pulse passes wavenumbers up to 0.40 per channel spacing and fades to 0
+    at 0.45 by a raised cosine; the gauge gives a squared sinc.
     """
-    along = F.abs(freq * F.cos(F.radians(angle_deg)) / speed)
-    edge = along * pulse
-    fade = F.when(edge <= 0.40, F.lit(1.0)).when(edge >= 0.45, F.lit(0.0)).otherwise(0.5 + 0.5 * F.cos(math.pi * (edge - 0.40) / 0.05))
-    return F.pow(sinc(along * gauge), 2) * fade
-
-
-def modelled_strain_db(angle_deg: Column, level_db: Column, youngs: float = 7e10, poisson: float = 0.17) -> Column:
-    """Strain along the line in dB for a pressure level in dB: compression along
-    the wave less the bulge across it; null outside 0..180 degrees and where
-    both cancel."""
+    along = freq * F.cos(F.radians(angle_deg)) / speed
+    edge = F.abs(along * spacing)
+    fade = F.when(edge > 0.45, F.lit(0.0)).when(edge < 0.40, F.lit(1.0)).otherwise(0.5 + 0.5 * F.cos(math.pi * (edge - 0.40) / 0.05))
+    return fade * F.pow(sinc(along * spacing / gauge_factor), 2)
+
+
+def modelled_strain_db(angle_deg: Column, level_db: Column, bulk_modulus: float = 2.25e9, young_ratio: float = 0.1, poisson: float = 0.2) -> Column:
+    """Strain of a cable along the line, in dB of nanostrain, for a pressure level
+    in dB of micropascal: stretch along the wave less squeeze across it. Only the
+    magnitude is given; null where both cancel."""
+    if not 0 <= young_ratio <= 1 or not -1 <= poisson <= 0.5:
+        raise ValueError("young_ratio must lie in 0..1 and poisson in -1..0.5")
     a = F.radians(angle_deg)
-    shape = F.abs(F.pow(F.cos(a), 2) - poisson * F.pow(F.sin(a), 2))
-    inside = (angle_deg >= 0) & (angle_deg <= 180) & (shape > 0)
-    return F.when(inside, level_db + 20 * F.log10(shape / youngs))
+    shape = F.abs((0.7 + 0.4 * poisson) * F.pow(F.cos(a), 2) - 0.2 * young_ratio * F.pow(F.sin(a), 2))
+    return F.when(shape > 0, level_db + 60 - 20 * math.log10(bulk_modulus) + 20 * F.log10(shape))

@@ -612,17 +612,17 @@ def _(spark, sf):
     return sensitivity.kernel_mean(*_kernel(spark, sf), 2.0, scalars.hann_kernel).select("qid", _r("x").alias("x"), _r("mean", 5).alias("mean"))
 
 
-@_query("i8_modelled_strain", "with a as (select event_id, value / 2.5 as a from events), s as (select event_id, a, abs(power(cos(radians(a)), 2) - 0.17 * power(sin(radians(a)), 2)) as s from a) select event_id, case when a between 0 and 180 and s > 0 then round(120.0 + 20 * log10(s / 7e10), 4) end as strain_db from s")
+@_query("i8_modelled_strain", "with s as (select event_id, abs((0.7 + 0.4 * 0.2) * power(cos(radians(value / 2.5)), 2) - 0.02 * power(sin(radians(value / 2.5)), 2)) as s from events) select event_id, case when s > 0 then round(120.0 + 60 - 20 * log10(2.25e9) + 20 * log10(s), 4) end as strain_db from s")
 def _(spark, sf):
     return B.table(spark, sf, "events").select("event_id", _r(scalars.modelled_strain_db(F.col("value") / 2.5, F.lit(120.0)), 4).alias("strain_db"))
 
 
 @_query(
     "i9_modelled_gain",
-    "with w as (select event_id, abs(100.0 * cos(radians(value / 2.5)) / 1475.0) as k from events), g as (select event_id, k * 4 as x from w) select event_id, round(case when abs(x) < 1e-12 then 1.0 else power(sin(pi() * x) / (pi() * x), 2) end * case when x <= 0.4 then 1.0 when x >= 0.45 then 0.0 else 0.5 + 0.5 * cos(pi() * (x - 0.4) / 0.05) end, 7) as gain from g",
+    "with w as (select event_id, 700.0 * cos(radians(value / 2.5)) / 1500.0 as k from events), g as (select event_id, abs(k * 1.02) as e, k * 1.02 / 2 as x from w) select event_id, round(case when e > 0.45 then 0.0 when e < 0.4 then 1.0 else 0.5 + 0.5 * cos(pi() * (e - 0.4) / 0.05) end * case when abs(x) < 1e-12 then 1.0 else power(sin(pi() * x) / (pi() * x), 2) end, 7) as gain from g",
 )
 def _(spark, sf):
-    return B.table(spark, sf, "events").select("event_id", _r(scalars.modelled_gain(F.col("value") / 2.5, F.lit(100.0)), 7).alias("gain"))
+    return B.table(spark, sf, "events").select("event_id", _r(scalars.modelled_gain(F.col("value") / 2.5, F.lit(700.0)), 7).alias("gain"))
 
 
 # scalars
