@@ -149,10 +149,10 @@ def cone_angle(slope: Column, speed: float = SPEED) -> Column:
 
 
 def with_angles(fits: DataFrame, speed: float = SPEED) -> DataFrame:
-    """Add angle_deg, angle_off_axis_deg and side."""
+    """Add angle_deg, angle_off_axis_deg and side: the way the sound runs along the axis."""
     a = fits.withColumn("angle_deg", cone_angle(F.col("slope"), speed))
     off = F.least(F.col("angle_deg"), 180 - F.col("angle_deg"))
-    side = F.when(F.col("angle_deg") < 90, "start").when(F.col("angle_deg") >= 90, "end")
+    side = F.when(F.col("angle_deg") <= 90, "first to last").when(F.col("angle_deg") > 90, "last to first")
     return a.withColumn("angle_off_axis_deg", off).withColumn("side", side)
 
 

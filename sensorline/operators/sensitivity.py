@@ -20,34 +20,37 @@ def lookup_interp(queries: DataFrame, table: DataFrame, x: str = "x", y: str = "
     return met.select(*queries.columns, made.alias(y))
 
 
-def kernel_mean(queries: DataFrame, points: DataFrame, tol: float, kernel: Callable[[Column, float], Column] = rectangular_kernel, decibel: bool = False) -> DataFrame:
+def kernel_mean(queries: DataFrame, points: DataFrame, tol: float, kernel: Callable[[Column, float], Column] = rectangular_kernel, db_in: bool = False, db_out: bool = False) -> DataFrame:
     """qid, x, mean: mean of the points (xp, fp) around each query, weighted by a
     kernel inside the open interval (-tol, tol). A null fp counts as 0 with its
-    weight; no point or no weight gives null. With ``decibel`` the mean is of powers."""
-    value = F.coalesce(F.pow(F.lit(10.0), F.col("fp") / 10) if decibel else F.col("fp"), F.lit(0.0))
+    weight; no point or no weight gives null. Means are of amplitudes: with
+    ``db_in`` fp is in dB (20 log), with ``db_out`` the mean."""
+    value = F.coalesce(F.pow(F.lit(10.0), F.col("fp") / 20) if db_in else F.col("fp"), F.lit(0.0))
     near = within_join(queries.select("qid", "x"), points.select("xp", "fp"), "x", "xp", tol, closed=False)
     w = kernel(F.col("xp") - F.col("x"), tol)
     g = near.groupBy("qid").agg(F.sum(w * value).alias("s"), F.sum(w).alias("w"))
     mean = F.when(F.col("w") > 0, F.col("s") / F.col("w"))
-    made = F.when(mean > 0, 10 * F.log10(mean)) if decibel else mean
+    made = F.when(mean > 0, 20 * F.log10(mean)) if db_out else mean
     return queries.select("qid", "x").join(g, "qid", "left").select("qid", "x", made.alias("mean"))
 
 
 def cross_spectrum(receptions: DataFrame, template: list[float], fs: float) -> DataFrame:
-    """channel, packet, freq, re, im: correlation with the template under a Hann
-    window, transformed and divided by the template's length and by fs."""
+    """channel, packet, freq, re, im: correlation with the template, scaled to unit
+    power as a tone, wherever it fits wholly; under a Hann window, transformed
+    and divided by the template's length and by fs."""
     ref = np.asarray(template, float)
+    ref = np.sqrt(2) * ref / np.abs(ref).max()
 
     @F.pandas_udf("array<double>")
     def spectrum(x: pd.Series) -> pd.Series:
         def one(v):
-            y = np.correlate(np.asarray(v, float), ref, "same")
+            y = np.correlate(np.asarray(v, float), ref, "valid")
             z = np.fft.rfft(y * np.hanning(len(y))) / len(ref) / fs
             return np.stack([z.real, z.imag], -1).ravel()
 
         return pd.Series([one(v) for v in x])
 
-    flat = receptions.select("channel", "packet", F.size("samples").alias("m"), spectrum("samples").alias("y"))
+    flat = receptions.select("channel", "packet", (F.size("samples") - len(template) + 1).alias("m"), spectrum("samples").alias("y"))
     each = flat.select("channel", "packet", "m", "y", F.explode(F.sequence(F.lit(0), F.floor(F.size("y") / 2).cast("int") - 1)).alias("k"))
     return each.select("channel", "packet", (F.col("k") * fs / F.col("m")).alias("freq"), F.get("y", 2 * F.col("k")).alias("re"), F.get("y", 2 * F.col("k") + 1).alias("im"))
 

@@ -82,7 +82,7 @@ fr as (select *, case when a < 3 then 'too_few_channels' when b < 3 then 'too_fe
 fits as (select packet, subarray_id, a as channels_available, b as n_inliers_stage1, c as n_inliers_stage2, reason is null as valid, reason,
          case when reason is null then sl end as slope, case when reason is null then rms end as residual_rms, case when reason is null then top end as residual_max_abs,
          case when reason is null then degrees(acos(greatest(-1.0, least(1.0, sl * 1475.0)))) end as angle_deg from fr),
-ang as (select *, least(angle_deg, 180 - angle_deg) as angle_off_axis_deg, case when angle_deg < 90 then 'start' when angle_deg >= 90 then 'end' end as side from fits)"""
+ang as (select *, least(angle_deg, 180 - angle_deg) as angle_off_axis_deg, case when angle_deg <= 90 then 'first to last' when angle_deg > 90 then 'last to first' end as side from fits)"""
 
 
 def doa_fits(spark: SparkSession, sf: str) -> DataFrame:
