@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorline.functions.scalars import rectangular_kernel
+from sensorline.functions.scalars import hann_kernel, rectangular_kernel
 from sensorline.operators.joins import bracketing, lerp, point_interval_join, within_join
 
 
@@ -66,26 +66,29 @@ def sensitivity_db(spectra: DataFrame, source_psd: DataFrame, transducer: DataFr
     return met.select("channel", "packet", "freq", (level - (F.col("psd") + F.col("tx") - F.col("loss_db"))).alias("sens_db"))
 
 
-#: Statistics that ``binned_sensitivity`` offers by name.
+#: Statistics that ``binned_sensitivity`` offers by name, besides "mean".
 STATISTICS: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max,
+    "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max,
     "median": lambda c: F.percentile(c, 0.5), "q1": lambda c: F.percentile(c, 0.25), "q3": lambda c: F.percentile(c, 0.75),
 }
 
 
 def binned_sensitivity(values: DataFrame, f_bins: DataFrame, angles: DataFrame, stats: list[str], tol_deg: float = 2.0, min_snr: float = 3.0) -> DataFrame:
     """Statistics per frequency bin [lo, hi) and angle over receptions within the
-    open interval of ``tol_deg`` around it.
+    open interval of ``tol_deg`` around it. "mean" is the Hann-weighted mean of
+    amplitudes in dB.
 
     ``values`` is (channel, packet, freq, sens_db, snr, angle_deg). Receptions
     are averaged over a bin first, so the angle join meets one row per
     reception and bin.
     """
-    unknown = set(stats) - set(STATISTICS)
+    unknown = set(stats) - set(STATISTICS) - {"mean"}
     if unknown:
         raise ValueError(f"no such statistic: {', '.join(sorted(unknown))}")
     width = 1000.0
     binned = point_interval_join(values.filter(F.col("snr") >= min_snr), f_bins.select("bin_no", "lo", "hi"), "freq", "lo", "hi", width)
     per = binned.groupBy("bin_no", "channel", "packet").agg(F.avg("sens_db").alias("sens_db"), F.first("angle_deg").alias("angle_deg"))
     near = within_join(per, angles.select("angle"), "angle_deg", "angle", tol_deg, closed=False)
-    return near.groupBy("bin_no", "angle").agg(F.count("*").alias("n"), *[STATISTICS[s]("sens_db").alias(s) for s in stats])
+    w = hann_kernel(F.col("angle_deg") - F.col("angle"), tol_deg)
+    mean = 20 * F.log10(F.sum(w * F.pow(F.lit(10.0), F.col("sens_db") / 20)) / F.sum(w))
+    return near.groupBy("bin_no", "angle").agg(F.count("*").alias("n"), *[(mean if s == "mean" else STATISTICS[s]("sens_db")).alias(s) for s in stats])

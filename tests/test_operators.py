@@ -175,6 +175,8 @@ def test_kernel_mean_and_statistics(spark):
     assert got == {0: 0.5, 1: None}
     with pytest.raises(ValueError):
         sensitivity.binned_sensitivity(q, q, q, ["mode"])
+    loud = {r.qid: r["mean"] for r in sensitivity.kernel_mean(q, p.filter("fp = 1"), 2.0, db_in=True, db_out=True).collect()}
+    assert loud[0] == pytest.approx(1.0)
 
 
 def test_files_round_trip(spark, tmp_path):
