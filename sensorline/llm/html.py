@@ -4,8 +4,8 @@ Markup is stripped into lines, one per block element. Every line has a length:
 its characters, or 0 if it stands in navigation, notices, adverts, forms or
 other parts that markup names as no article, if it lies outside the article
 where the page marks one, or if it is mostly links. The sums of the lengths
-over sliding windows of lines surge where the article begins and dive to 0
-where it ends; the lines of length over 0 between surges and dives are kept.
+over sliding windows of lines surge where the article begins, at a
+line that bears its part of the sum, and dive to 0 where it ends; the lines of length over 0 between surges and dives are kept.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def main_text(page: str | None) -> str:
     least = 1 if marked else min(SURGE, max(total, default=0))
     kept, on = [], False
     for (text, *_), own, window in zip(lines, size, total):
-        on = window > 0 if on else own > 0 and window >= least
+        on = window > 0 if on else own * WINDOW >= least and window >= least
         if on and own:
             kept.append(text)
     return " ".join(kept)
