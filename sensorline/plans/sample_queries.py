@@ -594,11 +594,11 @@ def _(spark, sf):
     return out.select("bin_no", "angle", "n", _r("mean", 5).alias("mean"), *[_r(c).alias(c) for c in ("std", "median", "q1")])
 
 
-_KERNEL = "p as (select o_custkey * 1.0 as xp, case when o_orderkey % 9 <> 0 then o_totalprice / 1000 end as fp from orders), q as (select event_id as qid, value / 3 as x from events where event_id % 5 = 0)"
+_KERNEL = "p as (select o_custkey * 1.0 as xp, case when o_orderkey % 9 <> 0 then o_totalprice / 997 end as fp from orders), q as (select event_id as qid, value / 3 as x from events where event_id % 5 = 0)"
 
 
 def _kernel(spark, sf):
-    p = B.table(spark, sf, "orders").select((F.col("o_custkey") * 1.0).alias("xp"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") / 1000).alias("fp"))
+    p = B.table(spark, sf, "orders").select((F.col("o_custkey") * 1.0).alias("xp"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") / 997).alias("fp"))
     return B.table(spark, sf, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("qid"), (F.col("value") / 3).alias("x")), p
 
 
@@ -634,9 +634,9 @@ def _(spark, sf):
     return o.join(F.broadcast(scalars.time_list(spark, "000000", "240000", 10)), "second").select("k", "hhmmss")
 
 
-@_query("j2_seconds_of_day", "select event_id, round(epoch_us(ts) / 1e6 - floor(epoch_us(ts) / 1e6 / 86400) * 86400, 3) as s from events")
+@_query("j2_seconds_of_day", "select event_id, round((epoch_us(ts) % 86400000000) / 1e6, 6) as s from events")
 def _(spark, sf):
-    return B.table(spark, sf, "events").select("event_id", _r(scalars.seconds_of_day(F.col("ts").cast("timestamp")), 3).alias("s"))
+    return B.table(spark, sf, "events").select("event_id", _r(scalars.seconds_of_day(F.col("ts").cast("timestamp"))).alias("s"))
 
 
 @_query("j3_parse_ts", "select event_id, strftime(case when event_id % 4 = 3 then null when event_id % 4 = 1 then timestamp '1970-01-01' + (date_trunc('second', ts) - date_trunc('day', ts)) when event_id % 4 = 0 then date_trunc('second', ts) else ts end, '%Y-%m-%d %H:%M:%S.%f') as t from events")
