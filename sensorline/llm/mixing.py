@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorline.llm.common import fresh_name, let, stage_table, text_or_empty
+from sensorline.llm.common import let, stage_table, text_or_empty
 from sensorline.llm.rules import SYMBOLS
 
 #: Domains of the labelled table, in order: (name, condition on a label row).
@@ -240,8 +240,10 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     stays with probability 0.3, one of rate 2 comes twice. The draw depends on
     doc_id alone. One pass after the fit, no shuffle."""
     rate, classifier, _ = mix(docs, labels, **options)
-    tokens, p, n = (fresh_name(docs, x) for x in ("tokens", "p", "copies"))
-    held = docs.select(*[F.col(f"`{c}`") for c in docs.columns], member(classifier).alias(p))
-    flat = held.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(n), F.col(f"{p}.tokens").alias("tokens"), F.col(f"{p}.p").alias("p"))
-    drawn = flat.withColumn(tokens, _copies(rate, F.col(f"{n}.doc_id"))).filter(F.col(tokens) > 0)
-    return drawn.select(F.explode(F.array_repeat(n, F.col(tokens).cast("int"))).alias(n)).select(f"{n}.*")
+    # The row number keeps the filter above this step: pushed below, it would work
+    # out the posteriors again for each of its references.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    held = docs.select(whole, member(classifier).alias("m"), F.monotonically_increasing_id().alias("row"))
+    flat = held.filter("row >= 0").select("whole", "row", F.col("m.tokens").alias("tokens"), F.col("m.p").alias("p"))
+    drawn = flat.withColumn("copies", _copies(rate, F.col("whole.doc_id"))).filter("copies > 0 and row >= 0")
+    return drawn.select(F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole")).select("whole.*")

@@ -268,5 +268,8 @@ def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that base rules and the decision list keep, columns unchanged."""
     held = fresh_name(docs, "q")
     keep, _ = verdict(rules, held)
-    measured = base_features(docs, out=held)
-    return measured.filter(~base_failed(held) & keep).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = fresh_name(docs, "row")
+    # The row number keeps the filter above the features: pushed below, it would
+    # work them out again for each of its references.
+    measured = base_features(docs, out=held).withColumn(row, F.monotonically_increasing_id())
+    return measured.filter((F.col(row) >= 0) & ~base_failed(held) & keep).select(*[F.col(f"`{c}`") for c in docs.columns])
