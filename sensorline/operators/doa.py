@@ -98,15 +98,14 @@ def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEY
             return out
         rng = np.random.default_rng([seed, *[abs(int(v)) for v in out.iloc[0][list(keys)]]])
         limit = np.median(np.abs(t - np.median(t)))
-        best, most = np.ones(len(s), bool), 0
-        for _ in range(trials):
-            k = rng.choice(len(s), 3, replace=False)
-            if np.ptp(s[k]) == 0:
-                continue
-            a, b = np.polyfit(s[k], t[k], 1)
-            inside = np.abs(t - a * s - b) <= limit
-            if inside.sum() > most:
-                best, most = inside, inside.sum()
+        pick = rng.random((trials, len(s))).argsort(1)[:, :3]  # all samples at once
+        ds, dt = s[pick] - s[pick].mean(1, keepdims=True), t[pick] - t[pick].mean(1, keepdims=True)
+        across = (ds * ds).sum(1)
+        slope = np.divide((ds * dt).sum(1), across, out=np.full(trials, np.nan), where=across > 0)
+        off = t[pick].mean(1) - slope * s[pick].mean(1)
+        inside = np.abs(t - slope[:, None] * s - off[:, None]) <= limit
+        best = inside[inside.sum(1).argmax()]
+        best = best if best.any() else np.ones(len(s), bool)
         if best.sum() > 1 and np.ptp(s[best]) > 0:
             out["slope"], out["intercept"] = np.polyfit(s[best], t[best], 1)
         return out

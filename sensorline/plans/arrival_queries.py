@@ -109,9 +109,9 @@ def _sent(spark, sf):
 _SENT = "snt as (select o_orderkey as packet, cast(floor(o_totalprice) as bigint) as tx_sample from orders where o_orderkey % 10 <> 0)"
 
 
-@_query("d5_avg_travel_time", f"with {B.ARR}, {_SENT}, tt as (select channel, sample_idx - tx_sample as travel from arr join snt using (packet) where packet between 1 and 20000) select channel, round(avg(travel), 4) as avg_travel, count(travel) as n from (select distinct channel from arr) left join tt using (channel) group by channel")
+@_query("d5_avg_travel_time", f"with {B.ARR}, {_SENT}, tt as (select channel, sample_idx - tx_sample as travel from arr join snt using (packet) where packet between 1 and 1000000000000) select channel, round(avg(travel), 4) as avg_travel, count(travel) as n from (select distinct channel from arr) left join tt using (channel) group by channel")
 def _(spark, sf):
-    return A.avg_travel_time(B.arrivals(spark, sf), _sent(spark, sf), 1, 20000).withColumn("avg_travel", _r("avg_travel", 4))
+    return A.avg_travel_time(B.arrivals(spark, sf), _sent(spark, sf), 1, 10**12).withColumn("avg_travel", _r("avg_travel", 4))
 
 
 @_query("d5_travel_times", f"with {B.ARR}, {_SENT} select packet, channel, sample_idx - tx_sample as travel from arr join snt using (packet)")
@@ -176,11 +176,11 @@ def _peaks(spark, sf):
 
 
 _PEAKS = "pk as (select distinct l_suppkey as channel, l_partkey * 1000 + l_orderkey % 1000 as peak from lineitem)"
-_TARGETS = "tg as (select o_orderkey as packet, o_custkey * 1300 + 70 as target from orders where o_orderkey % 20 = 0)"
+_TARGETS = "tg as (select distinct o_custkey as packet, o_custkey * 1300 + 70 as target from orders)"
 
 
 def _targets(spark, sf):
-    return B.table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("packet"), (F.col("o_custkey") * 1300 + 70).alias("target"))
+    return B.table(spark, sf, "orders").select(F.col("o_custkey").alias("packet"), (F.col("o_custkey") * 1300 + 70).alias("target")).distinct()
 
 
 @_query("c4_expected_arrivals", "select o_orderkey as run_id, k as packet, o_custkey * 10 + k * (500 + o_orderkey % 7) as target from (select *, unnest(range(0, 3 + o_orderkey % 5)) as k from orders)")
@@ -246,7 +246,7 @@ def _(spark, sf):
 
 @_query("f3_ransac_fit", None)
 def _(spark, sf):
-    return doa.ransac_fit(B.placed(spark, sf).filter("packet % 16 = 0"), 30)
+    return doa.ransac_fit(B.placed(spark, sf), 30)
 
 
 @_query(
@@ -275,27 +275,27 @@ def _(spark, sf):
 
 @_query("f7_multiline_fit", None)
 def _(spark, sf):
-    return doa.multiline_fit(B.placed(spark, sf).filter("packet % 16 = 0"))
+    return doa.multiline_fit(B.placed(spark, sf))
 
 
 @_query("f8_shared_slope_loop", None)
 def _(spark, sf):
-    return doa.multiline_fit(B.placed(spark, sf).filter("packet % 16 = 0"), shared=True)
+    return doa.multiline_fit(B.placed(spark, sf), shared=True)
 
 
-def _located(spark, sf, part: int):
-    """Valid fits with axis and reference, of every ``part``-th packet."""
+def _located(spark, sf):
+    """Valid fits with axis and reference."""
     pts = B.fit_points(spark, sf)
     axes = doa.principal_axis_2d(pts.withColumnsRenamed({"e": "x", "n": "y"})).withColumn("az", F.lit(0.0))
     ref = pts.groupBy("packet", "subarray_id").agg(F.avg("e").alias("re"), F.avg("n").alias("rn"), F.avg("u").alias("ru"))
-    fits = B.doa_fits(spark, sf).filter(f"valid and packet % {part} = 0").select("packet", "subarray_id", "angle_deg")
+    fits = B.doa_fits(spark, sf).filter("valid").select("packet", "subarray_id", "angle_deg")
     return fits.join(axes, ["packet", "subarray_id"]).join(ref, ["packet", "subarray_id"])
 
 
 WINDOW = (0.0, 120.0, -100.0, 100.0)
 _LOC = B.FITS + """, ref as (select packet, subarray_id, avg(e) as re, avg(n) as rn, avg(u) as ru from pts group by all),
-  loc as (select packet, subarray_id, angle_deg, ax, ay, 0.0 as az, re, rn, ru from ang join axes using (packet, subarray_id) join ref using (packet, subarray_id) where valid and packet % {part} = 0)"""
-_RINGS = _LOC.format(part=4) + """, ring as (select *, radians(greatest(0.5, least(179.5, greatest(0.5, least(179.5, angle_deg)) + off))) as th, cos(k * 2 * pi() / 60) as cp, sin(k * 2 * pi() / 60) as sp, cast(k as int) as kk, ay as px, -ax as py, 0.0 as pz
+  loc as (select packet, subarray_id, angle_deg, ax, ay, 0.0 as az, re, rn, ru from ang join axes using (packet, subarray_id) join ref using (packet, subarray_id) where valid)"""
+_RINGS = _LOC + """, ring as (select *, radians(greatest(0.5, least(179.5, greatest(0.5, least(179.5, angle_deg)) + off))) as th, cos(k * 2 * pi() / 60) as cp, sin(k * 2 * pi() / 60) as sp, cast(k as int) as kk, ay as px, -ax as py, 0.0 as pz
     from loc, (values ('inner', -5.0), ('nominal', 0.0), ('outer', 5.0)) as v(ring, off), range(60) as g(k)),
   dir as (select *, -(cos(th) * ax + sin(th) * cp * px / sqrt(ax * ax + ay * ay)) as dx, -(cos(th) * ay + sin(th) * cp * py / sqrt(ax * ax + ay * ay)) as dy,
     -(sin(th) * sp * (ax * py - ay * px) / sqrt(ax * ax + ay * ay)) as dz from ring),
@@ -306,7 +306,7 @@ _RINGS = _LOC.format(part=4) + """, ring as (select *, radians(greatest(0.5, lea
 
 @_query("f9_cone_plane_points", f"with {_RINGS} select packet, subarray_id, ring, k, flipped, round(e, 3) as e, round(n, 3) as n from kept where flipped <> straight")
 def _(spark, sf):
-    pts = locate.cone_plane_points(_located(spark, sf, 4), samples=60, max_range=500.0)
+    pts = locate.cone_plane_points(_located(spark, sf), samples=60, max_range=500.0)
     return pts.select("packet", "subarray_id", "ring", "k", "flipped", _r("e", 3).alias("e"), _r("n", 3).alias("n"))
 
 
@@ -318,7 +318,7 @@ def _(spark, sf):
     select packet, subarray_id, n_vertices, round(abs(a), 2) as area from g where rings = 2 and n_vertices >= 3 and abs(a) > 1e-9""",
 )
 def _(spark, sf):
-    pts = locate.cone_plane_points(_located(spark, sf, 4), samples=60, max_range=500.0)
+    pts = locate.cone_plane_points(_located(spark, sf), samples=60, max_range=500.0)
     return locate.band_polygon(pts).select("packet", "subarray_id", "n_vertices", _r("area", 2).alias("area"))
 
 
@@ -331,19 +331,19 @@ def _(spark, sf):
     return locate.qualified_packets(fits, B.subarrays(spark, sf))
 
 
-_CELLS = _LOC.format(part=8) + """, cell as (select ix, iy, (ix + 0.5) * 10.0 as ce, -100.0 + (iy + 0.5) * 10.0 as cn from range(12) as x(ix), range(20) as y(iy)),
+_CELLS = _LOC + """, cell as (select ix, iy, (ix + 0.5) * 10.0 as ce, -100.0 + (iy + 0.5) * 10.0 as cn from range(12) as x(ix), range(20) as y(iy)),
   hit as (select packet, ix, iy, bool_and(abs(degrees(acos(greatest(-1.0, least(1.0, ((re - ce) * ax + (rn - cn) * ay) / sqrt(power(re - ce, 2) + power(rn - cn, 2) + power(ru - 30.0, 2)))))) - angle_deg) <= 5.0) as ok from loc, cell group by all)"""
 
 
 @_query("f12_intersect_bands", f"with {_CELLS} select packet, count(*) as cells, min(ix) as ix_lo, max(iy) as iy_hi from hit where ok group by packet")
 def _(spark, sf):
-    cells = locate.intersect_bands(_located(spark, sf, 8), WINDOW, 10.0)
+    cells = locate.intersect_bands(_located(spark, sf), WINDOW, 10.0)
     return cells.groupBy("packet").agg(F.count("*").alias("cells"), F.min("ix").cast("long").alias("ix_lo"), F.max("iy").cast("long").alias("iy_hi"))
 
 
 @_query("f13_track_centroids", None)
 def _(spark, sf):
-    return locate.locate(_located(spark, sf, 8), WINDOW, 10.0, 2)
+    return locate.locate(_located(spark, sf), WINDOW, 10.0, 2)
 
 
 # reports
@@ -359,12 +359,14 @@ def angle_histogram(spark, sf):
 
 @_query(
     "g2_angle_series",
-    f"""with {B.FITS}, kn as (select subarray_id, packet, angle_off_axis_deg as angle from ang where valid and packet between 0 and 5000),
+    f"""with {B.FITS}, kn as (select subarray_id, packet, angle_off_axis_deg as angle from ang where valid),
     cu as (select *, case when packet - lag(packet) over (partition by subarray_id order by packet) > 1 then 1 else 0 end as b from kn), sg as (select *, sum(b) over (partition by subarray_id order by packet) as segment from cu)
-    select subarray_id, packet, round(angle, 4) as angle, cast(segment as bigint) as segment from (select distinct subarray_id, g.packet from kn, range(5001) as g(packet)) left join sg using (subarray_id, packet)""",
+    select subarray_id, packet, round(angle, 4) as angle, cast(segment as bigint) as segment from (select distinct subarray_id, g.packet from kn, range((select max(packet) + 1 from kn)) as g(packet)) left join sg using (subarray_id, packet)""",
 )
 def _(spark, sf):
-    return reports.angle_series(B.doa_fits(spark, sf), 5000).select("subarray_id", "packet", _r("angle", 4).alias("angle"), "segment")
+    fits = B.doa_fits(spark, sf)
+    last = fits.filter("valid").agg(F.max("packet").alias("m")).first().m
+    return reports.angle_series(fits, last).select("subarray_id", "packet", _r("angle", 4).alias("angle"), "segment")
 
 
 @_query(

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-
 import tempfile
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorline.functions import geo, scalars
@@ -41,12 +39,12 @@ def _(spark, sf):
     return C.select_block_range(b, [2, 3, 4, 5], 130, 770).select("channel", "block_no", (F.col("block_no") * 64).alias("start_sample"))
 
 
-@_query("a9_find_blocks", "select user_id, count(*) as n from events where ts > (select min(ts) from events) + interval 90 second and ts <= (select min(ts) from events) + interval 86500 second and user_id % 3 = 0 group by user_id")
+@_query("a9_find_blocks", "select user_id, count(*) as n from events where ts > (select min(ts) from events) + interval 90 second and ts <= (select min(ts) from events) + interval 86500 second group by user_id")
 def _(spark, sf):
     e = B.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     start = e.agg((F.min("ts") + F.expr("interval 100 seconds")).alias("t0"))
     found = block_files.find_blocks(e.join(F.broadcast(start)), F.col("t0"), 86400.0)
-    return found.filter("user_id % 3 = 0").groupBy("user_id").agg(F.count("*").alias("n"))
+    return found.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @_query("a10_block_inventory", f"with {B.BLK} select 0 as run_id, channel, count(*) as n_blocks, min(block_no * 64) as first_sample, max(block_no * 64) as last_block_sample from blk group by channel")
@@ -207,13 +205,13 @@ def _(spark, sf):
 
 
 def _near_points(spark, sf):
-    o = B.table(spark, sf, "orders").filter("o_orderkey % 8 = 0")
+    o = B.table(spark, sf, "orders")
     return o.select(F.col("o_custkey").alias("cable_id"), F.col("o_orderkey").alias("point_id"), (63.0 + (F.col("o_orderkey") % 613) / 1e5).alias("lat"), (10.0 + (F.col("o_orderkey") % 419) / 1e5).alias("lon"))
 
 
 @_query(
     "e5_nearest_vertex",
-    f"""with {B.LIN}, p as (select o_custkey as cable_id, o_orderkey as point_id, 63.0 + (o_orderkey % 613) / 1e5 as a, 10.0 + (o_orderkey % 419) / 1e5 as o from orders where o_orderkey % 8 = 0),
+    f"""with {B.LIN}, p as (select o_custkey as cable_id, o_orderkey as point_id, 63.0 + (o_orderkey % 613) / 1e5 as a, 10.0 + (o_orderkey % 419) / 1e5 as o from orders),
     m as (select cable_id, point_id, seq, row_number() over (partition by cable_id, point_id order by sqrt(power((lon - o) * 111320 * cos(radians((a + lat) / 2)), 2) + power((lat - a) * 111320, 2)), seq) as r from p join lin using (cable_id))
     select cable_id, point_id, seq from m where r = 1""",
 )
@@ -308,16 +306,16 @@ def _(spark, sf):
     f"""with {B.LIN}, l as (select cable_id, seq, lat * 1000 as x, lon * 1000 as y, alt as z from lin),
     d as (select *, coalesce(x - lag(x) over w, lead(x) over w - x) as dx, coalesce(y - lag(y) over w, lead(y) over w - y) as dy, coalesce(z - lag(z) over w, lead(z) over w - z) as dz from l window w as (partition by cable_id order by seq)),
     m as (select *, sum(dx) over w / 5 as mx, sum(dy) over w / 5 as my, sum(dz) over w / 5 as mz from d window w as (partition by cable_id order by seq rows between 4 preceding and current row)),
-    s as (select o_custkey as cable_id, o_orderkey as source_id, o_orderkey % 90 + 62950.0 as sx, o_orderkey % 70 + 9990.0 as sy, 30.0 as sz from orders where o_orderkey % 16 = 0),
+    s as (select o_custkey as cable_id, o_orderkey as source_id, o_orderkey % 90 + 62950.0 as sx, o_orderkey % 70 + 9990.0 as sy, 30.0 as sz from orders),
     j as (select *, sqrt(power(x - sx, 2) + power(y - sy, 2) + power(z - sz, 2)) as r, sqrt(mx * mx + my * my + mz * mz) as l from s join m using (cable_id) where mx is not null)
-    select cable_id, source_id, seq, round(r, 4) as range_m, case when l > 1e-9 then round(((x - sx) * mx + (y - sy) * my + (z - sz) * mz) / l / r, 6) + 0.0 end as cos_grazing from j""",
+    select cable_id, source_id, count(*) as n, round(min(r), 4) as range_m, round(max(case when l > 1e-9 then ((x - sx) * mx + (y - sy) * my + (z - sz) * mz) / l / r end), 6) + 0.0 as cos_grazing from j group by all""",
 )
 def _(spark, sf):
     line = B.full_lines(spark, sf).select("cable_id", "seq", (F.col("lat") * 1000).alias("x"), (F.col("lon") * 1000).alias("y"), F.col("alt").alias("z"))
     many = line.groupBy("cable_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     k = F.col("o_orderkey")
-    src = B.table(spark, sf, "orders").filter("o_orderkey % 16 = 0").select(F.col("o_custkey").alias("cable_id"), k.alias("source_id"), (k % 90 + 62950.0).alias("x"), (k % 70 + 9990.0).alias("y"), F.lit(30.0).alias("z"))
-    return polyline.range_and_grazing(src, line.join(many, "cable_id", "left_semi")).select("cable_id", "source_id", "seq", _r("range_m", 4).alias("range_m"), (_r("cos_grazing") + 0.0).alias("cos_grazing"))
+    src = B.table(spark, sf, "orders").select(F.col("o_custkey").alias("cable_id"), k.alias("source_id"), (k % 90 + 62950.0).alias("x"), (k % 70 + 9990.0).alias("y"), F.lit(30.0).alias("z"))
+    return polyline.range_and_grazing(src, line.join(many, "cable_id", "left_semi")).groupBy("cable_id", "source_id").agg(F.count("*").alias("n"), _r(F.min("range_m"), 4).alias("range_m"), (_r(F.max(F.when(~F.isnan("cos_grazing"), F.col("cos_grazing")))) + 0.0).alias("cos_grazing"))
 
 
 @_query("e16_bearing_segment", f"with {B.LIN}, s as (select *, seq * 7.0 as b from lin) select cable_id, seq, round(lat - 50 * cos(radians(b)) / 111320, 8) as lat0, round(lon - 50 * sin(radians(b)) / (111320 * cos(radians(lat))), 8) as lon0, round(lat + 50 * cos(radians(b)) / 111320, 8) as lat1, round(lon + 50 * sin(radians(b)) / (111320 * cos(radians(lat))), 8) as lon1 from s")
@@ -332,13 +330,13 @@ def _(spark, sf):
     return polyline.tx_times(runs).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-_RUNS = "runs as (select user_id as run_id, min(ts) as a, min(ts) + interval 5400 second as b from events where user_id % 10 = 0 group by user_id)"
+_RUNS = "runs as (select user_id as run_id, min(ts) as a, min(ts) + interval 5400 second as b from events group by user_id)"
 
 
 @_query("e18_run_window", f"with {_RUNS} select run_id, event_id from events join runs on ts >= a - interval 180 second and ts <= b + interval 180 second")
 def _(spark, sf):
     e = B.table(spark, sf, "events")
-    runs = e.filter("user_id % 10 = 0").groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("start_ts"), (F.min("ts") + F.expr("interval 5400 seconds")).alias("stop_ts"))
+    runs = e.groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("start_ts"), (F.min("ts") + F.expr("interval 5400 seconds")).alias("stop_ts"))
     return polyline.run_window(e.select("event_id", "ts"), runs).select("run_id", "event_id")
 
 
@@ -594,12 +592,12 @@ def _(spark, sf):
     return out.select("bin_no", "angle", "n", _r("mean", 5).alias("mean"), *[_r(c).alias(c) for c in ("std", "median", "q1")])
 
 
-_KERNEL = "p as (select o_custkey * 1.0 as xp, case when o_orderkey % 9 <> 0 then o_totalprice / 997 end as fp from orders), q as (select event_id as qid, value / 3 as x from events where event_id % 5 = 0)"
+_KERNEL = "p as (select o_custkey * 1.0 as xp, case when o_orderkey % 9 <> 0 then o_totalprice / 997 end as fp from orders), q as (select event_id as qid, value / 3 as x from events)"
 
 
 def _kernel(spark, sf):
     p = B.table(spark, sf, "orders").select((F.col("o_custkey") * 1.0).alias("xp"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") / 997).alias("fp"))
-    return B.table(spark, sf, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("qid"), (F.col("value") / 3).alias("x")), p
+    return B.table(spark, sf, "events").select(F.col("event_id").alias("qid"), (F.col("value") / 3).alias("x")), p
 
 
 @_query("i6_kernel_mean", f"with {_KERNEL}, m as (select qid, avg(coalesce(fp, 0)) as m from q join p on abs(x - xp) < 2 group by qid) select qid, round(x, 6) as x, round(m, 6) as mean from q left join m using (qid)")
