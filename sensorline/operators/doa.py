@@ -85,6 +85,12 @@ def theil_sen_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return off.select(*keys, "slope", median(F.col("off")).alias("intercept"), F.size("p").cast("long").alias("n"))
 
 
+def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Points dealt by their keys over all shuffle partitions: the rows are few
+    bytes but much work, which size-based merging of partitions does not see."""
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
     """slope, intercept, n of seeded RANSAC: samples of 3, inliers within the median
     absolute deviation of t, least squares over the best set. The seed of a
@@ -111,7 +117,7 @@ def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEY
         return out
 
     kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    return points.groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, intercept double, n long")
+    return _dealt(points, keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, intercept double, n long")
 
 
 def trimmed_fit(points: DataFrame, first_m: float = 10.0, second_m: float = 5.0, speed: float = SPEED, keys: tuple[str, ...] = KEYS, fit=ols_fit) -> DataFrame:
@@ -238,4 +244,4 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int = 5, speed: float =
         return out
 
     kinds = ", ".join(f"{x} {points.schema[x].dataType.simpleString()}" for x in keys)
-    return points.groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, n_lines long, n long")
+    return _dealt(points, keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, n_lines long, n long")
