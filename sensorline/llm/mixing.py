@@ -137,7 +137,7 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[k][n] / a[k][k] for k in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: list[float], max_steps: int = MAX_STEPS) -> tuple[Column, list[float], int]:
+def fit_rates(members: DataFrame, targets: list[float | None], max_steps: int = MAX_STEPS) -> tuple[Column, list[float], int]:
     """Rates of the rows of ``members`` (tokens, p: array of posteriors).
 
     Minimises the squared distance of the expected domain totals from the
@@ -148,10 +148,12 @@ def fit_rates(members: DataFrame, targets: list[float], max_steps: int = MAX_STE
     the next step takes those out. If a step does not come nearer, G is taken
     over all rows, for which steps of length 1 always descend. Gives the column
     of rates, the totals reached and the number of steps. Rows with no tokens
-    keep rate 1.
+    keep rate 1; domains whose target is None take no part in the distance.
     """
-    n = len(targets)
-    p = lambda k: F.get("p", F.lit(k))
+    bound = [k for k, b in enumerate(targets) if b is not None]
+    n = len(bound)
+    p = lambda k: F.get("p", F.lit(bound[k]))
+    targets = [targets[k] for k in bound]
     t = F.col("tokens").cast("double")
     rate, reached = F.lit(1.0), [0.0] * n
     whole, last, careful = None, math.inf, False
@@ -177,11 +179,16 @@ def fit_rates(members: DataFrame, targets: list[float], max_steps: int = MAX_STE
     return F.when(t > 0, rate).otherwise(F.lit(1.0)), reached, step
 
 
-def token_targets(totals: list[float], shares: list[float]) -> list[float]:
-    """Totals with the wanted shares, as large as the corpus allows without a
-    repeat. Domains without tokens or without a share do not bind."""
-    least = min((a / s for a, s in zip(totals, shares) if s > 0 and a > 0), default=0.0)
-    return [least * s for s in shares]
+def token_targets(totals: list[float], shares: list[float]) -> list[float | None]:
+    """Totals with the wanted shares that leave the domain of the largest share
+    as large as it is. Domains that have no more than their share by then are
+    reached: their target is None, so they keep what they have."""
+    held = [k for k, a in enumerate(totals) if a > 0 and shares[k] > 0]
+    if not held:
+        return [None] * len(totals)
+    main = max(held, key=lambda k: shares[k])
+    whole = totals[main] / shares[main]
+    return [a if k == main else s * whole if a > s * whole else None for k, (a, s) in enumerate(zip(totals, shares))]
 
 
 def domain_members(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -198,8 +205,9 @@ def member(classifier: Classifier) -> Column:
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS, domains=DOMAINS) -> tuple[Column, Classifier, DataFrame]:
     """Fit everything: rates as a column over (tokens, p), the classifier, and the written members.
 
-    Targets are shares, so the fitted rates are scaled at the end to a largest
-    rate of 1: no document has to come twice.
+    The domain of the largest share keeps its tokens and sets the targets of
+    the others. Where documents of several domains go, those left make up for
+    their part of it by rates a little above 1.
     """
     classifier = fit_classifier(docs, labels, domains)
     members = stage_table(domain_members(docs, classifier), "mix-members")
@@ -207,8 +215,7 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS,
     row = members.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(n)]).first()
     wanted = token_targets([row[f"s{k}"] or 0.0 for k in range(n)], [shares[d] for d, _ in domains])
     rate, _, _ = fit_rates(members, wanted)
-    most = members.agg(F.max(rate).alias("most")).first().most
-    return (rate / most if most and most > 0 else rate), classifier, members
+    return rate, classifier, members
 
 
 def _copies(rate: Column, key: Column) -> Column:

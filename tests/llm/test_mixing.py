@@ -45,3 +45,19 @@ def test_odd_rows(spark):
     assert len(got) == 4 and all(r.rate >= 0 for r in got) and [r.n_tokens for r in got] == [3, 3, 0, 0]
     assert mixing.resample(docs, labels).columns == docs.columns
     assert mixing.document_rates(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_scarce_domains_leave_clean_documents(spark):
+    schema = "doc_id long, text string"
+    for junk in (1, 0):
+        texts = ["plain words of a clean page"] * 865 + ["nasty words of a foul page"] * 134 + ["### $$$ %%% @@@ junk"] * junk
+        docs = spark.createDataFrame(list(enumerate(texts)), schema)
+        labels = spark.createDataFrame([(k, int(k < 999), int(865 <= k < 999)) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+        got = {r.doc_id: r for r in mixing.document_rates(docs, labels).collect()}
+        assert all(got[k].copies >= 1 for k in range(865)) and all(r.rate < 1.2 for r in got.values())
+        assert sum(got[k].copies for k in range(865, 999)) < 40 and all(got[k].copies >= 1 for k in range(999, len(texts)))
+
+
+def test_domains_below_their_share_are_reached():
+    assert mixing.token_targets([865.0, 134.0, 1.0], [0.97, 0.02, 0.01]) == [865.0, pytest.approx(865 * 0.02 / 0.97), None]
+    assert mixing.token_targets([0.0, 0.0, 0.0], [0.97, 0.02, 0.01]) == [None] * 3
