@@ -4,8 +4,13 @@ Markup is stripped into lines, one per block element. Every line has a length:
 its characters, or 0 if it stands in navigation, notices, adverts, forms or
 other parts that markup names as no article, if it lies outside the article
 where the page marks one, or if it is mostly links. The sums of the lengths
-over sliding windows of lines surge where the article begins, at a
-line that bears its part of the sum, and dive to 0 where it ends; the lines of length over 0 between surges and dives are kept.
+over sliding windows of lines surge where the article begins and dive to 0
+where it ends; the lines of length over 0 between surges and dives are kept.
+
+A surge begins at a line that bears its part of the sum, with the lines right
+above it and a main heading within the window. Lines that markup rules out do
+not part an article: windows pass over them. After the first surge a third of
+its sum is enough for a later one.
 """
 
 from __future__ import annotations
@@ -69,10 +74,11 @@ def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
+def page_lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
     """Lines of a page: text, whether markup rules it out, whether it lies in an
-    element that marks the article, characters of link text."""
-    lines: list[tuple[str, bool, bool, int]] = []
+    element that marks the article, characters of link text, whether it is a
+    main heading."""
+    lines: list[tuple[str, bool, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, noise, in article
     opened: dict[str, int] = {}
     noise = inside = False
@@ -83,7 +89,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, noise, inside, linked))
+                lines.append((text, noise, inside, linked, bool(opened.get("h1") or opened.get("h2"))))
             parts, linked = [], 0
 
     def pop() -> str:
@@ -144,16 +150,27 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int]]:
 
 def main_text(page: str | None) -> str:
     """Article text of a page, its blocks joined by one space; empty if there is none."""
-    lines = page_lines(page or "")
-    marked = any(inside and not noise for _, noise, inside, _ in lines)
-    size = [0 if noise or marked and not inside or not marked and 2 * linked > len(text) else len(text) for text, noise, inside, linked in lines]
+    lines = [line for line in page_lines(page or "") if not line[1]]
+    if any(inside for _, _, inside, _, _ in lines):
+        return " ".join(text for text, _, inside, _, _ in lines if inside)
+    size = [0 if 2 * linked > len(text) else len(text) for text, _, _, linked, _ in lines]
+    heads = [head for *_, head in lines]
     total = [sum(size[k : k + WINDOW]) for k in range(len(size))]
-    least = 1 if marked else min(SURGE, max(total, default=0))
-    kept, on = [], False
-    for (text, *_), own, window in zip(lines, size, total):
-        on = window > 0 if on else own * WINDOW >= least and window >= least
-        if on and own:
-            kept.append(text)
+    least = max(1, min(SURGE, max(total, default=0)))
+    kept, at, end = [], 0, 0  # the next window, the end of the last surge
+    while at < len(size):
+        if total[at] < least:
+            at += 1
+            continue
+        begin = next(k for k in range(at, at + WINDOW) if size[k] * WINDOW >= least)
+        begin = min([begin, *(k for k in range(max(end, begin - WINDOW + 1), begin) if heads[k] and size[k])])
+        while begin > end and size[begin - 1]:
+            begin -= 1
+        end = max(begin, at)
+        while end < len(size) and total[end]:
+            end += 1
+        kept += [lines[k][0] for k in range(begin, end) if size[k]]
+        at, least = end, min(least, max(1, -(-SURGE // WINDOW)))
     return " ".join(kept)
 
 

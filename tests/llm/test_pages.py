@@ -32,6 +32,18 @@ def test_surge_and_dive_without_an_article_element():
     assert main_text(page) == f"{PROSE.strip()} Short. {PROSE.strip()}"
 
 
+def test_unmarked_pages_lose_nothing_else():
+    line = lambda n: ("word " * n)[:n].strip()
+    page = lambda *parts: "<body>" + "".join(f"<div>{x}</div>" if "<" not in x else x for x in parts)
+    links, advert = "<div><a href=a>other stories</a></div>", "<div class=advert>Buy this now</div>"
+    assert main_text(page("Head", line(40))) == f"Head {line(40)}"
+    assert main_text(page("Head", "By A. Writer", line(20), line(14), line(200))) == f"Head By A. Writer {line(20)} {line(14)} {line(200)}"
+    assert main_text(page("<h1>Head</h1>", links, line(200))) == f"Head {line(200)}"
+    assert main_text(page(line(200), advert, advert, advert, line(40))) == f"{line(200)} {line(40)}"
+    assert main_text(page(line(200), links, links, links, line(40), "End.")) == f"{line(200)} {line(40)} End."
+    assert main_text(page(line(200), links, links, links, "(c)")) == line(200)
+
+
 def test_broken_and_odd_pages(spark):
     assert main_text(None) == main_text("") == main_text("<script>x") == ""
     assert main_text("<p>a &lt;b&gt; &#x41;&nbsp;c") == "a <b> A c"
