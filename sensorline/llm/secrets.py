@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorline.llm.common import fresh_name, let, stage_table, text_or_empty
 
-#: Code points between the starts of parts that belong together.
+#: Code points between the end of one part and the start of the other that belong together.
 SCOPE = 300
 
 
@@ -37,7 +37,8 @@ BASE = {
 WEAK = {
     "account": ("id", _names("user_?name", "user", "login", "client_?id", "access_?key_?id", "account") + _TO + r"([A-Za-z0-9._@-]+)", 2, 3),
     "key": ("secret", _names("secret_?access_?key", "private_?key", "access_?key", "pass", "pwd", "pass_?phrase", "credentials?", "auth") + _TO + f"({_VALUE}+)", 2, 8),
-    "bare": ("secret", r"\b[A-Za-z0-9/+]{40,64}\b", 0, 40),
+    # A whole run from its start, or in an address 20 characters without a dot and what follows them; no dot at the end.
+    "bare": ("secret", r"(?:(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+_-][A-Za-z0-9+/_.-]{18}|[A-Za-z0-9+/_-]{20})[A-Za-z0-9+/_.=-]*(?<!\.)", 0, 20),
     "endpoint": ("endpoint", r"\b(?:https?|ftp|s3|redis|amqp|mongodb|mysql|postgres|postgresql)://[A-Za-z0-9._~%@:/?&=+-]+", 0, 10),
 }
 _PART = {"assign": "secret", "hex": "secret", "access": "id", **{k: v[0] for k, v in WEAK.items()}}
@@ -74,14 +75,29 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    """Weak candidates of a text, by start and then kind."""
-    bare = KINDS.index("bare")
+    """Weak candidates of a text, by start and then kind.
 
-    def mixed(s):  # a bare run needs digits and letters of either case
+    A bare run needs digits and letters of either case. Within an account name
+    or an address, where it would be its own company, it also needs 40 letters,
+    digits, slashes or plus signs without a break.
+    """
+    found = {k: find_spans(text, k, *v[1:]) for k, v in WEAK.items()}
+    other = F.concat(*[v for k, v in found.items() if k != "bare"])
+
+    def mixed(s):
         run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        return (s["kind"] != bare) | (run.rlike("[0-9]") & run.rlike("[a-z]") & run.rlike("[A-Z]"))
+        return run.rlike("[0-9]") & run.rlike("[a-z]") & run.rlike("[A-Z]")
+
+    def long(s):
+        return F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike("[A-Za-z0-9/+]{40}")
+
+    def judged(spans):
+        hosts = F.filter(spans, lambda x: F.get(parts, x["kind"]) != "secret")
+        return let(hosts, lambda h: F.filter(bare, lambda s: long(s) | ~F.exists(h, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))
 
-    return F.array_sort(F.filter(F.concat(*[find_spans(text, k, *v[1:]) for k, v in WEAK.items()]), mixed))
+    parts = F.array(*[F.lit(_PART[k]) for k in KINDS])
+    bare = F.filter(found["bare"], mixed)
+    return let(other, lambda o: F.array_sort(F.concat(o, judged(o))))
 
 
 def spans_text(spans: Column) -> Column:
@@ -95,20 +111,23 @@ def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     ``found`` has content (digest of a text), base and weak spans. A weak secret
     needs an id or an endpoint within ``scope`` code points, an id needs a
-    secret, an endpoint needs both. The interval join meets in cells of
-    ``scope`` code points: for a cell beside the candidate's own, the nearest
-    start on that side decides, so a cell is one row per part however many
+    secret, an endpoint needs both. The distance runs from the end of one to the
+    start of the other. The interval join meets in cells of ``scope`` code
+    points: a finding stands in all cells that it touches, a candidate looks at
+    all that its reach touches. In the first of these the furthest end decides,
+    in the last the nearest start, so a cell is one row per part however many
     findings it holds.
     """
     texts = found.filter(F.size("weak") > 0).dropDuplicates(["content"])
     parts_of = F.array(*[F.lit(_PART[k]) for k in KINDS])
-    parts = texts.select("content", F.explode(F.concat("base", "weak")).alias("s")).select("content", "s", F.get(parts_of, F.col("s.kind")).alias("part"), F.floor(F.col("s.start") / scope).alias("cell"))
-    cells = parts.groupBy("content", "cell", "part").agg(F.min("s.start").alias("low"), F.max("s.start").alias("high"))
-    weak = parts.filter(F.col("s.kind") >= len(BASE)).drop("cell").withColumn("cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("s.start") / scope) + d)))
+    parts = texts.select("content", F.explode(F.concat("base", "weak")).alias("s")).select("content", "s", F.get(parts_of, F.col("s.kind")).alias("part"))
+    touched = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
+    cells = parts.withColumn("cell", touched(F.col("s.start"), F.col("s.end"))).groupBy("content", "cell", "part").agg(F.min("s.start").alias("low"), F.max("s.end").alias("high"))
+    weak = parts.filter(F.col("s.kind") >= len(BASE)).withColumn("cell", touched(F.col("s.start") - scope, F.col("s.end") + scope))
     near = (
         weak.alias("w")
         .join(cells.alias("c"), ["content", "cell"])
-        .filter((F.col("w.part") != F.col("c.part")) & (F.col("c.high") >= F.col("s.start") - scope) & (F.col("c.low") <= F.col("s.start") + scope))
+        .filter((F.col("w.part") != F.col("c.part")) & (F.col("c.high") >= F.col("s.start") - scope) & (F.col("c.low") <= F.col("s.end") + scope))
         .groupBy("content", "s", F.col("w.part").alias("own"))
         .agg(*[F.max(F.col("c.part") == p).alias(p) for p in ("id", "secret", "endpoint")])
     )

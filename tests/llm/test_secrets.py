@@ -56,3 +56,22 @@ def test_redaction_and_columns(spark):
     out = secrets.redact(df).orderBy("doc_id").collect()
     assert [tuple(r) for r in out] == [(1, "é [assign] end", 5), (2, None, 6), (3, "clean", 7)]
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.report(df.limit(0)).count() == 0
+
+
+def test_whole_keys_of_any_length(spark):
+    storage = ("Eby8vdM02xNOcqFlqUwJPLlmEtlCDXJ1OUzFT50uSRZ6IFsuFq2UVErCz4I6tq/K1SZFPTOtr/KBHBeksoGMGw") + "=="
+    keys = [storage, "Zx9" * 100, "aB3dE5fG7hJ9kL1mN3pQ", "sk-aB3_dE5fG7hJ9-kL1mN3pQ5rS7", "aB3.dE5/fG7hJ9kL1mN3.pQ5rS7tU9"]
+    texts = [f"login: bob then {k}. End" for k in keys]
+    texts += [f"{k} alone" for k in keys]
+    texts += ["see https://example.com/Some/Page9/with_a-long-name", "login: JohnSmith1234567890abcdef", "login: bob" + "." * 20000 + "a" + "." * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [got[k] for k in range(5)] == ["[account] then [bare]. End"] * 5
+    assert [got[k] for k in range(5, len(texts))] == texts[5:]
+
+
+def test_scope_runs_from_end_to_start(spark):
+    key, address = "pass: hunter22x", "https://example.com/" + "x" * 700
+    texts = [f"{address} {key}", f"{key} {address}", f"{address}{' ' * 299} {key}", f"{address}{' ' * 300} {key}", f"{key}{' ' * 301}{address}", f"{key}{' ' * 300}{address}"]
+    got = {r.doc_id: "key" in r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True}
