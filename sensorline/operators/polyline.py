@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorline.functions.geo import distance_equirect, to_cartesian, to_gps
 from sensorline.functions.scalars import wrap
-from sensorline.operators.joins import bracketing, lerp, point_interval_join
+from sensorline.operators.joins import bracketing, bracketing_bucketed, lerp, point_interval_join
 
 #: A polyline is (cable_id, seq, lat, lon, alt).
 _BEFORE = (W.unboundedPreceding, 0)
@@ -196,11 +196,11 @@ def interp_segment_angles(segs: DataFrame, channels: DataFrame) -> DataFrame:
     """Angle per channel, linear between centres of successful segments, ends clamped.
 
     The first angle that is not null of theta_deg_continuous, theta_deg_norm
-    and theta_deg counts, wrapped to [-180, 180).
+    and theta_deg counts, wrapped to [-180, 180). Swept in cells of 1000 channels.
     """
     angle = wrap(F.coalesce("theta_deg_continuous", "theta_deg_norm", "theta_deg"), 360.0)
     knots = segs.filter("success").select(((F.col("receiver_min") + F.col("receiver_max")) / 2.0).alias("x"), angle.alias("theta")).filter("theta is not null")
-    met = bracketing(channels.select(F.col("channel").cast("double").alias("x"), "channel"), knots, "x", ["theta"])
+    met = bracketing_bucketed(channels.select(F.col("channel").cast("double").alias("x"), "channel"), knots, "x", ["theta"], 1000.0)
     made = F.coalesce(lerp(F.col("x"), F.col("at_lo"), F.col("at_hi"), F.col("theta_lo"), F.col("theta_hi")), F.col("theta_lo"), F.col("theta_hi"))
     return met.select("channel", made.alias("theta"))
 

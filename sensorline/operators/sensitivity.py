@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorline.functions.scalars import hann_kernel, rectangular_kernel
-from sensorline.operators.joins import bracketing, lerp, point_interval_join, within_join
+from sensorline.operators.joins import bracketing_bucketed, lerp, point_interval_join, within_join
 
 
-def lookup_interp(queries: DataFrame, table: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Linear look-up of ``y`` at ``x``, clamped at both ends of the table."""
-    met = bracketing(queries, table.select(x, y), x, [y])
+def lookup_interp(queries: DataFrame, table: DataFrame, x: str = "x", y: str = "y", width: float = 1000.0) -> DataFrame:
+    """Linear look-up of ``y`` at ``x``, clamped at both ends of the table. Swept in cells of ``width``."""
+    met = bracketing_bucketed(queries, table.select(x, y), x, [y], width)
     made = F.coalesce(lerp(F.col(x), F.col("at_lo"), F.col("at_hi"), F.col(f"{y}_lo"), F.col(f"{y}_hi")), F.col(f"{y}_lo"), F.col(f"{y}_hi"))
     return met.select(*queries.columns, made.alias(y))
 

@@ -128,11 +128,21 @@ def write_decoded(decoded: DataFrame, path: str) -> None:
     decoded.select(reception_key(F.col("channel"), F.col("packet")).alias("key"), *[c for c in decoded.columns if c not in ("channel", "packet")]).write.mode("overwrite").csv(path, header=True)
 
 
-def export_features(points: DataFrame, kind: str, every: int = 1, order: str = "packet", label: Column | None = None) -> DataFrame:
+def export_features(points: DataFrame, kind: str, every: int = 1, order: str = "packet", label: Column | None = None, width: float = 1000.0) -> DataFrame:
     """json: a point feature of every ``every``-th row of (lat, lon, ...) in order,
-    with ``kind`` and a label. Lines go by ``polyline_features``."""
-    from pyspark.sql import Window as W
+    with ``kind`` and a label. Lines go by ``polyline_features``.
 
-    placed = points.withColumn("__i", F.row_number().over(W.partitionBy(F.lit(kind)).orderBy(order)) - 1).filter(F.col("__i") % every == 0)
+    Rows are numbered in blocks of ``width`` of a numeric ``order``, from the
+    number of rows in earlier blocks; any other order is one block."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import types as T
+
+    numeric = isinstance(points.schema[order].dataType, T.NumericType)
+    block = F.coalesce(F.floor(F.col(order) / width).cast("double"), F.lit(float("-inf"))) if numeric else F.lit(0.0)
+    held = points.withColumn("__b", block)
+    counts = held.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = counts.select("__b", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    numbered = held.withColumn("__i", F.row_number().over(W.partitionBy("__b").orderBy(order)) - 1).join(before, "__b", "left")
+    placed = numbered.filter((F.col("__i") + F.coalesce("__o", F.lit(0))) % every == 0)
     tag = F.col(order).cast("string") if label is None else label
     return placed.select(order, F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("kind"), tag.alias("label")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"))).alias("json"))

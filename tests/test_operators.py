@@ -221,3 +221,22 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.channel, r.sample_idx): r.integral for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     batch = conditioning.integrate(whole.withColumn("value", scalars.despike(F.col("value"), 45.0)), 0.5)
     assert got == pytest.approx({(r.channel, r.sample_idx): r.integral for r in batch.collect()})
+
+
+def test_long_series_are_spread_over_tasks(spark):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+        xs = spark.range(0, 20000, 10).select(F.col("id").alias("k"), F.col("id").cast("double").alias("x"))
+        knots = spark.createDataFrame([(100.0, 1.0), (18100.0, 181.0)], "x double, y double")
+        met = sensitivity.lookup_interp(xs, knots)
+        assert all(r.y == pytest.approx(min(max(r.x, 100.0), 18100.0) / 100) for r in met.collect()) and met.count() == 2000 and parts(met) > 1
+        segs = spark.createDataFrame([(True, 0, 200, 1.0), (True, 18000, 18200, 91.0)], "success boolean, receiver_min int, receiver_max int, theta_deg double").selectExpr("*", "cast(null as double) as theta_deg_norm", "cast(null as double) as theta_deg_continuous")
+        angles = polyline.interp_segment_angles(segs, spark.range(20000).select(F.col("id").alias("channel")))
+        assert all(r.theta == pytest.approx(1 + 90 * (min(max(r.channel, 100), 18100) - 100) / 18000) for r in angles.collect()) and parts(angles) > 1
+        points = spark.range(1, 10001).selectExpr("id * 7 as packet", "id as lat", "id as lon")
+        made = tables.export_features(points, "tx", 3)
+        assert sorted(r.packet for r in made.collect()) == list(range(7, 70001, 21)) and parts(made) > 1
+    finally:
+        spark.conf.unset(setting)
