@@ -27,6 +27,13 @@ def principal_axis_2d(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFr
     return g.select(*keys, (sign * ax).alias("ax"), (sign * ay).alias("ay"))
 
 
+@F.pandas_udf("array<double>")
+def _leading(ee: pd.Series, en: pd.Series, eu: pd.Series, nn: pd.Series, nu: pd.Series, uu: pd.Series) -> pd.Series:
+    """Eigenvectors of the largest eigenvalues of a batch of covariances."""
+    m = np.stack([np.stack(r, -1) for r in ((ee, en, eu), (en, nn, nu), (eu, nu, uu))], -2)
+    return pd.Series(list(np.linalg.eigh(m)[1][:, :, 2]))
+
+
 def principal_axis(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Unit axis (ax, ay, az) of the points (e, n, u) of each group.
 
@@ -40,26 +47,121 @@ def principal_axis(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame
         F.min_by(F.struct(*axes), "channel").alias("a"), F.max_by(F.struct(*axes), "channel").alias("b"),
     )
 
-    @F.pandas_udf("array<double>")
-    def leading(ee: pd.Series, en: pd.Series, eu: pd.Series, nn: pd.Series, nu: pd.Series, uu: pd.Series) -> pd.Series:
-        m = np.stack([np.stack(r, -1) for r in ((ee, en, eu), (en, nn, nu), (eu, nu, uu))], -2)
-        return pd.Series(list(np.linalg.eigh(m)[1][:, :, 2]))
-
-    v = g.withColumn("v", leading(*[F.col(f"c{a}{b}") for a, b in pairs]))
+    v = g.withColumn("v", _leading(*[F.col(f"c{a}{b}") for a, b in pairs]))
     dot = sum(((F.col(f"b.{c}") - F.col(f"a.{c}")) * F.get("v", F.lit(k)) for k, c in enumerate(axes)), F.lit(0.0))
     sign = F.when(dot < 0, -1.0).otherwise(1.0)
     return v.select(*keys, *[(sign * F.get("v", F.lit(k))).alias(f"a{c}") for k, c in enumerate("xyz")])
 
 
-def along_array(points: DataFrame, axes: DataFrame, coords: tuple[str, ...] = ("e", "n", "u"), from_first: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Add ``s``: place along the axis, from the first channel (or the least place)."""
+def packet_lines(points: DataFrame, coords: tuple[str, ...] = ("e", "n", "u"), from_first: bool = True, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One row per group: axis ax, ay (az for three ``coords``), mean place re, rn,
+    ru and ``line``, its (channel, s, t) in order of channels. ``s`` is the place
+    along the axis from the first channel (or from the least place).
+
+    ``points`` has the keys, channel, t and e, n, u. A group is the channels of a
+    subarray, some dozens; all of it comes from one aggregation.
+    """
+    held = points.select(*keys, "channel", "t", "e", "n", "u")
+    pairs = [(a, b) for i, a in enumerate(coords) for b in coords[i:]]
+    g = held.groupBy(*keys).agg(
+        *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs],
+        *[F.avg(c).alias(f"r{c}") for c in ("e", "n", "u")],
+        F.array_sort(F.collect_list(F.struct("channel", "t", *coords))).alias("p"),
+    )
+    if len(coords) == 2:
+        turn = 0.5 * F.atan2(2 * F.col("cen"), F.col("cee") - F.col("cnn"))
+        raw = [F.cos(turn), F.sin(turn)]
+    else:
+        g = g.withColumn("v", _leading(*[F.col(f"c{a}{b}") for a, b in pairs]))
+        raw = [F.get("v", F.lit(k)) for k in range(3)]
+    ends = F.element_at("p", -1), F.element_at("p", 1)
+    dot = sum(((ends[0][c] - ends[1][c]) * v for c, v in zip(coords[1:], raw[1:])), (ends[0][coords[0]] - ends[1][coords[0]]) * raw[0])
     names = ("ax", "ay", "az")[: len(coords)]
-    held = points.join(axes, list(keys))
-    p = sum((F.col(c) * F.col(a) for c, a in zip(coords[1:], names[1:])), F.col(coords[0]) * F.col("ax"))
-    w = W.partitionBy(*keys)
-    held = held.withColumn("__p", p)
-    start = F.min_by("__p", "channel").over(w) if from_first else F.min("__p").over(w)
-    return held.withColumn("s", F.col("__p") - start).drop("__p", *names)
+    g = g.withColumn("sign", F.when(dot < 0, -1.0).otherwise(1.0))
+    g = g.withColumns({a: F.col("sign") * v for a, v in zip(names, raw)})
+
+    def place(x: Column) -> Column:
+        return sum((x[c] * F.col(a) for c, a in zip(coords[1:], names[1:])), x[coords[0]] * F.col("ax"))
+
+    g = g.withColumn("at", F.transform("p", place))
+    start = F.get("at", F.lit(0)) if from_first else F.array_min("at")
+    g = g.withColumn("start", start)
+    line = F.zip_with("p", "at", lambda x, at: F.struct(x["channel"].alias("channel"), (at - F.col("start")).alias("s"), x["t"].alias("t")))
+    return g.select(*keys, *names, "re", "rn", "ru", line.alias("line"))
+
+
+def line_points(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Rows keys, channel, s, t of ``packet_lines``."""
+    return lines.select(*keys, F.explode("line").alias("x")).select(*keys, "x.*")
+
+
+def gather_line(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Points (keys, channel, s, t) as one row per group with ``line``, in order of channels."""
+    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("channel", "s", "t"))).alias("line"))
+
+
+def _let(value: Column, body) -> Column:
+    """Work ``value`` out once and use it in ``body`` any number of times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ols_line(line: Column) -> Column:
+    """slope and intercept of the least-squares line through an array of (s, t);
+    null where all s are equal."""
+    mean = lambda f: F.try_divide(F.aggregate(line, F.lit(0.0), lambda a, p: a + p[f]), F.size(line))
+
+    def fitted(m: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("ss"), F.lit(0.0).alias("st"))
+        step = lambda a, p: F.struct((a["ss"] + (p["s"] - m["s"]) * (p["s"] - m["s"])).alias("ss"), (a["st"] + (p["s"] - m["s"]) * (p["t"] - m["t"])).alias("st"))
+        slope = _let(F.aggregate(line, start, step), lambda v: F.when(v["ss"] > 0, v["st"] / v["ss"]))
+        return _let(slope, lambda b: F.struct(b.alias("slope"), (m["t"] - b * m["s"]).alias("intercept")))
+
+    return _let(F.struct(mean("s").alias("s"), mean("t").alias("t")), fitted)
+
+
+def _median(values: Column) -> Column:
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+    return _let(F.sort_array(values), middle)
+
+
+def theil_sen_line(line: Column) -> Column:
+    """Median of the slopes of all pairs of an array of (s, t), and the median of t - slope * s."""
+    slopes = F.flatten(F.transform(line, lambda a: F.transform(F.filter(line, lambda b: b["s"] > a["s"]), lambda b: (b["t"] - a["t"]) / (b["s"] - a["s"]))))
+    return _let(_median(slopes), lambda k: F.struct(k.alias("slope"), _median(F.transform(line, lambda p: p["t"] - k * p["s"])).alias("intercept")))
+
+
+def ransac_line(line: Column, key: Column, trials: int = 200, seed: int = 0) -> Column:
+    """slope and intercept of seeded RANSAC over an array of (s, t): samples of 3,
+    inliers within the median absolute deviation of t, least squares over the
+    best set. The draws follow from ``key``, so partitions do not matter."""
+
+    @F.pandas_udf("struct<slope double, intercept double>")
+    def fit(s_all: pd.Series, t_all: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        out = np.full((len(keys), 2), np.nan)
+        for k, (s, t, key_) in enumerate(zip(s_all, t_all, keys)):
+            s, t = np.asarray(s, float), np.asarray(t, float)
+            if len(s) < 3:
+                continue
+            rng = np.random.default_rng([seed, int(key_) & (1 << 63) - 1])
+            limit = np.median(np.abs(t - np.median(t)))
+            pick = rng.random((trials, len(s))).argsort(1)[:, :3]  # all samples at once
+            ds, dt = s[pick] - s[pick].mean(1, keepdims=True), t[pick] - t[pick].mean(1, keepdims=True)
+            across = (ds * ds).sum(1)
+            slope = np.divide((ds * dt).sum(1), across, out=np.full(trials, np.nan), where=across > 0)
+            off = t[pick].mean(1) - slope * s[pick].mean(1)
+            inside = np.abs(t - slope[:, None] * s - off[:, None]) <= limit
+            best = inside[inside.sum(1).argmax()]
+            best = best if best.any() else np.ones(len(s), bool)
+            x, y = s[best] - s[best].mean(), t[best] - t[best].mean()
+            if x @ x > 0:
+                a = (x @ y) / (x @ x)
+                out[k] = a, t[best].mean() - a * s[best].mean()
+        return pd.DataFrame(out, columns=["slope", "intercept"])
+
+    return fit(F.transform(line, lambda p: p["s"]), F.transform(line, lambda p: p["t"]), key)
 
 
 def ols_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -67,22 +169,18 @@ def ols_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return points.groupBy(*keys).agg(F.regr_slope("t", "s").alias("slope"), F.regr_intercept("t", "s").alias("intercept"), F.count("*").alias("n"))
 
 
+def _fit_rows(points: DataFrame, keys: tuple[str, ...], model) -> DataFrame:
+    held = gather_line(points, keys).withColumn("m", model(F.col("line")))
+    return held.select(*keys, "m.slope", "m.intercept", F.size("line").cast("long").alias("n"))
+
+
 def theil_sen_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """slope (median of the slopes of all pairs) and intercept (median of t - slope * s).
 
-    Pairs are formed within a packet and subarray, a few dozen channels.
+    Pairs are formed within a packet and subarray, a few dozen channels; groups
+    without a pair of different s give no row.
     """
-    rows = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "t"))).alias("p"))
-    slopes = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: b["s"] > a["s"]), lambda b: (b["t"] - a["t"]) / (b["s"] - a["s"]))))
-
-    def median(values: Column) -> Column:
-        v = F.sort_array(values)
-        n = F.size(v)
-        return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
-
-    sloped = rows.withColumn("slopes", F.sort_array(slopes)).withColumn("slope", median(F.col("slopes"))).filter("slope is not null")
-    off = sloped.withColumn("off", F.sort_array(F.transform("p", lambda a: a["t"] - F.col("slope") * a["s"])))
-    return off.select(*keys, "slope", median(F.col("off")).alias("intercept"), F.size("p").cast("long").alias("n"))
+    return _fit_rows(points, keys, theil_sen_line).filter("slope is not null")
 
 
 def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -92,60 +190,50 @@ def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
-    """slope, intercept, n of seeded RANSAC: samples of 3, inliers within the median
-    absolute deviation of t, least squares over the best set. The seed of a
-    group follows from its keys, so results do not depend on partitions."""
+    """slope, intercept, n of ``ransac_line``; NaN for groups of fewer than 3 points."""
+    return _fit_rows(points, keys, lambda line: ransac_line(line, F.xxhash64(*keys), trials, seed))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("channel")
-        s, t = rows["s"].to_numpy(float), rows["t"].to_numpy(float)
-        out = rows[list(keys)].head(1).assign(slope=np.nan, intercept=np.nan, n=len(rows))
-        if len(s) < 3:
-            return out
-        rng = np.random.default_rng([seed, *[abs(int(v)) for v in out.iloc[0][list(keys)]]])
-        limit = np.median(np.abs(t - np.median(t)))
-        pick = rng.random((trials, len(s))).argsort(1)[:, :3]  # all samples at once
-        ds, dt = s[pick] - s[pick].mean(1, keepdims=True), t[pick] - t[pick].mean(1, keepdims=True)
-        across = (ds * ds).sum(1)
-        slope = np.divide((ds * dt).sum(1), across, out=np.full(trials, np.nan), where=across > 0)
-        off = t[pick].mean(1) - slope * s[pick].mean(1)
-        inside = np.abs(t - slope[:, None] * s - off[:, None]) <= limit
-        best = inside[inside.sum(1).argmax()]
-        best = best if best.any() else np.ones(len(s), bool)
-        if best.sum() > 1 and np.ptp(s[best]) > 0:
-            out["slope"], out["intercept"] = np.polyfit(s[best], t[best], 1)
-        return out
 
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    return _dealt(points, keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, intercept double, n long")
+#: Fits over rows and what they do over an array of (s, t).
+LINES = {ols_fit: ols_line, theil_sen_fit: theil_sen_line}
 
 
-def trimmed_fit(points: DataFrame, first_m: float = 10.0, second_m: float = 5.0, speed: float = SPEED, keys: tuple[str, ...] = KEYS, fit=ols_fit) -> DataFrame:
+def trimmed_lines(lines: DataFrame, first_m: float = 10.0, second_m: float = 5.0, speed: float = SPEED, line=ols_line) -> DataFrame:
     """Fit, keep |residual| < first_m / speed, fit, keep < second_m / speed, fit.
 
-    One row per group: slope, counts of each stage, residual figures of the
-    last fit, valid and the reason otherwise (fewer than 3 channels left).
-    ``points`` has the keys, channel, s and t. The three fits group by the same
-    keys, so the rows are shuffled once.
+    ``lines`` has one row per group with ``line``, an array of (channel, s, t);
+    everything happens within the row. Adds the slope, counts of each stage,
+    residual figures of the last fit, valid and the reason otherwise (fewer
+    than 3 channels left), in place of ``line``.
     """
-    k = list(keys)
-
-    def residual(rows: DataFrame, model: DataFrame) -> DataFrame:
-        return rows.join(model.select(*k, "slope", "intercept"), k).withColumn("r", F.col("t") - F.col("slope") * F.col("s") - F.col("intercept")).drop("slope", "intercept")
-
-    base = points.select(*k, "channel", "s", "t")
-    kept1 = residual(base, fit(base, keys)).filter(F.abs("r") < first_m / speed).drop("r")
-    kept2 = residual(kept1, fit(kept1, keys)).filter(F.abs("r") < second_m / speed).drop("r")
-    final = fit(kept2, keys)
-    stats = residual(kept2, final).groupBy(*k).agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("residual_rms"), F.max(F.abs("r")).alias("residual_max_abs"))
-    counts = base.groupBy(*k).agg(F.count("*").alias("channels_available"))
-    n1 = kept1.groupBy(*k).agg(F.count("*").alias("n_inliers_stage1"))
-    n2 = kept2.groupBy(*k).agg(F.count("*").alias("n_inliers_stage2"))
-    out = counts.join(n1, k, "left").join(n2, k, "left").join(final.drop("n"), k, "left").join(stats, k, "left")
-    a, b, c = (F.coalesce(x, F.lit(0)) for x in ("channels_available", "n_inliers_stage1", "n_inliers_stage2"))
-    reason = F.when(a < 3, "too_few_channels").when(b < 3, "too_few_inliers_stage1").when(c < 3, "too_few_inliers_stage2").when(F.col("slope").isNull(), "no_slope")
-    good = reason.isNull()
-    return out.select(*k, a.alias("channels_available"), b.alias("n_inliers_stage1"), c.alias("n_inliers_stage2"), good.alias("valid"), reason.alias("reason"), *[F.when(good, F.col(x)).alias(x) for x in ("slope", "residual_rms", "residual_max_abs")])
+    off = lambda m: lambda p: p["t"] - m["slope"] * p["s"] - m["intercept"]
+    near = lambda k, m, far: F.filter(k, lambda p: F.abs(off(m)(p)) < far / speed)
+
+    def row(given: Column, k1: Column, k2: Column, m: Column, r: Column) -> Column:
+        a, b, c = (F.size(x).cast("long") for x in (given, k1, k2))
+        slope = m["slope"]
+        reason = F.when(a < 3, "too_few_channels").when(b < 3, "too_few_inliers_stage1").when(c < 3, "too_few_inliers_stage2").when(slope.isNull() | F.isnan(slope), "no_slope")
+        rms = F.sqrt(F.try_divide(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x), F.size(r)))
+
+        def told(why: Column) -> Column:
+            figures = [F.when(why.isNull(), x).alias(n) for x, n in ((slope, "slope"), (rms, "residual_rms"), (F.array_max(F.transform(r, F.abs)), "residual_max_abs"))]
+            return F.struct(a.alias("channels_available"), b.alias("n_inliers_stage1"), c.alias("n_inliers_stage2"), why.isNull().alias("valid"), why.alias("reason"), *figures)
+
+        return _let(reason, told)
+
+    def last(given: Column, k1: Column, k2: Column) -> Column:
+        return _let(line(k2), lambda m: _let(F.transform(k2, off(m)), lambda r: row(given, k1, k2, m, r)))
+
+    second = lambda given, k1: _let(line(k1), lambda m: _let(near(k1, m, second_m), lambda k2: last(given, k1, k2)))
+    fitted = _let(F.col("line"), lambda given: _let(line(given), lambda m: _let(near(given, m, first_m), lambda k1: second(given, k1))))
+    # a generated row: filters on its columns stay above it, so nothing is worked out twice
+    return lines.select(*[x for x in lines.columns if x != "line"], F.inline(F.array(fitted)))
+
+
+def trimmed_fit(points: DataFrame, first_m: float = 10.0, second_m: float = 5.0, speed: float = SPEED, keys: tuple[str, ...] = KEYS, fit=ols_fit) -> DataFrame:
+    """``trimmed_lines`` of points (keys, channel, s, t): one shuffle by the keys, no
+    join. ``fit`` is ols_fit, theil_sen_fit or a function of an array of (s, t)."""
+    return trimmed_lines(gather_line(points, keys), first_m, second_m, speed, LINES.get(fit, fit))
 
 
 def cone_angle(slope: Column, speed: float = SPEED) -> Column:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorline.operators.joins import point_interval_join
-
 
 def angle_bins(spark: SparkSession) -> DataFrame:
     """bin_no, lo, hi of the 19 bins (-0.5, 0.5], (0.5, 5], (5, 10], ... (85, 90]."""
@@ -17,22 +15,35 @@ def angle_bins(spark: SparkSession) -> DataFrame:
 
 
 def angle_histogram(fits: DataFrame, bins: DataFrame) -> DataFrame:
-    """subarray_id, bin_no, n: valid packets per right-closed bin; empty bins have 0."""
-    hits = point_interval_join(fits.filter("valid and angle_off_axis_deg is not null"), bins, "angle_off_axis_deg", "lo", "hi", 5.0, closed="right")
-    counts = hits.groupBy("subarray_id", "bin_no").agg(F.count("*").alias("n"))
-    grid = fits.select("subarray_id").distinct().crossJoin(F.broadcast(bins.select("bin_no")))  # 19 rows
-    return grid.join(counts, ["subarray_id", "bin_no"], "left").select("subarray_id", "bin_no", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def angle_series(fits: DataFrame, max_packet: int) -> DataFrame:
-    """subarray_id, packet, angle, segment for packets 0..max_packet; angle and
-    segment are null where there is none. A jump of more than one packet starts
-    a new segment; subarrays without any angle are left out."""
-    known = fits.filter(F.col("valid") & F.col("angle_off_axis_deg").isNotNull() & F.col("packet").between(0, max_packet)).select("subarray_id", "packet", F.col("angle_off_axis_deg").alias("angle"))
+    """subarray_id, bin_no, n: valid packets per right-closed bin; empty bins have 0.
+
+    Every fit is counted once, before the shuffle, under its bin or under none
+    (not valid, no bin); a row per subarray then meets the bins.
+    """
+    at = F.when(F.col("valid"), F.col("angle_off_axis_deg")).alias("at")
+    edges = bins.agg(F.array_sort(F.collect_list(F.struct("bin_no", "lo", "hi"))).alias("edges"))  # one row of 19 bins
+    hit = F.filter("edges", lambda b: (F.col("at") > b["lo"]) & (F.col("at") <= b["hi"]))
+    placed = fits.select("subarray_id", at).join(F.broadcast(edges)).select("subarray_id", "edges", F.get(hit, F.lit(0))["bin_no"].alias("bin_no"))
+    counts = placed.groupBy("subarray_id", "bin_no").agg(F.count("*").alias("n"), F.first("edges").alias("edges"))
+    held = counts.groupBy("subarray_id").agg(F.first("edges").alias("edges"), F.map_from_entries(F.collect_list(F.when(F.col("bin_no").isNotNull(), F.struct("bin_no", "n")))).alias("m"))
+    rows = held.select("subarray_id", "m", F.explode("edges").alias("b"))
+    return rows.select("subarray_id", "b.bin_no", F.coalesce(F.element_at("m", F.col("b.bin_no")), F.lit(0)).alias("n"))
+
+
+def angle_series(fits: DataFrame, max_packet: int | None = None) -> DataFrame:
+    """subarray_id, packet, angle, segment for packets 0..max_packet (the largest
+    with an angle if not given); angle and segment are null where there is none. A
+    jump of more than one packet starts a new segment; subarrays without any
+    angle are left out."""
+    known = fits.filter(F.col("valid") & F.col("angle_off_axis_deg").isNotNull() & (F.col("packet") >= 0)).select("subarray_id", F.col("packet").cast("long").alias("packet"), F.col("angle_off_axis_deg").alias("angle"))
+    if max_packet is not None:
+        known = known.filter(F.col("packet") <= max_packet)
     w = W.partitionBy("subarray_id").orderBy("packet")
     cut = known.withColumn("segment", F.sum((F.coalesce(F.col("packet") - F.lag("packet").over(w), F.lit(1)) > 1).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    dense = known.select("subarray_id").distinct().withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_packet).cast("long"))))
-    return dense.join(cut.withColumn("packet", F.col("packet").cast("long")), ["subarray_id", "packet"], "left")
+    tops = known.groupBy("subarray_id").agg(F.max("packet").alias("top"))  # a row per subarray
+    last = tops.agg(F.max("top").alias("last")) if max_packet is None else tops.agg(F.lit(max_packet).cast("long").alias("last"))
+    dense = tops.select("subarray_id").join(F.broadcast(last)).select("subarray_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("packet"))
+    return dense.join(cut, ["subarray_id", "packet"], "left")
 
 
 def channel_usage(fits: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def _(spark, sf):
 
 @_query("f3_ransac_fit", None)
 def _(spark, sf):
-    return doa.ransac_fit(B.placed(spark, sf), 30)
+    return doa.ransac_fit(B.placed(spark, sf))
 
 
 @_query(
@@ -254,7 +254,7 @@ def _(spark, sf):
     f"""with {B.FITS} select packet, subarray_id, channels_available, n_inliers_stage1, n_inliers_stage2, valid, reason, round(slope, 8) as slope, round(residual_rms, 8) as residual_rms, round(residual_max_abs, 8) as residual_max_abs from fits""",
 )
 def _(spark, sf):
-    out = doa.trimmed_fit(B.placed(spark, sf))
+    out = doa.trimmed_lines(B.lines(spark, sf))
     return out.select("packet", "subarray_id", "channels_available", "n_inliers_stage1", "n_inliers_stage2", "valid", "reason", *[_r(c, 8).alias(c) for c in ("slope", "residual_rms", "residual_max_abs")])
 
 
@@ -285,11 +285,7 @@ def _(spark, sf):
 
 def _located(spark, sf):
     """Valid fits with axis and reference."""
-    pts = B.fit_points(spark, sf)
-    axes = doa.principal_axis_2d(pts.withColumnsRenamed({"e": "x", "n": "y"})).withColumn("az", F.lit(0.0))
-    ref = pts.groupBy("packet", "subarray_id").agg(F.avg("e").alias("re"), F.avg("n").alias("rn"), F.avg("u").alias("ru"))
-    fits = B.doa_fits(spark, sf).filter("valid").select("packet", "subarray_id", "angle_deg")
-    return fits.join(axes, ["packet", "subarray_id"]).join(ref, ["packet", "subarray_id"])
+    return B.doa_fits(spark, sf).filter("valid").select("packet", "subarray_id", "angle_deg", "ax", "ay", F.lit(0.0).alias("az"), "re", "rn", "ru")
 
 
 WINDOW = (0.0, 120.0, -100.0, 100.0)
@@ -364,9 +360,7 @@ def angle_histogram(spark, sf):
     select subarray_id, packet, round(angle, 4) as angle, cast(segment as bigint) as segment from (select distinct subarray_id, g.packet from kn, range((select max(packet) + 1 from kn)) as g(packet)) left join sg using (subarray_id, packet)""",
 )
 def _(spark, sf):
-    fits = B.doa_fits(spark, sf)
-    last = fits.filter("valid").agg(F.max("packet").alias("m")).first().m
-    return reports.angle_series(fits, last).select("subarray_id", "packet", _r("angle", 4).alias("angle"), "segment")
+    return reports.angle_series(B.doa_fits(spark, sf)).select("subarray_id", "packet", _r("angle", 4).alias("angle"), "segment")
 
 
 @_query(

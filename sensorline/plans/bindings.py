@@ -27,7 +27,7 @@ def arrivals(spark: SparkSession, sf: str) -> DataFrame:
 
 def subarrays(spark: SparkSession, sf: str) -> DataFrame:
     """Two subarrays over the channels that the arrivals have."""
-    top = arrivals(spark, sf).agg(F.max("channel").alias("m"))
+    top = raw_arrivals(spark, sf).agg(F.max("channel").alias("m"))
     return top.select(F.explode(F.array(F.struct(F.lit(0).alias("subarray_id"), F.lit(1).alias("start_ch"), (F.col("m") - 2).alias("n_ch")), F.struct(F.lit(1).alias("subarray_id"), F.lit(3).alias("start_ch"), (F.col("m") - 2).alias("n_ch")))).alias("x")).select("x.*")
 
 
@@ -60,13 +60,18 @@ pl as (select pts.*, e * ax + n * ay as p from pts join axes using (packet, suba
 st as (select packet, subarray_id, channel, t, p - arg_min(p, channel) over (partition by packet, subarray_id) as s from pl)"""
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per packet and subarray with its axis in the plane and its line of (channel, s, t)."""
+    from sensorline.operators.doa import packet_lines
+
+    return packet_lines(fit_points(spark, sf), ("e", "n"))
+
+
 def placed(spark: SparkSession, sf: str) -> DataFrame:
     """Fit points with their place ``s`` along the principal axis in the plane."""
-    from sensorline.operators.doa import along_array, principal_axis_2d
+    from sensorline.operators.doa import line_points
 
-    pts = fit_points(spark, sf)
-    axes = principal_axis_2d(pts.withColumnsRenamed({"e": "x", "n": "y"}))
-    return along_array(pts, axes, ("e", "n")).select("packet", "subarray_id", "channel", "t", "s")
+    return line_points(lines(spark, sf))
 
 
 FITS = AXIS + """,
@@ -86,9 +91,10 @@ ang as (select *, least(angle_deg, 180 - angle_deg) as angle_off_axis_deg, case
 
 
 def doa_fits(spark: SparkSession, sf: str) -> DataFrame:
-    from sensorline.operators.doa import trimmed_fit, with_angles
+    """Fits of ``lines`` with their angles, axes and mean places."""
+    from sensorline.operators.doa import trimmed_lines, with_angles
 
-    return with_angles(trimmed_fit(placed(spark, sf)))
+    return with_angles(trimmed_lines(lines(spark, sf)))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
