@@ -1,15 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. Every line has a length:
-its characters, or 0 if it stands in navigation, notices, adverts, forms or
-other parts that markup names as no article, if it lies outside the article
-where the page marks one, or if it is mostly links. The sums of the lengths
-over sliding windows of lines surge where the article begins and dive to 0
-where it ends; the lines of length over 0 between surges and dives are kept.
+Markup is stripped into lines, one per block element, with a blank line between
+two. Every line has a length: its characters, or 0 if it is mostly links or
+stands in an element that holds no article. Other markup is weighed: a name or
+form that speaks against the article, and a place outside the element that
+marks it, each divide a line's length by AGAINST. The sums of the lengths over
+sliding windows of lines surge where the article begins and dive to 0 where it
+ends; the lines of length over 0 between surges and dives are kept.
+
+Lines of equal standing (named or not, inside the marked element or not) are a
+distribution of their own, so an advert does not part the paragraphs around
+it. The largest window of the page says how high a surge must be, up to SURGE
+characters: names and marks are thus believed only as far as the lengths bear
+them out, and a page whose whole article stands in a form or in a box with a
+telling name still gives it.
 
 A surge begins at a line that bears its part of the sum, with the lines right
-above it and a main heading within the window. Lines that markup rules out do
-not part an article: windows pass over them. After the first surge a third of
+above it and a main heading within the window. After the first surge a third of
 its sum is enough for a later one.
 """
 
@@ -25,9 +32,12 @@ from pyspark.sql import types as T
 
 from sensorline.llm.common import fresh_name
 
-#: Lines in a window, and characters in a window where a surge begins on pages that mark no article.
-WINDOW = 3
+#: Lines in a window (three blocks and the blank lines between them), and characters in a window where a surge begins.
+WINDOW = 5
 SURGE = 86
+#: What a name or place against the article divides a line's length by, and the least window that counts as text.
+AGAINST = 256
+LEAST = 1.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -45,43 +55,50 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDERS = frozenset("article main section div body table ul ol dl nav aside header footer form blockquote td".split())
-#: Elements, roles and name parts that hold no article text.
-_NO_TEXT = frozenset("head nav footer aside form button menu dialog fieldset".split())
-_NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Elements, roles and name parts that hold no article text, and those that only speak against it.
+_NO_TEXT = frozenset("head nav footer aside button menu dialog".split())
+_NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+_REPLIES = frozenset("comment comments disqus replies respond".split())
+_DOUBTFUL = frozenset("form fieldset".split())
 _NO_NAME = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar "
-    "footer foot comment comments disqus replies respond share sharing social related recommended recommendations widget widgets toolbar "
+    "footer foot share sharing social related recommended recommendations widget widgets toolbar "
     "pagination pager login search copyright disclaimer alert toc skip".split()
 )
+_GOOD, _NAMED, _OUT = range(3)
 
 
-def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether the markup of an element says that it holds no article text."""
+def _standing(tag: str, attrs: str, in_article: bool) -> int:
+    """What the markup of an element says: _OUT if it holds no article text, _NAMED
+    if it speaks against it, else _GOOD."""
     if tag in _NO_TEXT or tag == "header" and not in_article:
-        return True
+        return _OUT
+    found = _NAMED if tag in _DOUBTFUL else _GOOD
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return found
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(p.lower() in _NO_NAME for p in _PIECES.findall(value)) and not (in_article and tag in ("h1", "h2", "p")):
-                return True
+            parts = {p.lower() for p in _PIECES.findall(value)}
+            if parts & _REPLIES:
+                return _OUT
+            if parts & _NO_NAME and not (in_article and tag in ("h1", "h2", "p")):
+                found = _NAMED
         elif name == "role" and value.lower() in _NO_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return _OUT
         elif name == "itemprop" and value.lower() == "comment" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return _OUT
+    return found
 
 
-def page_lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
-    """Lines of a page: text, whether markup rules it out, whether it lies in an
-    element that marks the article, characters of link text, whether it is a
-    main heading."""
-    lines: list[tuple[str, bool, bool, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, in article
+def page_lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
+    """Lines of a page: text, standing, whether it lies in an element that marks
+    the article, characters of link text, whether it is a main heading."""
+    lines: list[tuple[str, int, bool, int, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, standing, in article
     opened: dict[str, int] = {}
-    noise = inside = False
+    noise, inside = _GOOD, False
     links, parts, linked = 0, [], 0
 
     def close() -> None:
@@ -97,7 +114,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
         tag, _, _ = stack.pop()
         opened[tag] -= 1
         links -= tag == "a"
-        noise, inside = stack[-1][1:] if stack else (False, False)
+        noise, inside = stack[-1][1:] if stack else (_GOOD, False)
         return tag
 
     def add(text: str) -> None:
@@ -132,9 +149,9 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
         if tag in _CLOSES:
             while stack and stack[-1][0] not in _HOLDERS and any(opened.get(t) for t in _CLOSES[tag]):
                 pop()
-        out = noise or _is_noise(tag, attrs, inside)
-        inside = inside or tag in ("article", "main") and not out or 'itemprop="articleBody"' in attrs
-        if out and not noise:
+        out = max(noise, _standing(tag, attrs, inside))
+        inside = inside or tag in ("article", "main") and out < _OUT or 'itemprop="articleBody"' in attrs
+        if out != noise:
             close()
         noise = out
         if not attrs.endswith("/"):
@@ -148,30 +165,52 @@ def page_lines(page: str) -> list[tuple[str, bool, bool, int, bool]]:
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """Article text of a page, its blocks joined by one space; empty if there is none."""
-    lines = [line for line in page_lines(page or "") if not line[1]]
-    if any(inside for _, _, inside, _, _ in lines):
-        return " ".join(text for text, _, inside, _, _ in lines if inside)
-    size = [0 if 2 * linked > len(text) else len(text) for text, _, _, linked, _ in lines]
-    heads = [head for *_, head in lines]
-    total = [sum(size[k : k + WINDOW]) for k in range(len(size))]
-    least = max(1, min(SURGE, max(total, default=0)))
-    kept, at, end = [], 0, 0  # the next window, the end of the last surge
+def _windows(size: list[float]) -> list[float]:
+    return [sum(size[k : k + WINDOW]) for k in range(len(size))]
+
+
+def _surges(size: list[float], heads: list[bool], least: float, later: float) -> list[int]:
+    """Places of the lines between surges and dives of one distribution, blank lines left out."""
+    total, kept, at, end = _windows(size), [], 0, 0  # the next window, the end of the last surge
     while at < len(size):
         if total[at] < least:
             at += 1
             continue
         begin = next(k for k in range(at, at + WINDOW) if size[k] * WINDOW >= least)
         begin = min([begin, *(k for k in range(max(end, begin - WINDOW + 1), begin) if heads[k] and size[k])])
-        while begin > end and size[begin - 1]:
-            begin -= 1
+        while begin > end + 1 and size[begin - 2]:
+            begin -= 2
         end = max(begin, at)
         while end < len(size) and total[end]:
             end += 1
-        kept += [lines[k][0] for k in range(begin, end) if size[k]]
-        at, least = end, min(least, max(1, -(-SURGE // WINDOW)))
-    return " ".join(kept)
+        kept += [k for k in range(begin, end) if size[k]]
+        at, least = end, later
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """Article text of a page, its blocks joined by one space; empty if there is none."""
+    lines = page_lines(page or "")
+    marked = any(inside and standing < _OUT for _, standing, inside, _, _ in lines)
+    parts: dict[tuple[int, bool], list[int]] = {}
+    for k, (_, standing, inside, _, _) in enumerate(lines):
+        if standing < _OUT:
+            parts.setdefault((standing, inside), []).append(k)
+    held = []
+    for (standing, inside), mine in parts.items():
+        against = (standing == _NAMED) + (marked and not inside)
+        size, heads = [0.0] * (2 * len(mine)), [False] * (2 * len(mine))
+        for j, k in enumerate(mine):
+            text, _, _, linked, head = lines[k]
+            size[2 * j] = 0.0 if 2 * linked > len(text) and not inside else len(text) / AGAINST**against
+            heads[2 * j] = head
+        held.append((mine, size, heads, against))
+    top = max((max(_windows(size)) for _, size, _, _ in held), default=0.0)
+    if top < LEAST:
+        return ""
+    least = min(SURGE, top)
+    kept = [mine[j // 2] for mine, size, heads, against in held for j in _surges(size, heads, least, least if against else min(least, SURGE / 3))]
+    return " ".join(lines[k][0] for k in sorted(kept))
 
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

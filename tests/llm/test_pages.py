@@ -2,13 +2,20 @@ import duckdb
 import html
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from sensorline.llm import html as pages_html
 from sensorline.llm import langid, urls
 from sensorline.llm.html import main_text, page_lines, page_texts
 
 
-def test_articles_of_the_given_pages(spark, sf):
+@pytest.mark.parametrize("rename", [None, "div", "section"])
+def test_articles_of_the_given_pages(spark, sf, rename):
+    """Also where nothing marks the article: there the lengths must find it."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    got = {r.page_id: r for r in page_texts(pages).collect()}
+    shown = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", f"$1{rename}>")) if rename else pages
+    got = {r.page_id: r for r in page_texts(shown).collect()}
     for p in pages.collect():
         body = re.search(r"<article>(.*?)</article>", p.html, re.S).group(1)
         parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:h1|p)>", body)]
@@ -44,6 +51,27 @@ def test_unmarked_pages_lose_nothing_else():
     assert main_text(page(line(200), links, links, links, "(c)")) == line(200)
 
 
+def test_windows_decide(spark, sf, monkeypatch):
+    """Lines by themselves, without windows, lose short lines of the given pages."""
+    given = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    whole = [main_text(p) for p in given]
+    monkeypatch.setattr(pages_html, "WINDOW", 1)
+    assert any(a != main_text(p) for a, p in zip(whole, given))
+    assert main_text(f"<div>{PROSE}</div><div>Short.</div><div>{PROSE}</div>") == f"{PROSE.strip()} {PROSE.strip()}"
+
+
+def test_names_are_believed_as_far_as_lengths_bear_them_out():
+    article = f"<h1>Head</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p>"
+    want = f"Head {PROSE.strip()} Short. {PROSE.strip()}"
+    for box in ("<form>", "<div class='content-header'>", "<main class='page notice'>"):
+        end = box.split()[0].strip("<>")
+        assert main_text(f"<body><div class=cookie>We use cookies.</div>{box}{article}</{end}><div>(c) 2020</div>") == want
+    assert main_text(f"<body><div class=sidebar><p>{PROSE}</p></div><div>{article}</div><div class=promo>{PROSE}</div>") == want
+    assert main_text(f"<body><article><p>Brief.</p></article><div>{PROSE}</div>") == "Brief."
+    assert main_text(f"<article><p>{PROSE}</p><div class=ad>Buy</div><p>End.</p></article>") == f"{PROSE.strip()} End."
+    assert main_text("<nav>Home</nav><div class=ad>Buy this now</div><footer>Imprint</footer>") == ""
+
+
 def test_broken_and_odd_pages(spark):
     assert main_text(None) == main_text("") == main_text("<script>x") == ""
     assert main_text("<p>a &lt;b&gt; &#x41;&nbsp;c") == "a <b> A c"
