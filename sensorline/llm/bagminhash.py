@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorline.llm.common import GAP_CHARS, stage_table
+from sensorline.llm.common import GAP_CHARS, mix64 as _mix, span_hashes, stage_table
 from sensorline.llm.graph import connected_components
 
 SHINGLE = 5
@@ -41,14 +41,7 @@ TASK_ROWS = 500
 COMPARE_CELLS = 4_000_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x2545F4914F6CDD1D
 _GAPS = np.array([ord(c) for c in GAP_CHARS], np.uint32)
 
 
@@ -59,12 +52,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gap = np.isin(code, _GAPS)
     edge = np.diff(np.concatenate([[True], gap]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(code), _BASE, np.uint64)]))
-    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(code), pow(_BASE, -1, 1 << 64), np.uint64)]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(code + _STEP) * power[:-1])])
-    words = _mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
     owner = np.searchsorted(np.cumsum(size), start, side="right")
-    return words, np.bincount(owner, minlength=len(texts))
+    return span_hashes(code, start, end - start), np.bincount(owner, minlength=len(texts))
 
 
 def shingle_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

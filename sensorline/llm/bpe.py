@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorline.llm.common import fresh_name
+from sensorline.llm.common import fresh_name, span_hashes
 
 #: Pre-tokens kept per Python worker; the table is emptied when it is full.
 CACHE_WORDS = 400_000
@@ -249,32 +249,19 @@ def pre_token_starts(code: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BASE = 0x2545F4914F6CDD1D
-_POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        n = max(n, CHUNK_CHARS + CHUNK_CHARS // 2)
-        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return _POWERS
-
-
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices starts[k] .. starts[k]+counts[k]-1 for all k, one after another."""
     total = np.cumsum(counts)
     return np.repeat(starts - total + counts, counts) + np.arange(total[-1] if len(total) else 0)
 
 
+def _differ(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether one[a:a+size] and other[b:b+size] differ, for spans of at least one place."""
+    if not len(size):
+        return np.zeros(0, bool)
+    return np.logical_or.reduceat(one[_spread(a, size)] != other[_spread(b, size)], np.cumsum(size) - size)
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -297,6 +284,26 @@ class Codec:
         self.known = np.zeros(0, np.uint64)  # sorted keys of the pre-tokens met so far
         self.entry = np.zeros(0, np.int64)  # and their places below
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.shown_at, self.shown_size, self.shown = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)  # their code points
+
+    def _strangers(self, code, start, size, kinds, shown, which, alone) -> np.ndarray:
+        """Pre-tokens whose code points are not those of their key: of the first one
+        here, or of the one the table holds."""
+        odd = np.zeros(len(start), bool)
+        first = shown[which]
+        odd[size != size[first]] = True
+        other = np.flatnonzero(~odd & ~alone & (first != np.arange(len(start))))
+        odd[other] = _differ(code, start[other], code, start[first[other]], size[other])
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, kinds), len(self.known) - 1)
+            held = np.flatnonzero((self.known[at] == kinds) & ~alone[shown])
+            place, mine = self.entry[at[held]], shown[held]
+            wrong = self.shown_size[place] != size[mine]
+            same = np.flatnonzero(~wrong)
+            wrong[same] = _differ(code, start[mine[same]], self.shown, self.shown_at[place[same]], size[mine[same]])
+            if wrong.any():
+                odd |= np.isin(which, held[wrong])
+        return odd
 
     def words(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens data[first:first+size], one after another, and their
@@ -350,17 +357,21 @@ class Codec:
         size = np.diff(start, append=len(code))
         stop = code[start] >= _STOP
         ends = np.flatnonzero(code[start] == _STOP)
-        power, inverse = _powers(len(code) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(code) * power[: len(code)])])
-        key = _mix((total[start + size] - total[start]) * inverse[start] + size.astype(np.uint64))
-        key[stop] = code[start[stop]]
-        long = np.flatnonzero((size > KEYED_CHARS) & ~stop)
-        key[long] = np.arange(len(long), dtype=np.uint64) + np.uint64(_STOP + 4096)  # each on its own
-        kinds, shown, which = np.unique(key, return_index=True, return_inverse=True)
+        keys = span_hashes(code, start, np.minimum(size, KEYED_CHARS))
+        keys[stop] = code[start[stop]]
+        alone = (size > KEYED_CHARS) & ~stop
         if len(self.known) > CACHE_WORDS:
             self._forget()
+        while True:  # hashes are not trusted: a pre-token that only shares one stands alone
+            key = keys.copy()
+            key[alone] = np.arange(alone.sum(), dtype=np.uint64) + np.uint64(_STOP + 4096)
+            kinds, shown, which = np.unique(key, return_index=True, return_inverse=True)
+            odd = self._strangers(code, start, size, kinds, shown, which, alone) & ~alone
+            if not odd.any():
+                break
+            alone |= odd
         at = np.minimum(np.searchsorted(self.known, kinds), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != kinds if len(self.known) else np.ones(len(kinds), bool))
+        new = np.flatnonzero((self.known[at] != kinds) | alone[shown] if len(self.known) else np.ones(len(kinds), bool))
         place = self.entry[at] if len(self.known) else np.zeros(len(kinds), np.int64)
         if new.size:
             is_stop = stop[shown[new]]
@@ -376,15 +387,19 @@ class Codec:
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.flat = np.concatenate([self.flat, made])
-            keep = order[~np.isin(shown[order], long)]
-            keys, entries = np.concatenate([self.known, kinds[keep]]), np.concatenate([self.entry, place[keep]])
-            by = np.argsort(keys)
-            self.known, self.entry = keys[by], entries[by]
+            long = np.where(alone[shown[order]], 0, size[shown[order]])
+            self.shown_at = np.concatenate([self.shown_at, len(self.shown) + np.cumsum(long) - long])
+            self.shown_size = np.concatenate([self.shown_size, long])
+            self.shown = np.concatenate([self.shown, code[_spread(start[shown[order]], long)]])
+            keep = order[~alone[shown[order]]]
+            held, entries = np.concatenate([self.known, kinds[keep]]), np.concatenate([self.entry, place[keep]])
+            by = np.argsort(held)
+            self.known, self.entry = held[by], entries[by]
         token = place[which]
         counts = self.count[token]
         ids = self.flat[_spread(self.first[token], counts)]
         per_text = np.add.reduceat(counts, np.concatenate([[0], ends[:-1] + 1]))
-        if long.size:
+        if alone.any():
             self._forget()
         return ids, per_text
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,35 @@ def fresh_name(df: DataFrame, stem: str) -> str:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it in ``body`` any number of times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of more code points are hashed one by one.
+STEP_CHARS = 64
+
+
+def span_hashes(code: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span code[start:start+size] of code points (uint32).
+
+    All spans take their next code point at once and are scrambled after each,
+    so no sum over places can cancel out. Long spans take BLAKE2b.
+    """
+    order = np.argsort(-size, kind="stable")
+    first, length = start[order], size[order]
+    out = mix64(length.astype(np.uint64) + _STEP)
+    for k in range(min(STEP_CHARS, int(length[0]) if len(length) else 0)):
+        n = int(np.searchsorted(-length, -k))  # spans of more than k code points
+        out[:n] = mix64(out[:n] * np.uint64(5) + code[first[:n] + k] + _STEP)
+    for k in range(int(np.searchsorted(-length, -STEP_CHARS))):
+        digest = hashlib.blake2b(code[first[k] : first[k] + length[k]].tobytes(), digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little")
+    back = np.empty_like(out)
+    back[order] = out
+    return back

@@ -48,6 +48,18 @@ def test_signatures_estimate_weighted_jaccard_without_bias():
         assert np.mean(hits) == pytest.approx(want, abs=4 * np.std(hits) / 200**0.5)
 
 
+def test_words_that_fool_sums_over_places_do_not_link(spark):
+    """Thue-Morse words: sums of their letters times powers of an odd number are equal modulo 2**64."""
+    one = "a"
+    while len(one) < 4096:
+        one += "".join("b" if c == "a" else "a" for c in one)
+    other = "".join("b" if c == "a" else "a" for c in one)
+    pairs = [(one[:n], other[:n]) for n in (64, 100, 1024, 4096)]
+    assert bag.overlaps([a for a, _ in pairs], [b for _, b in pairs]).max() == 0
+    df = spark.createDataFrame(list(enumerate(t for pair in pairs for t in pair)), "doc_id long, text string")
+    assert all(r.kept for r in bag.near_duplicates(df).collect())
+
+
 def near_texts():
     rng = random.Random(5)
     words = [f"w{k}" for k in range(5000)]
