@@ -6,11 +6,14 @@ r >= 0 of the documents are then fitted by projected gradient descent so that
 the expected tokens of each domain, sum_i r_i * tokens_i * p_id, meet targets
 in least squares. Every gradient step is one aggregation to a vector with an
 entry per domain; the rates are a column expression of the vectors so far.
+Tokens are words here, cut at white space and marks.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +30,21 @@ SAMPLE_ROWS = 12_000
 #: Telling words of each domain.
 WORDS = 64
 #: A word must occur in so many sampled documents to count as telling.
-LEAST_DOCS = 5
+LEAST_DOCS = 3
+#: How far the evidence for a word (in nats) must exceed what the best of as many words without meaning reaches.
+CLEARLY = 3.0
 #: How many times as frequent as elsewhere a telling word must be.
 LEAST_ODDS = 3.0
 #: Documents that pull a domain's frequency of a word towards that of all documents.
-SMOOTHING = 4.0
+SMOOTHING = 1.0
 MAX_STEPS = 60
 TOLERANCE = 1e-6
+#: A step that comes nearer by less than this share is the last: the targets are out of reach.
+PROGRESS = 1e-3
+#: Steps shorter than this share are given up.
+SHORTEST = 1 / 32
+#: Largest rate: no document stands in for more than this many of its kind.
+MOST = 2.0
 
 _CUT = r"""[\x20\x09-\x0D.,;:!?"'()\[\]]+"""
 
@@ -105,11 +116,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains=DOMAINS, limit: i
         return Classifier(prior, {})
     counts = signs.select("domain", F.explode("signs").alias("sign")).groupBy("sign").agg(*[F.count_if(F.col("domain") == k).alias(f"c{k}") for k in range(n)])
     counts = counts.filter(sum((F.col(f"c{k}") for k in range(n)), F.lit(0)) >= LEAST_DOCS)
+    counts = stage_table(counts, "sign-counts")
+    chance = math.log(max(1, counts.count())) + CLEARLY
     telling = {}
     for k in (k for k in range(n) if size[k] != max(size)):
         mine, other = (F.col(f"c{k}") + 0.5) / (size[k] + 1), (sum((F.col(f"c{j}") for j in range(n) if j != k), F.lit(0)) + 0.5) / (every - size[k] + 1)
         score = F.col(f"c{k}") * F.log(mine / other)
-        for r in counts.filter(mine > LEAST_ODDS * other).orderBy(score.desc(), "sign").limit(WORDS).collect():  # WORDS rows
+        # how unlikely it is that the documents of a sign fall into this domain so often by chance
+        here, there, share = F.col(f"c{k}"), sum((F.col(f"c{j}") for j in range(n) if j != k), F.lit(0)), size[k] / every
+        part = lambda c, q: F.when(c > 0, c * F.log(c / ((here + there) * q))).otherwise(0.0)
+        evidence = part(here, share) + part(there, 1 - share)
+        for r in counts.filter((mine > LEAST_ODDS * other) & (evidence >= chance)).orderBy(score.desc(), "sign").limit(WORDS).collect():  # WORDS rows
             telling[r.sign] = [r[f"c{j}"] for j in range(n)]
     weights = {}
     for sign, c in sorted(telling.items()):
@@ -137,46 +154,93 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[k][n] / a[k][k] for k in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: list[float | None], max_steps: int = MAX_STEPS) -> tuple[Column, list[float], int]:
+class Fit(NamedTuple):
+    """Rates as a column over (tokens, p), the totals reached, the steps taken and
+    how they ended: True if the targets are met or no step comes nearer."""
+
+    rate: Column
+    reached: list[float]
+    steps: int
+    converged: bool
+
+
+def _rate(moves: list[list[float]], most: float) -> Column:
+    """Rate of a row after these moves, each followed by the projection onto 0..most.
+    The moves are one constant, so the expression does not grow with them."""
+    if not moves:
+        return F.lit(1.0)
+    steps = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in m) + ")" for m in moves) + ")")
+    dot = lambda m: sum((F.get("p", F.lit(k)) * F.get(m, F.lit(k)) for k in range(len(moves[0]))), F.lit(0.0))
+    return F.aggregate(steps, F.lit(1.0), lambda r, m: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - dot(m))))
+
+
+def fit_rates(members: DataFrame, targets: list[float | None], max_steps: int = MAX_STEPS, most: float = MOST) -> Fit:
     """Rates of the rows of ``members`` (tokens, p: array of posteriors).
 
     Minimises the squared distance of the expected domain totals from the
-    targets over rates that are not negative, starting from 1. The distance is
-    measured by the inverse of G = sum tokens * p p^T over the rows whose rate
-    is above 0: in the scaled unknowns z_i = sqrt(tokens_i) * r_i a gradient
-    step of length 1 then meets the targets unless more rates fall to 0, and
-    the next step takes those out. If a step does not come nearer, G is taken
-    over all rows, for which steps of length 1 always descend. Gives the column
-    of rates, the totals reached and the number of steps. Rows with no tokens
-    keep rate 1; domains whose target is None take no part in the distance.
+    targets over rates between 0 and ``most``, starting from 1; the distance is
+    measured by the inverse of G = sum tokens * p p^T, in which no domain is
+    drowned by a larger one. In the scaled unknowns z_i = sqrt(tokens_i) * r_i a
+    gradient step of length 1 always descends. Steps by G over the rows whose
+    rate is between its bounds go further: they meet the targets unless more
+    rates reach a bound. A step that does not come nearer is halved, and given
+    up for the sure one in the end. Steps end when the targets are met or out of
+    reach; after ``max_steps`` passes over the rows a warning says by how much
+    they are missed. Rows with no tokens keep rate 1; domains whose target is
+    None take no part in the distance.
     """
     bound = [k for k, b in enumerate(targets) if b is not None]
     n = len(bound)
-    p = lambda k: F.get("p", F.lit(bound[k]))
+    width = len(targets)
     targets = [targets[k] for k in bound]
     t = F.col("tokens").cast("double")
-    rate, reached = F.lit(1.0), [0.0] * n
-    whole, last, careful = None, math.inf, False
-    scale = max(math.sqrt(sum(b * b for b in targets)), 1e-300)
-    for step in range(max_steps + 1):
-        now = members.select(t.alias("t"), *[p(k).alias(f"p{k}") for k in range(n)], rate.alias("r"))
+    moves: list[list[float]] = []
+    scale = max(math.hypot(*targets), 1e-300)
+
+    def measure(made: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """Totals at these moves, and G over the rows between the bounds."""
+        now = members.select(t.alias("t"), *[F.get("p", F.lit(bound[k])).alias(f"p{k}") for k in range(n)], _rate(made, most).alias("r"))
+        free = (F.col("r") > 0) & (F.col("r") < most)
         sums = [F.sum(F.col("r") * F.col("t") * F.col(f"p{k}")).alias(f"s{k}") for k in range(n)]
-        grams = [F.sum(F.when(F.col("r") > 0, F.col("t") * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
+        grams = [F.sum(F.when(free, F.col("t") * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
         row = now.agg(*sums, *grams).first()
-        gram = [[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]
-        whole = whole or gram
-        reached = [row[f"s{k}"] or 0.0 for k in range(n)]
+        return [row[f"s{k}"] or 0.0 for k in range(n)], [[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]
+
+    if not n:
+        return Fit(F.lit(1.0), [], 0, True)
+    reached, whole = measure(moves)
+    gram, step, length, met = whole, 0, 1.0, False
+
+    def distance(totals: list[float]) -> float:
+        miss = [a - b for a, b in zip(totals, targets)]
+        return math.sqrt(max(0.0, sum(x * y for x, y in zip(miss, _solve(whole, miss)))))
+
+    far = distance(reached)
+    while step < max_steps:
         miss = [a - b for a, b in zip(reached, targets)]
-        far = math.sqrt(sum(x * x for x in miss))
-        if step == max_steps or far <= TOLERANCE * scale:
-            break
-        careful = careful or far >= last
-        last = far
-        move = _solve(whole if careful else gram, miss)
-        if max(map(abs, move)) < 1e-12:
+        met = math.hypot(*miss) <= TOLERANCE * scale
+        if met:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((p(k) * F.lit(move[k]) for k in range(n)), F.lit(0.0)))
-    return F.when(t > 0, rate).otherwise(F.lit(1.0)), reached, step
+        sure = length < SHORTEST
+        move = _solve(whole, miss) if sure else [length * x for x in _solve(gram, miss)]
+        if not all(map(math.isfinite, move)):
+            length = 0.0
+            if sure:
+                break
+            continue
+        made = [*moves, [move[bound.index(k)] if k in bound else 0.0 for k in range(width)]]
+        totals, next_gram = measure(made)
+        step, nearer = step + 1, distance(totals)
+        if nearer >= far * (1 - PROGRESS):
+            met = sure
+            if sure:
+                break
+            length /= 2
+            continue
+        moves, reached, gram, far, length = made, totals, next_gram, nearer, min(1.0, 2 * max(length, SHORTEST))
+    if not met:
+        logging.getLogger(__name__).warning("rates not converged after %d steps: totals %s, targets %s", step, reached, targets)
+    return Fit(F.when(t > 0, _rate(moves, most)).otherwise(F.lit(1.0)), reached, step, met)
 
 
 def token_targets(totals: list[float], shares: list[float]) -> list[float | None]:
@@ -214,8 +278,7 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = TARGETS,
     n = len(domains)
     row = members.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(n)]).first()
     wanted = token_targets([row[f"s{k}"] or 0.0 for k in range(n)], [shares[d] for d, _ in domains])
-    rate, _, _ = fit_rates(members, wanted)
-    return rate, classifier, members
+    return fit_rates(members, wanted).rate, classifier, members
 
 
 def _copies(rate: Column, key: Column) -> Column:

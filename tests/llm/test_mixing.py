@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,19 +12,50 @@ def test_rates_meet_targets(spark):
     df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
     total = sum(t for _, t, _ in rows)
     for share in (0.8, 0.5):
-        rate, reached, steps = mixing.fit_rates(df, [share * total, (1 - share) * total])
+        rate, reached, steps, _ = mixing.fit_rates(df, [share * total, (1 - share) * total])
         assert reached == pytest.approx([share * total, (1 - share) * total], rel=1e-5) and steps < 30
         assert df.select(F.min(rate)).first()[0] >= 0
 
 
 def test_targets_out_of_reach_end_at_the_nearest_rates(spark):
     df = spark.createDataFrame([(k, 10, [0.6, 0.4] if k % 2 else [0.4, 0.6]) for k in range(40)], "doc_id long, tokens long, p array<double>")
-    rate, reached, _ = mixing.fit_rates(df, [400.0, 0.0])
+    rate, reached, *_ = mixing.fit_rates(df, [400.0, 0.0])
     rates = {r.doc_id: r.r for r in df.select("doc_id", rate.alias("r")).collect()}
     assert all(v == 0 for k, v in rates.items() if k % 2 == 0) and all(v > 0 for k, v in rates.items() if k % 2)
     assert reached[0] > 1.4 * reached[1]
 
 
+def test_totals_equal_brute_force_least_squares(spark):
+    """One rate after the other set to its best value, in numpy, until nothing moves."""
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([4.0, 1.0, 0.5], 120)
+    t = rng.integers(1, 200, 120).astype(float)
+    df = spark.createDataFrame([(k, int(a), [float(x) for x in b]) for k, (a, b) in enumerate(zip(t, p))], "doc_id long, tokens long, p array<double>")
+    totals, metric = t @ p, np.linalg.inv((p * t[:, None]).T @ p)
+    for wanted in (totals * [1.0, 0.2, 0.3], totals * [0.6, 1.2, 0.1], totals * [1.9, 0.9, 1.0]):
+        r = np.ones(120)
+        for _ in range(500):
+            for i in range(120):
+                miss = (t * r) @ p - wanted
+                r[i] = np.clip(r[i] - (p[i] @ metric @ miss) / (t[i] * (p[i] @ metric @ p[i])), 0, mixing.MOST)
+        far = lambda x: math.sqrt((x - wanted) @ metric @ (x - wanted))
+        fit = mixing.fit_rates(df, list(wanted))
+        assert fit.converged and fit.steps < mixing.MAX_STEPS
+        assert far(np.array(fit.reached)) <= 1.05 * far((t * r) @ p) + 1e-3 * far(0 * totals)
+        got = np.array([x.r for x in df.select("doc_id", fit.rate.alias("r")).orderBy("doc_id").collect()])
+        assert got.min() >= 0 and got.max() <= mixing.MOST and (t * got) @ p == pytest.approx(fit.reached)
+
+
+def test_the_classifier_tells_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = mixing.fit_classifier(docs, labels.filter("doc_id % 3 <> 0"))
+    held = docs.join(labels.filter("doc_id % 3 = 0").dropDuplicates(["doc_id"]), "doc_id")
+    got = mixing.domain_members(held, model).join(labels.dropDuplicates(["doc_id"]), "doc_id").select("quality", "toxic", F.get("p", F.lit(0)).alias("clean"), F.get("p", F.lit(1)).alias("foul")).toPandas()
+    clean, toxic = got[(got.quality == 1) & (got.toxic == 0)], got[got.toxic == 1]
+    assert (clean.clean > 0.5).mean() > 0.97 and (toxic.foul > 0.5).mean() > 0.8
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -42,7 +76,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "good words here", 1), (1, "good words here", 1), (2, None, 2), (None, "", 3)], "doc_id long, text string, TOKENS int")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     got = mixing.document_rates(docs, labels).collect()
-    assert len(got) == 4 and all(r.rate >= 0 for r in got) and [r.n_tokens for r in got] == [3, 3, 0, 0]
+    assert len(got) == 4 and all(r.rate >= 0 for r in got) and sorted(r.n_tokens for r in got) == [0, 0, 3, 3]
     assert mixing.resample(docs, labels).columns == docs.columns
     assert mixing.document_rates(docs.limit(0), labels.limit(0)).count() == 0
 
