@@ -140,3 +140,27 @@ def test_full_buckets_are_split_into_blocks(spark, monkeypatch):
     rows = [(k, [float(x) for x in base + 0.02 * rng.standard_normal(32)], 1) for k in range(60)]
     got = itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert all(r.n_links == 59 and r.component_id == 0 for r in got)
+
+
+def test_vectors_about_a_distant_mean(spark):
+    """Signs about the origin are not balanced there; planted neighbours must still be found, at a fraction of all pairs."""
+    rng = np.random.default_rng(11)
+    n, dim = 4000, 32
+    x = rng.standard_normal((n, dim))
+    mean = rng.standard_normal(dim)
+    x += 3 * np.sqrt(dim) * mean / np.linalg.norm(mean)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = rng.uniform(0.985, 0.999, 200)
+    side = rng.standard_normal((200, dim))
+    side -= (side * unit[:200]).sum(1, keepdims=True) * unit[:200]
+    x[1000:1200] = want[:, None] * unit[:200] + np.sqrt(1 - want[:, None] ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = int((np.triu(unit @ unit.T, 1) >= 0.98).sum())
+    df = spark.createDataFrame([(k, [float(z) for z in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    given = itq.clean_vectors(df).select(itq.F.col("vec_id").alias("node"), itq.F.lit(1).cast("long").alias("copies"), "label", "v")
+    keys = np.array([r["keys"] for r in itq.split_keys(itq.index(given)).select("keys").collect()])
+    pairs = sum(int(c * (c - 1) // 2) for k in range(itq.TABLES) for c in np.unique(keys[:, k], return_counts=True)[1])
+    assert pairs < 0.05 * n * n
+    got = itq.near_duplicates(df).collect()
+    assert true >= 200 and 0.9 * true <= sum(r.n_links for r in got) / 2 <= true
