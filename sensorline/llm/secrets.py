@@ -139,27 +139,35 @@ def _outside(weak: Column, base: Column) -> Column:
     return let(base, lambda b: F.filter(weak, lambda w: ~F.exists(b, lambda x: (x["start"] < w["end"]) & (w["start"] < x["end"]))))
 
 
+def _spanned(df: DataFrame, text_col: str, scope: int) -> tuple[DataFrame, str, str]:
+    """``df`` with two more columns of new names, which are given: base spans and all spans.
+
+    The patterns run once; rows and findings are written, so only rows with weak
+    candidates are shuffled, to meet the linked ones of their text.
+    """
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    base, weak, content, spans, key = (fresh_name(df, x) for x in ("base", "weak", "content", "all", "linked"))
+    rows = [F.col(f"`{c}`") for c in df.columns]
+    held = df.select(*rows, base_spans(text).alias(base), weak_spans(text).alias(weak), F.sha2(text, 256).alias(content))
+    held = stage_table(held.withColumn(weak, _outside(F.col(weak), F.col(base))), "spans")
+    some = held.filter(F.size(weak) > 0)
+    linked = link_parts(some.select(F.col(content).alias("content"), F.col(base).alias("base"), F.col(weak).alias("weak")), scope).withColumnsRenamed({"content": content, "linked": key})
+    alone = held.filter(F.size(weak) == 0).select(*rows, base, F.col(base).alias(spans))
+    every = F.array_sort(F.concat(F.col(base), F.coalesce(F.col(key), F.array().cast(_SPAN))))
+    return alone.unionByName(some.join(linked, content, "left").select(*rows, base, every.alias(spans))), base, spans
+
+
 def scan(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Add ``base_spans`` and ``spans`` (base and linked ones), arrays of
     (start, kind, end) in code points, end exclusive, by start and then kind.
 
     A null text has no spans. Repeated rows stay. Linked spans are found once
-    per distinct text and joined back by its digest; texts without weak
-    candidates are spread over keys of their own, so they make no hot key.
-    Columns of these names are replaced.
+    per distinct text and joined back by its digest to the rows that have weak
+    candidates. Columns of these names are replaced.
     """
+    found, base, spans = _spanned(df, text_col, scope)
     rest = [c for c in df.columns if c.lower() not in ("base_spans", "spans")]
-    text = text_or_empty(F.col(f"`{text_col}`"))
-    base, weak, content = (fresh_name(df, x) for x in ("base", "weak", "content"))
-    held = df.select(*[F.col(f"`{c}`") for c in rest], base_spans(text).alias(base), weak_spans(text).alias(weak), F.sha2(text, 256).alias(content))
-    held = held.withColumn(weak, _outside(F.col(weak), F.col(base)))
-    found = stage_table(held.filter(F.size(weak) > 0).select(F.col(content).alias("content"), F.col(base).alias("base"), F.col(weak).alias("weak")), "weak-spans")
-    linked = link_parts(found, scope).withColumnRenamed("content", content)
-    return held.join(linked, content, "left").select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.col(base).alias("base_spans"),
-        F.array_sort(F.concat(F.col(base), F.coalesce(F.col("linked"), F.array().cast(_SPAN)))).alias("spans"),
-    )
+    return found.select(*[F.col(f"`{c}`") for c in rest], F.col(base).alias("base_spans"), F.col(spans).alias("spans"))
 
 
 def _count(spans: str, kind: str) -> Column:
@@ -189,14 +197,12 @@ def report(documents: DataFrame) -> DataFrame:
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every found span of the text replaced by ``[kind]``; null stays null.
 
-    Overlapping spans are replaced together under the first one's kind.
+    Overlapping spans are replaced together under the first one's kind. All
+    columns stay, whatever their names.
     """
     text = F.col(f"`{text_col}`")
     names = F.array(*map(F.lit, KINDS))
-    name = fresh_name(df, "spans")
-    found = scan(df, text_col).withColumnRenamed("spans", name).drop("base_spans") if not {"spans", "base_spans"} & set(map(str.lower, df.columns)) else None
-    if found is None:
-        raise ValueError("rename the columns spans and base_spans first")
+    found, _, name = _spanned(df, text_col, SCOPE)
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])

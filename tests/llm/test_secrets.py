@@ -75,3 +75,11 @@ def test_scope_runs_from_end_to_start(spark):
     texts = [f"{address} {key}", f"{key} {address}", f"{address}{' ' * 299} {key}", f"{address}{' ' * 300} {key}", f"{key}{' ' * 301}{address}", f"{key}{' ' * 300}{address}"]
     got = {r.doc_id: "key" in r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, 'token = "abcdef0123456789"', 5, "x"), (2, None, None, None), (2, "plain", 6, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, Base_Spans string")
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text or "", r.spans or 0) for r in got.collect()) == [(1, "[assign]\"", 5), (2, "", 0), (2, "plain", 6)]
