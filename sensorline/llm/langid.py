@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorline.llm.common import stage_table
+from sensorline.llm.common import let, stage_table
 from sensorline.llm.html import main_text
 from sensorline.llm.urls import host_of
 
@@ -30,6 +30,8 @@ TRIGRAMS_PER_FACT = 4.0
 HOST_PULL, DOMAIN_PULL = 8.0, 32.0
 #: Weight of a declared language or suffix that nothing was seen about.
 PULL = 4.0
+#: Rows of a grouped table (some hundred bytes each) that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: Posterior from which a language counts as identified.
 CONFIDENT = 0.5
 CHUNK_CHARS = 1_000_000
@@ -130,38 +132,53 @@ def evidence(pages: DataFrame) -> DataFrame:
     )
 
 
+def _joinable(side: DataFrame) -> DataFrame:
+    """``side`` written and, up to BROADCAST_ROWS rows as counted, broadcast: rows of a
+    hot host then stay where they are. A larger side is joined by shuffle, which
+    can split the rows of a key because the side is a table."""
+    held = stage_table(side, "evidence")
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+
+
 def fuse(scored: DataFrame, langs: list[str]) -> DataFrame:
     """Add ``lang``, ``posterior`` and ``kept`` to rows with host, domain, declared,
     suffix and scores. Evidence that a row lacks (null) adds nothing; equal
-    posteriors go to the first language in order."""
+    posteriors go to the first language in order. What a host, domain, declared
+    language or suffix says is learned from the other rows: a row's own text
+    counts once, as its likelihood."""
     n = len(langs)
-    soft = scored.select("host", "domain", "declared", "suffix", *[p.alias(f"p{k}") for k, p in enumerate(_normal(F.col("scores"), n))])
+    own = F.array(*_normal(F.col("scores"), n))
+    soft = scored.select("host", "domain", "declared", "suffix", *[F.get(own, F.lit(k)).alias(f"p{k}") for k in range(n)])
     sums = [F.sum(f"p{k}").alias(f"s{k}") for k in range(n)]
     row = soft.agg(*sums).first()
     total = [(row[f"s{k}"] or 0.0) + 1.0 for k in range(n)]
     corpus = [t / sum(total) for t in total]
-    by_host = soft.groupBy("host", "domain").agg(*sums)
-    by_domain = by_host.groupBy(F.col("domain").alias("d")).agg(*[F.sum(f"s{k}").alias(f"d{k}") for k in range(n)])
-    hosts = by_host.join(by_domain, F.col("domain").eqNullSafe(F.col("d")), "left")
-    all_h, all_d = sum((F.col(f"s{k}") for k in range(n)), F.lit(0.0)), sum((F.col(f"d{k}") for k in range(n)), F.lit(0.0))
-    domain_prior = [(F.col(f"d{k}") + DOMAIN_PULL * corpus[k]) / (all_d + DOMAIN_PULL) for k in range(n)]
-    prior = F.array(*[F.log((F.col(f"s{k}") + HOST_PULL * domain_prior[k]) / (all_h + HOST_PULL)) for k in range(n)])
-    hosts = hosts.filter("host is not null").select(F.col("host").alias("h"), prior.alias("prior")).dropDuplicates(["h"])
+    vector = F.array(*[F.col(f"s{k}") for k in range(n)])
+    by_host = soft.filter("host is not null").groupBy("host").agg(F.max("domain").alias("domain"), *sums)
+    by_domain = by_host.filter("domain is not null").groupBy(F.col("domain").alias("d")).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]).select("d", vector.alias("in_domain"))
+    hosts = by_host.select(F.col("host").alias("h"), "domain", vector.alias("at_host")).join(by_domain, F.col("domain") == F.col("d"), "left").select("h", "at_host", "in_domain")
 
     def told(kind: str) -> DataFrame:
-        """Log P(value | language) up to a constant, smoothed towards no opinion."""
-        seen = soft.filter(F.col(kind).isNotNull()).groupBy(F.col(kind).alias(f"v_{kind}")).agg(*sums)
-        every = sum((F.col(f"s{k}") for k in range(n)), F.lit(0.0))
-        return seen.select(f"v_{kind}", F.array(*[F.log((F.col(f"s{k}") + PULL * corpus[k]) / (every + PULL) / corpus[k]) for k in range(n)]).alias(f"t_{kind}"))
+        return soft.filter(F.col(kind).isNotNull()).groupBy(F.col(kind).alias(f"v_{kind}")).agg(*sums).select(f"v_{kind}", vector.alias(f"t_{kind}"))
+
+    sides = {"host": ("h", hosts), "declared": ("v_declared", told("declared")), "suffix": ("v_suffix", told("suffix"))}
+    out = scored.withColumn("own", own)
+    for kind, (key, side) in sides.items():
+        side = _joinable(side)
+        out = out.join(side, out[kind] == side[key], "left")
+    base = F.array(*map(F.lit, corpus))
+    others = lambda c: F.coalesce(F.zip_with(c, F.col("own"), lambda a, b: F.greatest(a - b, F.lit(0.0))), F.array(*[F.lit(0.0)] * n))
+
+    def smooth(counts: Column, towards: Column, pull: float) -> Column:
+        """Shares of ``counts`` with ``pull`` rows of the shares ``towards``."""
+        return let(counts, lambda c: let(F.aggregate(c, F.lit(pull), lambda s, v: s + v), lambda all_: F.zip_with(c, towards, lambda a, b: (a + pull * b) / all_)))
 
-    out = scored.join(hosts, scored.host == hosts.h, "left")
+    out = out.withColumn("prior", smooth(others(F.col("at_host")), smooth(others(F.col("in_domain")), base, DOMAIN_PULL), HOST_PULL))
     for kind in ("declared", "suffix"):
-        side = told(kind)
-        out = out.join(side, out[kind] == side[f"v_{kind}"], "left")
-    flat = F.array(*[F.lit(0.0)] * n)
-    base = F.array(*[F.lit(math.log(c)) for c in corpus])
-    parts = [F.col("scores"), F.coalesce("prior", base), F.coalesce("t_declared", flat), F.coalesce("t_suffix", flat)]
-    joined = out.withColumn("fused", F.array(*[sum((F.get(p, F.lit(k)) for p in parts), F.lit(0.0)) for k in range(n)]))
+        out = out.withColumn(f"x_{kind}", smooth(others(F.col(f"t_{kind}")), base, PULL))
+    # P(value | language) is P(language | value) / P(language), up to a constant
+    part = lambda k: [F.get("scores", F.lit(k)), F.log(F.get("prior", F.lit(k))), F.log(F.get("x_declared", F.lit(k)) / corpus[k]), F.log(F.get("x_suffix", F.lit(k)) / corpus[k])]
+    joined = out.withColumn("fused", F.array(*[sum(parts[1:], parts[0]) for parts in map(part, range(n))]))
     probs = joined.withColumn("fused", F.array(*_normal(F.col("fused"), n)))
     best = F.array_max("fused")
     return probs.select(
@@ -179,8 +196,9 @@ def identify(documents: DataFrame, pages: DataFrame) -> DataFrame:
     Documents have no markup and no address; their source stands for the host.
     Null texts are judged by the other evidence alone. The text pass is written
     once; the grouped aggregates and the fusion read its few numbers a row. A
-    host with a third of all rows is aggregated before the shuffle and split by
-    the join's skew handling.
+    host with a third of all rows is aggregated before the shuffle; the tables
+    of hosts, declared languages and suffixes are broadcast as long as counting
+    shows them to be small. Only languages that some document names are given.
     """
     langs, model = train(documents)
     if not langs:

@@ -121,3 +121,38 @@ def test_languages_of_odd_rows(spark):
     assert len(got) == 8 and all(r.lang in ("de", "en") for r in got)
     assert langid.identify(docs.limit(0), pages).filter("lang is null").count() == 3
     assert langid.identify(docs, pages.limit(0)).count() == 5
+
+
+def test_fusion_equals_brute_force(spark):
+    """Every source of evidence counted over the other rows, in plain Python."""
+    import math
+
+    rng, langs = __import__("random").Random(3), ["de", "en", "fr"]
+    rows = [(k, rng.choice(["a.x.org", "b.x.org", "c.y.de", None]), rng.choice(langs + [None]), rng.choice(["de", "fr", None]), [rng.uniform(-9, 0) for _ in langs]) for k in range(40)]
+    rows = [(k, h, h and ".".join(h.split(".")[1:]), d, s, v) for k, h, d, s, v in rows]
+    df = spark.createDataFrame(rows, "id int, host string, domain string, declared string, suffix string, scores array<double>")
+    soft = [[math.exp(x) / sum(map(math.exp, r[5])) for x in r[5]] for r in rows]
+    total = [sum(p[k] for p in soft) + 1 for k in range(3)]
+    corpus = [t / sum(total) for t in total]
+
+    def others(i, at):
+        mine = [soft[j] for j in range(len(rows)) if j != i and rows[i][at] is not None and rows[j][at] == rows[i][at]]
+        return [sum(p[k] for p in mine) for k in range(3)]
+
+    smooth = lambda c, to, pull: [(a + pull * b) / (sum(c) + pull) for a, b in zip(c, to)]
+    want = {}
+    for i, r in enumerate(rows):
+        prior = smooth(others(i, 1), smooth(others(i, 2), corpus, langid.DOMAIN_PULL), langid.HOST_PULL)
+        told = [smooth(others(i, at), corpus, langid.PULL) for at in (3, 4)]
+        score = [r[5][k] + math.log(prior[k]) + sum(math.log(t[k] / corpus[k]) for t in told) for k in range(3)]
+        e = [math.exp(x - max(score)) for x in score]
+        want[r[0]] = (langs[e.index(max(e))], max(e) / sum(e))
+    got = {r.id: (r.lang, r.posterior) for r in langid.fuse(df, langs).collect()}
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_languages_with_clashing_columns_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "the and of to in is that " * 40_000, "en", "s", 1), (1, "the and of to in is that " * 40_000, "en", "s", 1), (2, "der und die das ist nicht", "de", "s", 2)], "doc_id long, text string, lang string, source string, SCORES int")
+    pages = spark.createDataFrame([(7, "http://a.de/x", "<p>und die</p>", "x")], "page_id long, url string, html string, Host string")
+    got = langid.identify(docs, pages).collect()
+    assert sorted((r.doc_id or 0, r.lang) for r in got)[1:] == [(1, "en"), (1, "en"), (2, "de")]
