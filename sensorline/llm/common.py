@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,15 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local runs and tests) a temporary folder of this machine is taken.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset on
+    a local master (tests) a temporary folder of this machine is taken.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark.sparkContext, "_corpus_scratch", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="corpus-")
@@ -41,7 +44,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stage_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``stage_table`` that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.stage_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
