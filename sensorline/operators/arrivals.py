@@ -83,7 +83,7 @@ def subarray_slice(arrivals: DataFrame, subarrays: DataFrame) -> DataFrame:
 
 def subarray_status(arrivals: DataFrame, subarrays: DataFrame, packets: DataFrame, min_channels: int = 3) -> DataFrame:
     """One row per packet and subarray: n, valid and the reason if not valid."""
-    grid = packets.select("packet").distinct().crossJoin(F.broadcast(subarrays.select("subarray_id", "start_ch", "n_ch")))
+    grid = packets.select("packet").distinct().crossJoin(subarrays.select("subarray_id", "start_ch", "n_ch"))  # all pairs are wanted; subarrays are few
     seen = arrivals.select("packet").distinct().withColumn("seen", F.lit(True))
     counts = subarray_slice(arrivals, subarrays).groupBy("packet", "subarray_id").agg(F.count("*").alias("n"))
     held = grid.join(counts, ["packet", "subarray_id"], "left").join(seen, "packet", "left")

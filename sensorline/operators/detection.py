@@ -58,10 +58,12 @@ def find_peaks(series: DataFrame, height: float, prominence: float, distance: in
     ``distance`` samples from higher ones and rise ``prominence`` above the
     higher of the two valleys between them and higher ground.
 
-    Maxima are found by windows; only they and the valleys between them go to
-    the grouped function, so a group is far smaller than its series.
+    Maxima of enough height are found by windows; only they and the valleys
+    between them go to the grouped function: ground higher than a peak is always
+    among them. Each meets its neighbours within ``distance`` and, on a stack,
+    the peaks below it, once.
     """
-    maxima = local_maxima(series, float("-inf")).select("channel", F.col("peak").alias("sample_idx"), F.lit(True).alias("top"))
+    maxima = local_maxima(series, height).select("channel", F.col("peak").alias("sample_idx"), F.lit(True).alias("top"))
     w = W.partitionBy("channel").orderBy("sample_idx")
     marked = series.select("channel", "sample_idx", "value").join(maxima, ["channel", "sample_idx"], "left")
     valley = marked.withColumn("__g", F.sum(F.col("top").isNotNull().cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -75,23 +77,27 @@ def find_peaks(series: DataFrame, height: float, prominence: float, distance: in
         peaks = rows[rows["level"].notna()]
         at, level = peaks["at"].to_numpy(), peaks["level"].to_numpy()
         low = rows["valley"].to_numpy()  # low[0] lies before the first maximum, low[k + 1] behind maximum k
-        keep = level >= height
+        if len(low) == len(at):  # the series begins with a maximum's part
+            low = np.concatenate([[np.inf], low])
+        keep = np.ones(len(at), bool)
         for k in np.argsort(-level, kind="stable"):
             if keep[k]:
-                near = keep & (np.abs(at - at[k]) < distance) & (np.arange(len(at)) != k) & ((level < level[k]) | (level == level[k]) & (np.arange(len(at)) > k))
-                keep &= ~near
-        out = []
-        for k in np.flatnonzero(keep):
-            a = k
-            while a > 0 and level[a - 1] <= level[k]:
-                a -= 1
-            b = k
-            while b < len(at) - 1 and level[b + 1] <= level[k]:
-                b += 1
-            left, right = low[a : k + 1].min(), low[k + 1 : b + 2].min()
-            rise = level[k] - max(left, right)
-            if rise >= prominence:
-                out.append((at[k], level[k], rise))
+                a, b = np.searchsorted(at, at[k] - distance, "right"), np.searchsorted(at, at[k] + distance)
+                others = np.arange(a, b)
+                keep[others[(level[a:b] < level[k]) | (level[a:b] == level[k]) & (others > k)]] = False
+
+        def valleys(levels, between):
+            """Lowest ground from each peak back to higher ground (or the end)."""
+            out, stack = np.empty(len(levels)), []
+            for k, (v, ground) in enumerate(zip(levels, between)):
+                while stack and stack[-1][0] <= v:
+                    ground = min(ground, stack.pop()[1])
+                out[k] = ground
+                stack.append((v, ground))
+            return out
+
+        rise = level - np.maximum(valleys(level, low[: len(at)]), valleys(level[::-1], low[::-1][: len(at)])[::-1])
+        out = [(at[k], level[k], rise[k]) for k in np.flatnonzero(keep & (rise >= prominence))]
         return pd.DataFrame({"channel": rows["channel"].iloc[0], "peak": [o[0] for o in out], "level": [o[1] for o in out], "prominence": [o[2] for o in out]})
 
     kind = series.schema["channel"].dataType.simpleString()

@@ -81,80 +81,91 @@ def qualified_packets(fits: DataFrame, subarrays: DataFrame) -> DataFrame:
     return good.groupBy("packet").agg(F.count_distinct("subarray_id").alias("n")).join(F.broadcast(wanted)).filter("n = wanted").select("packet")
 
 
-def grid_cells(window: tuple[float, float, float, float], cell_m: float, df: DataFrame) -> DataFrame:
-    """``df`` with each row at every cell (ix, iy; centre e, n) of the window."""
+_FIT = ("angle_deg", "ax", "ay", "az", "re", "rn", "ru")
+
+
+def _grid(window: tuple[float, float, float, float], cell_m: float) -> Column:
+    """Array of all cells (ix, iy; centre e, n) of a window; the same for every row."""
     nx, ny = (math.ceil((window[i + 1] - window[i]) / cell_m) for i in (0, 2))
-    out = df.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
-    return out.withColumns({"e": window[0] + (F.col("ix") + 0.5) * cell_m, "n": window[2] + (F.col("iy") + 0.5) * cell_m})
+    cell = lambda ix, iy: F.struct(ix.alias("ix"), iy.alias("iy"), (window[0] + (ix + 0.5) * cell_m).alias("e"), (window[2] + (iy + 0.5) * cell_m).alias("n"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda ix: F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda iy: cell(ix, iy))))
 
 
-def intersect_bands(fits: DataFrame, window: tuple[float, float, float, float], cell_m: float = 5.0, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
-    """packet, ix, iy, e, n of the cells inside the bands of all fits of a packet.
+def _in_band(f: Column, c: Column, angle: Column, source_u: float, spread_deg: float, reach: float = 0.0) -> Column:
+    """Whether the angle between a fit's axis and the direction from a cell to its
+    reference is within ``spread_deg`` of ``angle``, at the cell's centre or, with
+    ``reach``, perhaps at a point so far from it."""
+    d = [f["re"] - c["e"], f["rn"] - c["n"], f["ru"] - F.lit(source_u)]
+    r = F.greatest(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), F.lit(1e-9))
+    cos = (d[0] * f["ax"] + d[1] * f["ay"] + d[2] * f["az"]) / r
+    slack = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(reach) / r))) if reach else F.lit(0.0)
+    near = F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))) - angle) <= spread_deg + slack
+    return near | (r <= reach) if reach else near
 
-    A cell is inside a band if the angle between the axis and the direction from
-    the cell to the reference is within ``spread_deg`` of the fit's. The fits
-    of a packet (one per subarray, a handful) travel with the cells as an
-    array, so cells need no shuffle: one aggregation gathers the fits, then
-    every cell is tested where it is made.
-    """
-    held = fits.groupBy("packet").agg(F.collect_list(F.struct("angle_deg", "ax", "ay", "az", "re", "rn", "ru")).alias("fits"))
-    cells = grid_cells(window, cell_m, held)
 
-    def inside(f: Column) -> Column:
-        d = [f["re"] - F.col("e"), f["rn"] - F.col("n"), f["ru"] - F.lit(source_u)]
-        r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        cos = (d[0] * f["ax"] + d[1] * f["ay"] + d[2] * f["az"]) / r
-        return F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))) - f["angle_deg"]) <= spread_deg
+def _packets(fits: DataFrame, cells: Column, source_u: float, spread_deg: float, reach: float = 0.0) -> DataFrame:
+    """packet, fits of each packet, with ``angle``: the fit's, or 180 degrees less it
+    where its band meets no cell (there the sound came from the other side)."""
+    held = fits.groupBy("packet").agg(F.collect_list(F.struct(*_FIT)).alias("fits"))
+    hit = lambda f: F.exists(cells, lambda c: _in_band(f, c, f["angle_deg"], source_u, spread_deg, reach))
+    turned = F.transform("fits", lambda f: F.struct(F.when(hit(f), f["angle_deg"]).otherwise(180 - f["angle_deg"]).alias("angle"), *[f[x].alias(x) for x in _FIT]))
+    return held.select("packet", F.explode(F.array(turned)).alias("fits"))
 
-    return cells.filter(F.forall("fits", inside)).select("packet", "ix", "iy", "e", "n")
 
+def intersect_bands(fits: DataFrame, window: tuple[float, float, float, float], cell_m: float = 5.0, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
+    """packet, ix, iy, e, n of the cells whose centres lie inside the bands of all fits of a packet.
 
-def refine(coarse: DataFrame, fits: DataFrame, window: tuple[float, float, float, float], cell_m: float, parts: int, **options) -> DataFrame:
-    """Cells ``parts`` times finer, looked for only where coarse cells survived and next to them."""
-    near = coarse.select("packet", F.explode(F.sequence(F.col("ix") - 1, F.col("ix") + 1)).alias("ix"), "iy").select("packet", "ix", F.explode(F.sequence(F.col("iy") - 1, F.col("iy") + 1)).alias("iy")).distinct()
-    fine = near.select("packet", F.explode(F.sequence(F.col("ix") * parts, F.col("ix") * parts + parts - 1)).alias("ix"), "iy").select("packet", "ix", F.explode(F.sequence(F.col("iy") * parts, F.col("iy") * parts + parts - 1)).alias("iy"))
-    size = cell_m / parts
-    held = fits.groupBy("packet").agg(F.collect_list(F.struct("angle_deg", "ax", "ay", "az", "re", "rn", "ru")).alias("fits"))
-    placed = fine.join(held, "packet").withColumns({"e": window[0] + (F.col("ix") + 0.5) * size, "n": window[2] + (F.col("iy") + 0.5) * size})
-    placed = placed.filter(F.col("e").between(window[0], window[1]) & F.col("n").between(window[2], window[3]))
-    spread, source_u = options.get("spread_deg", SPREAD_DEG), options.get("source_u", SOURCE_U)
+    A cell is inside a band if the angle between the axis and the direction from
+    the cell to the reference is within ``spread_deg`` of the fit's, or of its
+    supplement where the band meets no cell of the window. The fits of a packet
+    (one per subarray, a handful) are one row, so one aggregation is the only
+    shuffle.
+    """
+    cells = _grid(window, cell_m)
+    inside = F.filter(cells, lambda c: F.forall("fits", lambda f: _in_band(f, c, f["angle"], source_u, spread_deg)))
+    return _packets(fits, cells, source_u, spread_deg).select("packet", F.inline(inside))
 
-    def inside(f: Column) -> Column:
-        d = [f["re"] - F.col("e"), f["rn"] - F.col("n"), f["ru"] - F.lit(source_u)]
-        r = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        cos = (d[0] * f["ax"] + d[1] * f["ay"] + d[2] * f["az"]) / r
-        return F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))) - f["angle_deg"]) <= spread
 
-    return placed.filter(F.forall("fits", inside)).select("packet", "ix", "iy", "e", "n")
+def fine_cells(fits: DataFrame, window: tuple[float, float, float, float], coarse_m: float = 5.0, parts: int = 5, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
+    """``intersect_bands`` with cells ``parts`` times finer than ``coarse_m``, looked for
+    only in coarse cells that any point of all bands may lie in; none is lost."""
+    reach, size = coarse_m * math.sqrt(0.5), coarse_m / parts
+    coarse = _grid(window, coarse_m)
+    held = _packets(fits, coarse, source_u, spread_deg, reach)
+    left = F.filter(coarse, lambda c: F.forall("fits", lambda f: _in_band(f, c, f["angle"], source_u, spread_deg, reach)))
+    steps = F.sequence(F.lit(0), F.lit(parts - 1))
+    fine = lambda c, i, j: F.struct((c["ix"] * parts + i).alias("ix"), (c["iy"] * parts + j).alias("iy"), (window[0] + (c["ix"] * parts + i + 0.5) * size).alias("e"), (window[2] + (c["iy"] * parts + j + 0.5) * size).alias("n"))
+    split = held.select("packet", "fits", F.explode(left).alias("c")).select("packet", "fits", F.explode(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: fine(F.col("c"), i, j))))).alias("c"))
+    inside = F.forall("fits", lambda f: _in_band(f, F.col("c"), f["angle"], source_u, spread_deg)) & (F.col("c.e") < window[1]) & (F.col("c.n") < window[3])
+    return split.filter(inside).select("packet", "c.*")
 
 
 def regions(cells: DataFrame) -> DataFrame:
     """Add ``region``: number of the connected region (4 neighbours) of a packet's cells.
 
-    A group is the surviving cells of one packet, a small share of its window.
+    A group is the surviving cells of one packet, a small share of its window;
+    labels run along all neighbours at once until none changes.
     """
 
     def label(rows):
         import numpy as np
 
-        order = np.lexsort((rows["iy"], rows["ix"]))
-        rows = rows.iloc[order].reset_index(drop=True)
-        at = {(x, y): k for k, (x, y) in enumerate(zip(rows["ix"], rows["iy"]))}
-        region = np.full(len(rows), -1)
-        count = 0
-        for k in range(len(rows)):
-            if region[k] < 0:
-                region[k] = count
-                todo = [k]
-                while todo:
-                    x, y = rows["ix"][todo[-1]], rows["iy"][todo.pop()]
-                    for p in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
-                        j = at.get(p, -1)
-                        if j >= 0 and region[j] < 0:
-                            region[j] = count
-                            todo.append(j)
-                count += 1
-        return rows.assign(region=region)
+        rows = rows.sort_values(["ix", "iy"]).reset_index(drop=True)
+        width = int(rows["iy"].max()) + 2
+        key = rows["ix"].to_numpy(np.int64) * width + rows["iy"].to_numpy(np.int64)
+        pairs = []
+        for step in (1, width):
+            at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+            hit = np.flatnonzero(key[at] == key + step)
+            pairs.append((hit, at[hit]))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        top = np.arange(len(key))
+        while (top[a] != top[b]).any():
+            least = np.minimum(top[a], top[b])
+            np.minimum.at(top, a, least)
+            np.minimum.at(top, b, least)
+            top = top[top]
+        return rows.assign(region=np.unique(top, return_inverse=True)[1])
 
     kind = cells.schema["packet"].dataType.simpleString()
     return cells.groupBy("packet").applyInPandas(label, f"packet {kind}, ix int, iy int, e double, n double, region int")
@@ -169,6 +180,4 @@ def track_centroids(labelled: DataFrame, cell_m: float, top: int = 2, source_u:
 
 def locate(fits: DataFrame, window: tuple[float, float, float, float], coarse_m: float = 5.0, parts: int = 5, **options) -> DataFrame:
     """Track of all packets: coarse cells, finer cells around them, regions, centroids."""
-    coarse = intersect_bands(fits, window, coarse_m, **options)
-    fine = refine(coarse, fits, window, coarse_m, parts, **options)
-    return track_centroids(regions(fine), coarse_m / parts, source_u=options.get("source_u", SOURCE_U))
+    return track_centroids(regions(fine_cells(fits, window, coarse_m, parts, **options)), coarse_m / parts, source_u=options.get("source_u", SOURCE_U))

@@ -67,8 +67,8 @@ def cumulative_gps_distance(line: DataFrame) -> DataFrame:
 
 
 def nearest_vertex(points: DataFrame, line: DataFrame) -> DataFrame:
-    """point_id, seq, cum of the closest vertex of a chained line (a few hundred
-    vertices, broadcast); the first wins ties."""
+    """point_id, seq, cum of the closest vertex of a chained line of a few hundred
+    vertices, joined by cable; the first wins ties."""
     v = line.select("cable_id", "seq", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), "cum")
     d = distance_equirect(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"))
     met = points.select("cable_id", "point_id", "lat", "lon").join(v, "cable_id")
@@ -182,14 +182,24 @@ def interp_positions(queries: DataFrame, fixes: DataFrame, on: tuple[str, ...] =
     return met.select(*[c for c in queries.columns], *made)
 
 
-def tx_locations(queries: DataFrame, fixes: DataFrame, alt: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """lat, lon, alt of the source at times ``t``, linear in Cartesian axes, clamped at the ends."""
-    x, y, z = to_cartesian(F.col("lat"), F.col("lon"), F.lit(float(alt)))
+def altitude_at(tx_alt: Column, second: Column) -> Column:
+    """Altitude of a run (map of seconds to metres) at a second: that of the last key
+    not after it, of the first one before all."""
+    keys = F.sort_array(F.map_keys(tx_alt))
+    last = F.array_max(F.filter(keys, lambda k: k <= second))
+    return F.element_at(tx_alt, F.coalesce(last, F.get(keys, F.lit(0))))
+
+
+def tx_locations(queries: DataFrame, fixes: DataFrame, alt: float | Column, on: tuple[str, ...] = ()) -> DataFrame:
+    """lat, lon, alt of the source at times ``t``, linear in Cartesian axes, clamped at
+    the ends. ``alt`` is a number or a column over the queries, such as ``altitude_at``."""
+    moving = isinstance(alt, Column)
+    x, y, z = to_cartesian(F.col("lat"), F.col("lon"), F.lit(0.0 if moving else float(alt)))
     knots = fixes.select(*on, "t", x.alias("x"), y.alias("y"), z.alias("z"))
     met = bracketing(queries, knots, "t", ["x", "y", "z"], on)
     axis = lambda c: F.coalesce(lerp(F.col("t"), F.col("at_lo"), F.col("at_hi"), F.col(f"{c}_lo"), F.col(f"{c}_hi")), F.col(f"{c}_lo"), F.col(f"{c}_hi"))
     lat, lon, up = to_gps(axis("x"), axis("y"), axis("z"))
-    return met.select(*queries.columns, lat.alias("lat"), lon.alias("lon"), up.alias("alt"))
+    return met.select(*queries.columns, lat.alias("lat"), lon.alias("lon"), (alt if moving else up).alias("alt"))
 
 
 def interp_segment_angles(segs: DataFrame, channels: DataFrame) -> DataFrame:

@@ -26,29 +26,37 @@ def butterworth_bandpass(f_lo: float, f_hi: float, fs: float, order: int = 6) ->
     return sos
 
 
-def impulse_response(sos: np.ndarray, eps: float = 1e-9, most: int = 1 << 16) -> np.ndarray:
+def impulse_response(sos: np.ndarray, eps: float = 1e-9, most: int = 1 << 22) -> np.ndarray:
     """Response to a unit pulse, cut where it stays below ``eps`` of its largest value."""
-    x = np.zeros(most)
-    x[0] = 1.0
-    for b0, b1, b2, _, a1, a2 in sos:
-        y = np.zeros(most)
-        s1 = s2 = 0.0
-        for n in range(most):
-            v = x[n]
-            y[n] = b0 * v + s1
-            s1 = b1 * v - a1 * y[n] + s2
-            s2 = b2 * v - a2 * y[n]
-        x = y
-    last = np.flatnonzero(np.abs(x) > eps * np.abs(x).max())[-1]
-    return x[: last + 1]
+    size = 512
+    while size <= most:
+        x = np.zeros(size)
+        x[0] = 1.0
+        for b0, b1, b2, _, a1, a2 in sos:
+            y = np.zeros(size)
+            s1 = s2 = 0.0
+            for n in range(size):
+                v = x[n]
+                y[n] = b0 * v + s1
+                s1 = b1 * v - a1 * y[n] + s2
+                s2 = b2 * v - a2 * y[n]
+            x = y
+        last = np.flatnonzero(np.abs(x) > eps * np.abs(x).max())[-1]
+        if last < size // 2:
+            return x[: last + 1]
+        size *= 2
+    raise ValueError(f"the response does not decay within {most} samples")
 
 
 def _with_tail(blocks: DataFrame, length: int) -> DataFrame:
-    """Blocks with ``tail``: the ``length`` samples before them, as far as the
-    blocks before reach (a block must be at least as long)."""
-    w = W.partitionBy("channel").orderBy("block_no")
-    before = F.lag("samples").over(w)
-    return blocks.withColumn("tail", F.coalesce(F.slice(before, F.greatest(F.size(before) - length + 1, F.lit(1)), length), F.array().cast("array<double>")))
+    """Blocks with ``tail``: the ``length`` samples before them, as far as the channel
+    reaches. All blocks of a channel but the last are of one size; as many of
+    them are gathered as the tail needs."""
+    size = blocks.agg(F.max(F.size("samples")).alias("n")).first().n or 1
+    w = W.partitionBy("channel").orderBy("block_no").rowsBetween(-max(1, -(-length // size)), -1)
+    before = F.flatten(F.collect_list("samples").over(w))
+    held = blocks.withColumn("tail", before)
+    return held.withColumn("tail", F.slice("tail", F.greatest(F.size("tail") - length + 1, F.lit(1)), length) if length else F.array().cast("array<double>"))
 
 
 def _as_double(blocks: DataFrame) -> DataFrame:
@@ -59,8 +67,8 @@ def bandpass(blocks: DataFrame, f_lo: float, f_hi: float, fs: float, order: int
     """Causal band-pass of every channel along time, from rest.
 
     Each block is convolved with the filter's impulse response over itself and
-    the end of the block before (overlap and save), so blocks are independent
-    tasks. Blocks must be longer than the response.
+    as much before it as the response reaches (overlap and save), so blocks are
+    independent tasks.
     """
     h = impulse_response(butterworth_bandpass(f_lo, f_hi, fs, order), eps)
     held = _with_tail(_as_double(blocks), len(h) - 1)

@@ -291,8 +291,8 @@ def _located(spark, sf):
 WINDOW = (0.0, 120.0, -100.0, 100.0)
 _LOC = B.FITS + """, ref as (select packet, subarray_id, avg(e) as re, avg(n) as rn, avg(u) as ru from pts group by all),
   loc as (select packet, subarray_id, angle_deg, ax, ay, 0.0 as az, re, rn, ru from ang join axes using (packet, subarray_id) join ref using (packet, subarray_id) where valid)"""
-_RINGS = _LOC + """, ring as (select *, radians(greatest(0.5, least(179.5, greatest(0.5, least(179.5, angle_deg)) + off))) as th, cos(k * 2 * pi() / 60) as cp, sin(k * 2 * pi() / 60) as sp, cast(k as int) as kk, ay as px, -ax as py, 0.0 as pz
-    from loc, (values ('inner', -5.0), ('nominal', 0.0), ('outer', 5.0)) as v(ring, off), range(60) as g(k)),
+_RINGS = _LOC + """, ring as (select *, radians(greatest(0.5, least(179.5, greatest(0.5, least(179.5, angle_deg)) + off))) as th, cos(k * 2 * pi() / 300) as cp, sin(k * 2 * pi() / 300) as sp, cast(k as int) as kk, ay as px, -ax as py, 0.0 as pz
+    from loc, (values ('inner', -5.0), ('nominal', 0.0), ('outer', 5.0)) as v(ring, off), range(300) as g(k)),
   dir as (select *, -(cos(th) * ax + sin(th) * cp * px / sqrt(ax * ax + ay * ay)) as dx, -(cos(th) * ay + sin(th) * cp * py / sqrt(ax * ax + ay * ay)) as dy,
     -(sin(th) * sp * (ax * py - ay * px) / sqrt(ax * ax + ay * ay)) as dz from ring),
   both_ as (select *, case when abs(dz) > 1e-8 then (30.0 - ru) / (case when fl then -dz else dz end) end as r from dir, (values (false), (true)) as f(fl)),
@@ -302,7 +302,7 @@ _RINGS = _LOC + """, ring as (select *, radians(greatest(0.5, least(179.5, great
 
 @_query("f9_cone_plane_points", f"with {_RINGS} select packet, subarray_id, ring, k, flipped, round(e, 3) as e, round(n, 3) as n from kept where flipped <> straight")
 def _(spark, sf):
-    pts = locate.cone_plane_points(_located(spark, sf), samples=60, max_range=500.0)
+    pts = locate.cone_plane_points(_located(spark, sf), max_range=500.0)
     return pts.select("packet", "subarray_id", "ring", "k", "flipped", _r("e", 3).alias("e"), _r("n", 3).alias("n"))
 
 
@@ -314,7 +314,7 @@ def _(spark, sf):
     select packet, subarray_id, n_vertices, round(abs(a), 2) as area from g where rings = 2 and n_vertices >= 3 and abs(a) > 1e-9""",
 )
 def _(spark, sf):
-    pts = locate.cone_plane_points(_located(spark, sf), samples=60, max_range=500.0)
+    pts = locate.cone_plane_points(_located(spark, sf), max_range=500.0)
     return locate.band_polygon(pts).select("packet", "subarray_id", "n_vertices", _r("area", 2).alias("area"))
 
 
@@ -328,7 +328,9 @@ def _(spark, sf):
 
 
 _CELLS = _LOC + """, cell as (select ix, iy, (ix + 0.5) * 10.0 as ce, -100.0 + (iy + 0.5) * 10.0 as cn from range(12) as x(ix), range(20) as y(iy)),
-  hit as (select packet, ix, iy, bool_and(abs(degrees(acos(greatest(-1.0, least(1.0, ((re - ce) * ax + (rn - cn) * ay) / sqrt(power(re - ce, 2) + power(rn - cn, 2) + power(ru - 30.0, 2)))))) - angle_deg) <= 5.0) as ok from loc, cell group by all)"""
+  ang_ as (select packet, subarray_id, ix, iy, angle_deg, degrees(acos(greatest(-1.0, least(1.0, ((re - ce) * ax + (rn - cn) * ay) / sqrt(power(re - ce, 2) + power(rn - cn, 2) + power(ru - 30.0, 2)))))) as to_cell from loc, cell),
+  trn_ as (select *, case when bool_or(abs(to_cell - angle_deg) <= 5.0) over (partition by packet, subarray_id) then angle_deg else 180 - angle_deg end as used from ang_),
+  hit as (select packet, ix, iy, bool_and(abs(to_cell - used) <= 5.0) as ok from trn_ group by all)"""
 
 
 @_query("f12_intersect_bands", f"with {_CELLS} select packet, count(*) as cells, min(ix) as ix_lo, max(iy) as iy_hi from hit where ok group by packet")

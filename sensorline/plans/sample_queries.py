@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,13 +31,59 @@ def _r(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def _scratch(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 # blocks and samples
 
 
 @_query("a8_scan_blocks", f"with {B.BLK} select channel, block_no, block_no * 64 as start_sample from blk where channel >= 2 and channel < 6 and block_no * 64 < 900 and block_no * 64 + 64 > 130")
 def _(spark, sf):
-    b = B.blocks(spark, sf).filter((F.col("channel") >= 2) & (F.col("channel") < 6))
-    return C.select_block_range(b, [2, 3, 4, 5], 130, 770).select("channel", "block_no", (F.col("block_no") * 64).alias("start_sample"))
+    path = _scratch(spark, "blocks")
+    block_files.write_blocks(B.blocks(spark, sf), path)
+    return block_files.scan_blocks(spark, path, 0, 130, 900, (2, 6)).select("channel", "block_no", "start_sample")
+
+
+@_query("a8_select_block_range", f"with {B.BLK} select channel, greatest(block_no * 64, 130) as start_sample, least(block_no * 64 + 64, 900) - greatest(block_no * 64, 130) as n from blk where channel >= 2 and channel < 6 and block_no * 64 < 900 and block_no * 64 + 64 > 130")
+def _(spark, sf):
+    return C.select_block_range(B.blocks(spark, sf), [2, 3, 4, 5], 130, 770).select("channel", "start_sample", F.size("samples").cast("long").alias("n"))
+
+
+@_query("a11_write_blocks", f"with {B.BLK} select 0 as run_id, channel, block_no, round(list_sum(list_transform(samples, lambda x: cast(x as double))), 4) + 0.0 as total from blk")
+def _(spark, sf):
+    path = _scratch(spark, "blocks")
+    block_files.write_blocks(B.blocks(spark, sf), path)
+    return block_files.scan_blocks(spark, path).select("run_id", "channel", "block_no", (_r(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
+
+
+@_query("a5_read_source_track", "select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value / 10, 6) as lat, round(value / 20, 6) as lon from events where event_id % 7 <> 0 and event_id % 11 <> 0")
+def _(spark, sf):
+    path, k = _scratch(spark, "track"), F.col("event_id")
+    stamp = F.when(k % 11 == 0, "at noon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    lat = F.when(k % 7 == 0, "north").otherwise((F.col("value") / 10).cast("string"))
+    B.table(spark, sf, "events").select(stamp.alias("datetime"), lat.alias("lat"), (F.col("value") / 20).alias("lon")).write.csv(path, header=True)
+    return tables.read_source_track(spark, path).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), _r("lat").alias("lat"), _r("lon").alias("lon"))
+
+
+@_query(
+    "a6_read_runs",
+    """select cast(o_orderkey as int) as run_id, case when o_orderkey % 5 <> 0 then round(o_totalprice, 2) end as fs, strftime(date_trunc('second', o_orderdate), '%Y-%m-%d %H:%M:%S') as start_ts,
+    case when o_orderkey % 3 = 0 then cast(o_custkey as double) else case when o_orderkey % 100 >= 60 then 5.5 else 2.5 end end as alt from orders""",
+)
+def _(spark, sf):
+    path, k = _scratch(spark, "runs"), F.col("o_orderkey")
+    alt = F.when(k % 3 == 0, F.col("o_custkey").cast("string")).otherwise('{"0": 2.5, "60": 5.5}')
+    B.table(spark, sf, "orders").select(k.alias("run_id"), F.when(k % 5 == 0, "none").otherwise(F.col("o_totalprice").cast("string")).alias("fs"), F.date_format("o_orderdate", "yyyyMMdd HHmmss").alias("start_ts"), alt.alias("tx_alt")).write.csv(path, header=True, escape='"')
+    runs = tables.read_runs(spark, path)
+    return runs.select("run_id", _r("fs", 2).alias("fs"), F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), polyline.altitude_at(F.col("tx_alt"), F.col("run_id") % 100).alias("alt"))
 
 
 @_query("a9_find_blocks", "select user_id, count(*) as n from events where ts > (select min(ts) from events) + interval 90 second and ts <= (select min(ts) from events) + interval 86500 second group by user_id")
@@ -103,15 +150,34 @@ def _(spark, sf):
     return C.explode_blocks(C.integrate_blocks(B.blocks(spark, sf), 0.04)).withColumn("value", _r("value", 5) + 0.0)
 
 
-@_query("b8_bandpass", None)
+_BAND = (10.0, 30.0, 100.0)
+
+
+def _taps() -> tuple[str, int]:
+    """The response, last tap first, as a list, and its length."""
+    h = signal.impulse_response(signal.butterworth_bandpass(*_BAND), 1e-6)
+    return f"[{', '.join(map(repr, map(float, h[::-1])))}]", len(h)
+
+
+@_query(
+    "b8_bandpass",
+    """with {blk}, x as (select channel, list(value order by sample_idx) as v from lng group by channel), n as (select *, unnest(range(1, len(v) + 1)) as i from x)
+    select channel, i - 1 as sample_idx, round(list_inner_product(v[greatest(1, i - {n} + 1):i], cast({h} as double[])[greatest(1, {n} - i + 1):{n}]), 5) + 0.0 as value from n""".format(blk=B.BLK, h=_taps()[0], n=_taps()[1]),
+)
 def _(spark, sf):
-    return C.explode_blocks(signal.bandpass(B.blocks(spark, sf), 10.0, 30.0, 100.0, 2, 1e-3))
+    return C.explode_blocks(signal.bandpass(B.blocks(spark, sf), *_BAND)).withColumn("value", _r("value", 5) + 0.0)
 
 
-@_query("b11_noise_psd", None)
+@_query(
+    "b11_noise_psd",
+    f"""with {B.BLK}, fr as (select channel, block_no, k, j, samples[k * 8 + j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 15)) as x from blk, range(1, 6) as f(k), range(16) as g(j)),
+    w as (select sum(power(0.5 - 0.5 * cos(2 * pi() * j / 15), 2)) as e from range(16) as g(j)),
+    sp as (select channel, block_no, k, b, power(sum(x * cos(2 * pi() * b * j / 16)), 2) + power(sum(x * sin(2 * pi() * b * j / 16)), 2) as p from fr, range(9) as h(b) group by all)
+    select channel, b * 100.0 / 16 as freq, round(10 * log10(avg(p) / (100.0 * any_value(e))) + 180, 5) as psd_db from sp, w group by channel, b""",
+)
 def _(spark, sf):
     windows = B.blocks(spark, sf).select("channel", F.col("block_no").alias("packet"), "samples")
-    return signal.noise_psd(windows, 100.0, 16, 8)
+    return signal.noise_psd(windows, 100.0, 16, 8).withColumn("psd_db", _r("psd_db", 5))
 
 
 _POINTS = "pnt as (select channel, event_id as packet, sample_idx as pos from smp where event_type = 'purchase')"
@@ -233,11 +299,19 @@ def _(spark, sf):
     return polyline.sample_polyline(line, targets).select("cable_id", "channel", _r("s", 4).alias("s"), _r("lat", 8).alias("lat"), _r("lon", 8).alias("lon"), _r("alt", 4).alias("alt"))
 
 
-@_query("e7_interpolate_coordinates", None)
+@_query(
+    "e7_interpolate_coordinates",
+    f"""with {B.CUM}, c as (select cable_id, cum as d, {_XYZ} from cum), q as (select cable_id, cast(k as int) as point_id, k * 40.0 as d from (select distinct cable_id from cum), range(10) as g(k)),
+    lo as (select q.cable_id, point_id, q.d, c.d as d0, x as x0, y as y0, z as z0 from q asof left join c on q.cable_id = c.cable_id and q.d >= c.d),
+    hi as (select q.cable_id, point_id, c.d as d1, x as x1, y as y1, z as z1 from q asof left join c on q.cable_id = c.cable_id and q.d <= c.d),
+    w as (select *, case when d0 is null then 1.0 when d1 is null or d0 = d1 then 0.0 else (d - d0) / (d1 - d0) end as w from lo join hi using (cable_id, point_id)),
+    p as (select cable_id, point_id, d, case when w = 0 then x0 when w = 1 then x1 else x0 + (x1 - x0) * w end as x, case when w = 0 then y0 when w = 1 then y1 else y0 + (y1 - y0) * w end as y, case when w = 0 then z0 when w = 1 then z1 else z0 + (z1 - z0) * w end as z from w)
+    select cable_id, point_id, d, round(degrees(asin(y / sqrt(x * x + y * y + z * z))), 7) as lat, round(degrees(atan2(x, z)), 7) as lon, round(sqrt(x * x + y * y + z * z) - 6378000, 3) + 0.0 as alt from p""",
+)
 def _(spark, sf):
     line = polyline.chainage(B.full_lines(spark, sf)).withColumnRenamed("cum", "d")
     q = polyline.channel_targets(line.select("cable_id").distinct(), 40.0, 10).withColumnsRenamed({"s": "d", "channel": "point_id"})
-    return polyline.interpolate_coordinates(q, line)
+    return polyline.interpolate_coordinates(q, line).select("cable_id", "point_id", "d", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"), (_r("alt", 3) + 0.0).alias("alt"))
 
 
 @_query("e8_lead_in_remap", "with c as (select distinct cast(l_suppkey as bigint) as channel from lineitem), h as (select channel as k, channel * 1.5 as lat from c), n as (select max(channel) - min(channel) + 1 as n from c) select channel, lat from (select channel, greatest(channel - 3, 0) as k from c, n where channel < n - 2) join h using (k)")
@@ -417,9 +491,12 @@ def _(spark, sf):
     return polyline.continuous_angles(a, "k", "c").select("k", "c", _r("theta_cont").alias("theta_cont"))
 
 
-@_query("a4_polyline_features", None)
+@_query("a4_polyline_features", f"with {B.CUM} select cable_id, 'LineString' as kind, count(*) as n, round(max(cum), 4) as length, round(sum(lon * (seq + 1)), 5) as lons, round(sum(lat * (seq + 1)), 5) as lats, round(sum(alt * (seq + 1)), 4) + 0.0 as alts from cum group by cable_id")
 def _(spark, sf):
-    return tables.polyline_features(polyline.chainage(B.full_lines(spark, sf)))
+    made = tables.polyline_features(polyline.chainage(B.full_lines(spark, sf)))
+    back = made.select("cable_id", F.from_json("json", "type string, properties struct<length:double>, geometry struct<type:string,coordinates:array<array<double>>>").alias("x"))
+    total = lambda k: F.aggregate(F.transform("x.geometry.coordinates", lambda p, i: p[k] * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return back.select("cable_id", F.col("x.geometry.type").alias("kind"), F.size("x.geometry.coordinates").cast("long").alias("n"), _r("x.properties.length", 4).alias("length"), _r(total(0), 5).alias("lons"), _r(total(1), 5).alias("lats"), (_r(total(2), 4) + 0.0).alias("alts"))
 
 
 @_query("a15_export_features", "select o_orderkey as packet, '{\"type\":\"Feature\",\"properties\":{\"kind\":\"tx\",\"label\":\"' || o_orderkey || '\"},\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || o_custkey || ',' || o_custkey + 1 || ']}}' as json from (select *, row_number() over (order by o_orderkey) - 1 as i from orders) where i % 3 = 0")
@@ -558,10 +635,14 @@ def _(spark, sf):
     return B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("p"), _r(scalars.transmission_loss(F.col("l_extendedprice"))).alias("loss_db"))
 
 
-@_query("i3_cross_spectrum", None)
+@_query(
+    "i3_cross_spectrum",
+    f"""with {B.BLK}, y as (select channel, block_no as packet, j, (0.5 * samples[j + 1] - samples[j + 2] + 2.0 * samples[j + 3] + 0.25 * samples[j + 4]) * sqrt(2) / 2 * (0.5 - 0.5 * cos(2 * pi() * j / 60)) as y from blk, range(61) as g(j))
+    select channel, packet, round(k * 100.0 / 61, 6) as freq, round(sum(y * cos(2 * pi() * j * k / 61)) / 4 / 100, 8) + 0.0 as re, round(-sum(y * sin(2 * pi() * j * k / 61)) / 4 / 100, 8) + 0.0 as im from y, range(31) as h(k) group by channel, packet, k""",
+)
 def _(spark, sf):
     rec = B.blocks(spark, sf).select("channel", F.col("block_no").alias("packet"), "samples")
-    return sensitivity.cross_spectrum(rec, TEMPLATE, 100.0)
+    return sensitivity.cross_spectrum(rec, TEMPLATE, 100.0).select("channel", "packet", _r("freq").alias("freq"), (_r("re", 8) + 0.0).alias("re"), (_r("im", 8) + 0.0).alias("im"))
 
 
 @_query(
@@ -659,8 +740,7 @@ def _(spark, sf):
 
 def _run_stream(spark, stream, mode: str = "append"):
     """Result table of a stream that takes all its input and ends; files lie in the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = _scratch(spark, "stream")
     stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -670,20 +750,32 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@_query("k1_stream_coverage", None)
+_CLOSED = "(select max(ts) - interval 10 minute from events)"
+
+
+@_query("k1_stream_coverage", f"with w as (select time_bucket(interval 1 hour, ts) as s, user_id as channel, event_id from events) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, channel, count(distinct event_id) as packets, count(*) as n from w where s + interval 1 hour <= {_CLOSED} group by s, channel")
 def _(spark, sf):
     a = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"), F.col("event_id").alias("packet"))
-    return _run_stream(spark, streams.block_coverage(a, "1 hour", "10 minutes"))
+    return _run_stream(spark, streams.block_coverage(a, "1 hour", "10 minutes")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "channel", "packets", "n")
 
 
-@_query("k2_stream_integral", None)
+@_query("k2_stream_integral", "select user_id as channel, event_id as sample_idx, round(sum(case when abs(value) > 400 then 0 else value end) over (partition by user_id order by event_id) * 0.04, 6) as integral from events")
 def _(spark, sf):
     s = _event_stream(spark, sf).select(F.col("user_id").alias("channel"), F.col("event_id").alias("sample_idx"), "value")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _run_stream(spark, streams.running_integral(s, 400.0, 0.04))
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # for this stream
+    try:
+        return _run_stream(spark, streams.running_integral(s, 400.0, 0.04)).withColumn("integral", _r("integral"))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-@_query("k3_stream_assignment", None)
+@_query(
+    "k3_stream_assignment",
+    """with e as (select epoch_us(ts) / 1e6 as t, user_id as channel from events), p as (select *, cast(round((t - 10.0) / 900.0) as bigint) as packet from e),
+    g as (select *, 10.0 + packet * 900.0 as target from p where abs(t - 10.0 - packet * 900.0) <= 120)
+    select packet, channel, round(min(t), 6) as peak_s from g where (floor(target / 900) + 1) * 900 <= (select max(target) - 120 from g) group by packet, channel""",
+)
 def _(spark, sf):
     p = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"))
-    return _run_stream(spark, streams.assign_stream(p, 10.0, 900.0, 120.0))
+    return _run_stream(spark, streams.assign_stream(p, 10.0, 900.0, 120.0)).withColumn("peak_s", _r("peak_s"))

@@ -42,16 +42,28 @@ def read_source_track(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(parse_ts(F.col("datetime")).alias("ts"), "lat", "lon").dropna()
 
 
+#: Types of the columns of a run table; others stay text.
+RUN_TYPES = {"run_id": "int", "offset_samples": "long", "fs": "double", "period_samples": "long", "n_packets": "int", "channel_spacing": "double", "n_channels": "int"}
+RUN_TIMES = ("start_ts", "stop_ts", "seq_start_ts")
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of a CSV with a header; tx_alt may be a number or a JSON map of seconds to metres."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    return raw.withColumn("tx_alt", altitude_map(F.col("tx_alt"))) if "tx_alt" in raw.columns else raw
+    """Runs of a CSV with a header, typed; what does not parse is null. tx_alt may be a
+    number or a JSON map of seconds to metres."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+
+    def typed(c: str) -> Column:
+        if c == "tx_alt":
+            return altitude_map(F.col(c))
+        return parse_ts(F.col(c)) if c in RUN_TIMES else F.col(c).try_cast(RUN_TYPES[c]) if c in RUN_TYPES else F.col(c)
+
+    return raw.select(*[typed(c).alias(c) for c in raw.columns])
 
 
 def altitude_map(text: Column) -> Column:
     """map<int,double>; a plain number holds from second 0 on."""
     number = text.try_cast("double")
-    return F.when(number.isNotNull(), F.create_map(F.lit(0), number)).otherwise(F.from_json(text, "map<int,double>"))
+    return F.when(number.isNotNull(), F.create_map(F.lit(0), number)).otherwise(F.transform_keys(F.from_json(text, "map<string,double>"), lambda k, _: k.try_cast("int")))
 
 
 def read_run_metadata(spark: SparkSession, path: str) -> DataFrame:
