@@ -170,7 +170,7 @@ def _(spark, sf):
 
 @_query(
     "b11_noise_psd",
-    f"""with {B.BLK}, fr as (select channel, block_no, k, j, samples[k * 8 + j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 15)) as x from blk, range(1, 6) as f(k), range(16) as g(j)),
+    f"""with {B.BLK}, fr as (select channel, block_no, k, j, cast(samples[k * 8 + j + 1] as double) * (0.5 - 0.5 * cos(2 * pi() * j / 15)) as x from blk, range(1, 6) as f(k), range(16) as g(j)),
     w as (select sum(power(0.5 - 0.5 * cos(2 * pi() * j / 15), 2)) as e from range(16) as g(j)),
     sp as (select channel, block_no, k, b, power(sum(x * cos(2 * pi() * b * j / 16)), 2) + power(sum(x * sin(2 * pi() * b * j / 16)), 2) as p from fr, range(9) as h(b) group by all)
     select channel, b * 100.0 / 16 as freq, round(10 * log10(avg(p) / (100.0 * any_value(e))) + 180, 5) as psd_db from sp, w group by channel, b""",
@@ -637,7 +637,7 @@ def _(spark, sf):
 
 @_query(
     "i3_cross_spectrum",
-    f"""with {B.BLK}, y as (select channel, block_no as packet, j, (0.5 * samples[j + 1] - samples[j + 2] + 2.0 * samples[j + 3] + 0.25 * samples[j + 4]) * sqrt(2) / 2 * (0.5 - 0.5 * cos(2 * pi() * j / 60)) as y from blk, range(61) as g(j))
+    f"""with {B.BLK}, y as (select channel, block_no as packet, j, (0.5 * cast(samples[j + 1] as double) - cast(samples[j + 2] as double) + 2.0 * cast(samples[j + 3] as double) + 0.25 * cast(samples[j + 4] as double)) * sqrt(2) / 2 * (0.5 - 0.5 * cos(2 * pi() * j / 60)) as y from blk, range(61) as g(j))
     select channel, packet, round(k * 100.0 / 61, 6) as freq, round(sum(y * cos(2 * pi() * j * k / 61)) / 4 / 100, 8) + 0.0 as re, round(-sum(y * sin(2 * pi() * j * k / 61)) / 4 / 100, 8) + 0.0 as im from y, range(31) as h(k) group by channel, packet, k""",
 )
 def _(spark, sf):
