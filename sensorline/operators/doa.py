@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPEED = 1475.0
 KEYS = ("packet", "subarray_id")
@@ -27,7 +28,7 @@ def principal_axis_2d(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFr
     return g.select(*keys, (sign * ax).alias("ax"), (sign * ay).alias("ay"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _leading(ee: pd.Series, en: pd.Series, eu: pd.Series, nn: pd.Series, nu: pd.Series, uu: pd.Series) -> pd.Series:
     """Eigenvectors of the largest eigenvalues of a batch of covariances."""
     m = np.stack([np.stack(r, -1) for r in ((ee, en, eu), (en, nn, nu), (eu, nu, uu))], -2)
