@@ -301,12 +301,9 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int = 5, speed: float =
     depends on nothing but their rows.
     """
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("channel")
-        s, t = rows["s"].to_numpy(float), rows["t"].to_numpy(float)
-        out = rows[list(keys)].head(1).assign(slope=np.nan, n_lines=0, n=len(rows))
+    def one(s: np.ndarray, t: np.ndarray) -> tuple[float, int]:
         if len(s) < max(3, k):
-            return out
+            return math.nan, 0
         a, b = np.polyfit(s, t, 1) if np.ptp(s) else (0.0, t.mean())
         label = _clusters(s, t - a * s - b, k)
         lines: list[tuple[float, float]] = []
@@ -327,10 +324,12 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int = 5, speed: float =
             label = new
         slopes = np.array([x for x, _ in lines])
         usable = slopes[np.abs(slopes) <= 1 / speed]
-        if len(usable):
-            out["slope"] = usable[np.abs(usable - np.median(usable)).argmin()]
-        out["n_lines"] = len(lines)
-        return out
+        return float(usable[np.abs(usable - np.median(usable)).argmin()]) if len(usable) else math.nan, len(lines)
 
-    kinds = ", ".join(f"{x} {points.schema[x].dataType.simpleString()}" for x in keys)
-    return _dealt(points, keys).groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, n_lines long, n long")
+    @F.pandas_udf("struct<slope double, n_lines long>")
+    def fit(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(np.asarray(s, float), np.asarray(t, float)) for s, t in zip(s_all, t_all)], columns=["slope", "n_lines"])
+
+    held = _dealt(gather_line(points, keys), keys)
+    made = held.withColumn("m", fit(F.transform("line", lambda p: p["s"]), F.transform("line", lambda p: p["t"])))
+    return made.select(*keys, "m.slope", "m.n_lines", F.size("line").cast("long").alias("n"))
