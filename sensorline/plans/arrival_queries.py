@@ -300,7 +300,7 @@ _RINGS = _LOC + """, ring as (select *, radians(greatest(0.5, least(179.5, great
   kept as (select *, count_if(not flipped) over (partition by packet, subarray_id, ring) > 0 as straight from met)"""
 
 
-@_query("f9_cone_plane_points", f"with {_RINGS} select packet, subarray_id, ring, k, flipped, round(e, 3) as e, round(n, 3) as n from kept where flipped <> straight")
+@_query("f9_cone_plane_points", f"with {_RINGS} select packet, subarray_id, ring, k, flipped, round(e, 3) + 0.0 as e, round(n, 3) + 0.0 as n from kept where flipped <> straight")
 def _(spark, sf):
     pts = locate.cone_plane_points(_located(spark, sf), max_range=500.0)
     return pts.select("packet", "subarray_id", "ring", "k", "flipped", _r("e", 3).alias("e"), _r("n", 3).alias("n"))
