@@ -6,9 +6,11 @@ import re
 import tempfile
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorline.functions import geo, scalars
+from sensorline.operators import calibrate
 from sensorline.operators import conditioning as C
 from sensorline.operators import detection, packets, polyline, sensitivity, signal
 from sensorline.plans import bindings as B
@@ -42,6 +44,41 @@ def _scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# calibration
+
+
+#: A bent array of segments of 4 steps, turned by rule, that hears every order as a source:
+#: the true bearings are known in SQL and must come back from the rounded arrivals.
+_BEND = "(segment * 37) % 120 - 60"
+
+
+@_query(
+    "f14_calibrate_segments",
+    f"""with s as (select 4 * unnest(generate_series(0, (select max(s_suppkey) - 2 from supplier) // 4)) as ch_min), n as (
+      select 4 * g as ch_min, count(*) as n from (
+        select distinct l_suppkey - 1 as channel, l_orderkey as packet from lineitem) a, (values (0), (1)) as v(b), lateral (select (channel - b) // 4 as g) where channel >= b and (b = 0 or channel % 4 = 0) group by g)
+    select ch_min as segment, -15.0::double as z_h, ok as success, case when not ok then 'missing_depth' end as reason, case when ok then n else 0 end as n_measurements,
+      case when ok then ({_BEND.replace("segment", "(ch_min // 4)")})::double end as theta_deg, case when ok then 0.02::double end as dt
+    from (select *, ch_min + 4 <= (select max(s_suppkey) - 1 from supplier) as ok from s left join n using (ch_min)) where ok
+    union all select ch_min, null, false, 'missing_depth', 0, null, null from s where ch_min + 4 > (select max(s_suppkey) - 1 from supplier)""",
+)
+def _(spark, sf):
+    supplier, orders = B.table(spark, sf, "supplier"), B.table(spark, sf, "orders")
+    depths = supplier.select((F.col("s_suppkey") - 1).alias("channel"), F.lit(-45.0).alias("z"))
+    turn = lambda c: F.radians(F.pmod(F.floor(F.greatest(c - 1, F.lit(0)) / 4) * 37, F.lit(120)) - 60)
+    order = W.orderBy("channel")  # one row a channel
+    leg = lambda f: F.when(F.col("channel") > 0, 1.02 * f(turn(F.col("channel")))).otherwise(0.0)
+    places = depths.select("channel", F.sum(leg(F.cos)).over(order).alias("hx"), F.sum(leg(F.sin)).over(order).alias("hy"))
+    at = lambda c, m: (F.col(c) * m % 2001 - 1000).cast("double")
+    sources = orders.select(F.col("o_orderkey").alias("packet"), at("o_orderkey", 7919).alias("x"), at("o_custkey", 104729).alias("y"), F.lit(0.0).alias("z"), (F.col("o_orderkey") % 3600).cast("double").alias("t_tx"))
+    heard = B.table(spark, sf, "lineitem").select((F.col("l_suppkey") - 1).alias("channel"), F.col("l_orderkey").alias("packet")).distinct()
+    r = F.sqrt((F.col("x") - F.col("hx")) ** 2 + (F.col("y") - F.col("hy")) ** 2 + 225.0)
+    arrivals = heard.join(sources, "packet").join(places, "channel").select("channel", "packet", (F.round((F.col("t_tx") + r / 1475.0 + 0.02) * 25000) / 25000).alias("t"))
+    last = supplier.agg(F.coalesce(F.max("s_suppkey"), F.lit(1)).alias("m")).first().m
+    got = calibrate.calibrate_segments(arrivals, sources, depths, _scratch(spark, "calibrate"), 0, last - 1, 4)
+    return got.select("segment", "z_h", "success", "reason", "n_measurements", (_r("theta_deg", 1) + 0.0).alias("theta_deg"), (_r("dt", 3) + 0.0).alias("dt"))
+
+
 # blocks and samples
 
 

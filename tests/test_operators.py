@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorline.functions import scalars
-from sensorline.operators import arrivals, conditioning, detection, doa, joins, locate, packets, polyline, reports, sensitivity, signal
+from sensorline.operators import arrivals, calibrate, conditioning, detection, doa, joins, locate, packets, polyline, reports, sensitivity, signal
 from sensorline.sources import arrivals as arrival_files
 from sensorline.sources import blocks as block_files
 from sensorline.sources import tables
@@ -240,3 +240,31 @@ def test_long_series_are_spread_over_tasks(spark):
         assert sorted(r.packet for r in made.collect()) == list(range(7, 70001, 21)) and parts(made) > 1
     finally:
         spark.conf.unset(setting)
+
+
+def test_calibration_recovers_segments_and_names_failures(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    truth = {0: (40.0, -25.0, 35.0, 0.02), 20: (-80.0, 60.0, -140.0, -0.1)}
+    sources = [(p, float(rng.uniform(-600, 600)), float(rng.uniform(-600, 600)), 0.0, 10.0 * p) for p in range(40)]
+    arrivals = []
+    for start, (x0, y0, deg, dt) in truth.items():
+        for k in range(20):  # the end channel is the next segment's first and stays silent
+            hx, hy = x0 + k * 1.02 * math.cos(math.radians(deg)), y0 + k * 1.02 * math.sin(math.radians(deg))
+            arrivals += [(start + k + (start > 0), p, t + math.dist((x, y, z), (hx, hy, -15.0)) / 1475 + dt) for p, x, y, z, t in sources]
+    arrivals = [r for r in arrivals if r[0] != 20] + [(85, 99, 1.0), (125, 1, None), (None, 1, 1.0), (145, 3, 30.5)]
+    got = {
+        r.segment: r
+        for r in calibrate.calibrate_segments(
+            spark.createDataFrame(arrivals, "channel int, packet long, t double"),
+            spark.createDataFrame([*sources, (None, 0.0, 0.0, 0.0, 0.0)], "packet long, x double, y double, z double, t_tx double"),
+            spark.createDataFrame([(c, -45.0) for c in range(0, 161, 20) if c != 60] + [(60, None)], "channel int, z double"),
+            str(tmp_path / "calibrate"), 0, 160,
+        ).collect()
+    }
+    for start, (x0, y0, deg, dt) in truth.items():
+        r = got[start]
+        assert r.success and r.z_h == -15.0 and r.n_measurements == 800
+        assert (r.x0, r.y0, r.theta_deg_norm, r.dt) == pytest.approx((x0, y0, deg, dt), abs=1e-5)
+    assert [got[s].reason for s in (40, 60, 80, 100, 120, 140)] == ["missing_depth", "missing_depth", "no_measurements", "no_receivers", "no_measurements", "too_few_measurements"]
+    none = calibrate.calibrate_segments(*(spark.createDataFrame([], s) for s in ("channel int, packet long, t double", "packet long, x double, y double, z double, t_tx double", "channel int, z double")), str(tmp_path / "none"), 0, 40)
+    assert [r.reason for r in none.collect()] == ["missing_depth"] * 2
