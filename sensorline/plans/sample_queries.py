@@ -6,13 +6,12 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sensorline.functions import geo, scalars
 from sensorline.operators import calibrate
 from sensorline.operators import conditioning as C
-from sensorline.operators import detection, packets, polyline, sensitivity, signal
+from sensorline.operators import detection, joins, packets, polyline, sensitivity, signal
 from sensorline.plans import bindings as B
 from sensorline.sources import blocks as block_files
 from sensorline.sources import tables
@@ -66,9 +65,10 @@ def _(spark, sf):
     supplier, orders = B.table(spark, sf, "supplier"), B.table(spark, sf, "orders")
     depths = supplier.select((F.col("s_suppkey") - 1).alias("channel"), F.lit(-45.0).alias("z"))
     turn = lambda c: F.radians(F.pmod(F.floor(F.greatest(c - 1, F.lit(0)) / 4) * 37, F.lit(120)) - 60)
-    order = W.orderBy("channel")  # one row a channel
     leg = lambda f: F.when(F.col("channel") > 0, 1.02 * f(turn(F.col("channel")))).otherwise(0.0)
-    places = depths.select("channel", F.sum(leg(F.cos)).over(order).alias("hx"), F.sum(leg(F.sin)).over(order).alias("hy"))
+    places = depths.select("channel")
+    for name, f in (("hx", F.cos), ("hy", F.sin)):
+        places = joins.running_sum(places, leg(f), name, F.floor(F.col("channel") / 4096), [F.col("channel")])
     at = lambda c, m: (F.col(c) * m % 2001 - 1000).cast("double")
     sources = orders.select(F.col("o_orderkey").alias("packet"), at("o_orderkey", 7919).alias("x"), at("o_custkey", 104729).alias("y"), F.lit(0.0).alias("z"), (F.col("o_orderkey") % 3600).cast("double").alias("t_tx"))
     heard = B.table(spark, sf, "lineitem").select((F.col("l_suppkey") - 1).alias("channel"), F.col("l_orderkey").alias("packet")).distinct()
