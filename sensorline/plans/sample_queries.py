@@ -391,7 +391,7 @@ _ECEF = "(6378137.0 / sqrt(1 - e2 * power(sin(radians({a})), 2)) + {h}) * cos(ra
     "e13_geodetic_to_enu",
     f"""with {B.LIN}, k as (select *, (1 / 298.257223563) * (2 - 1 / 298.257223563) as e2 from lin),
     p as (select cable_id, seq, {_ECEF.format(a="lat", o="lon", h="alt", s="")}, {_ECEF.format(a="63.005", o="10.004", h="0.0", s="0")} from k), d as (select cable_id, seq, x - x0 as dx, y - y0 as dy, z - z0 as dz, radians(63.005) as la, radians(10.004) as lo from p)
-    select cable_id, seq, round(-sin(lo) * dx + cos(lo) * dy, 4) as e, round(cos(la) * dz - sin(la) * (cos(lo) * dx + sin(lo) * dy), 4) as n, round(cos(la) * (cos(lo) * dx + sin(lo) * dy) + sin(la) * dz, 4) as u from d""",
+    select cable_id, seq, round(-sin(lo) * dx + cos(lo) * dy, 4) + 0.0 as e, round(cos(la) * dz - sin(la) * (cos(lo) * dx + sin(lo) * dy), 4) + 0.0 as n, round(cos(la) * (cos(lo) * dx + sin(lo) * dy) + sin(la) * dz, 4) + 0.0 as u from d""",
 )
 def _(spark, sf):
     o = geo.Origin(F.lit(63.005), F.lit(10.004), F.lit(0.0))
