@@ -65,22 +65,23 @@ def bracketing(queries: DataFrame, knots: DataFrame, at: str, values: list[str],
     return out.select(*on, at, *q_cols, *sides)
 
 
-def bracketing_bucketed(queries: DataFrame, knots: DataFrame, at: str, values: list[str], width: float) -> DataFrame:
-    """``bracketing`` for one long series without a partition key.
+def bracketing_bucketed(queries: DataFrame, knots: DataFrame, at: str, values: list[str], width: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """``bracketing`` for long series: one without a key, or hot ones among those of ``on``.
 
-    Cells of ``width`` partition the sweep; every cell with queries also gets
-    the last knot before it and the first after it, found by a window over one
-    row per cell. ``at`` must be numeric.
+    Cells of ``width`` (and ``on``) partition the sweep; every cell with queries
+    also gets the last knot before it and the first after it, found by a window
+    over one row per cell. ``at`` must be numeric.
     """
     cell = F.floor(F.col(at) / width).alias("cell")
-    k = knots.select(F.col(at), *values, cell)
+    keys = (*on, "cell")
+    k = knots.select(*on, F.col(at), *values, cell)
     q = queries.withColumn("cell", F.floor(F.col(at) / width))
-    ends = k.groupBy("cell").agg(F.max_by(F.struct(at, *values), at).alias("last"), F.min_by(F.struct(at, *values), at).alias("first"))
-    cells = q.select("cell").distinct().join(ends, "cell", "full")
-    w = W.partitionBy(F.lit(0)).orderBy("cell")  # a row per cell, not per knot
-    edges = cells.select("cell", F.last("last", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
-    carried = edges.select("cell", F.explode(F.array("before", "after")).alias("e")).filter("e is not null").select("cell", "e.*")
-    return bracketing(q, k.unionByName(carried), at, values, ("cell",)).drop("cell")
+    ends = k.groupBy(*keys).agg(F.max_by(F.struct(at, *values), at).alias("last"), F.min_by(F.struct(at, *values), at).alias("first"))
+    cells = q.select(*keys).distinct().join(ends, list(keys), "full")
+    w = (W.partitionBy(*on) if on else W.partitionBy(F.lit(0))).orderBy("cell")  # a row per cell, not per knot
+    edges = cells.select(*keys, F.last("last", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    carried = edges.select(*keys, F.explode(F.array("before", "after")).alias("e")).filter("e is not null").select(*keys, "e.*")
+    return bracketing(q, k.unionByName(carried), at, values, keys).drop("cell")
 
 
 def lerp(x: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:

@@ -175,9 +175,10 @@ def run_window(fixes: DataFrame, runs: DataFrame, margin_s: int = 180) -> DataFr
     return point_interval_join(fixes.withColumn("__t", second), r, "__t", "__lo", "__hi", 3600.0, closed="both").drop("__t", "__lo", "__hi")
 
 
-def interp_positions(queries: DataFrame, fixes: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    """Linear lat, lon at query times ``t`` (seconds); queries outside the fixes go."""
-    met = bracketing(queries, fixes, "t", ["lat", "lon"], on).filter("at_lo is not null and at_hi is not null")
+def interp_positions(queries: DataFrame, fixes: DataFrame, on: tuple[str, ...] = (), width: float = 3600.0) -> DataFrame:
+    """Linear lat, lon at query times ``t`` (seconds); queries outside the fixes go.
+    Swept in cells of ``width`` seconds, so a long track is many tasks."""
+    met = bracketing_bucketed(queries, fixes, "t", ["lat", "lon"], width, on).filter("at_lo is not null and at_hi is not null")
     made = [lerp(F.col("t"), F.col("at_lo"), F.col("at_hi"), F.col(f"{c}_lo"), F.col(f"{c}_hi")).alias(c) for c in ("lat", "lon")]
     return met.select(*[c for c in queries.columns], *made)
 
@@ -190,13 +191,14 @@ def altitude_at(tx_alt: Column, second: Column) -> Column:
     return F.element_at(tx_alt, F.coalesce(last, F.get(keys, F.lit(0))))
 
 
-def tx_locations(queries: DataFrame, fixes: DataFrame, alt: float | Column, on: tuple[str, ...] = ()) -> DataFrame:
+def tx_locations(queries: DataFrame, fixes: DataFrame, alt: float | Column, on: tuple[str, ...] = (), width: float = 3600.0) -> DataFrame:
     """lat, lon, alt of the source at times ``t``, linear in Cartesian axes, clamped at
-    the ends. ``alt`` is a number or a column over the queries, such as ``altitude_at``."""
+    the ends. ``alt`` is a number or a column over the queries, such as ``altitude_at``.
+    Swept in cells of ``width`` seconds."""
     moving = isinstance(alt, Column)
     x, y, z = to_cartesian(F.col("lat"), F.col("lon"), F.lit(0.0 if moving else float(alt)))
     knots = fixes.select(*on, "t", x.alias("x"), y.alias("y"), z.alias("z"))
-    met = bracketing(queries, knots, "t", ["x", "y", "z"], on)
+    met = bracketing_bucketed(queries, knots, "t", ["x", "y", "z"], width, on)
     axis = lambda c: F.coalesce(lerp(F.col("t"), F.col("at_lo"), F.col("at_hi"), F.col(f"{c}_lo"), F.col(f"{c}_hi")), F.col(f"{c}_lo"), F.col(f"{c}_hi"))
     lat, lon, up = to_gps(axis("x"), axis("y"), axis("z"))
     return met.select(*queries.columns, lat.alias("lat"), lon.alias("lon"), (alt if moving else up).alias("alt"))
