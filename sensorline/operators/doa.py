@@ -191,7 +191,7 @@ def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
-    """slope, intercept, n of ``ransac_line``; NaN for groups of fewer than 3 points."""
+    """slope, intercept, n of ``ransac_line``; null for groups of fewer than 3 points."""
     return _fit_rows(points, keys, lambda line: ransac_line(line, F.xxhash64(*keys), trials, seed))
 
 
@@ -275,49 +275,113 @@ def _clusters(s: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
 
 
 def _line(s: np.ndarray, t: np.ndarray, speed: float) -> tuple[float, float]:
-    """Line with |slope| at most 1/speed: least squares, else through the two
-    middle points, else clamped to 0.99/speed."""
+    """Line with |slope| at most 1/speed: least squares, else over the three middle
+    points, else clamped to 0.99/speed through the medians."""
     if len(s) < 2 or np.ptp(s) == 0:
         return 0.0, float(t.mean())
     a, b = np.polyfit(s, t, 1)
     if abs(a) > 1 / speed:
-        o = np.argsort(s)
-        m = len(o) // 2
-        i, j = o[m - 1], o[m]
-        a = (t[j] - t[i]) / (s[j] - s[i]) if s[j] != s[i] else 0.0
+        m = len(s) // 2
+        mid = np.argsort(s, kind="stable")[max(0, m - 1) : m + 2]
+        if np.ptp(s[mid]):
+            a, b = np.polyfit(s[mid], t[mid], 1)
         if abs(a) > 1 / speed:
             a = math.copysign(0.99 / speed, a)
-        b = float(np.median(t - a * s))
+            b = np.median(t) - a * np.median(s)
     return float(a), float(b)
 
 
-def multiline_fit(points: DataFrame, k: int = 3, rounds: int = 5, speed: float = SPEED, shared: bool = False, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def _best_shared(s: np.ndarray, t: np.ndarray, label: np.ndarray, k: int, least: int, leave: bool) -> tuple[float, np.ndarray]:
+    """Slope and the intercepts of k clusters by least squares. With ``leave`` the best of
+    the fits without one point of a cluster of more than ``least``, if that is better.
+
+    Without point j of a cluster of n, its sums of squares about the mean lose
+    n / (n - 1) times the point's own, so all fits come from the same sums.
+    """
+    n = np.bincount(label, minlength=k)
+    held = np.maximum(n, 1)
+    ms, mt = (np.bincount(label, v, k) / held for v in (s, t))
+    ds, dt = s - ms[label], t - mt[label]
+    lost = np.where((n[label] > least) & leave & (n.min() >= 2), n[label] / np.maximum(n[label] - 1, 1), 0.0)
+    less = np.append(lost, 0.0)  # the last one leaves nothing out
+    ss, st, tt = (v.sum() - less * np.append(v, 0.0) for v in (ds * ds, ds * dt, dt * dt))
+    slope = np.divide(st, ss, out=np.zeros(len(ss)), where=ss > 0)
+    off = tt - slope * st
+    j = len(s) if off[-1] <= off.min() else int(off.argmin())
+    if j < len(s):
+        c = label[j]
+        ms[c], mt[c] = ms[c] - ds[j] / (n[c] - 1), mt[c] - dt[j] / (n[c] - 1)
+    return float(slope[j]), mt - slope[j] * ms
+
+
+def _repaired(s: np.ndarray, t: np.ndarray, label: np.ndarray, slope: float, cut: np.ndarray, steepest: float) -> tuple[float, np.ndarray]:
+    """A slope beyond 1/speed becomes that of the two middle times of the cluster that fits
+    worst, at most ``steepest``; the intercepts become medians."""
+    worst = int(np.bincount(label, (t - slope * s - cut[label]) ** 2, len(cut)).argmax())
+    mine = np.flatnonzero(label == worst)
+    if len(mine) < 2:
+        return float(np.clip(slope, -steepest, steepest)), cut
+    mine = mine[np.argsort(t[mine], kind="stable")]
+    m = len(mine) // 2
+    i, j = mine[m - 1], mine[m if len(mine) % 2 == 0 else min(m + 1, len(mine) - 1)]
+    if abs(s[j] - s[i]) >= 1e-12:
+        slope = (t[j] - t[i]) / (s[j] - s[i])
+    slope = float(np.clip(slope, -steepest, steepest))
+    return slope, np.array([np.median((t - slope * s)[label == c]) if (label == c).any() else 0.0 for c in range(len(cut))])
+
+
+def _shared_lines(s: np.ndarray, t: np.ndarray, label: np.ndarray, k: int, rounds: int, speed: float, least: int) -> float:
+    """Slope that k parallel lines share: fit, repair, move points to the nearest line,
+    and from the second fit on leave out the point that harms most."""
+    far, steepest = 1 / speed, 0.99 / speed
+
+    def fitted(mine: np.ndarray) -> tuple[float, np.ndarray]:
+        slope, cut = _best_shared(s, t, mine, k, least, False)
+        return _repaired(s, t, mine, slope, cut, steepest) if abs(slope) > far else (slope, cut)
+
+    slope, cut = fitted(label)
+    for _ in range(rounds):
+        new = np.abs(t[:, None] - slope * s[:, None] - cut).argmin(1)
+        if (new == label).all():
+            break
+        label = new
+        slope, cut = fitted(label)
+        if np.bincount(label, minlength=k).min() >= 2:
+            best, best_cut = _best_shared(s, t, label, k, least, True)
+            if abs(best) <= 1.01 * far:
+                slope, cut = float(np.clip(best, -steepest, steepest)), best_cut
+    return slope
+
+
+def multiline_fit(points: DataFrame, k: int = 3, rounds: int | None = None, speed: float = SPEED, shared: bool = False, keys: tuple[str, ...] = KEYS, least: int = 3) -> DataFrame:
     """slope, n_lines, n of ``k`` lines per group, for arrivals over several paths.
 
     Points start in clusters of place and residual; then lines are fitted and
-    points move to the nearest line, a few rounds. Without ``shared`` the slope
-    nearest the median of the usable ones is given, with it all lines share one
-    slope. Groups are a few dozen channels and sorted first, so the result
-    depends on nothing but their rows.
+    points move to the nearest line, at most ``rounds`` times (5, or 8 if
+    ``shared``). Clusters of fewer than ``least`` points have no line; a group of
+    fewer than ``k * least`` points is one plain line. Without ``shared`` the
+    slope nearest the median of the usable ones is given, with it all lines share
+    one slope, repaired where it is too steep, and one outlier may be left out.
+    Groups of fewer than 2 points have a null slope. Groups are a few dozen
+    channels and sorted first, so the result depends on nothing but their rows.
     """
+    most = rounds or (8 if shared else 5)
 
     def one(s: np.ndarray, t: np.ndarray) -> tuple[float, int]:
-        if len(s) < max(3, k):
+        if len(s) < 2:
             return math.nan, 0
         a, b = np.polyfit(s, t, 1) if np.ptp(s) else (0.0, t.mean())
+        if len(s) < k * least:
+            return float(a), 1
         label = _clusters(s, t - a * s - b, k)
+        if shared:
+            return _shared_lines(s, t, label, k, most, speed, least), k
         lines: list[tuple[float, float]] = []
-        for _ in range(rounds):
-            present = [j for j in range(k) if (label == j).sum() >= 2]
+        for _ in range(most):
+            present = [j for j in range(k) if (label == j).sum() >= least]
             if not present:
                 break
-            if shared:
-                ds = np.concatenate([s[label == j] - s[label == j].mean() for j in present])
-                dt = np.concatenate([t[label == j] - t[label == j].mean() for j in present])
-                slope = float(np.clip((ds @ dt) / ((ds @ ds) or 1.0), -0.99 / speed, 0.99 / speed))
-                lines = [(slope, float((t - slope * s)[label == j].mean())) for j in present]
-            else:
-                lines = [_line(s[label == j], t[label == j], speed) for j in present]
+            lines = [_line(s[label == j], t[label == j], speed) for j in present]
             new = np.array(present)[np.abs(t[:, None] - s[:, None] * [x for x, _ in lines] - [y for _, y in lines]).argmin(1)]
             if (new == label).all():
                 break

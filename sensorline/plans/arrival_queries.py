@@ -273,14 +273,18 @@ def _(spark, sf):
     return out.filter("n > 3").select("packet", "subarray_id", _r("slope", 9).alias("slope"), "n")
 
 
+#: The given subarrays have at most five channels: two lines of two points or more.
+_PATHS = {"k": 2, "least": 2}
+
+
 @_query("f7_multiline_fit", None)
 def _(spark, sf):
-    return doa.multiline_fit(B.placed(spark, sf))
+    return doa.multiline_fit(B.placed(spark, sf), **_PATHS)
 
 
 @_query("f8_shared_slope_loop", None)
 def _(spark, sf):
-    return doa.multiline_fit(B.placed(spark, sf), shared=True)
+    return doa.multiline_fit(B.placed(spark, sf), shared=True, **_PATHS)
 
 
 def _located(spark, sf):
