@@ -59,6 +59,13 @@ def _with_tail(blocks: DataFrame, length: int) -> DataFrame:
     return held.withColumn("tail", F.slice("tail", F.greatest(F.size("tail") - length + 1, F.lit(1)), length) if length else F.array().cast("array<double>"))
 
 
+def _with_head(blocks: DataFrame, length: int) -> DataFrame:
+    """Blocks with ``head``: the ``length`` samples after them, as far as the channel reaches."""
+    size = blocks.agg(F.max(F.size("samples")).alias("n")).first().n or 1
+    w = W.partitionBy("channel").orderBy("block_no").rowsBetween(1, max(1, -(-length // size)))
+    return blocks.withColumn("head", F.slice(F.flatten(F.collect_list("samples").over(w)), 1, length))
+
+
 def _as_double(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("samples", F.col("samples").cast("array<double>"))
 
@@ -114,25 +121,34 @@ def matched_filter_native(blocks: DataFrame, template: list[float]) -> DataFrame
     return full.select("channel", "block_no", (F.col("start_sample") - F.size("tail")).alias("start_sample"), corr.alias("samples"))
 
 
-def envelope(blocks: DataFrame) -> DataFrame:
-    """Magnitude of the analytic signal of each block over the channel's largest (0 counts as 1)."""
+def hilbert_taps(half: int) -> np.ndarray:
+    """Taps -half..half of the Hilbert transform, 2 / (pi k) at odd k, under a Hann window."""
+    k = np.arange(-half, half + 1)
+    return np.where(k % 2, 2 / (np.pi * np.where(k, k, 1)), 0.0) * (0.5 + 0.5 * np.cos(np.pi * k / (half + 1)))
+
+
+def envelope(blocks: DataFrame, half: int = 1024) -> DataFrame:
+    """Magnitude of the analytic signal over the channel's largest (0 counts as 1).
+
+    The imaginary part is the channel convolved with ``hilbert_taps``: a block
+    needs ``half`` samples on either side, so block borders leave no mark and
+    blocks are independent tasks. Beyond a channel's ends the signal is 0. Slow
+    parts below about 2 periods per ``half`` samples are damped.
+    """
+    h = hilbert_taps(half)
+    held = _with_head(_with_tail(_as_double(blocks), half), half)
 
     @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        def one(v):
-            n = len(v)
-            if not n:
-                return np.zeros(0)
-            gain = np.zeros(n)
-            gain[0] = 1
-            gain[1 : (n + 1) // 2] = 2
-            if n % 2 == 0:
-                gain[n // 2] = 1
-            return np.abs(np.fft.ifft(np.fft.fft(v) * gain))
-
-        return pd.Series([one(np.asarray(v, float)) for v in x])
-
-    made = _as_double(blocks).withColumn("samples", run("samples"))
+    def run(tail: pd.Series, x: pd.Series, head: pd.Series) -> pd.Series:
+        def one(a, b, c):
+            full = np.concatenate([a, b, c])
+            n = 1 << (len(full) + len(h) - 2).bit_length()
+            at = half + len(a)
+            return np.hypot(b, np.fft.irfft(np.fft.rfft(full, n) * np.fft.rfft(h, n), n)[at : at + len(b)])
+
+        return pd.Series([one(*(np.asarray(v, float) for v in r)) for r in zip(tail, x, head)])
+
+    made = held.withColumn("samples", run("tail", "samples", "head")).drop("tail", "head")
     top = F.max(F.array_max("samples")).over(W.partitionBy("channel"))
     return made.withColumn("__m", top).withColumn("__m", F.when(F.col("__m") > 0, F.col("__m")).otherwise(1.0)).withColumn("samples", F.transform("samples", lambda x: x / F.col("__m"))).drop("__m")
 

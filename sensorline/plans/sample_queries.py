@@ -123,6 +123,40 @@ def _(spark, sf):
     return runs.select("run_id", _r("fs", 2).alias("fs"), F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), polyline.altitude_at(F.col("tx_alt"), F.col("run_id") % 100).alias("alt"))
 
 
+@_query("a3_read_polyline", f"with {B.LIN} select cast(seq - min(seq) over (partition by cable_id) as int) as seq, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 4) + 0.0 as alt from lin")
+def _(spark, sf):
+    path = _scratch(spark, "lines")
+    tables.write_polyline(polyline.chainage(B.full_lines(spark, sf)), path)
+    return tables.read_polyline(spark, path, whole=False).select("seq", _r("lat").alias("lat"), _r("lon").alias("lon"), (_r("alt", 4) + 0.0).alias("alt"))
+
+
+@_query("a13_read_bands", "select s_name as band, round(s_acctbal, 2) + 0.0 as f_lo, round(s_acctbal + s_suppkey, 2) + 0.0 as f_hi from supplier")
+def _(spark, sf):
+    """A file of bands for every nation."""
+    path, s = _scratch(spark, "bands"), B.table(spark, sf, "supplier")
+    entry = F.struct("s_name", F.array("s_acctbal", F.col("s_acctbal") + F.col("s_suppkey")))
+    s.groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.partitionBy("s_nationkey").text(path)
+    return tables.read_bands(spark, path).select("band", (_r("f_lo", 2) + 0.0).alias("f_lo"), (_r("f_hi", 2) + 0.0).alias("f_hi"))
+
+
+@_query("a13_read_transducer", "select round(o_custkey * 1000.0, 3) as x, round(o_totalprice, 2) as y from orders where o_orderkey % 5 <> 0")
+def _(spark, sf):
+    path, o = _scratch(spark, "transducer"), B.table(spark, sf, "orders")
+    o.select(F.col("o_custkey").alias("f"), F.when(F.col("o_orderkey") % 5 == 0, "none").otherwise(F.col("o_totalprice").cast("string")).alias("tx")).write.csv(path, header=True)
+    return tables.read_transducer(spark, path).select(_r("x", 3).alias("x"), _r("y", 2).alias("y"))
+
+
+@_query("a14_read_doa_results", "select distinct cast(s_nationkey as int) as start_channel, cast(s_nationkey % 7 + 3 as int) as array_length, cast(s_suppkey as int) as packet, cast(s_nationkey * 2 as double) as angle_deg from supplier")
+def _(spark, sf):
+    """A file of packets for every nation."""
+    path, s = _scratch(spark, "results"), B.table(spark, sf, "supplier")
+    entry = F.struct(F.col("s_suppkey").cast("string"), F.struct((F.col("s_nationkey") * 2).cast("double").alias("angle_deg")))
+    name = F.format_string("start_ch_%d_arrlen_%d", F.col("s_nationkey"), F.col("s_nationkey") % 7 + 3).alias("name")
+    s.groupBy(name).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.partitionBy("name").text(path)
+    found = tables.read_doa_results(spark, path)
+    return found.select("start_channel", "array_length", "packet", scalars.json_path(F.col("json"), "angle_deg").cast("double").alias("angle_deg"))
+
+
 @_query("a9_find_blocks", "select user_id, count(*) as n from events where ts > (select min(ts) from events) + interval 90 second and ts <= (select min(ts) from events) + interval 86500 second group by user_id")
 def _(spark, sf):
     e = B.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -245,9 +279,17 @@ def _(spark, sf):
     return C.explode_blocks(signal.matched_filter_native(B.blocks(spark, sf), TEMPLATE)).withColumn("value", _r("value", 5) + 0.0)
 
 
-@_query("c2_envelope", None)
+@_query(
+    "c2_envelope",
+    f"""with {B.BLK}, c as (select channel, sample_idx, 0.5 * value - lead(value, 1) over w + 2.0 * lead(value, 2) over w + 0.25 * lead(value, 3) over w as value from lng window w as (partition by channel order by sample_idx)),
+    x as (select channel, min(sample_idx) as first, list(cast(value as double) order by sample_idx) as v from c where value is not null group by channel),
+    k as (select list(case when j % 2 <> 0 then 2 / (pi() * j) * (0.5 + 0.5 * cos(pi() * j / 1025)) else 0.0::double end order by j desc) as h from range(-1024, 1025) as g(j)),
+    n as (select *, unnest(range(1, len(v) + 1)) as i from x),
+    e as (select channel, first + i - 1 as sample_idx, sqrt(power(v[i], 2) + power(list_inner_product(v[greatest(1, i - 1024):least(len(v), i + 1024)], h[greatest(1, i - 1024) - i + 1025:least(len(v), i + 1024) - i + 1025]), 2)) as value from n, k),
+    m as (select *, max(value) over (partition by channel) as m from e) select channel, sample_idx, round(value / case when m > 0 then m else 1 end, 5) as value from m""",
+)
 def _(spark, sf):
-    return C.explode_blocks(signal.envelope(signal.matched_filter(B.blocks(spark, sf), TEMPLATE)))
+    return C.explode_blocks(signal.envelope(signal.matched_filter(B.blocks(spark, sf), TEMPLATE))).withColumn("value", _r("value", 5))
 
 
 @_query(

@@ -10,12 +10,14 @@ from sensorline.functions.scalars import parse_ts
 _GEO = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 
-def read_polyline(spark: SparkSession, path: str, axis_order: tuple[str, str, str] = ("lon", "lat", "alt")) -> DataFrame:
+def read_polyline(spark: SparkSession, path: str, axis_order: tuple[str, str, str] = ("lon", "lat", "alt"), whole: bool = True) -> DataFrame:
     """cable_id, part, seq, lat, lon, alt of GeoJSON lines, one or many per feature.
 
     Entries follow ``axis_order``; a missing third entry gives a null altitude.
+    cable_id is a feature's place in its collection, which is a file, or a line
+    of a file if not ``whole``.
     """
-    root = spark.read.text(path, wholetext=True).select(F.from_json("value", _GEO).alias("f"))
+    root = spark.read.text(path, wholetext=whole).select(F.from_json("value", _GEO).alias("f"))
     feature = root.select(F.posexplode("f.features").alias("cable_id", "x"))
     lines = F.from_json("x.geometry.coordinates", "array<array<array<double>>>")
     single = F.array(F.from_json("x.geometry.coordinates", "array<array<double>>"))

@@ -45,6 +45,55 @@ def test_three_lines(spark):
         assert doa.multiline_fit(pts, shared=shared).first().slope == pytest.approx(2e-4, abs=2e-5)
 
 
+def test_leaving_one_out_equals_fitting_without_each_point():
+    rng = np.random.default_rng(5)
+    for n in (7, 12, 30):
+        s, t, label = rng.normal(size=n), rng.normal(size=n), np.arange(n) % 2
+
+        def plain(keep):
+            x = np.stack([s, label == 0, label == 1], 1)[keep]
+            m, left = np.linalg.lstsq(x, t[keep], rcond=None)[:2]
+            return left[0], m
+
+        fits = [plain(np.arange(n) >= 0)] + [plain(np.arange(n) != j) for j in range(n) if (label == label[j]).sum() > 3]
+        want = min(fits, key=lambda f: f[0])[1]
+        slope, cut = doa._best_shared(s, t, label, 2, 3, True)
+        assert [slope, *cut] == pytest.approx(want.tolist())
+
+
+def test_parallel_lines_with_an_outlier_and_a_steep_slope(spark):
+    late = [(1, 0, c, float(c), 2e-4 * c + 0.1 * (c % 3) + (0.04 if c == 31 else 0)) for c in range(60)]
+    steep = [(2, 0, c, float(c), 0.01 * c + 0.001 * (c % 3)) for c in range(30)]
+    few = [(3, 0, c, float(c), 3e-4 * c) for c in range(5)] + [(4, 0, 1, 0.0, 0.0)]
+    pts = spark.createDataFrame(late + steep + few, "packet long, subarray_id int, channel int, s double, t double")
+    got = {r.packet: r for r in doa.multiline_fit(pts, shared=True).collect()}
+    assert got[1].slope == pytest.approx(2e-4, abs=5e-6) and got[1].n_lines == 3
+    assert got[2].slope == pytest.approx(0.99 / 1475)
+    assert got[3].slope == pytest.approx(3e-4) and got[3].n_lines == 1
+    assert got[4].slope is None
+
+
+def test_envelope_does_not_see_block_borders(spark):
+    t = np.arange(3000)
+    pulse = np.exp(-(((t - 1500) / 400.0) ** 2)) * np.sin(0.9 * t)
+
+    one, many = (_long(signal.envelope(_blocks(spark, {0: pulse}, size), 128))[0] for size in (3000, 70))
+    assert len(one) == len(many) == 3000
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-9
+    want = np.exp(-(((t - 1500) / 400.0) ** 2))
+    assert max(abs(one[k] - want[k]) for k in one) < 0.01
+
+
+def test_bucketed_sweep_equals_the_plain_one(spark):
+    rng = np.random.default_rng(2)
+    knots = spark.createDataFrame([(int(u), float(x), float(x) * 2) for u, x in zip(rng.integers(0, 3, 60), rng.integers(0, 900, 60))], "u int, x double, v double").dropDuplicates(["u", "x"])
+    queries = spark.createDataFrame([(int(u), float(x), k) for k, (u, x) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(-50, 950, 300)))], "u int, x double, k int")
+    plain = joins.bracketing(queries, knots, "x", ["v"], ("u",))
+    for width in (7.0, 100.0, 5000.0):
+        swept = joins.bracketing_bucketed(queries, knots, "x", ["v"], width, ("u",))
+        assert sorted(map(str, swept.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 def test_vertical_axis_meets_the_plane_in_a_circle(spark):
     fit = spark.createDataFrame([(1, 0, 60.0, 0.0, 0.0, 1.0, 0.0, 0.0, 20.0)], "packet long, subarray_id int, angle_deg double, ax double, ay double, az double, re double, rn double, ru double")
     ring = locate.cone_plane_points(fit, 30.0).filter("ring = 'nominal'").select(F.sqrt(F.col("e") ** 2 + F.col("n") ** 2).alias("r")).collect()
