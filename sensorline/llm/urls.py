@@ -1,9 +1,9 @@
 """URL filters by temporal list joins. DataFrame functions only.
 
 A list is a table of dated entries: key, action, listed_at. The entries of a
-key become validity intervals that do not overlap; a capture is joined to the
-intervals of its keys - its address without query, its host, the domains above
-it - that hold at the time it was fetched. The most specific key decides.
+key become validity intervals that do not overlap. A capture has as keys its
+address without query, its host and all domains of two labels or more above it.
+The most specific key with an entry that holds when it was fetched decides.
 """
 
 from __future__ import annotations
@@ -14,24 +14,22 @@ from pyspark.sql import functions as F
 
 from sensorline.llm.common import fresh_name
 
-#: Keys of a capture, the most specific first.
-LEVELS = ("address", "host", "parent", "domain")
-
-
 def host_of(url: Column) -> Column:
     """Host of an address in lower case, without user and port; null if there is none."""
     found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     return F.when(found != "", found)
 
 
-def url_keys(url: Column) -> dict[str, Column]:
-    """Keys of an address by level; a level that the address lacks is null."""
-    host = host_of(url)
+def address_of(url: Column) -> Column:
+    """Host and path of an address, without query and closing slashes; null without a host."""
     path = F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    return F.concat(host_of(url), F.regexp_replace(path, "/+$", ""))
+
+
+def host_keys(host: Column) -> Column:
+    """(step, key) of a host: itself at step 1, and each domain above it that has two labels or more."""
     parts = F.split(host, r"\.")
-    above = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), "."))
-    last = F.when(F.size(parts) > 3, F.array_join(F.slice(parts, -2, 2), "."))
-    return {"address": F.concat(host, F.regexp_replace(path, "/+$", "")), "host": host, "parent": above, "domain": last}
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(i.alias("step"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("key")))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -43,34 +41,49 @@ def validity(entries: DataFrame) -> DataFrame:
     return dated.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("key").orderBy("valid_from")))
 
 
+def host_intervals(hosts: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Intervals host, step, key, action, valid_from, valid_to of distinct hosts, which do
+    not overlap.
+
+    A key's intervals follow each other without a gap, so a key that was ever
+    listed stays listed: at any time the most specific of the keys listed so
+    far decides, by its last entry. That is a running maximum over the entries
+    of a host's keys in order of their dates.
+    """
+    met = hosts.filter("host is not null").select("host", F.inline(host_keys(F.col("host")))).join(intervals, "key")
+    dated = met.groupBy("host", "valid_from").agg(F.max(F.struct((-F.col("step")).alias("near"), F.col("valid_from").alias("since"), "key", "action")).alias("x"))
+    w = W.partitionBy("host").orderBy("valid_from")
+    held = dated.select("host", "valid_from", F.lead("valid_from").over(w).alias("valid_to"), F.max("x").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("x"))
+    return held.select("host", (-F.col("x.near")).alias("step"), "x.key", "x.action", "valid_from", "valid_to")
+
+
 def apply_list(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Add ``matched_level``, ``matched_key`` and ``action`` of the entry that decides.
 
-    All three are null where no entry holds: unlisted keys, captures before the
-    first entry, null or malformed addresses, null times. One left join per
-    level: intervals of a key do not overlap, so a row meets at most one and
-    repeated rows stay as they are. A host with a third of all captures is
-    split by the joins' skew handling; a small list is broadcast by size.
-    Columns of these names are replaced.
+    The level is address, host, parent (the host without its first label) or
+    domain (any further one). All three are null where no entry holds: unlisted
+    keys, captures before the first entry, null or malformed addresses, null
+    times. Two left joins, by address and by host: intervals of either do not
+    overlap, so a row meets at most one and repeated rows stay as they are. A
+    host with a third of all captures is split by the joins' skew handling; a
+    small list is broadcast by size. Columns of these names are replaced.
     """
     rest = [c for c in captures.columns if c.lower() not in ("matched_level", "matched_key", "action")]
-    keys = url_keys(F.col(f"`{url_col}`"))
-    held = {k: fresh_name(captures, f"key_{k}") for k in LEVELS}
-    at = fresh_name(captures, "at")
-    out = captures.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{time_col}`").alias(at), *[keys[k].alias(held[k]) for k in LEVELS])
+    url = F.col(f"`{url_col}`")
+    at, address, host = (fresh_name(captures, x) for x in ("at", "address", "host"))
+    out = captures.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{time_col}`").alias(at), address_of(url).alias(address), host_of(url).alias(host))
     intervals = validity(entries)
-    for k in LEVELS:
-        mine = intervals.select(*[F.col(c).alias(f"{held[k]}_{c}") for c in ("key", "action", "valid_from", "valid_to")])
-        c = lambda name, k=k: F.col(f"{held[k]}_{name}")
-        holds = (F.col(held[k]) == c("key")) & (c("valid_from") <= F.col(at)) & (c("valid_to").isNull() | (F.col(at) < c("valid_to")))
-        out = out.join(mine, holds, "left").drop(f"{held[k]}_valid_from", f"{held[k]}_valid_to", held[k])
-    found = lambda k: F.col(f"{held[k]}_key").isNotNull()
-    return out.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.coalesce(*[F.when(found(k), F.lit(k)) for k in LEVELS]).alias("matched_level"),
-        F.coalesce(*[F.col(f"{held[k]}_key") for k in LEVELS]).alias("matched_key"),
-        F.coalesce(*[F.when(found(k), F.col(f"{held[k]}_action")) for k in LEVELS]).alias("action"),
-    )
+    by_host = host_intervals(captures.select(host_of(url).alias("host")).distinct(), intervals)
+    fields = ("key", "action", "valid_from", "valid_to")
+    for own, table, key, more in ((address, intervals, "key", ()), (host, by_host, "host", ("host", "step"))):
+        mine = table.select(*[F.col(c).alias(f"{own}_{c}") for c in (*fields, *more)])
+        since, until = F.col(f"{own}_valid_from"), F.col(f"{own}_valid_to")
+        out = out.join(mine, (F.col(own) == F.col(f"{own}_{key}")) & (since <= F.col(at)) & (until.isNull() | (F.col(at) < until)), "left")
+    exact = F.col(f"{address}_key").isNotNull()
+    step = F.col(f"{host}_step")
+    pick = lambda c: F.when(exact, F.col(f"{address}_{c}")).otherwise(F.col(f"{host}_{c}"))
+    level = F.when(exact, "address").when(step == 1, "host").when(step == 2, "parent").when(step > 2, "domain")
+    return out.select(*[F.col(f"`{c}`") for c in rest], level.alias("matched_level"), pick("key").alias("matched_key"), pick("action").alias("action"))
 
 
 #: The given tables hold neither fetch times nor lists, so both follow from the
@@ -85,11 +98,15 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def page_list(pages: DataFrame) -> DataFrame:
     """Dated entries that follow from the pages: blocks and later releases of
-    addresses, hosts and domains, spread over the year by the id."""
-    some = pages.filter("page_id % 16 = 0").select("page_id", *[v.alias(k) for k, v in url_keys(F.col("url")).items()])
-    level = F.when(F.col("page_id") % 256 == 0, F.col("domain")).when(F.col("page_id") % 64 == 0, F.col("host")).when(F.col("page_id") % 32 == 0, F.col("parent")).otherwise(F.col("address"))
-    action = F.when(F.floor(F.col("page_id") / 16) % 3 == 0, F.lit("allow")).otherwise(F.lit("block"))
-    return some.select(level.alias("key"), action.alias("action"), F.expr(f"{_EPOCH} + make_dt_interval(cast((page_id * 37) % 360 as int), 0, 0, 0)").alias("listed_at"))
+    addresses, hosts, parents and domains of two labels, spread over the year by the id."""
+    some = pages.filter("page_id % 16 = 0").select("page_id", "url", host_of(F.col("url")).alias("host"))
+    parts, k = F.split("host", r"\."), F.col("page_id")
+    last = lambda n: F.array_join(F.slice(parts, -n, n), ".")
+    domain = F.when(F.size(parts) > 3, last(F.lit(2)))
+    parent = F.when(F.size(parts) > 2, last(F.greatest(F.size(parts) - 1, F.lit(1))))
+    key = F.when(k % 256 == 0, domain).when(k % 64 == 0, F.col("host")).when(k % 32 == 0, parent).otherwise(address_of(F.col("url")))
+    action = F.when(F.floor(k / 16) % 3 == 0, F.lit("allow")).otherwise(F.lit("block"))
+    return some.select(key.alias("key"), action.alias("action"), F.expr(f"{_EPOCH} + make_dt_interval(cast((page_id * 37) % 360 as int), 0, 0, 0)").alias("listed_at"))
 
 
 def filter_pages(pages: DataFrame) -> DataFrame:
@@ -118,15 +135,17 @@ e as (
   from c where page_id % 16 = 0),
 v as (
   select key, valid_from, action, lead(valid_from) over (partition by key order by valid_from) as valid_to
-  from (select key, valid_from, max(action) as action from e where key is not null and valid_from is not null group by all))
+  from (select key, valid_from, max(action) as action from e where key is not null and valid_from is not null group by all)),
+s as (select page_id, fetched_at, i, array_to_string(parts[i:], '.') as name from (select *, unnest(range(1, greatest(len(parts) - 1, 1) + 1)) as i from p) where host is not null),
+h as (
+  select page_id, min(i) as i, arg_min(key, i) as key, arg_min(action, i) as action
+  from s join v on key = name and valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to) group by page_id)
 select c.page_id, c.url, c.fetched_at,
-       case when a.key is not null then 'address' when h.key is not null then 'host' when q.key is not null then 'parent' when d.key is not null then 'domain' end as matched_level,
-       coalesce(a.key, h.key, q.key, d.key) as matched_key,
-       coalesce(a.action, h.action, q.action, d.action) as action,
-       coalesce(coalesce(a.action, h.action, q.action, d.action) <> 'block', true) as kept
+       case when a.key is not null then 'address' when i = 1 then 'host' when i = 2 then 'parent' when i > 2 then 'domain' end as matched_level,
+       coalesce(a.key, h.key) as matched_key,
+       coalesce(a.action, h.action) as action,
+       coalesce(coalesce(a.action, h.action) <> 'block', true) as kept
 from c
 left join v a on a.key = c.address and a.valid_from <= c.fetched_at and (a.valid_to is null or c.fetched_at < a.valid_to)
-left join v h on h.key = c.host and h.valid_from <= c.fetched_at and (h.valid_to is null or c.fetched_at < h.valid_to)
-left join v q on q.key = c.parent and q.valid_from <= c.fetched_at and (q.valid_to is null or c.fetched_at < q.valid_to)
-left join v d on d.key = c.domain and d.valid_from <= c.fetched_at and (d.valid_to is null or c.fetched_at < d.valid_to)
+left join h on h.page_id = c.page_id
 """

@@ -1,7 +1,8 @@
-import duckdb
 import html
+import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,31 @@ def test_entries_hold_from_their_date_to_the_next(spark):
     assert urls.apply_list(caps.limit(0), entries).count() == 0 and urls.apply_list(caps, entries.limit(0)).count() == 9
 
 
+def test_every_domain_above_a_host_counts(spark):
+    """Against a search over all entries, for hosts of one to six labels."""
+    rng = random.Random(3)
+    label = lambda: rng.choice("ab")
+    hosts = [".".join(label() for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    entries = [(rng.choice(hosts) + rng.choice(["", "", "/p"]), rng.choice(["block", "allow", None]), rng.randint(0, 30)) for _ in range(60)]
+    caps = [(k, f"http://{rng.choice(hosts)}{rng.choice(['', '/p', '/q'])}", rng.randint(-1, 33)) for k in range(400)]
+    best = {}
+    for key, action, at in entries:
+        best[key, at] = max(best.get((key, at)) or "", action or "") or None
+
+    def decided(url, at):
+        address = url[7:]
+        parts = address.split("/")[0].split(".")
+        keys = [("address", address)] + [(("host", "parent")[i] if i < 2 else "domain", ".".join(parts[i:])) for i in range(max(1, len(parts) - 1))]
+        for level, key in keys:
+            times = [t for k, t in best if k == key and t <= at]
+            if times:
+                return level, key, best[key, max(times)]
+        return None, None, None
+
+    got = urls.apply_list(spark.createDataFrame(caps, "id int, url string, fetched_at int"), spark.createDataFrame(entries, "key string, action string, listed_at int"))
+    assert {r.id: (r.matched_level, r.matched_key, r.action) for r in got.collect()} == {k: decided(u, t) for k, u, t in caps}
+
+
 def test_languages(spark):
     sf = "/root/testdata/sf0.01"
     docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
