@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorline.llm import bagminhash, bpe, html, itq, langid, mixing, rules, secrets, tokencount, urls
+from sensorline.llm import bagminhash, bpe, conversations, html, infill, itq, langid, mixing, rules, secrets, shards, tokencount, urls
 from sensorline.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -52,6 +52,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -64,8 +76,11 @@ def queries() -> dict:
         "op9_html_extraction": op9_html_extraction,
         "op10_token_counts": op10_token_counts,
         "op8_bpe_codec": op8_bpe_codec,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urls.ORACLE}
+    return {"op4_url_filter": urls.ORACLE, "op12_fill_in_middle": infill.ORACLE, "op13_sharding": shards.ORACLE}
