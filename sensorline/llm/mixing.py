@@ -15,6 +15,7 @@ import logging
 import math
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ MAX_STEPS = 60
 TOLERANCE = 1e-6
 #: A step that comes nearer by less than this share is the last: the targets are out of reach.
 PROGRESS = 1e-3
-#: Steps shorter than this share are given up.
-SHORTEST = 1 / 32
+#: The same where the distance is plain.
+PLAIN_PROGRESS = 1e-4
+#: Share of the largest eigenvalue below which a direction of the domains counts as null.
+NULL = 1e-9
 #: Largest rate: no document stands in for more than this many of its kind.
 MOST = 2.0
 
@@ -138,25 +141,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains=DOMAINS, limit: i
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Solution of a small symmetric system, with a ridge that keeps it regular."""
-    n = len(right)
-    ridge = 1e-9 * max(max(row[k] for k, row in enumerate(matrix)), 1e-300)
-    a = [[*row, right[k]] for k, row in enumerate(matrix)]
-    for k in range(n):
-        a[k][k] += ridge
-    for k in range(n):
-        top = max(range(k, n), key=lambda r: abs(a[r][k]))
-        a[k], a[top] = a[top], a[k]
-        for r in range(n):
-            if r != k:
-                f = a[r][k] / a[k][k]
-                a[r] = [x - f * y for x, y in zip(a[r], a[k])]
-    return [a[k][n] / a[k][k] for k in range(n)]
+    """Shortest solution of a small symmetric positive system in least squares:
+    directions that are null but for rounding are left out. The system is one of a
+    few domains, never one of rows."""
+    top = max(max(abs(x) for x in row) for row in matrix)
+    if not top > 0:
+        return [0.0] * len(right)
+    values, vectors = np.linalg.eigh(np.array(matrix) / top)
+    held = values > NULL * values[-1]
+    part = vectors[:, held]
+    return (part @ ((part.T @ np.array(right)) / values[held]) / top).tolist()
 
 
 class Fit(NamedTuple):
-    """Rates as a column over (tokens, p), the totals reached, the steps taken and
-    how they ended: True if the targets are met or no step comes nearer."""
+    """Rates as a column over (tokens, p), the totals reached, the steps taken, and
+    whether they ended at an optimum that only the bounds keep from the targets, if anything does."""
 
     rate: Column
     reached: list[float]
@@ -178,16 +177,20 @@ def fit_rates(members: DataFrame, targets: list[float | None], max_steps: int =
     """Rates of the rows of ``members`` (tokens, p: array of posteriors).
 
     Minimises the squared distance of the expected domain totals from the
-    targets over rates between 0 and ``most``, starting from 1; the distance is
-    measured by the inverse of G = sum tokens * p p^T, in which no domain is
-    drowned by a larger one. In the scaled unknowns z_i = sqrt(tokens_i) * r_i a
-    gradient step of length 1 always descends. Steps by G over the rows whose
-    rate is between its bounds go further: they meet the targets unless more
-    rates reach a bound. A step that does not come nearer is halved, and given
-    up for the sure one in the end. Steps end when the targets are met or out of
-    reach; after ``max_steps`` passes over the rows a warning says by how much
-    they are missed. Rows with no tokens keep rate 1; domains whose target is
-    None take no part in the distance.
+    targets over rates between 0 and ``most``, starting from 1. With G = sum
+    tokens * p * p^T the distance is measured by the inverse of G, in which no
+    domain is drowned by a larger one; where G has none, since the posteriors
+    span fewer directions than there are domains, it is the plain distance. In
+    the scaled unknowns z_i = sqrt(tokens_i) * r_i a gradient step of length 1
+    (plain: 1 / the largest eigenvalue of G) always descends; while it does, the
+    next one is twice as long. Steps by the pseudo-inverse of G over the rows
+    whose rate is between its bounds come first: they meet the targets, or come
+    as near as the directions allow, unless more rates reach a bound.
+
+    Steps end when the targets are met or no step comes nearer. A warning names
+    totals that miss their targets. ``converged`` is False if steps ran out, or
+    if a part of the targets lies where no rates lead, bounds or not. Rows with
+    no tokens keep rate 1; domains whose target is None take no part.
     """
     bound = [k for k, b in enumerate(targets) if b is not None]
     n = len(bound)
@@ -209,38 +212,39 @@ def fit_rates(members: DataFrame, targets: list[float | None], max_steps: int =
     if not n:
         return Fit(F.lit(1.0), [], 0, True)
     reached, whole = measure(moves)
-    gram, step, length, met = whole, 0, 1.0, False
+    met = lambda totals: math.dist(totals, targets) <= TOLERANCE * scale
+    values = np.linalg.eigvalsh(np.array(whole))
+    regular, largest = values[0] > NULL * values[-1], float(values[-1])
+
+    def weighed(miss: list[float]) -> list[float]:
+        return _solve(whole, miss) if regular else [x / largest for x in miss]
 
     def distance(totals: list[float]) -> float:
         miss = [a - b for a, b in zip(totals, targets)]
-        return math.sqrt(max(0.0, sum(x * y for x, y in zip(miss, _solve(whole, miss)))))
+        return math.sqrt(max(0.0, sum(x * y for x, y in zip(miss, weighed(miss)))))
 
-    far = distance(reached)
-    while step < max_steps:
+    least = PROGRESS if regular else PLAIN_PROGRESS
+    gram, step, long, by_gram, settled = whole, 0, 1.0, True, not largest > 0
+    far = 0.0 if settled else distance(reached)
+    while step < max_steps and not settled and not met(reached):
         miss = [a - b for a, b in zip(reached, targets)]
-        met = math.hypot(*miss) <= TOLERANCE * scale
-        if met:
-            break
-        sure = length < SHORTEST
-        move = _solve(whole, miss) if sure else [length * x for x in _solve(gram, miss)]
-        if not all(map(math.isfinite, move)):
-            length = 0.0
-            if sure:
-                break
-            continue
+        move = _solve(gram, miss) if by_gram else [long * x for x in weighed(miss)]
         made = [*moves, [move[bound.index(k)] if k in bound else 0.0 for k in range(width)]]
         totals, next_gram = measure(made)
         step, nearer = step + 1, distance(totals)
-        if nearer >= far * (1 - PROGRESS):
-            met = sure
-            if sure:
-                break
-            length /= 2
-            continue
-        moves, reached, gram, far, length = made, totals, next_gram, nearer, min(1.0, 2 * max(length, SHORTEST))
-    if not met:
-        logging.getLogger(__name__).warning("rates not converged after %d steps: totals %s, targets %s", step, reached, targets)
-    return Fit(F.when(t > 0, _rate(moves, most)).otherwise(F.lit(1.0)), reached, step, met)
+        if nearer < far * (1 - least) or met(totals):
+            moves, reached, gram, far = made, totals, next_gram, nearer
+            long, by_gram = long if by_gram else 2 * long, True
+        elif by_gram:
+            by_gram = False
+        elif long > 1:
+            long = 1.0
+        else:
+            settled = True
+    if not met(reached):
+        why = "no step comes nearer" if settled else "steps ran out"
+        logging.getLogger(__name__).warning("rates miss their targets after %d steps (%s): totals %s, targets %s", step, why, reached, targets)
+    return Fit(F.when(t > 0, _rate(moves, most)).otherwise(F.lit(1.0)), reached, step, met(reached) or settled and bool(regular))
 
 
 def token_targets(totals: list[float], shares: list[float]) -> list[float | None]:

@@ -95,3 +95,27 @@ def test_scarce_domains_leave_clean_documents(spark):
 def test_domains_below_their_share_are_reached():
     assert mixing.token_targets([865.0, 134.0, 1.0], [0.97, 0.02, 0.01]) == [865.0, pytest.approx(865 * 0.02 / 0.97), None]
     assert mixing.token_targets([0.0, 0.0, 0.0], [0.97, 0.02, 0.01]) == [None] * 3
+
+
+@pytest.mark.parametrize("wanted", [[60_000.0, 1_200.0, 600.0], [9_000.0, 30_000.0, 100.0], [200_000.0, 1.0, 1.0]])
+def test_posteriors_of_few_directions_end_at_plain_least_squares(spark, caplog, wanted):
+    """Two distinct posteriors over three domains: no rates meet the targets, and the fit says so."""
+    p = np.array([[0.801, 0.141, 0.058] if k % 10 else [0.1, 0.2, 0.7] for k in range(200)])
+    t = np.array([100.0 + 40 * (k % 13) for k in range(200)])
+    df = spark.createDataFrame([(k, int(a), [float(x) for x in b]) for k, (a, b) in enumerate(zip(t, p))], "doc_id long, tokens long, p array<double>")
+    r, top = np.ones(200), np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
+    for _ in range(5000):
+        r = np.clip(r - p @ ((t * r) @ p - wanted) / top, 0, mixing.MOST)
+    best = np.linalg.norm((t * r) @ p - wanted)
+    fit = mixing.fit_rates(df, wanted)
+    assert not fit.converged and "miss their targets" in caplog.text
+    assert math.dist(fit.reached, wanted) <= 1.002 * best < math.dist(t @ p, wanted)
+
+
+def test_equal_weights_of_domains_and_long_texts(spark):
+    """Ties between domains and texts of over a million characters are worked out like any other."""
+    texts = ["word " * 300_000, "word " * 300_000, None, "", "other"]
+    docs = spark.createDataFrame([(k % 4, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.document_rates(docs, labels).collect()
+    assert len(got) == 5 and sorted(r.n_tokens for r in got) == [0, 0, 1, 300_000, 300_000] and all(0 <= r.rate <= mixing.MOST for r in got)
