@@ -1,9 +1,10 @@
 """URL filters by temporal list joins. DataFrame functions only.
 
 A list is a table of dated entries: key, action, listed_at. The entries of a
-key become validity intervals that do not overlap. A capture has as keys its
-address without query, its host and all domains of two labels or more above it.
-The most specific key with an entry that holds when it was fetched decides.
+key become validity intervals that do not overlap, kept as timelines of a few
+dozen entries a row. A capture has as keys its address without query, its host
+and all domains of two labels or more above it. The most specific key with an
+entry that holds when it was fetched decides.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorline.llm.common import fresh_name
 
+
 def host_of(url: Column) -> Column:
     """Host of an address in lower case, without user and port; null if there is none."""
     found = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -32,29 +34,36 @@ def host_keys(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(i.alias("step"), F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("key")))
 
 
-def validity(entries: DataFrame) -> DataFrame:
-    """Intervals key, action, valid_from, valid_to (null: still valid) of dated
-    entries. An entry holds until the key's next date. Of entries of one key
-    and date the greatest action in string order holds, so a repeat changes
-    nothing; entries without key or date are left out."""
-    dated = entries.filter("key is not null and listed_at is not null").groupBy("key", F.col("listed_at").alias("valid_from")).agg(F.max("action").alias("action"))
-    return dated.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("key").orderBy("valid_from")))
+#: Entries in a row of a timeline.
+TIMELINE = 64
+
+
+def dated_entries(entries: DataFrame) -> DataFrame:
+    """key, valid_from, action of dated entries. An entry holds until the key's next
+    date. Of entries of one key and date the greatest action in string order
+    holds, so a repeat changes nothing; entries without key or date are left out."""
+    return entries.filter("key is not null and listed_at is not null").groupBy("key", F.col("listed_at").alias("valid_from")).agg(F.max("action").alias("action"))
+
+
+def timelines(dated: DataFrame) -> DataFrame:
+    """key, valid_from, valid_to (null: still valid) and ``held``: up to TIMELINE entries
+    of a key in order of their dates. The intervals of a key do not overlap and leave no gap."""
+    place = F.row_number().over(W.partitionBy("key").orderBy("valid_from"))
+    placed = dated.withColumn("part", F.floor((place - 1) / TIMELINE))
+    rows = placed.groupBy("key", "part").agg(F.min("valid_from").alias("valid_from"), F.array_sort(F.collect_list(F.struct("valid_from", "action"))).alias("held"))
+    return rows.select("key", "valid_from", F.lead("valid_from").over(W.partitionBy("key").orderBy("valid_from")).alias("valid_to"), "held")
 
 
-def host_intervals(hosts: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Intervals host, step, key, action, valid_from, valid_to of distinct hosts, which do
-    not overlap.
+def host_chains(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """host, ``chain``: step, key and first date of the listed keys of each distinct host, nearest first.
 
-    A key's intervals follow each other without a gap, so a key that was ever
-    listed stays listed: at any time the most specific of the keys listed so
-    far decides, by its last entry. That is a running maximum over the entries
-    of a host's keys in order of their dates.
+    A key that was ever listed stays listed, so its first date says from when it
+    can decide: a host has a row per label here, however many entries its
+    domains have.
     """
-    met = hosts.filter("host is not null").select("host", F.inline(host_keys(F.col("host")))).join(intervals, "key")
-    dated = met.groupBy("host", "valid_from").agg(F.max(F.struct((-F.col("step")).alias("near"), F.col("valid_from").alias("since"), "key", "action")).alias("x"))
-    w = W.partitionBy("host").orderBy("valid_from")
-    held = dated.select("host", "valid_from", F.lead("valid_from").over(w).alias("valid_to"), F.max("x").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("x"))
-    return held.select("host", (-F.col("x.near")).alias("step"), "x.key", "x.action", "valid_from", "valid_to")
+    keys = hosts.filter("host is not null").select("host", F.inline(host_keys(F.col("host"))))
+    met = keys.join(listed, "key")
+    return met.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("step", "key", "since"))).alias("chain"))
 
 
 def apply_list(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -63,27 +72,32 @@ def apply_list(captures: DataFrame, entries: DataFrame, url_col: str = "url", ti
     The level is address, host, parent (the host without its first label) or
     domain (any further one). All three are null where no entry holds: unlisted
     keys, captures before the first entry, null or malformed addresses, null
-    times. Two left joins, by address and by host: intervals of either do not
-    overlap, so a row meets at most one and repeated rows stay as they are. A
-    host with a third of all captures is split by the joins' skew handling; a
-    small list is broadcast by size. Columns of these names are replaced.
+    times. The first dates of the address and of the host's chain say which key
+    decides; one as-of join with that key's timeline gives the entry. Every join
+    gives a capture at most one row, so repeated rows stay as they are, and no
+    table holds hosts times entries. A host or key with a third of all captures
+    is split by the joins' skew handling; a small list is broadcast by size.
+    Columns of these names are replaced.
     """
     rest = [c for c in captures.columns if c.lower() not in ("matched_level", "matched_key", "action")]
     url = F.col(f"`{url_col}`")
-    at, address, host = (fresh_name(captures, x) for x in ("at", "address", "host"))
+    at, address, host, own, chain, near, line = (fresh_name(captures, x) for x in ("at", "address", "host", "own", "chain", "near", "line"))
     out = captures.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{time_col}`").alias(at), address_of(url).alias(address), host_of(url).alias(host))
-    intervals = validity(entries)
-    by_host = host_intervals(captures.select(host_of(url).alias("host")).distinct(), intervals)
-    fields = ("key", "action", "valid_from", "valid_to")
-    for own, table, key, more in ((address, intervals, "key", ()), (host, by_host, "host", ("host", "step"))):
-        mine = table.select(*[F.col(c).alias(f"{own}_{c}") for c in (*fields, *more)])
-        since, until = F.col(f"{own}_valid_from"), F.col(f"{own}_valid_to")
-        out = out.join(mine, (F.col(own) == F.col(f"{own}_{key}")) & (since <= F.col(at)) & (until.isNull() | (F.col(at) < until)), "left")
-    exact = F.col(f"{address}_key").isNotNull()
-    step = F.col(f"{host}_step")
-    pick = lambda c: F.when(exact, F.col(f"{address}_{c}")).otherwise(F.col(f"{host}_{c}"))
-    level = F.when(exact, "address").when(step == 1, "host").when(step == 2, "parent").when(step > 2, "domain")
-    return out.select(*[F.col(f"`{c}`") for c in rest], level.alias("matched_level"), pick("key").alias("matched_key"), pick("action").alias("action"))
+    dated = dated_entries(entries)
+    listed = dated.groupBy("key").agg(F.min("valid_from").alias("since"))
+    by_host = host_chains(captures.select(host_of(url).alias("host")).distinct(), listed)
+    out = out.join(listed.select(F.col("key").alias(f"{own}_key"), F.col("since").alias(own)), F.col(address) == F.col(f"{own}_key"), "left")
+    out = out.join(by_host.select(F.col("host").alias(f"{chain}_host"), F.col("chain").alias(chain)), F.col(host) == F.col(f"{chain}_host"), "left")
+    above = F.get(F.filter(chain, lambda k: k["since"] <= F.col(at)), F.lit(0))
+    decides = F.when(F.col(own) <= F.col(at), F.struct(F.lit(0).alias("step"), F.col(address).alias("key"))).otherwise(F.when(above.isNotNull(), F.struct(above["step"].alias("step"), above["key"].alias("key"))))
+    out = out.select(*[F.col(f"`{c}`") for c in rest], at, decides.alias(near)).withColumn(f"{near}_key", F.col(f"{near}.key"))
+    held = timelines(dated).select(*[F.col(c).alias(f"{line}_{c}") for c in ("key", "valid_from", "valid_to", "held")])
+    since, until = F.col(f"{line}_valid_from"), F.col(f"{line}_valid_to")
+    out = out.join(held, (F.col(f"{near}_key") == F.col(f"{line}_key")) & (since <= F.col(at)) & (until.isNull() | (F.col(at) < until)), "left")
+    entry = F.element_at(F.filter(f"{line}_held", lambda e: e["valid_from"] <= F.col(at)), -1)
+    step = F.col(f"{near}.step")
+    level = F.when(step == 0, "address").when(step == 1, "host").when(step == 2, "parent").when(step > 2, "domain")
+    return out.select(*[F.col(f"`{c}`") for c in rest], level.alias("matched_level"), F.col(f"{near}_key").alias("matched_key"), F.when(step.isNotNull(), entry["action"]).alias("action"))
 
 
 #: The given tables hold neither fetch times nor lists, so both follow from the
