@@ -1,19 +1,21 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element, with a blank line between
-two. Every line has a length: its characters, or 0 if it is mostly links or
-stands in an element that holds no article. Other markup is weighed: a name or
-form that speaks against the article, and a place outside the element that
-marks it, each divide a line's length by AGAINST. The sums of the lengths over
+two. Every line has a length: its characters, or 0 if it is mostly links; lines
+in an element that holds no article are left out. The sums of the lengths over
 sliding windows of lines surge where the article begins and dive to 0 where it
 ends; the lines of length over 0 between surges and dives are kept.
 
-Lines of equal standing (named or not, inside the marked element or not) are a
-distribution of their own, so an advert does not part the paragraphs around
-it. The largest window of the page says how high a surge must be, up to SURGE
-characters: names and marks are thus believed only as far as the lengths bear
-them out, and a page whose whole article stands in a form or in a box with a
-telling name still gives it.
+An element whose name or kind speaks against the article is a box. The lines of
+a box, of the boxes of equal names beside it, and those that stand in no box,
+each within and without the element that marks the article, are distributions of
+their own, so an advert does not part the paragraphs around it. One of them
+gives the text: the one with most characters in its surges, where a name or a
+missing mark decides only between comparable masses. A form, share bar or
+widget needs four times the characters of what it is held against, a menu or
+sidebar sixteen times, an advert or a request more than any article has. So a
+page whose whole article stands in a form or in a box with a telling name still
+gives it, and the advert within that box stays out.
 
 A surge begins at a line that bears its part of the sum, with the lines right
 above it and a main heading within the window. After the first surge a third of
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +38,8 @@ from sensorline.llm.common import fresh_name
 #: Lines in a window (three blocks and the blank lines between them), and characters in a window where a surge begins.
 WINDOW = 5
 SURGE = 86
-#: What a name or place against the article divides a line's length by, and the least window that counts as text.
-AGAINST = 256
-LEAST = 1.0
+#: What a missing mark divides a mass by where another part of the page is marked as the article.
+UNMARKED = 256
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -59,22 +61,22 @@ _HOLDERS = frozenset("article main section div body table ul ol dl nav aside hea
 _NO_TEXT = frozenset("head nav footer aside button menu dialog".split())
 _NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 _REPLIES = frozenset("comment comments disqus replies respond".split())
-_DOUBTFUL = frozenset("form fieldset".split())
-_NO_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar "
-    "footer foot share sharing social related recommended recommendations widget widgets toolbar "
-    "pagination pager login search copyright disclaimer alert toc skip".split()
-)
-_GOOD, _NAMED, _OUT = range(3)
-
-
-def _standing(tag: str, attrs: str, in_article: bool) -> int:
-    """What the markup of an element says: _OUT if it holds no article text, _NAMED
-    if it speaks against it, else _GOOD."""
+_DOUBTFUL_TAGS = frozenset("form fieldset".split())
+_PAID = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login".split())
+_LAYOUT = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs footer foot related recommended recommendations pagination pager search copyright toc skip".split())
+_DOUBTFUL = frozenset("promo promotion banner notice notices overlay header masthead topbar share sharing social widget widgets toolbar disclaimer alert".split())
+#: Grades of an element, and of each what its mass is divided by and the fewest characters that count as an article.
+_GOOD, _NAMED, _PART, _ASKS, _OUT = range(5)
+_WEIGHT = {_GOOD: 1, _NAMED: 4, _PART: 16, _ASKS: 256}
+_LEAST = {_GOOD: 1, _NAMED: 4, _PART: 32, _ASKS: 1024}
+
+
+def _grade(tag: str, attrs: str, in_article: bool) -> int:
+    """What the markup of an element says: _OUT if it holds no article text, _GOOD if
+    nothing speaks against it."""
     if tag in _NO_TEXT or tag == "header" and not in_article:
         return _OUT
-    found = _NAMED if tag in _DOUBTFUL else _GOOD
+    found = _NAMED if tag in _DOUBTFUL_TAGS else _GOOD
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
         return found
     for name, value in _ATTR.findall(attrs):
@@ -83,8 +85,8 @@ def _standing(tag: str, attrs: str, in_article: bool) -> int:
             parts = {p.lower() for p in _PIECES.findall(value)}
             if parts & _REPLIES:
                 return _OUT
-            if parts & _NO_NAME and not (in_article and tag in ("h1", "h2", "p")):
-                found = _NAMED
+            if not (in_article and tag in ("h1", "h2", "p")):
+                found = max([found, *(g for g, names in ((_ASKS, _PAID), (_PART, _LAYOUT), (_NAMED, _DOUBTFUL)) if parts & names)])
         elif name == "role" and value.lower() in _NO_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return _OUT
         elif name == "itemprop" and value.lower() == "comment" or name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -92,13 +94,25 @@ def _standing(tag: str, attrs: str, in_article: bool) -> int:
     return found
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
-    """Lines of a page: text, standing, whether it lies in an element that marks
-    the article, characters of link text, whether it is a main heading."""
-    lines: list[tuple[str, int, bool, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, standing, in article
+class Line(NamedTuple):
+    """A line of a page: its text, the grade and number of its box, whether it lies in an
+    element that marks the article, characters of link text, whether it is a main heading."""
+
+    text: str
+    grade: int
+    box: int
+    inside: bool
+    linked: int
+    head: bool
+
+
+def page_lines(page: str) -> list[Line]:
+    """Lines of a page in order. Boxes of one name in one box share their number; 0 is no box."""
+    lines: list[Line] = []
+    stack: list[tuple[str, int, int, bool]] = []  # tag, grade, box, in article
     opened: dict[str, int] = {}
-    noise, inside = _GOOD, False
+    boxes: dict[tuple, int] = {}
+    grade, box, inside = _GOOD, 0, False
     links, parts, linked = 0, [], 0
 
     def close() -> None:
@@ -106,15 +120,15 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, noise, inside, linked, bool(opened.get("h1") or opened.get("h2"))))
+                lines.append(Line(text, grade, box, inside, linked, bool(opened.get("h1") or opened.get("h2"))))
             parts, linked = [], 0
 
     def pop() -> str:
-        nonlocal noise, inside, links
-        tag, _, _ = stack.pop()
+        nonlocal grade, box, inside, links
+        tag = stack.pop()[0]
         opened[tag] -= 1
         links -= tag == "a"
-        noise, inside = stack[-1][1:] if stack else (_GOOD, False)
+        grade, box, inside = stack[-1][1:] if stack else (_GOOD, 0, False)
         return tag
 
     def add(text: str) -> None:
@@ -149,17 +163,20 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int, bool]]:
         if tag in _CLOSES:
             while stack and stack[-1][0] not in _HOLDERS and any(opened.get(t) for t in _CLOSES[tag]):
                 pop()
-        out = max(noise, _standing(tag, attrs, inside))
-        inside = inside or tag in ("article", "main") and out < _OUT or 'itemprop="articleBody"' in attrs
-        if out != noise:
+        own = _grade(tag, attrs, inside)
+        new_box = boxes.setdefault((box, tag, attrs), len(boxes) + 1) if _GOOD < own < _OUT else box
+        inside = inside or tag in ("article", "main") and max(grade, own) < _OUT or 'itemprop="articleBody"' in attrs
+        if own > grade or new_box != box:
             close()
-        noise = out
+        grade, box = max(grade, own), new_box
         if not attrs.endswith("/"):
-            stack.append((tag, noise, inside))
+            stack.append((tag, grade, box, inside))
             opened[tag] = opened.get(tag, 0) + 1
             links += tag == "a"
         elif stack:
-            noise, inside = stack[-1][1:]
+            grade, box, inside = stack[-1][1:]
+        else:
+            grade, box, inside = _GOOD, 0, False
     add(page[at:])
     close()
     return lines
@@ -191,26 +208,25 @@ def _surges(size: list[float], heads: list[bool], least: float, later: float) ->
 def main_text(page: str | None) -> str:
     """Article text of a page, its blocks joined by one space; empty if there is none."""
     lines = page_lines(page or "")
-    marked = any(inside and standing < _OUT for _, standing, inside, _, _ in lines)
+    marked = any(x.inside and x.grade < _OUT for x in lines)
     parts: dict[tuple[int, bool], list[int]] = {}
-    for k, (_, standing, inside, _, _) in enumerate(lines):
-        if standing < _OUT:
-            parts.setdefault((standing, inside), []).append(k)
-    held = []
-    for (standing, inside), mine in parts.items():
-        against = (standing == _NAMED) + (marked and not inside)
+    for k, x in enumerate(lines):
+        if x.grade < _OUT:
+            parts.setdefault((x.box, x.inside), []).append(k)
+    best, found = 0.0, []
+    for (_, inside), mine in parts.items():
         size, heads = [0.0] * (2 * len(mine)), [False] * (2 * len(mine))
         for j, k in enumerate(mine):
-            text, _, _, linked, head = lines[k]
-            size[2 * j] = 0.0 if 2 * linked > len(text) and not inside else len(text) / AGAINST**against
-            heads[2 * j] = head
-        held.append((mine, size, heads, against))
-    top = max((max(_windows(size)) for _, size, _, _ in held), default=0.0)
-    if top < LEAST:
-        return ""
-    least = min(SURGE, top)
-    kept = [mine[j // 2] for mine, size, heads, against in held for j in _surges(size, heads, least, least if against else min(least, SURGE / 3))]
-    return " ".join(lines[k][0] for k in sorted(kept))
+            x = lines[k]
+            size[2 * j] = 0.0 if 2 * x.linked > len(x.text) and not inside else float(len(x.text))
+            heads[2 * j] = x.head
+        least = min(SURGE, max(_windows(size)))
+        kept = [mine[j // 2] for j in _surges(size, heads, least, min(least, SURGE / 3))] if least else []
+        mass, grade = sum(len(lines[k].text) for k in kept), lines[mine[0]].grade
+        worth = mass / _WEIGHT[grade] / (UNMARKED if marked and not inside else 1)
+        if mass >= _LEAST[grade] and worth > best:
+            best, found = worth, kept
+    return " ".join(lines[k].text for k in found)
 
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -182,3 +182,38 @@ def test_languages_with_clashing_columns_and_long_texts(spark):
     pages = spark.createDataFrame([(7, "http://a.de/x", "<p>und die</p>", "x")], "page_id long, url string, html string, Host string")
     got = langid.identify(docs, pages).collect()
     assert sorted((r.doc_id or 0, r.lang) for r in got)[1:] == [(1, "en"), (1, "en"), (2, "de")]
+
+
+def test_many_hosts_below_a_long_timeline(spark):
+    """20 000 hosts below one domain of 1000 dated entries: rows on the way stay near the hosts' labels."""
+    entries = spark.range(1000).select(F.lit("blogs.example").alias("key"), F.concat(F.lit("act"), F.col("id") % 7).alias("action"), (F.col("id") * 10).cast("int").alias("listed_at"))
+    caps = spark.range(20_000).select("id", F.concat(F.lit("http://h"), F.col("id"), F.lit(".blogs.example/p")).alias("url"), (F.col("id") % 10_100).cast("int").alias("fetched_at"))
+    listed = urls.dated_entries(entries).groupBy("key").agg(F.min("valid_from").alias("since"))
+    hosts = caps.select(urls.host_of(F.col("url")).alias("host")).distinct()
+    chains = urls.host_chains(hosts, listed)
+    assert chains.count() == 20_000 and chains.agg(F.sum(F.size("chain"))).first()[0] == 20_000
+    assert urls.timelines(urls.dated_entries(entries)).count() == -(-1000 // urls.TIMELINE)
+    got = urls.apply_list(caps, entries)
+    wrong = got.filter((F.col("action") != F.concat(F.lit("act"), F.least(F.floor(F.col("fetched_at") / 10), F.lit(999)) % 7)) | F.col("action").isNull())
+    assert got.count() == 20_000 and wrong.count() == 0
+
+
+@pytest.mark.parametrize("box", ["<form>", '<div class="share-body">', '<div class="widget">', '<section id="header-story">', '<div class="sidebar-main">'])
+def test_articles_in_boxes_with_telling_names(spark, sf, box):
+    """The article of every given page, the advert beside it and one within it out."""
+    end = re.match(r"<(\w+)", box).group(1)
+    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        want = main_text(p.html)
+        shown = p.html.replace("<article>", f'{box}<div class="ad">Buy this.</div>').replace("</article>", f"</{end}>")
+        assert want and main_text(shown) == (want if len(want) >= 32 or "sidebar" not in box else "")
+
+
+def test_paragraphs_in_boxes_of_one_name_stay_together():
+    page = f"<body><div>(c) 2020</div><div class=text-widget><p>{PROSE}</p></div><div class=text-widget><p>Short.</p></div><div class=text-widget><p>{PROSE}</p></div></body>"
+    assert main_text(page) == f"{PROSE.strip()} Short. {PROSE.strip()}"
+
+
+def test_very_long_pages():
+    page = "<body><nav>Menu</nav><div>" + f"<p>{PROSE}</p><p>Short.</p>" * 20_000 + "</div><footer>(c)</footer></body>"
+    got = main_text(page)
+    assert len(page) > 5_000_000 and len(got) == len(f"{PROSE.strip()} Short. ") * 20_000 - 1
