@@ -224,17 +224,29 @@ def _(spark, sf):
 _BAND = (10.0, 30.0, 100.0)
 
 
-def _taps() -> tuple[str, int]:
-    """The response, last tap first, as a list, and its length."""
-    h = signal.impulse_response(signal.butterworth_bandpass(*_BAND), 1e-6)
-    return f"[{', '.join(map(repr, map(float, h[::-1])))}]", len(h)
-
-
-@_query(
-    "b8_bandpass",
-    """with {blk}, x as (select channel, list(value order by sample_idx) as v from lng group by channel), n as (select *, unnest(range(1, len(v) + 1)) as i from x)
-    select channel, i - 1 as sample_idx, round(list_inner_product(v[greatest(1, i - {n} + 1):i], cast({h} as double[])[greatest(1, {n} - i + 1):{n}]), 5) + 0.0 as value from n""".format(blk=B.BLK, h=_taps()[0], n=_taps()[1]),
-)
+def _cascade(order: int = 6) -> str:
+    """The filter in SQL from its band alone: poles of the analog band-pass by complex
+    roots, one section a pair, and the recursion sample by sample."""
+    lo, hi, fs = _BAND
+    states = [f"{s}{k}" for k in range(1, order + 1) for s in ("p", "q")]
+    steps, v = [], "x"
+    for k in range(1, order + 1):
+        gain = "g * " if k == 1 else ""
+        steps.append(f"{gain}{v} + p{k} as y{k}, -a[{k}] * y{k} + q{k} as np{k}, -{gain}{v} - b[{k}] * y{k} as nq{k}")
+        v = f"y{k}"
+    return f"""with recursive {B.BLK}, w as (select 2 * {fs} * tan(pi() * {lo} / {fs}) as w1, 2 * {fs} * tan(pi() * {hi} / {fs}) as w2),
+    lp as (select k, cos(pi() * (2 * k + {order} - 1) / {2 * order}) * (w2 - w1) / 2 as re, sin(pi() * (2 * k + {order} - 1) / {2 * order}) * (w2 - w1) / 2 as im, w1 * w2 as mid from w, range(1, {order + 1}) as r(k)),
+    z as (select *, re * re - im * im - mid as zr, 2 * re * im as zi from lp), rt as (select *, sqrt((sqrt(zr * zr + zi * zi) + zr) / 2) as rr, (case when zi < 0 then -1 else 1 end) * sqrt((sqrt(zr * zr + zi * zi) - zr) / 2) as ri from z),
+    an as (select re + t * rr as ar, im + t * ri as ai from rt, (values (1), (-1)) as v(t)),
+    po as (select ((2 * {fs} + ar) * (2 * {fs} - ar) - ai * ai) / (power(2 * {fs} - ar, 2) + ai * ai) as pr, (4 * {fs} * ai) / (power(2 * {fs} - ar, 2) + ai * ai) as pim, power(2 * {fs} - ar, 2) + ai * ai as far from an),
+    co as (select list(-2 * pr order by pr * pr + pim * pim) as a, list(pr * pr + pim * pim order by pr * pr + pim * pim) as b, (select exp({order} * ln((w2 - w1) * 2 * {fs})) from w) * exp(-sum(ln(far))) as g from po where pim > 0),
+    src as (select channel, list(value order by sample_idx) as xs from lng group by channel),
+    rec as (select channel, 0::bigint as i, 0.0::double as y, {", ".join(f"0.0::double as {x}" for x in states)} from src
+      union all select channel, i + 1, y{order}, {", ".join("n" + x for x in states)} from (select *, {", ".join(steps)} from (select rec.*, xs[i + 1] as x, a, b, g from rec join src using (channel), co where i < len(xs))))
+    select channel, i - 1 as sample_idx, round(y, 5) + 0.0 as value from rec where i > 0"""
+
+
+@_query("b8_bandpass", _cascade())
 def _(spark, sf):
     return C.explode_blocks(signal.bandpass(B.blocks(spark, sf), *_BAND)).withColumn("value", _r("value", 5) + 0.0)
 
@@ -279,15 +291,17 @@ def _(spark, sf):
     return C.explode_blocks(signal.matched_filter_native(B.blocks(spark, sf), TEMPLATE)).withColumn("value", _r("value", 5) + 0.0)
 
 
-@_query(
-    "c2_envelope",
-    f"""with {B.BLK}, c as (select channel, sample_idx, 0.5 * value - lead(value, 1) over w + 2.0 * lead(value, 2) over w + 0.25 * lead(value, 3) over w as value from lng window w as (partition by channel order by sample_idx)),
+#: Envelope of the correlation in SQL: m holds its values and their largest.
+_ENVELOPE = f"""{B.BLK}, c as (select channel, sample_idx, 0.5 * value - lead(value, 1) over w + 2.0 * lead(value, 2) over w + 0.25 * lead(value, 3) over w as value from lng window w as (partition by channel order by sample_idx)),
     x as (select channel, min(sample_idx) as first, list(cast(value as double) order by sample_idx) as v from c where value is not null group by channel),
-    k as (select list(case when j % 2 <> 0 then 2 / (pi() * j) * (0.5 + 0.5 * cos(pi() * j / 1025)) else 0.0::double end order by j desc) as h from range(-1024, 1025) as g(j)),
+    k as (select n, list(case when k % n = 0 then 0.0 when n % 2 = 0 then case when k % 2 <> 0 then 2 / tan(pi() * k / n) / n else 0.0 end else (1 / tan(pi() * k / n) - case when k % 2 = 0 then 1 else -1 end / sin(pi() * k / n)) / n end order by k desc) as h
+      from (select distinct len(v) as n from x), lateral (select unnest(range(1 - n, n)) as k) group by n),
     n as (select *, unnest(range(1, len(v) + 1)) as i from x),
-    e as (select channel, first + i - 1 as sample_idx, sqrt(power(v[i], 2) + power(list_inner_product(v[greatest(1, i - 1024):least(len(v), i + 1024)], h[greatest(1, i - 1024) - i + 1025:least(len(v), i + 1024) - i + 1025]), 2)) as value from n, k),
-    m as (select *, max(value) over (partition by channel) as m from e) select channel, sample_idx, round(value / case when m > 0 then m else 1 end, 5) as value from m""",
-)
+    e as (select channel, first + i - 1 as sample_idx, sqrt(power(v[i], 2) + power(list_inner_product(v, h[len(v) - i + 1:2 * len(v) - i]), 2)) as value from n join k on k.n = len(v)),
+    m as (select *, max(value) over (partition by channel) as m from e)"""
+
+
+@_query("c2_envelope", f"with {_ENVELOPE} select channel, sample_idx, round(value / case when m > 0 then m else 1 end, 5) as value from m")
 def _(spark, sf):
     return C.explode_blocks(signal.envelope(signal.matched_filter(B.blocks(spark, sf), TEMPLATE))).withColumn("value", _r("value", 5))
 
@@ -303,12 +317,36 @@ def _(spark, sf):
     return detection.local_maxima(B.samples(spark, sf), 250.0)
 
 
-@_query("c3_find_peaks", None)
+def _peaks_sql(height: float, prominence: float, distance: int) -> str:
+    """Peaks of a table ser (channel, sample_idx, value): maxima by windows, the greedy
+    choice one peak after the other, grounds by comparison with every sample."""
+    return f"""r as (select *, row_number() over w as i, case when lag(value) over w = value then 0 else 1 end as ch from ser window w as (partition by channel order by sample_idx)),
+    g as (select *, sum(ch) over (partition by channel order by sample_idx) as g from r), f as (select channel, g, min(i) as a, max(i) as b, min(value) as v from g group by all),
+    t as (select channel, a, b, v, lag(v) over w as p, lead(v) over w as n from f window w as (partition by channel order by g)),
+    mx as (select r.channel, r.sample_idx as peak, r.value as level, row_number() over (partition by r.channel order by r.value desc, r.sample_idx) as rk from t join r on r.channel = t.channel and r.i = (a + b) // 2 where v > p and v > n and v >= {height}),
+    rec as (select channel, 0::bigint as rk, []::bigint[] as kept from (select distinct channel from mx)
+      union all select rec.channel, mx.rk, case when len(list_filter(kept, lambda k: abs(k - peak) < {distance})) = 0 then list_append(kept, peak) else kept end from rec join mx on mx.channel = rec.channel and mx.rk = rec.rk + 1),
+    kp as (select channel, unnest(arg_max(kept, rk)) as peak from rec group by channel), kl as (select kp.channel, peak, level from kp join mx using (channel, peak)),
+    ed as (select kl.channel, peak, level, max(case when sample_idx < peak and value > level then sample_idx end) as lo, min(case when sample_idx > peak and value > level then sample_idx end) as hi from kl join ser on ser.channel = kl.channel group by all),
+    pk as (select ed.channel, peak, level, level - greatest(min(case when sample_idx <= peak then value end), min(case when sample_idx >= peak then value end)) as prominence
+      from ed join ser on ser.channel = ed.channel and sample_idx > coalesce(lo, -1) and sample_idx < coalesce(hi, 9223372036854775807) group by ed.channel, peak, level),
+    found as (select * from pk where prominence >= {prominence})"""
+
+
+@_query("c3_find_peaks", f"with recursive {B.SMP}, ser as (select channel, sample_idx, value from smp), {_peaks_sql(250.0, 100.0, 5)} select channel, peak, level, round(prominence, 6) as prominence from found")
 def _(spark, sf):
-    return detection.find_peaks(B.samples(spark, sf), 250.0, 100.0, 5)
+    return detection.find_peaks(B.samples(spark, sf), 250.0, 100.0, 5).withColumn("prominence", _r("prominence"))
+
 
+_RUN = "(select min(sample_idx) as first, max(sample_idx) // 64 as n_packets from ser)"
 
-@_query("c6_detect_packets", None)
+
+@_query(
+    "c6_detect_packets",
+    f"""with recursive {_ENVELOPE}, ser as (select channel, sample_idx, value / case when m > 0 then m else 1 end as value from m), {_peaks_sql(0.2, 0.1, 8)},
+    tg as (select unnest(range(0, n_packets)) as packet, first from {_RUN})
+    select packet, channel, min(peak) as sample_idx from found join tg on abs(peak - (first + packet * 64)) <= 20 group by packet, channel""",
+)
 def _(spark, sf):
     env = C.explode_blocks(signal.envelope(signal.matched_filter(B.blocks(spark, sf), TEMPLATE)))
     runs = env.agg(F.lit(0).alias("run_id"), F.min("sample_idx").alias("offset"), F.lit(64).alias("period"), F.floor(F.max("sample_idx") / 64).alias("n_packets"))
