@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,35 +83,64 @@ def qualified_packets(fits: DataFrame, subarrays: DataFrame) -> DataFrame:
     return good.groupBy("packet").agg(F.count_distinct("subarray_id").alias("n")).join(F.broadcast(wanted)).filter("n = wanted").select("packet")
 
 
-_FIT = ("angle_deg", "ax", "ay", "az", "re", "rn", "ru")
+#: Packets whose squares are worked on together.
+PACKETS = 256
 
 
-def _grid(window: tuple[float, float, float, float], cell_m: float) -> Column:
-    """Array of all cells (ix, iy; centre e, n) of a window; the same for every row."""
-    nx, ny = (math.ceil((window[i + 1] - window[i]) / cell_m) for i in (0, 2))
-    cell = lambda ix, iy: F.struct(ix.alias("ix"), iy.alias("iy"), (window[0] + (ix + 0.5) * cell_m).alias("e"), (window[2] + (iy + 0.5) * cell_m).alias("n"))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(nx - 1)), lambda ix: F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda iy: cell(ix, iy))))
+def _bounds(fits: np.ndarray, angles: np.ndarray, e: np.ndarray, n: np.ndarray, reach: float, source_u: float, spread_deg: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether all, and whether no cell centres within ``reach`` of the points (e, n) can lie in
+    the band of a fit (rows of points, columns of fits)."""
+    d = [fits[:, :, 3] - e[:, None], fits[:, :, 4] - n[:, None], fits[:, :, 5] - source_u]
+    r = np.maximum(np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), 1e-9)
+    cos = (d[0] * fits[:, :, 0] + d[1] * fits[:, :, 1] + d[2] * fits[:, :, 2]) / r
+    off = np.abs(np.degrees(np.arccos(np.clip(cos, -1.0, 1.0))) - angles)
+    if not reach:
+        return off <= spread_deg, off > spread_deg
+    slack = np.where(r > reach, np.degrees(np.arcsin(np.minimum(1.0, reach / r))), 180.0) + 1e-9
+    return off + slack <= spread_deg, off - slack > spread_deg
 
 
-def _in_band(f: Column, c: Column, angle: Column, source_u: float, spread_deg: float, reach: float = 0.0) -> Column:
-    """Whether the angle between a fit's axis and the direction from a cell to its
-    reference is within ``spread_deg`` of ``angle``, at the cell's centre or, with
-    ``reach``, perhaps at a point so far from it."""
-    d = [f["re"] - c["e"], f["rn"] - c["n"], f["ru"] - F.lit(source_u)]
-    r = F.greatest(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), F.lit(1e-9))
-    cos = (d[0] * f["ax"] + d[1] * f["ay"] + d[2] * f["az"]) / r
-    slack = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(reach) / r))) if reach else F.lit(0.0)
-    near = F.abs(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))) - angle) <= spread_deg + slack
-    return near | (r <= reach) if reach else near
+def _descend(fits: np.ndarray, angles: np.ndarray, given: np.ndarray, window, cell_m: float, source_u: float, spread_deg: float, first_only: bool = False):
+    """Squares (row of ``fits``, ix, iy, side in cells) whose cell centres all lie in all bands of the row.
 
-
-def _packets(fits: DataFrame, cells: Column, source_u: float, spread_deg: float, reach: float = 0.0) -> DataFrame:
-    """packet, fits of each packet, with ``angle``: the fit's, or 180 degrees less it
-    where its band meets no cell (there the sound came from the other side)."""
-    held = fits.groupBy("packet").agg(F.collect_list(F.struct(*_FIT)).alias("fits"))
-    hit = lambda f: F.exists(cells, lambda c: _in_band(f, c, f["angle_deg"], source_u, spread_deg, reach))
-    turned = F.transform("fits", lambda f: F.struct(F.when(hit(f), f["angle_deg"]).otherwise(180 - f["angle_deg"]).alias("angle"), *[f[x].alias(x) for x in _FIT]))
-    return held.select("packet", F.explode(F.array(turned)).alias("fits"))
+    A quadtree over the window: the angle between axis and direction changes over
+    a square by no more than its half diagonal subtends, so a square is inside,
+    outside or split, and work grows with the border of the region. With
+    ``first_only`` a row is done with its first square.
+    """
+    nx, ny = (math.ceil((window[k + 1] - window[k]) / cell_m) for k in (0, 2))
+    side = 1 << max(0, max(nx, ny) - 1).bit_length()
+    row, x, y = np.arange(len(fits)), np.zeros(len(fits), int), np.zeros(len(fits), int)
+    done, found = np.zeros(len(fits), bool), []
+    while len(row):
+        e, n = window[0] + (x + side / 2) * cell_m, window[2] + (y + side / 2) * cell_m
+        every, none = _bounds(fits[row], angles[row], e, n, (side - 1) * cell_m * math.sqrt(0.5), source_u, spread_deg)
+        inside = (every | ~given[row]).all(1)
+        split = ~inside & ~(none & given[row]).any(1)
+        found.append((row[inside], x[inside], y[inside], np.full(inside.sum(), side)))
+        done[row[inside]] = True
+        if side == 1:
+            break
+        side //= 2
+        row, x, y = (np.repeat(v[split], 4) for v in (row, x, y))
+        turn = np.tile(np.arange(4), split.sum())
+        x, y = x + side * (turn % 2), y + side * (turn // 2)
+        held = (x < nx) & (y < ny)
+        if first_only:
+            held &= ~done[row]
+        row, x, y = row[held], x[held], y[held]
+    return tuple(np.concatenate(v) for v in zip(*found)), done, (nx, ny)
+
+
+def _unrolled(squares, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of squares, as far as the window reaches."""
+    row, x, y, side = squares
+    count = side * side
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    row, x, y, side = (np.repeat(v, count) for v in (row, x, y, side))
+    ix, iy = x + at % side, y + at // side
+    held = (ix < shape[0]) & (iy < shape[1])
+    return row[held], ix[held], iy[held]
 
 
 def intersect_bands(fits: DataFrame, window: tuple[float, float, float, float], cell_m: float = 5.0, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
@@ -117,58 +148,79 @@ def intersect_bands(fits: DataFrame, window: tuple[float, float, float, float],
 
     A cell is inside a band if the angle between the axis and the direction from
     the cell to the reference is within ``spread_deg`` of the fit's, or of its
-    supplement where the band meets no cell of the window. The fits of a packet
-    (one per subarray, a handful) are one row, so one aggregation is the only
-    shuffle.
+    supplement where the band meets no cell of the window (there the sound came
+    from the other side). The fits of a packet (one per subarray, a handful) are
+    one row, so one aggregation is the only shuffle; squares of many packets are
+    halved together, see ``_descend``.
     """
-    cells = _grid(window, cell_m)
-    inside = F.filter(cells, lambda c: F.forall("fits", lambda f: _in_band(f, c, f["angle"], source_u, spread_deg)))
-    return _packets(fits, cells, source_u, spread_deg).select("packet", F.inline(inside))
+    kind = fits.schema["packet"].dataType.simpleString()
+    # few bytes but much work, which size-based merging of partitions does not see
+    dealt = fits.repartition(int(fits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "packet")
+    held = dealt.groupBy("packet").agg(F.sort_array(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("ax", "ay", "az", "re", "rn", "ru", "angle_deg")]))).alias("fits"))
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, len(batch), PACKETS):
+                part = batch.iloc[begin : begin + PACKETS]
+                rows = [np.array([np.asarray(f, float) for f in r]) for r in part["fits"]]
+                most = max(map(len, rows))
+                given = np.array([[k < len(r) for k in range(most)] for r in rows])
+                table = np.zeros((len(rows), most, 7))
+                for k, r in enumerate(rows):
+                    table[k, : len(r)] = r
+                each = table[given][:, None, :]
+                _, met, _ = _descend(each[:, :, :6], each[:, :, 6], np.ones((len(each), 1), bool), window, cell_m, source_u, spread_deg, True)
+                angles = table[:, :, 6].copy()
+                angles[given] = np.where(met, angles[given], 180 - angles[given])
+                squares, _, shape = _descend(table[:, :, :6], angles, given, window, cell_m, source_u, spread_deg)
+                row, ix, iy = _unrolled(squares, shape)
+                yield pd.DataFrame({"packet": part["packet"].to_numpy()[row], "ix": ix, "iy": iy, "e": window[0] + (ix + 0.5) * cell_m, "n": window[2] + (iy + 0.5) * cell_m})
+
+    return held.mapInPandas(run, f"packet {kind}, ix int, iy int, e double, n double")
 
 
 def fine_cells(fits: DataFrame, window: tuple[float, float, float, float], coarse_m: float = 5.0, parts: int = 5, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
-    """``intersect_bands`` with cells ``parts`` times finer than ``coarse_m``, looked for
-    only in coarse cells that any point of all bands may lie in; none is lost."""
-    reach, size = coarse_m * math.sqrt(0.5), coarse_m / parts
-    coarse = _grid(window, coarse_m)
-    held = _packets(fits, coarse, source_u, spread_deg, reach)
-    left = F.filter(coarse, lambda c: F.forall("fits", lambda f: _in_band(f, c, f["angle"], source_u, spread_deg, reach)))
-    steps = F.sequence(F.lit(0), F.lit(parts - 1))
-    fine = lambda c, i, j: F.struct((c["ix"] * parts + i).alias("ix"), (c["iy"] * parts + j).alias("iy"), (window[0] + (c["ix"] * parts + i + 0.5) * size).alias("e"), (window[2] + (c["iy"] * parts + j + 0.5) * size).alias("n"))
-    split = held.select("packet", "fits", F.explode(left).alias("c")).select("packet", "fits", F.explode(F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: fine(F.col("c"), i, j))))).alias("c"))
-    inside = F.forall("fits", lambda f: _in_band(f, F.col("c"), f["angle"], source_u, spread_deg)) & (F.col("c.e") < window[1]) & (F.col("c.n") < window[3])
-    return split.filter(inside).select("packet", "c.*")
+    """``intersect_bands`` with cells ``parts`` times finer than ``coarse_m``, as far as their centres lie in the window."""
+    cells = intersect_bands(fits, window, coarse_m / parts, source_u, spread_deg)
+    return cells.filter((F.col("e") < window[1]) & (F.col("n") < window[3]))
 
 
 def regions(cells: DataFrame) -> DataFrame:
     """Add ``region``: number of the connected region (4 neighbours) of a packet's cells.
 
-    A group is the surviving cells of one packet, a small share of its window;
-    labels run along all neighbours at once until none changes.
+    A packet's surviving cells are one row, a small share of its window; labels
+    run along all neighbours of a batch of packets at once until none changes.
     """
 
-    def label(rows):
-        import numpy as np
-
-        rows = rows.sort_values(["ix", "iy"]).reset_index(drop=True)
-        width = int(rows["iy"].max()) + 2
-        key = rows["ix"].to_numpy(np.int64) * width + rows["iy"].to_numpy(np.int64)
-        pairs = []
-        for step in (1, width):
-            at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
-            hit = np.flatnonzero(key[at] == key + step)
-            pairs.append((hit, at[hit]))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        top = np.arange(len(key))
-        while (top[a] != top[b]).any():
-            least = np.minimum(top[a], top[b])
-            np.minimum.at(top, a, least)
-            np.minimum.at(top, b, least)
-            top = top[top]
-        return rows.assign(region=np.unique(top, return_inverse=True)[1])
+    def label(batches):
+        for batch in batches:
+            row = np.repeat(np.arange(len(batch)), [len(x) for x in batch["ix"]])
+            if not len(row):
+                continue
+            ix, iy, e, n = (np.concatenate(list(batch[c])) for c in ("ix", "iy", "e", "n"))
+            width, height = int(iy.max()) + 2, int(ix.max()) + 2
+            key = (row * height + ix) * width + iy
+            order = np.argsort(key, kind="stable")
+            row, ix, iy, e, n, key = (v[order] for v in (row, ix, iy, e, n, key))
+            pairs = []
+            for step in (1, width):
+                at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+                hit = np.flatnonzero(key[at] == key + step)
+                pairs.append((hit, at[hit]))
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            top = np.arange(len(key))
+            while (top[a] != top[b]).any():
+                least = np.minimum(top[a], top[b])
+                np.minimum.at(top, a, least)
+                np.minimum.at(top, b, least)
+                top = top[top]
+            number = np.unique(top, return_inverse=True)[1]
+            first = number[np.searchsorted(row, np.arange(len(batch)))]  # a packet has a cell at least
+            yield pd.DataFrame({"packet": batch["packet"].to_numpy()[row], "ix": ix, "iy": iy, "e": e, "n": n, "region": number - first[row]})
 
     kind = cells.schema["packet"].dataType.simpleString()
-    return cells.groupBy("packet").applyInPandas(label, f"packet {kind}, ix int, iy int, e double, n double, region int")
+    held = cells.groupBy("packet").agg(F.collect_list(F.struct("ix", "iy", "e", "n")).alias("c")).select("packet", *[F.col(f"c.{x}").alias(x) for x in ("ix", "iy", "e", "n")])
+    return held.mapInPandas(label, f"packet {kind}, ix int, iy int, e double, n double, region int")
 
 
 def track_centroids(labelled: DataFrame, cell_m: float, top: int = 2, source_u: float = SOURCE_U) -> DataFrame:

@@ -331,21 +331,36 @@ def _(spark, sf):
     return locate.qualified_packets(fits, B.subarrays(spark, sf))
 
 
-_CELLS = _LOC + """, cell as (select ix, iy, (ix + 0.5) * 10.0 as ce, -100.0 + (iy + 0.5) * 10.0 as cn from range(12) as x(ix), range(20) as y(iy)),
+def _cells_sql(size: float) -> str:
+    """Every cell of the window against every fit: hit tells the cells in all bands of a packet."""
+    nx, ny = round((WINDOW[1] - WINDOW[0]) / size), round((WINDOW[3] - WINDOW[2]) / size)
+    return _LOC + f""", cell as (select ix, iy, (ix + 0.5) * {size} as ce, {WINDOW[2]} + (iy + 0.5) * {size} as cn from range({nx}) as x(ix), range({ny}) as y(iy)),
   ang_ as (select packet, subarray_id, ix, iy, angle_deg, degrees(acos(greatest(-1.0, least(1.0, ((re - ce) * ax + (rn - cn) * ay) / sqrt(power(re - ce, 2) + power(rn - cn, 2) + power(ru - 30.0, 2)))))) as to_cell from loc, cell),
   trn_ as (select *, case when bool_or(abs(to_cell - angle_deg) <= 5.0) over (partition by packet, subarray_id) then angle_deg else 180 - angle_deg end as used from ang_),
   hit as (select packet, ix, iy, bool_and(abs(to_cell - used) <= 5.0) as ok from trn_ group by all)"""
 
 
-@_query("f12_intersect_bands", f"with {_CELLS} select packet, count(*) as cells, min(ix) as ix_lo, max(iy) as iy_hi from hit where ok group by packet")
+@_query("f12_intersect_bands", f"with {_cells_sql(10.0)} select packet, count(*) as cells, min(ix) as ix_lo, max(iy) as iy_hi from hit where ok group by packet")
 def _(spark, sf):
     cells = locate.intersect_bands(_located(spark, sf), WINDOW, 10.0)
     return cells.groupBy("packet").agg(F.count("*").alias("cells"), F.min("ix").cast("long").alias("ix_lo"), F.max("iy").cast("long").alias("iy_hi"))
 
 
-@_query("f13_track_centroids", None)
+#: Regions in SQL: every cell reaches its neighbours' neighbours, and the least cell that it reaches names its region.
+_REGIONS = f"""with recursive {_cells_sql(5.0)}, c as (select packet, ix, iy, ix * 1000 + iy as k, (ix + 0.5) * 5.0 as e, -100.0 + (iy + 0.5) * 5.0 as n from hit where ok),
+  nb as (select a.packet, a.k as f, b.k as t from c a join c b on a.packet = b.packet and abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
+  rc as (select packet, k as f, k as t from c union select rc.packet, rc.f, nb.t from rc join nb on nb.packet = rc.packet and nb.f = rc.t),
+  lb as (select packet, f as k, min(t) as region from rc group by all),
+  rg as (select packet, region, avg(e) as e, avg(n) as n, count(*) * 25.0 as area from c join lb using (packet, k) group by all)"""
+
+
+@_query(
+    "f13_track_centroids",
+    _REGIONS + " select packet, cast(rank as int) as rank, round(e, 4) + 0.0 as e, round(n, 4) + 0.0 as n, 30.0::double as u, area from (select *, row_number() over (partition by packet order by area desc, e, n) as rank from rg) where rank <= 2",
+)
 def _(spark, sf):
-    return locate.locate(_located(spark, sf), WINDOW, 10.0, 2)
+    got = locate.locate(_located(spark, sf), WINDOW, 10.0, 2)
+    return got.select("packet", "rank", (_r("e", 4) + 0.0).alias("e"), (_r("n", 4) + 0.0).alias("n"), "u", "area")
 
 
 # reports
