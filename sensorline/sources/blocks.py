@@ -14,14 +14,16 @@ BLOCK_SECONDS = 10
 
 def write_blocks(blocks: DataFrame, path: str, channels_per_file: int = 64) -> None:
     """Parquet by run; files hold neighbouring channels in order, so that scans
-    of a channel range skip files and row groups by their statistics."""
+    of a channel range skip files and row groups by their statistics. The sample
+    after a block is written too, so that time is cut without reading samples."""
     cell = F.floor(F.col("channel") / channels_per_file)
-    blocks.repartition("run_id", cell).sortWithinPartitions("run_id", "channel", "block_no").write.mode("append").partitionBy("run_id").parquet(path)
+    held = blocks.withColumn("stop_sample", F.col("start_sample") + F.size("samples"))
+    held.repartition("run_id", cell).sortWithinPartitions("run_id", "channel", "block_no").write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def scan_blocks(spark: SparkSession, path: str, run_id: int | None = None, first: int | None = None, stop: int | None = None, channels: tuple[int, int] | None = None) -> DataFrame:
     """Blocks that overlap samples [first, stop) of channels [lo, hi). Conditions
-    reach the scan: partitions by run, row groups by channel and start."""
+    reach the scan: partitions by run, row groups by channel, start and stop."""
     out = spark.read.parquet(path)
     if run_id is not None:
         out = out.filter(F.col("run_id") == run_id)
@@ -30,8 +32,8 @@ def scan_blocks(spark: SparkSession, path: str, run_id: int | None = None, first
     if stop is not None:
         out = out.filter(F.col("start_sample") < stop)
     if first is not None:
-        out = out.filter(F.col("start_sample") + F.size("samples") > first)
-    return out
+        out = out.filter(F.col("stop_sample") > first)
+    return out.drop("stop_sample")
 
 
 def block_inventory(blocks: DataFrame) -> DataFrame:
