@@ -185,42 +185,77 @@ def fine_cells(fits: DataFrame, window: tuple[float, float, float, float], coars
     return cells.filter((F.col("e") < window[1]) & (F.col("n") < window[3]))
 
 
-def regions(cells: DataFrame) -> DataFrame:
-    """Add ``region``: number of the connected region (4 neighbours) of a packet's cells.
-
-    A packet's surviving cells are one row, a small share of its window; labels
-    run along all neighbours of a batch of packets at once until none changes.
+#: Side of a tile of labelling, in cells.
+TILE = 128
+
+
+def _least_of_linked(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least number that each of 0..count-1 reaches along the links (a, b)."""
+    top = np.arange(count)
+    while (top[a] != top[b]).any():
+        least = np.minimum(top[a], top[b])
+        np.minimum.at(top, np.concatenate([a, top[a], b, top[b]]), np.tile(least, 4))
+        top = top[top]
+    return top
+
+
+def _label_tiles(batches):
+    """Cells with the least cell (rx, ry) that they reach inside their tile, a batch of tiles at once."""
+    for batch in batches:
+        row = np.repeat(np.arange(len(batch)), [len(x) for x in batch["ix"]])
+        if not len(row):
+            continue
+        ix, iy, e, n = (np.concatenate(list(batch[c])) for c in ("ix", "iy", "e", "n"))
+        x, y = ix - ix.min(), iy - iy.min()
+        height, width = int(x.max()) + 2, int(y.max()) + 2
+        key = (row * height + x) * width + y
+        order = np.argsort(key, kind="stable")
+        row, ix, iy, e, n, key = (v[order] for v in (row, ix, iy, e, n, key))
+        links = []
+        for step in (0, 1, width):  # a cell given twice, the next in the column, the next in the row
+            at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+            hit = np.flatnonzero(key[at] == key + step)
+            links.append((hit, at[hit]))
+        top = _least_of_linked(len(key), *(np.concatenate(v) for v in zip(*links)))
+        yield pd.DataFrame({"packet": batch["packet"].to_numpy()[row], "ix": ix, "iy": iy, "e": e, "n": n, "rx": ix[top], "ry": iy[top]})
+
+
+def _join_tiles(batches):
+    """Roots of tiles that meet across borders, each with the least root that it reaches."""
+    for batch in batches:
+        for packet, pairs in zip(batch["packet"], batch["pairs"]):
+            ends = np.array([(p["a"]["rx"], p["a"]["ry"], p["b"]["rx"], p["b"]["ry"]) for p in pairs], np.int64)
+            roots, number = np.unique(ends.reshape(-1, 2), axis=0, return_inverse=True)
+            number = number.reshape(-1, 2)
+            top = _least_of_linked(len(roots), number[:, 0], number[:, 1])
+            yield pd.DataFrame({"packet": [packet] * len(roots), "rx": roots[:, 0], "ry": roots[:, 1], "tx": roots[top, 0], "ty": roots[top, 1]})
+
+
+def regions(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """Add ``region``: number of the connected region (4 neighbours) of a packet's
+    cells, from 0 in the order of their least cells (ix, then iy).
+
+    Two passes: cells are labelled tile by tile, so that a packet is many tasks;
+    then labels on both sides of the tiles' borders are joined, and the distinct
+    pairs of them (at most one for each cell of a border) settle which labels are
+    one region. Cells given twice count once for the links and stay two rows.
     """
-
-    def label(batches):
-        for batch in batches:
-            row = np.repeat(np.arange(len(batch)), [len(x) for x in batch["ix"]])
-            if not len(row):
-                continue
-            ix, iy, e, n = (np.concatenate(list(batch[c])) for c in ("ix", "iy", "e", "n"))
-            width, height = int(iy.max()) + 2, int(ix.max()) + 2
-            key = (row * height + ix) * width + iy
-            order = np.argsort(key, kind="stable")
-            row, ix, iy, e, n, key = (v[order] for v in (row, ix, iy, e, n, key))
-            pairs = []
-            for step in (1, width):
-                at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
-                hit = np.flatnonzero(key[at] == key + step)
-                pairs.append((hit, at[hit]))
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            top = np.arange(len(key))
-            while (top[a] != top[b]).any():
-                least = np.minimum(top[a], top[b])
-                np.minimum.at(top, a, least)
-                np.minimum.at(top, b, least)
-                top = top[top]
-            number = np.unique(top, return_inverse=True)[1]
-            first = number[np.searchsorted(row, np.arange(len(batch)))]  # a packet has a cell at least
-            yield pd.DataFrame({"packet": batch["packet"].to_numpy()[row], "ix": ix, "iy": iy, "e": e, "n": n, "region": number - first[row]})
-
     kind = cells.schema["packet"].dataType.simpleString()
-    held = cells.groupBy("packet").agg(F.collect_list(F.struct("ix", "iy", "e", "n")).alias("c")).select("packet", *[F.col(f"c.{x}").alias(x) for x in ("ix", "iy", "e", "n")])
-    return held.mapInPandas(label, f"packet {kind}, ix int, iy int, e double, n double, region int")
+    tiles = cells.groupBy("packet", F.floor(F.col("ix") / tile).alias("bx"), F.floor(F.col("iy") / tile).alias("by")).agg(F.collect_list(F.struct("ix", "iy", "e", "n")).alias("c"))
+    labelled = tiles.select("packet", *[F.col(f"c.{x}").alias(x) for x in ("ix", "iy", "e", "n")]).mapInPandas(_label_tiles, f"packet {kind}, ix int, iy int, e double, n double, rx int, ry int")
+
+    def sides(across: str, along: str) -> list[Column]:
+        place = lambda line, before: F.struct(F.lit(across).alias("axis"), line.alias("line"), F.col(along).alias("at"), F.lit(before).alias("before"))
+        rest = F.pmod(F.col(across), F.lit(tile))
+        return [F.when(rest == tile - 1, place(F.col(across) + 1, True)), F.when(rest == 0, place(F.col(across), False))]
+
+    faced = labelled.select("packet", F.struct("rx", "ry").alias("root"), F.explode(F.array_compact(F.array(*sides("ix", "iy"), *sides("iy", "ix")))).alias("s"))
+    met = faced.groupBy("packet", "s.axis", "s.line", "s.at").agg(F.max(F.when(F.col("s.before"), F.col("root"))).alias("a"), F.max(F.when(~F.col("s.before"), F.col("root"))).alias("b"))
+    pairs = met.filter("a is not null and b is not null").groupBy("packet").agg(F.collect_set(F.struct("a", "b")).alias("pairs"))
+    joined = pairs.mapInPandas(_join_tiles, f"packet {kind}, rx int, ry int, tx int, ty int")
+    roots = labelled.filter("ix = rx and iy = ry").select("packet", "rx", "ry").distinct().join(joined, ["packet", "rx", "ry"], "left")
+    named = roots.select("packet", "rx", "ry", (F.dense_rank().over(W.partitionBy("packet").orderBy(F.coalesce("tx", "rx"), F.coalesce("ty", "ry"))) - 1).alias("region"))
+    return labelled.join(named, ["packet", "rx", "ry"]).select("packet", "ix", "iy", "e", "n", "region")
 
 
 def track_centroids(labelled: DataFrame, cell_m: float, top: int = 2, source_u: float = SOURCE_U) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorline.functions.geo import distance_equirect, to_cartesian, to_gps
+from sensorline.functions.geo import METRES_PER_DEGREE, distance_equirect, to_cartesian, to_gps
 from sensorline.functions.scalars import wrap
 from sensorline.operators.joins import bracketing, bracketing_bucketed, lerp, point_interval_join
 
@@ -66,13 +66,47 @@ def cumulative_gps_distance(line: DataFrame) -> DataFrame:
     return held.withColumn("__d", F.coalesce(step, F.lit(0.0))).withColumn("cum", F.sum("__d").over(w.rowsBetween(*_BEFORE))).drop("__x", "__y", "__z", "__d")
 
 
+def _packed(line: DataFrame) -> DataFrame:
+    """Vertices of a cable in about sqrt(N) leaves of sqrt(N): strips of neighbours in
+    latitude, cut by longitude. cable_id, leaf, the leaf's box and its vertices."""
+    placed = line.filter("lat is not null and lon is not null").select("cable_id", "seq", "lat", "lon", "cum")
+    per = W.partitionBy("cable_id")
+    counted = placed.withColumns({"__n": F.count("*").over(per), "__i": F.row_number().over(per.orderBy("lat", "lon", "seq")) - 1})
+    strip = F.floor(F.col("__i") / F.ceil(F.pow("__n", F.lit(0.75))))
+    cut = counted.withColumn("__s", strip).withColumn("__j", F.row_number().over(W.partitionBy("cable_id", "__s").orderBy("lon", "lat", "seq")) - 1)
+    leaf = F.struct("__s", F.floor(F.col("__j") / F.ceil(F.sqrt("__n"))).alias("k"))
+    box = [f(c).alias(f"{c}_{n}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))]
+    return cut.groupBy("cable_id", leaf.alias("leaf")).agg(*box, F.collect_list(F.struct("lat", "lon", "seq", "cum")).alias("vertices"))
+
+
+def _least_to_box(lat: Column, lon: Column, box: Column) -> Column:
+    """A lower bound, less than rounding, of the distances from a place to the vertices in a box."""
+    outside = lambda x, lo, hi: F.greatest(F.lit(0.0), lo - x, x - hi)
+    shrink = F.least(*[F.cos(F.radians((lat + box[c]) / 2)) for c in ("lat_lo", "lat_hi")])  # cosine is concave here
+    dy, dx = outside(lat, box["lat_lo"], box["lat_hi"]), outside(lon, box["lon_lo"], box["lon_hi"]) * shrink
+    return F.sqrt(dx * dx + dy * dy) * METRES_PER_DEGREE * (1 - 1e-9) - 1e-6
+
+
 def nearest_vertex(points: DataFrame, line: DataFrame) -> DataFrame:
-    """point_id, seq, cum of the closest vertex of a chained line of a few hundred
-    vertices, joined by cable; the first wins ties."""
-    v = line.select("cable_id", "seq", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), "cum")
-    d = distance_equirect(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"))
-    met = points.select("cable_id", "point_id", "lat", "lon").join(v, "cable_id")
-    return met.groupBy("cable_id", "point_id").agg(F.min_by(F.struct("seq", "cum"), F.struct(d.alias("d"), "seq")).alias("v")).select("cable_id", "point_id", "v.seq", "v.cum")
+    """point_id, seq, cum of the closest vertex of a chained line; the first wins ties.
+
+    The vertices of a cable are packed into about sqrt(N) leaves with boxes. A
+    point looks at the boxes, which are one row a cable, and then only at leaves
+    that are no farther than the nearest of the leaves' middle vertices: about
+    sqrt(N) boxes and a few times sqrt(N) vertices in place of N. Points and
+    vertices without a place are left out, as are points of unknown cables;
+    repeated points give one row.
+    """
+    leaves = _packed(line)
+    one = F.struct("leaf", "lat_lo", "lat_hi", "lon_lo", "lon_hi", F.get("vertices", F.floor(F.size("vertices") / 2).cast("int")).alias("mid"))
+    boxes = leaves.groupBy("cable_id").agg(F.collect_list(one).alias("boxes"))
+    lat, lon = F.col("lat"), F.col("lon")
+    seen = points.filter("lat is not null and lon is not null").select("cable_id", "point_id", "lat", "lon").join(boxes, "cable_id")
+    reach = F.array_min(F.transform("boxes", lambda b: distance_equirect(lat, lon, b["mid"]["lat"], b["mid"]["lon"])))
+    near = seen.withColumn("__r", reach).select("cable_id", "point_id", "lat", "lon", F.explode(F.transform(F.filter("boxes", lambda b: _least_to_box(lat, lon, b) <= F.col("__r")), lambda b: b["leaf"])).alias("leaf"))
+    met = near.join(leaves.select("cable_id", "leaf", "vertices"), ["cable_id", "leaf"])
+    best = F.array_min(F.transform("vertices", lambda v: F.struct(distance_equirect(lat, lon, v["lat"], v["lon"]).alias("d"), v["seq"].alias("seq"), v["cum"].alias("cum"))))
+    return met.groupBy("cable_id", "point_id").agg(F.min(best).alias("v")).select("cable_id", "point_id", "v.seq", "v.cum")
 
 
 def segments(line: DataFrame) -> DataFrame:

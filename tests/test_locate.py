@@ -73,3 +73,30 @@ def test_regions_of_many_packets(spark):
             parts.append(part)
         assert sorted(len({got[c] for c in part}) for part in parts) == [1] * len(parts)
         assert {got[next(iter(part))] for part in parts} == set(range(len(parts)))
+
+
+def test_regions_across_tiles(spark):
+    """A comb, a spiral and loose cells, the same regions with tiles of 4 cells as in one tile."""
+    comb = {(x, y) for x in range(0, 40, 2) for y in range(30)} | {(x, 0) for x in range(40)}
+    spiral, x, y, dx, dy = {(50, 0)}, 50, 0, 1, 0
+    for leg in range(20, 0, -2):
+        for _ in range(2):
+            for _ in range(leg):
+                x, y = x + dx, y + dy
+                spiral.add((x, y))
+            dx, dy = -dy, dx
+    rng = random.Random(5)
+    loose = {(x, y) for x in range(100, 160) for y in range(60) if rng.random() < 0.6}
+    rows = [(p, x + s, y + s, float(x), float(y)) for p, s in ((1, 0), (2, 3)) for x, y in comb | spiral | loose]
+    df = spark.createDataFrame(rows + rows[:1], "packet long, ix int, iy int, e double, n double")
+    label = lambda tile: sorted(tuple(r) for r in locate.regions(df, tile).select("packet", "ix", "iy", "region").collect())
+    small = label(4)
+    assert small == label(4096) and len(small) == len(rows) + 1
+    named = {(p, x, y): k for p, x, y, k in small}
+    assert len({named[1, x, y] for x, y in comb}) == 1 and len({named[1, x, y] for x, y in spiral}) == 1
+    assert {k for p, _, _, k in small if p == 1} == set(range(1 + max(named.values())))
+
+
+def test_no_cells_no_regions(spark):
+    df = spark.createDataFrame([], "packet string, ix int, iy int, e double, n double")
+    assert locate.regions(df).collect() == []
