@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -855,9 +856,10 @@ def _(spark, sf):
 # streams
 
 
-def _run_stream(spark, stream, mode: str = "append"):
-    """Result table of a stream that takes all its input and ends; files lie in the shared folder."""
-    path = _scratch(spark, "stream")
+def _run_stream(spark, stream, mode: str = "append", path: str | None = None):
+    """Result table of a stream that takes all its input and ends; files lie in the
+    shared folder. With the ``path`` of an earlier run it goes on from there."""
+    path = path or _scratch(spark, "stream")
     stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -876,15 +878,44 @@ def _(spark, sf):
     return _run_stream(spark, streams.block_coverage(a, "1 hour", "10 minutes")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "channel", "packets", "n")
 
 
+@contextmanager
+def _state_in_rocksdb(spark):
+    """The state store that arbitrary state needs, for the streams started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @_query("k2_stream_integral", "select user_id as channel, event_id as sample_idx, round(sum(case when abs(value) > 400 then 0 else value end) over (partition by user_id order by event_id) * 0.04, 6) as integral from events")
 def _(spark, sf):
     s = _event_stream(spark, sf).select(F.col("user_id").alias("channel"), F.col("event_id").alias("sample_idx"), "value")
-    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # for this stream
-    try:
+    with _state_in_rocksdb(spark):
         return _run_stream(spark, streams.running_integral(s, 400.0, 0.04)).withColumn("integral", _r("integral"))
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+@_query(
+    "k2_stream_integral_unordered",
+    """with c as (select *, epoch_us(ts) <= (select epoch_us(max(ts)) // 1000 * 1000 - 86400000000 from events) as closed from events)
+    select user_id as channel, event_id as sample_idx, round(sum(case when abs(value) > 400 then 0 else value end) over (partition by user_id order by ts, event_id) * 0.04, 6) as integral from c where closed""",
+)
+def _(spark, sf):
+    """Events come in four deliveries, held back by up to a day by a rule of their number; the stream goes on with each."""
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("channel"), F.col("event_id").alias("sample_idx"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    ends = e.agg(F.min(F.unix_seconds("ts")).alias("t0"), F.max(F.unix_seconds("ts")).alias("t1"))  # one row
+    held = F.unix_seconds("ts") - F.col("t0") + F.pmod(F.col("sample_idx") * 7919, F.lit(86000))
+    dealt = e.join(F.broadcast(ends)).withColumn("turn", F.least(F.lit(3), F.floor(4 * held / (F.col("t1") - F.col("t0") + 1)))).drop("t0", "t1")
+    path, run = _scratch(spark, "unordered"), _scratch(spark, "stream")
+    dealt.limit(0).drop("turn").write.parquet(path)  # a stream's folder must be there
+    stream = streams.running_integral(spark.readStream.schema(e.schema).parquet(path), 400.0, 0.04, "1 day")
+    with _state_in_rocksdb(spark):
+        for turn in range(4):
+            dealt.filter(F.col("turn") == turn).drop("turn").write.mode("append").parquet(path)
+            out = _run_stream(spark, stream, path=run)
+    return out.withColumn("integral", _r("integral"))
 
 
 @_query(

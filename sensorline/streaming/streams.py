@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 
 def block_coverage(arrivals: DataFrame, window: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
@@ -50,9 +51,65 @@ class _Integral(StatefulProcessor):
         pass
 
 
-def running_integral(samples: DataFrame, threshold: float, dt: float) -> DataFrame:
-    """channel, sample_idx, integral; samples of a channel must come in order of batches."""
-    return samples.select("channel", "sample_idx", "value").groupBy("channel").transformWithStateInPandas(_Integral(threshold, dt), "channel long, sample_idx long, integral double", "Append", "None")
+class _OrderedIntegral(_Integral):
+    """The same sum over samples that come in any order within the watermark's delay.
+
+    Samples wait in a list of blocks, one for each batch that brought some, until
+    the watermark has passed their time: from then on no earlier sample is let
+    in, so they are summed in order. A timer stands at the least waiting time.
+    """
+
+    _BLOCK = StructType([StructField("us", ArrayType(LongType())), StructField("idx", ArrayType(LongType())), StructField("value", ArrayType(DoubleType()))])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self._BLOCK)
+
+    def _wait(self, us: np.ndarray) -> None:
+        self.handle.registerTimer(-(-int(us.min()) // 1000))  # timers are whole milliseconds
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows))
+        us, idx, value = part["us"].to_numpy(np.int64), part["sample_idx"].to_numpy(np.int64), part["value"].to_numpy(float)
+        self.waiting.appendValue((us.tolist(), idx.tolist(), value.tolist()))
+        self._wait(us)
+        yield pd.DataFrame({"channel": [], "sample_idx": [], "integral": []}).astype({"channel": "int64", "sample_idx": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        blocks = list(self.waiting.get())
+        us, idx = (np.concatenate([np.asarray(b[k], np.int64) for b in blocks] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        value = np.concatenate([np.asarray(b[2], float) for b in blocks] or [np.zeros(0)])
+        due = us <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not due.any():
+            return
+        rest = ~due
+        self.waiting.clear()
+        if rest.any():
+            self.waiting.appendValue((us[rest].tolist(), idx[rest].tolist(), value[rest].tolist()))
+            self._wait(us[rest])
+        order = np.lexsort((idx[due], us[due]))
+        value = value[due][order]
+        run = (self.sum.get()[0] if self.sum.exists() else 0.0) + np.cumsum(np.where(np.abs(value) <= self.threshold, value, 0.0))
+        self.sum.update((float(run[-1]),))
+        yield pd.DataFrame({"channel": key[0], "sample_idx": idx[due][order], "integral": run * self.dt})
+
+
+def running_integral(samples: DataFrame, threshold: float, dt: float, late: str | None = None) -> DataFrame:
+    """channel, sample_idx, integral of samples (channel, sample_idx, value).
+
+    Without ``late`` the samples of a channel must come in order of batches and
+    are given out at once. With it, samples also have ``ts`` and may come up to
+    ``late`` behind the latest one seen in any channel: a sample is given out in
+    order of time, then number, once the watermark has passed it; what comes
+    later than that is dropped. A channel holds the samples of that delay.
+    Values that are null or NaN count as 0; rows without a time are dropped.
+    """
+    out = "channel long, sample_idx long, integral double"
+    if late is None:
+        return samples.select("channel", "sample_idx", "value").groupBy("channel").transformWithStateInPandas(_Integral(threshold, dt), out, "Append", "None")
+    timed = samples.filter("ts is not null").select("channel", "sample_idx", "value", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    return timed.groupBy("channel").transformWithStateInPandas(_OrderedIntegral(threshold, dt), out, "Append", "EventTime")
 
 
 def assign_stream(peaks: DataFrame, offset_s: float, period_s: float, tol_s: float) -> DataFrame:

@@ -1,5 +1,7 @@
 """Streams against the same work in one batch."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sensorline.sources import blocks as block_files
@@ -29,3 +31,35 @@ def test_time_is_cut_without_reading_samples(spark, tmp_path):
     assert sorted(r.block_no for r in cut.collect()) == list(range(9, 20)) and sorted(cut.columns) == sorted(df.columns)
     plan = cut.select("block_no")._jdf.queryExecution().executedPlan().toString()
     assert "array" not in plan.split("ReadSchema")[1] and "GreaterThan(stop_sa" in plan  # Spark shortens the list of filters
+
+
+def test_samples_out_of_order_give_the_sum_in_order(spark, tmp_path):
+    """Batches whose samples lag and lead by up to a minute, values to despike, nulls, two samples at one time;
+    what is over a minute behind the watermark is dropped, what is not closed stays."""
+    rng, n = random.Random(7), 600
+    base = 1_700_000_000
+    rows = [(c, k, base + k - (k % 10 == 9), None if k % 97 == 5 else (9.0 if k % 50 == 3 else rng.uniform(-1, 1))) for c in (1, 2) for k in range(n)]
+    turns = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 55))
+    third = len(turns) // 3
+    late = [(1, 10_000, base - 500, 1.0)]
+    schema = "channel long, sample_idx long, t long, value double"
+    for part in (turns[:third], turns[third : 2 * third], turns[2 * third :], late):
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("channel long, sample_idx long, value double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        streams.running_integral(source, 2.0, 0.5, "60 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    got = {(r.channel, r.sample_idx): r.integral for r in spark.read.schema("channel long, sample_idx long, integral double").parquet(f"{tmp_path}/out").collect()}
+    closed = max(r[2] for r in rows) - 60
+    want = {}
+    for c in (1, 2):
+        total = 0.0
+        for _, k, t, v in sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1])):
+            total += v if v is not None and abs(v) <= 2.0 else 0.0
+            if t <= closed:
+                want[c, k] = total * 0.5
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
