@@ -927,3 +927,21 @@ def _(spark, sf):
 def _(spark, sf):
     p = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"))
     return _run_stream(spark, streams.assign_stream(p, 10.0, 900.0, 120.0)).withColumn("peak_s", _r("peak_s"))
+
+
+@_query(
+    "k3_stream_join",
+    """with a as (select event_id as packet, user_id as channel, epoch_us(ts) as target from events where event_id % 2 = 0), p as (select user_id as channel, epoch_us(ts) as us from events where event_id % 2 = 1)
+    select packet, channel, round(min(us - target) / 1e6, 6) as lag_s from a join p using (channel) where abs(us - target) <= 3600000000 group by packet, channel""",
+)
+def _(spark, sf):
+    """Even events are expected arrivals, odd ones peaks; a last row of a channel of its own closes both streams."""
+    e = B.table(spark, sf, "events").select("event_id", F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"))
+    last = e.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    path, run = _scratch(spark, "expected"), _scratch(spark, "stream")
+    for folder, rest in (("peaks", 1), ("expected", 0)):
+        own = e.filter(F.abs(F.col("event_id") % 2) == rest)
+        own.unionByName(last.select(F.lit(-1).alias("event_id"), F.lit(-1).alias("channel"), "ts").select(*[F.col(f.name).cast(f.dataType) for f in e.schema])).write.parquet(f"{path}/{folder}")
+    read = lambda folder: spark.readStream.schema(e.schema).parquet(f"{path}/{folder}")
+    met = streams.assign_to_expected(read("peaks"), read("expected").select(F.col("event_id").alias("packet"), "channel", F.col("ts").alias("target_ts")), 3600.0, "10 minutes")
+    return _run_stream(spark, met, path=run).select("packet", "channel", _r((F.unix_micros("peak_ts") - F.unix_micros("target_ts")) / 1e6).alias("lag_s"))

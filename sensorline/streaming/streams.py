@@ -121,3 +121,23 @@ def assign_stream(peaks: DataFrame, offset_s: float, period_s: float, tol_s: flo
     target = placed.withColumn("target_ts", F.timestamp_micros(((offset_s + F.col("packet") * period_s) * 1e6).cast("long")))
     grouped = target.withWatermark("target_ts", f"{tol_s} seconds").groupBy(F.window("target_ts", f"{period_s} seconds"), "packet", "channel")
     return grouped.agg(F.min("t").alias("peak_s")).select("packet", "channel", "peak_s")
+
+
+def assign_to_expected(peaks: DataFrame, expected: DataFrame, tol_s: float, late: str) -> DataFrame:
+    """packet, channel, target_ts, peak_ts: the earliest peak within ``tol_s`` of each expected arrival.
+
+    ``peaks`` is a stream of (channel, ts), ``expected`` one of (packet, channel,
+    target_ts), so that a change of the period is followed as it comes. Rows of
+    both may come up to ``late`` behind the latest one of their stream; what
+    comes later is dropped. Peaks and arrivals wait for each other only while the
+    watermarks allow a match, and an arrival is given out once both streams have
+    passed it. Arrivals without a peak and rows without a time or channel give nothing.
+    """
+    p = peaks.filter("ts is not null").select(F.col("channel").alias("__c"), "ts").withWatermark("ts", late)
+    x = expected.filter("target_ts is not null").select("packet", "channel", "target_ts").withWatermark("target_ts", late)
+    tol = F.expr(f"make_dt_interval(0, 0, 0, {tol_s})")
+    met = p.join(x, (F.col("__c") == F.col("channel")) & (F.col("ts") >= F.col("target_ts") - tol) & (F.col("ts") <= F.col("target_ts") + tol))
+    # the peak's time is a number from here on: one event time is left
+    timed = met.select("packet", "channel", "target_ts", F.unix_micros("ts").alias("us"))
+    first = timed.groupBy(F.window("target_ts", f"{max(tol_s, 1)} seconds"), "packet", "channel", F.unix_micros("target_ts").alias("target")).agg(F.min("us").alias("us"))
+    return first.select("packet", "channel", F.timestamp_micros("target").alias("target_ts"), F.timestamp_micros("us").alias("peak_ts"))

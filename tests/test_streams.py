@@ -63,3 +63,33 @@ def test_samples_out_of_order_give_the_sum_in_order(spark, tmp_path):
             if t <= closed:
                 want[c, k] = total * 0.5
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_expected_arrivals_may_change_their_period(spark, tmp_path):
+    """The period goes from 20 to 13 seconds mid-stream; peaks near and far, two near one arrival, a peak far too late."""
+    rng, base = random.Random(3), 1_700_000_000
+    starts, t = [], 0
+    while t < 600:
+        starts.append(t)
+        t += 20 if t < 300 else 13
+    expected = [(k, c, base + s + c) for k, s in enumerate(starts) for c in (1, 2)]
+    peaks = [(c, base + s + c + rng.choice([-5, -2, -1, 0, 1, 2, 7])) for s in starts for c in (1, 2) for _ in range(rng.choice([0, 1, 2]))]
+    cut = lambda rows, at, k: [[r for r in rows if (r[at] - base) // 220 == part] for part in range(k)]
+    too_late = [(1, expected[0][2])]  # in the last delivery, ten minutes behind
+    end = base + 5000
+    for name, parts, schema in (
+        ("peaks", cut(peaks, 1, 3) + [too_late + [(0, end)]], "channel long, t long"),
+        ("expected", cut(expected, 2, 3) + [[(-1, 0, end)]], "packet long, channel long, t long"),
+    ):
+        for part in parts:
+            spark.createDataFrame(part, schema).select("*", F.timestamp_seconds("t").alias("ts")).drop("t").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    got = streams.assign_to_expected(read("peaks", "channel long, ts timestamp"), read("expected", "packet long, channel long, ts timestamp").withColumnRenamed("ts", "target_ts"), 2.0, "30 seconds")
+    got.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(got.schema).parquet(f"{tmp_path}/out").select("packet", "channel", F.unix_seconds("peak_ts").alias("p")).collect()
+    want = {}
+    for k, c, s in expected:
+        near = [p for c2, p in peaks if c2 == c and abs(p - s) <= 2]
+        if near:
+            want[k, c] = min(near)
+    assert len(rows) == len(want) and {(r.packet, r.channel): r.p for r in rows} == want
