@@ -164,3 +164,16 @@ def test_vectors_about_a_distant_mean(spark):
     assert pairs < 0.05 * n * n
     got = itq.near_duplicates(df).collect()
     assert true >= 200 and 0.9 * true <= sum(r.n_links for r in got) / 2 <= true
+
+
+def test_given_documents_link_as_by_brute_force(spark, sf):
+    """All pairs of the given table: near copies of an overlap of 0.8 or more are one class, the others stay apart."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    first = {}
+    for k in sorted(texts):
+        first.setdefault(texts[k], k)
+    classes = brute_classes({k: t for t, k in first.items()})
+    got = {r.doc_id: r.class_id for r in bag.near_duplicates(docs).collect()}
+    assert got == {k: classes[first[t]] if shingles(t) else k for k, t in texts.items()}
+    assert len(set(got.values())) < len(set(texts.values()))
