@@ -64,7 +64,7 @@ def band_polygon(points: DataFrame) -> DataFrame:
     """packet, subarray_id, n, area, ce, cn of the closed outline: outer ring
     forward, inner ring backward. Rings that are missing or fewer than 3
     vertices give no row. Outlines that cross themselves keep the signed
-    area's magnitude; regions are intersected on a grid instead."""
+    area's magnitude; ``outlines.common_regions`` resolves the crossings."""
     place = F.when(F.col("ring") == "outer", F.col("k")).when(F.col("ring") == "inner", 1_000_000 - F.col("k"))
     outline = points.filter("ring <> 'nominal'").withColumn("o", place)
     w = W.partitionBy("packet", "subarray_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorline.functions import scalars
 from sensorline.operators import arrivals as A
-from sensorline.operators import detection, doa, locate, reports
+from sensorline.operators import detection, doa, locate, outlines, reports
 from sensorline.plans import bindings as B
 from sensorline.sources import arrivals as files
 from sensorline.sources import tables
@@ -363,6 +363,48 @@ def _(spark, sf):
     return got.select("packet", "rank", (_r("e", 4) + 0.0).alias("e"), (_r("n", 4) + 0.0).alias("n"), "u", "area")
 
 
+#: Vertices of a ring in the queries of exact outlines.
+_VERTICES = 36
+
+
+def _scanline_sql(group: str) -> str:
+    """Exact area and centroid of what all outlines of a group share: strips between the
+    heights of vertices and crossings, bits of the outlines flipped from edge to edge."""
+    rings = _RINGS.replace("300", str(_VERTICES))
+    return rings + f""", o as (select *, case when ring = 'outer' then k else 1000000 - k end as o from kept where flipped <> straight and ring <> 'nominal'),
+  s as (select packet, subarray_id, e as x1, n as y1, coalesce(lead(e) over w, first_value(e) over w) as x2, coalesce(lead(n) over w, first_value(n) over w) as y2,
+    count(*) over v >= 3 and bool_or(ring = 'inner') over v and bool_or(ring = 'outer') over v as whole from o window w as (partition by packet, subarray_id order by o), v as (partition by packet, subarray_id)),
+  ed as (select {group}, dense_rank() over (partition by {group} order by subarray_id) - 1 as bit, case when y1 < y2 then x1 else x2 end as x1, least(y1, y2) as y1, case when y1 < y2 then x2 else x1 end as x2, greatest(y1, y2) as y2 from s where whole),
+  lv as (select *, (x2 - x1) / (y2 - y1) as m, row_number() over (partition by {group} order by bit, y1, y2, x1, x2) as i from ed where y1 < y2),
+  cr as (select {group}, a.y1 as ay1, a.y2 as ay2, b.y1 as by1, b.y2 as by2, ((b.x1 - b.m * b.y1) - (a.x1 - a.m * a.y1)) / (a.m - b.m) as y from lv a join lv b using ({group})
+    where a.i < b.i and a.y1 < b.y2 and b.y1 < a.y2 and least(a.x1, a.x2) <= greatest(b.x1, b.x2) and least(b.x1, b.x2) <= greatest(a.x1, a.x2) and a.m <> b.m),
+  ys as (select {group}, y1 as y from lv union select {group}, y2 from lv union select {group}, y from cr where y > greatest(ay1, by1) and y < least(ay2, by2)),
+  strip as (select {group}, y as lo, lead(y) over (partition by {group} order by y) as hi from ys),
+  pc as (select {group}, lo, hi, bit, i, x1 + m * (lo - y1) as xl, x1 + m * (hi - y1) as xh from strip join lv using ({group}) where hi is not null and y1 <= lo and y2 >= hi),
+  sw as (select *, bit_xor(1::bigint << bit) over (partition by {group}, lo order by xl + xh, i rows unbounded preceding) as mask, lead(xl) over q as rl, lead(xh) over q as rh from pc window q as (partition by {group}, lo order by xl + xh, i)),
+  fl as (select {group}, (1::bigint << (max(bit) + 1)) - 1 as every, avg(x1) as ox, avg(y1) as oy from lv group by all),
+  tr as (select {group}, ox, oy, (hi - lo) as h, lo - oy as lo, xl - ox as xl, xh - ox as xh, rl - ox as rl, rh - ox as rh from sw join fl using ({group}) where mask = every),
+  mo as (select {group}, ox, oy, sum(h * (rl - xl + rh - xh) / 2) as area, sum(h * (rl * rl + rl * rh + rh * rh - xl * xl - xl * xh - xh * xh) / 6) as se, sum(lo * h * (rl - xl + rh - xh) / 2 + h * h * (rl - xl + 2 * (rh - xh)) / 6) as sn from tr group by all)
+  select {group}, round(area, 3) as area, round(ox + se / area, 3) + 0.0 as e, round(oy + sn / area, 3) + 0.0 as n from mo where area > 0.001"""
+
+
+def _common_outlines(spark, sf, keys: tuple[str, ...]):
+    fits = _located(spark, sf).repartition("packet")  # rings, outlines and regions of a packet stand together from here
+    bands = outlines.outlines(locate.cone_plane_points(fits, samples=_VERTICES, max_range=500.0))
+    whole = outlines.whole_areas(outlines.common_regions(bands, keys), keys).filter("area > 0.001")
+    return whole.select(*keys, _r("area", 3).alias("area"), (_r("e", 3) + 0.0).alias("e"), (_r("n", 3) + 0.0).alias("n"))
+
+
+@_query("f10_resolved_outlines", f"with {_scanline_sql('packet, subarray_id')}")
+def _(spark, sf):
+    return _common_outlines(spark, sf, ("packet", "subarray_id"))
+
+
+@_query("f12_common_outline", f"with {_scanline_sql('packet')}")
+def _(spark, sf):
+    return _common_outlines(spark, sf, ("packet",))
+
+
 # reports
 
 _BINS = "bins as (select cast(k as int) as bin_no, case when k = 0 then -0.5 when k = 1 then 0.5 else 5.0 * (k - 1) end as lo, case when k = 0 then 0.5 else 5.0 * k end as hi from range(19) as g(k))"
