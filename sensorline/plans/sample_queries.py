@@ -15,7 +15,7 @@ from sensorline.operators import conditioning as C
 from sensorline.operators import detection, joins, packets, polyline, sensitivity, signal
 from sensorline.plans import bindings as B
 from sensorline.sources import blocks as block_files
-from sensorline.sources import tables
+from sensorline.sources import recordings, tables
 from sensorline.streaming import streams
 
 QUERIES: dict = {}
@@ -102,6 +102,22 @@ def _(spark, sf):
     return block_files.scan_blocks(spark, path).select("run_id", "channel", "block_no", (_r(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
 
 
+@_query(
+    "a12_ingest_wav",
+    """with b as (select label as channel, row_number() over (partition by label order by vec_id) - 1 as block_no, embedding as samples from embeddings where label is not null),
+    g as (select channel, block_no from range((select max(channel) + 1 from b)) as c(channel), range((select max(block_no) + 1 from b)) as k(block_no))
+    select cast(channel as int) as channel, block_no, block_no * 64 as start_sample, 64::double as fs, cast(coalesce(list_sum(list_transform(samples, lambda x: greatest(-32768, least(32767, floor(cast(x as double) * 32768 + 0.5))))), 0) as bigint) as total from g left join b using (channel, block_no)""",
+)
+def _(spark, sf):
+    """Recordings of 64 s, written from blocks and read back by ranges of 16 KB."""
+    path, held = _scratch(spark, "recordings"), B.blocks(spark, sf).filter("channel is not null")
+    channels = held.agg(F.coalesce(F.max("channel"), F.lit(0)) + 1).first()[0]
+    recordings.write_wav(held, path, "tow", "20200101_000000", 64, int(channels), 1, 64)
+    got = recordings.ingest_wav(spark, path, "tow", block_seconds=1, range_bytes=16 << 10)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * 32768)
+    return got.select("channel", "block_no", "start_sample", "fs", total.cast("long").alias("total"))
+
+
 @_query("a5_read_source_track", "select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value / 10, 6) as lat, round(value / 20, 6) as lon from events where event_id % 7 <> 0 and event_id % 11 <> 0")
 def _(spark, sf):
     path, k = _scratch(spark, "track"), F.col("event_id")

@@ -3,13 +3,10 @@ channel and block, as Parquet partitioned by run and cut by channel."""
 
 from __future__ import annotations
 
-import io
-import wave
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_SECONDS = 10
+from sensorline.sources.recordings import BLOCK_SECONDS, ingest_wav  # noqa: F401
 
 
 def write_blocks(blocks: DataFrame, path: str, channels_per_file: int = 64) -> None:
@@ -51,26 +48,3 @@ def find_blocks(inventory: DataFrame, start: Column, duration_s: float, channels
     """``overlapping`` for a start and a duration, for some channels."""
     found = overlapping(inventory, start, start + F.expr(f"make_dt_interval(0,0,0,{duration_s})"))
     return found if channels is None else found.filter(F.col("channel").isin(channels))
-
-
-def ingest_wav(spark: SparkSession, directory: str, base: str, run_id: int = 0) -> DataFrame:
-    """Blocks of recordings base_YYYYMMDD_HHMMSS.wav, a file per task; 16-bit
-    samples are scaled to [-1, 1)."""
-    import numpy as np
-    import pyarrow as pa
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"{base}_*.wav").load(directory).select("path", "content")
-    stamp = F.concat_ws(" ", F.regexp_extract("path", r"_(\d{8})_(\d{6})\.wav$", 1), F.regexp_extract("path", r"_(\d{8})_(\d{6})\.wav$", 2))
-    named = found.withColumn("ts", F.try_to_timestamp(stamp, F.lit("yyyyMMdd HHmmss"))).filter("ts is not null").withColumn("t", F.unix_seconds("ts")).select("t", "content")
-
-    def read(batches):
-        for batch in batches:
-            for t, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with wave.open(io.BytesIO(content)) as w:
-                    fs, k = w.getframerate(), w.getnchannels()
-                    data = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, k).T / 32768.0
-                yield pa.RecordBatch.from_pydict({"t": [t] * k, "channel": list(range(k)), "fs": [float(fs)] * k, "samples": list(data)}, schema=pa.schema([("t", pa.int64()), ("channel", pa.int32()), ("fs", pa.float64()), ("samples", pa.list_(pa.float64()))]))
-
-    raw = named.mapInArrow(read, "t long, channel int, fs double, samples array<double>")
-    first = raw.agg(F.min("t").alias("t0"))
-    return raw.join(F.broadcast(first)).select(F.lit(run_id).alias("run_id"), "channel", F.floor((F.col("t") - F.col("t0")) / BLOCK_SECONDS).cast("long").alias("block_no"), F.round((F.col("t") - F.col("t0")) * F.col("fs")).cast("long").alias("start_sample"), "fs", "samples")
