@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorline.operators import slopes
+
 SPEED = 1475.0
 KEYS = ("packet", "subarray_id")
 
@@ -175,13 +177,27 @@ def _fit_rows(points: DataFrame, keys: tuple[str, ...], model) -> DataFrame:
     return held.select(*keys, "m.slope", "m.intercept", F.size("line").cast("long").alias("n"))
 
 
+@F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType())]))
+def _theil_sen(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
+    """Median slopes of a batch of lines and the medians of t - slope * s."""
+    out = np.full((len(s_all), 2), np.nan)
+    for k, (s, t) in enumerate(zip(s_all, t_all)):
+        slope = slopes.median_slope(s, t)
+        if slope == slope:
+            out[k] = slope, np.median(t - slope * s)
+    return pd.DataFrame(out, columns=["slope", "intercept"])
+
+
 def theil_sen_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """slope (median of the slopes of all pairs) and intercept (median of t - slope * s).
 
-    Pairs are formed within a packet and subarray, a few dozen channels; groups
-    without a pair of different s give no row.
+    The median is found by counting inversions (``slopes``), so a group of all
+    channels of a cable needs no array of all pairs. Points without s or t are left
+    out; groups without a pair of different s give no row.
     """
-    return _fit_rows(points, keys, theil_sen_line).filter("slope is not null")
+    told = points.filter("s is not null and t is not null and not isnan(s) and not isnan(t)")
+    model = lambda line: _theil_sen(F.transform(line, lambda p: p["s"]), F.transform(line, lambda p: p["t"]))
+    return _fit_rows(told, keys, model).filter("slope is not null and not isnan(slope)")
 
 
 def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
