@@ -118,6 +118,16 @@ def _(spark, sf):
     return got.select("channel", "block_no", "start_sample", "fs", total.cast("long").alias("total"))
 
 
+@_query("a16_write_decoded", "select l_suppkey as channel, l_orderkey as packet, l_linenumber as line, case when l_returnflag <> 'R' then round(l_quantity / 5, 4) end as snr, l_linestatus as mode from lineitem")
+def _(spark, sf):
+    """Receptions written as decoded packets and read back."""
+    path = _scratch(spark, "decoded")
+    mode = F.col("l_linestatus").alias("mode")
+    rows = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("channel"), F.col("l_orderkey").alias("packet"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity") / 5).alias("snr"), mode)
+    tables.write_decoded(rows, path)
+    return tables.read_decoded(spark, path, "line int, snr double, mode string").withColumn("snr", _r("snr", 4))
+
+
 @_query("a5_read_source_track", "select strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, round(value / 10, 6) as lat, round(value / 20, 6) as lon from events where event_id % 7 <> 0 and event_id % 11 <> 0")
 def _(spark, sf):
     path, k = _scratch(spark, "track"), F.col("event_id")

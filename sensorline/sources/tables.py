@@ -142,6 +142,14 @@ def write_decoded(decoded: DataFrame, path: str) -> None:
     decoded.select(reception_key(F.col("channel"), F.col("packet")).alias("key"), *[c for c in decoded.columns if c not in ("channel", "packet")]).write.mode("overwrite").csv(path, header=True)
 
 
+def read_decoded(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """channel, packet and ``columns`` (as in "snr double, bits string") of files of
+    ``write_decoded``; rows whose key is no reception have null channel and packet."""
+    raw = spark.read.csv(path, header=True, schema=f"key string, {columns}")
+    number = lambda k: F.regexp_extract("key", "^C([0-9]+)P([0-9]+)$", k).try_cast("long")
+    return raw.select(number(1).alias("channel"), number(2).alias("packet"), *raw.columns[1:])
+
+
 def export_features(points: DataFrame, kind: str, every: int = 1, order: str = "packet", label: Column | None = None, width: float = 1000.0) -> DataFrame:
     """json: a point feature of every ``every``-th row of (lat, lon, ...) in order,
     with ``kind`` and a label. Lines go by ``polyline_features``.

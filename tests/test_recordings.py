@@ -101,3 +101,14 @@ def test_empty_folder_and_round_trip(spark, tmp_path):
         assert (w.getnchannels(), w.getnframes()) == (2, 4)
     got = _read(spark, f"file://{tmp_path}/w", block_seconds=1)
     assert got[0, 0] == (0, 2.0, [0.5, -0.5]) and got[1, 3] == (6, 2.0, [0.25, 0.0]) and got[1, 0][2] == [0.0, 0.0]
+
+
+def test_decoded_rows_come_back(spark, tmp_path):
+    from sensorline.sources import tables
+
+    rows = [(3, 7, 1.5, "01"), (3, 8, None, None), (3, 7, 1.5, "01")]
+    tables.write_decoded(spark.createDataFrame(rows, "channel long, packet long, snr double, bits string"), f"{tmp_path}/d")
+    got = tables.read_decoded(spark, f"{tmp_path}/d", "snr double, bits string")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    (tmp_path / "odd.csv").write_text("key,snr\nK1,2.0\n")
+    assert [tuple(r) for r in tables.read_decoded(spark, f"{tmp_path}/odd.csv", "snr double").collect()] == [(None, None, 2.0)]
