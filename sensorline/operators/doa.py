@@ -179,9 +179,11 @@ def _fit_rows(points: DataFrame, keys: tuple[str, ...], model) -> DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType())]))
 def _theil_sen(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
-    """Median slopes of a batch of lines and the medians of t - slope * s."""
+    """Median slopes of a batch of lines and the medians of t - slope * s; nothing for a null line."""
     out = np.full((len(s_all), 2), np.nan)
     for k, (s, t) in enumerate(zip(s_all, t_all)):
+        if s is None:
+            continue
         slope = slopes.median_slope(s, t)
         if slope == slope:
             out[k] = slope, np.median(t - slope * s)
@@ -191,13 +193,19 @@ def _theil_sen(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
 def theil_sen_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """slope (median of the slopes of all pairs) and intercept (median of t - slope * s).
 
-    The median is found by counting inversions (``slopes``), so a group of all
-    channels of a cable needs no array of all pairs. Points without s or t are left
+    In groups of over ``slopes.FEW`` points the median is found by counting
+    inversions, so all channels of a cable need no array of all pairs; smaller ones
+    form their pairs as columns. Both give the same bits. Points without s or t are left
     out; groups without a pair of different s give no row.
     """
     told = points.filter("s is not null and t is not null and not isnan(s) and not isnan(t)")
-    model = lambda line: _theil_sen(F.transform(line, lambda p: p["s"]), F.transform(line, lambda p: p["t"]))
-    return _fit_rows(told, keys, model).filter("slope is not null and not isnan(slope)")
+
+    def model(line: Column) -> Column:
+        many = F.size(line) > slopes.FEW
+        found = _theil_sen(*[F.when(many, F.transform(line, lambda p: p[c])) for c in ("s", "t")])
+        return F.when(many, found).otherwise(theil_sen_line(line))
+
+    return _fit_rows(told, keys, model).filter("slope is not null")
 
 
 def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
