@@ -898,15 +898,9 @@ def _event_stream(spark, sf):
 _CLOSED = "(select max(ts) - interval 10 minute from events)"
 
 
-@_query("k1_stream_coverage", f"with w as (select time_bucket(interval 1 hour, ts) as s, user_id as channel, event_id from events) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, channel, count(distinct event_id) as packets, count(*) as n from w where s + interval 1 hour <= {_CLOSED} group by s, channel")
-def _(spark, sf):
-    a = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"), F.col("event_id").alias("packet"))
-    return _run_stream(spark, streams.block_coverage(a, "1 hour", "10 minutes")).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "channel", "packets", "n")
-
-
 @contextmanager
 def _state_in_rocksdb(spark):
-    """The state store that arbitrary state needs, for the streams started inside."""
+    """The state store that arbitrary state needs, and that keeps large state off the heap, for the streams started inside."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -916,6 +910,14 @@ def _state_in_rocksdb(spark):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@_query("k1_stream_coverage", f"with w as (select time_bucket(interval 1 hour, ts) as s, user_id as channel, event_id from events) select strftime(s, '%Y-%m-%d %H:%M:%S') as start, channel, count(distinct event_id) as packets, count(*) as n from w where s + interval 1 hour <= {_CLOSED} group by s, channel")
+def _(spark, sf):
+    a = _event_stream(spark, sf).select("ts", F.col("user_id").alias("channel"), F.col("event_id").alias("packet"))
+    with _state_in_rocksdb(spark):
+        out = _run_stream(spark, streams.block_coverage(a, "1 hour", "10 minutes"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "channel", "packets", "n")
+
+
 @_query("k2_stream_integral", "select user_id as channel, event_id as sample_idx, round(sum(case when abs(value) > 400 then 0 else value end) over (partition by user_id order by event_id) * 0.04, 6) as integral from events")
 def _(spark, sf):
     s = _event_stream(spark, sf).select(F.col("user_id").alias("channel"), F.col("event_id").alias("sample_idx"), "value")

@@ -19,14 +19,16 @@ def block_coverage(arrivals: DataFrame, window: str = "10 seconds", late: str =
     """Distinct packets seen and arrivals per window and channel.
 
     A stream keeps no sets, so packets (whole numbers; nulls do not count) are
-    bits: one bitmap for each 32,768 numbers that a window and channel meet. A
-    second aggregation over the closed windows adds up their bits, so the count
-    is exact and the state bounded by the packets' range.
+    bits: one word for each 64 numbers that a window and channel meet. A second
+    aggregation over the closed windows adds up their bits, so the count is exact
+    and the state grows with the arrivals, or with the packets' range if that is less.
     """
-    bits = arrivals.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "channel", F.bitmap_bucket_number("packet").alias("bucket"))
-    parts = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("packet")).alias("bits"), F.count("*").alias("n"))
+    packet = F.col("packet").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), packet.bitwiseAND(63).cast("int"))
+    words = arrivals.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "channel", F.shiftright(packet, 6).alias("word"))
+    parts = words.agg(F.bit_or(bit).alias("bits"), F.count("*").alias("n"))
     whole = parts.groupBy(F.window(F.window_time("w"), window).alias("w"), "channel")
-    summed = whole.agg(F.sum(F.bitmap_count("bits")).alias("packets"), F.sum("n").alias("n"))
+    summed = whole.agg(F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias("packets"), F.sum("n").alias("n"))
     return summed.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "channel", "packets", "n")
 
 
