@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ CHIPS, TONES = 176, 26
 #: Pilot chips before the data, interleaver step, code polynomials and memory.
 PILOT_CHIPS, INTERLEAVE_STEP = 32, 13
 POLYNOMIALS, MEMORY = (0b111101011, 0b101110001), 8
+#: Receptions that are decoded together: their costs fit in a core's cache.
+TOGETHER = 512
 CRC_POLY = 0x107
 #: First bit and number of bits of each field of a 64-bit packet.
 FIELDS = {
@@ -88,42 +91,54 @@ def deinterleave(bits: DataFrame, keys: tuple[str, ...] = ("channel", "packet"),
     return moved.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bit"))), lambda x: x["bit"]).alias("bits"))
 
 
-def convolutional_decode(coded: DataFrame, keys: tuple[str, ...] = ("channel", "packet"), n_bits: int = 64) -> DataFrame:
-    """keys, bits: hard-decision Viterbi decoding of the rate 1/2 code.
+def viterbi(coded: np.ndarray, n_bits: int) -> np.ndarray:
+    """Bits (receptions x n_bits) of hard-decided code bits (receptions x 2 * (n_bits + MEMORY)).
 
-    All receptions of a batch advance through the 256 states together.
+    Costs lie as states x receptions, so a step is a few passes over rows of
+    neighbours. State s comes from 2s and 2s + 1 (modulo the states); ties take the even one.
     """
-    states = 1 << MEMORY
+    states, steps = 1 << MEMORY, n_bits + MEMORY
     register = np.arange(2 * states)  # new bit above the memory
     out = np.stack([[bin(r & p).count("1") & 1 for r in register] for p in POLYNOMIALS], 1)
+    sent = (out[:, 0] << 1 | out[:, 1]).reshape(states, 2)
+    x = coded.reshape(len(coded), steps, 2).transpose(1, 2, 0)
+    cost = np.full((states, len(coded)), 10_000, np.int16)
+    cost[0] = 0
+    came = np.empty((steps, states, len(coded)), bool)
+    for k in range(steps):
+        miss = np.stack([(x[k, 0] != (s >> 1)).astype(np.int16) + (x[k, 1] != (s & 1)) for s in range(4)])
+        even = np.concatenate([cost[0::2]] * 2) + miss[sent[:, 0]]
+        odd = np.concatenate([cost[1::2]] * 2) + miss[sent[:, 1]]
+        np.less(odd, even, out=came[k])
+        cost = np.minimum(even, odd)
+    state, row = np.zeros(len(coded), np.int64), np.arange(len(coded))
+    bits = np.empty((steps, len(coded)), np.int32)
+    for k in range(steps - 1, -1, -1):
+        bits[k] = state >> (MEMORY - 1)
+        state = (state << 1 | came[k, state, row]) & (states - 1)
+    return bits[:n_bits].T
+
+
+def convolutional_decode(coded: DataFrame, keys: tuple[str, ...] = ("channel", "packet"), n_bits: int = 64) -> DataFrame:
+    """keys, bits: hard-decision Viterbi decoding of the rate 1/2 code.
+
+    Some hundred receptions advance through the 256 states together. Missing code
+    bits count as 0, surplus ones do not count; a null among them is an error.
+    """
+    width = 2 * (n_bits + MEMORY)
 
     def run(batches):
         for batch in batches:
-            held = batch.column(len(keys)).to_pylist()
-            steps = n_bits + MEMORY
-            x = np.zeros((len(held), steps, 2), np.int8)
-            for k, v in enumerate(held):
-                v = np.asarray(v or [], np.int8)[: 2 * steps]
-                x[k].reshape(-1)[: len(v)] = v
-            cost = np.full((len(held), states), 10_000)
-            cost[:, 0] = 0
-            came = np.zeros((len(held), steps, states), np.uint8)
-            target = np.arange(states)
-            # register = (bit << 8) | state; the next state is register >> 1
-            source = (target[:, None] << 1 | np.arange(2)) & (2 * states - 1)
-            for k in range(steps):
-                miss = (out[None] != x[:, k, None, :]).sum(2)
-                option = cost[:, source & (states - 1)] + miss[:, source]
-                came[:, k] = option.argmin(2)
-                cost = option.min(2)
-            state = np.zeros(len(held), np.int64)
-            bits = np.zeros((len(held), steps), np.int32)
-            row = np.arange(len(held))
-            for k in range(steps - 1, -1, -1):
-                bits[:, k] = state >> (MEMORY - 1)
-                state = (state << 1 | came[row, k, state]) & (states - 1)
-            flat = pa.array(bits[:, :n_bits].ravel())
-            made = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * n_bits), flat)
+            column = batch.column(len(keys))
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            flat = column.flatten()
+            if flat.null_count:
+                raise ValueError("null among the code bits")
+            x = np.zeros((len(column), width), np.int8)
+            held = np.arange(width) < size[:, None]
+            x[held] = flat.to_numpy()[((np.cumsum(size) - size)[:, None] + np.arange(width))[held]]
+            bits = np.concatenate([viterbi(x[a : a + TOGETHER], n_bits) for a in range(0, len(x), TOGETHER)] or [np.zeros((0, n_bits), np.int32)])
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n_bits), pa.array(bits.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], made], names=[*keys, "bits"])
 
     kinds = ", ".join(f"{k} {coded.schema[k].dataType.simpleString()}" for k in keys)
