@@ -180,19 +180,20 @@ def range_and_grazing(sources: DataFrame, line: DataFrame, smooth: int = 5) -> D
 
     The local direction is the difference to the vertex before (the first
     repeats the second), a moving mean of ``smooth`` rows that starts from
-    zeros, normalised. All pairs are wanted; the line is a few hundred vertices.
+    zeros, normalised; one under 1e-9 is no direction, and its cosine null, as that
+    of a source on a vertex. All pairs are wanted; the line is a few hundred vertices.
     """
     w = _cable()
     axes = ("x", "y", "z")
     diff = line.withColumns({f"d{c}": F.coalesce(F.col(c) - F.lag(c).over(w), F.lead(c).over(w) - F.col(c)) for c in axes})
     mean = diff.withColumns({f"d{c}": F.sum(f"d{c}").over(w.rowsBetween(-(smooth - 1), 0)) / smooth for c in axes})
     size = F.sqrt(sum((F.pow(F.col(f"d{c}"), 2) for c in axes[1:]), F.pow(F.col("dx"), 2)))
-    v = mean.select("cable_id", "seq", *[F.col(c).alias(f"v{c}") for c in axes], *[(F.col(f"d{c}") / size).alias(f"u{c}") for c in axes])
+    v = mean.select("cable_id", "seq", *[F.col(c).alias(f"v{c}") for c in axes], *[F.when(size > 1e-9, F.try_divide(F.col(f"d{c}"), size)).alias(f"u{c}") for c in axes])
     both = sources.select("cable_id", "source_id", *axes).join(v, "cable_id")
     rel = {c: F.col(f"v{c}") - F.col(c) for c in axes}
     r = F.sqrt(sum((rel[c] * rel[c] for c in axes[1:]), rel["x"] * rel["x"]))
     dot = sum((rel[c] * F.col(f"u{c}") for c in axes[1:]), rel["x"] * F.col("ux"))
-    return both.select("cable_id", "source_id", "seq", r.alias("range_m"), (dot / r).alias("cos_grazing"))
+    return both.select("cable_id", "source_id", "seq", r.alias("range_m"), F.try_divide(dot, r).alias("cos_grazing"))
 
 
 def tx_times(runs: DataFrame) -> DataFrame:

@@ -45,3 +45,11 @@ def test_decoding_of_many_receptions_is_quick_and_least_in_errors():
 def test_code_bits_may_be_short_long_or_missing(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [1]), (4, [0] * 200), (5, [0] * 144 + [1] * 9)], "packet int, bits array<int>")
     assert {r.packet: r.bits for r in packets.convolutional_decode(df, ("packet",)).collect()} == {k: [0] * 64 for k in range(1, 6)}
+
+
+def test_lines_without_direction_and_sources_on_vertices_have_no_cosine(spark):
+    """Cable 1 stays in one place, cable 2 does after a step; a division by a length of 0 was an error."""
+    line = spark.createDataFrame([(1, k, 3.0, 4.0, 0.0) for k in range(3)] + [(2, 0, 0.0, 0.0, 0.0), (2, 1, 1.0, 0.0, 0.0)], "cable_id int, seq int, x double, y double, z double")
+    sources = spark.createDataFrame([(1, 7, 0.0, 0.0, 0.0), (2, 8, 0.0, 0.0, 0.0)], "cable_id int, source_id int, x double, y double, z double")
+    got = {(r.cable_id, r.seq): (r.range_m, r.cos_grazing) for r in polyline.range_and_grazing(sources, line).collect()}
+    assert got == {(1, 0): (5.0, None), (1, 1): (5.0, None), (1, 2): (5.0, None), (2, 0): (0.0, None), (2, 1): (1.0, 1.0)}
