@@ -232,7 +232,7 @@ def _(spark, sf):
 @_query(
     "b6_unwrap",
     f"""with {B.SMP}, d as (select channel, sample_idx, value, value - lag(value) over w as j from smp window w as (partition by sample_idx order by channel)),
-    s as (select *, coalesce(j + 45.0 - 90.0 * floor((j + 45.0) / 90.0) - 45.0, value) as d from d) select channel, sample_idx, round(sum(d) over (partition by sample_idx order by channel), 5) + 0.0 as unwrapped from s""",
+    s as (select *, coalesce(case when (j + 45.0) % 90.0 < 0 then ((j + 45.0) % 90.0 + 90.0) % 90.0 else (j + 45.0) % 90.0 end - 45.0, value) as d from d) select channel, sample_idx, round(sum(d) over (partition by sample_idx order by channel), 5) + 0.0 as unwrapped from s""",
 )
 def _(spark, sf):
     return C.unwrap(B.samples(spark, sf), 90.0).select("channel", "sample_idx", (_r("unwrapped", 5) + 0.0).alias("unwrapped"))

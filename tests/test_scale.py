@@ -53,3 +53,14 @@ def test_lines_without_direction_and_sources_on_vertices_have_no_cosine(spark):
     sources = spark.createDataFrame([(1, 7, 0.0, 0.0, 0.0), (2, 8, 0.0, 0.0, 0.0)], "cable_id int, source_id int, x double, y double, z double")
     got = {(r.cable_id, r.seq): (r.range_m, r.cos_grazing) for r in polyline.range_and_grazing(sources, line).collect()}
     assert got == {(1, 0): (5.0, None), (1, 1): (5.0, None), (1, 2): (5.0, None), (2, 0): (0.0, None), (2, 1): (1.0, 1.0)}
+
+
+def test_unwrapped_jumps_of_half_a_step_agree_with_sql(spark, tmp_path):
+    """32.79 - 77.79 is -45 less a rounding: the SQL's floor of a quotient gave 45, outside of [-45, 45)."""
+    rows = [(k, f"2024-01-01 00:00:0{k}", k, v) for k, v in enumerate([77.79, 32.79, 88.68, 43.68, 43.68, 133.68])]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").select("event_id", F.to_timestamp_ntz("ts").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(registry.oracle_sql()["b6_unwrap"]).fetchall()
+    got = registry.queries()["b6_unwrap"](spark, str(tmp_path)).select("channel", "sample_idx", "unwrapped")
+    assert sorted(want) == sorted(map(tuple, got.collect())) and sorted(want)[1][2] == 32.79
