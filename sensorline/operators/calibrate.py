@@ -82,8 +82,8 @@ def calibrate_segments(
     ``arrivals`` has channel, packet and t in seconds, ``sources`` packet, x, y, z
     and t_tx (one row a packet; ``ranges`` of packets, ends included, choose
     some), ``depths`` channel and z. Gives segment, ch_min, ch_max, z_h,
-    n_measurements, success, reason, x0, y0, theta_deg, theta_deg_norm (in
-    [-180, 180)) and dt. Places along a segment count the channels that have
+    n_measurements, success, reason, x0, y0, theta_deg (as the steps leave it, some
+    turns on at times), theta_deg_norm (in [-180, 180)) and dt. Places along a segment count the channels that have
     any arrival. Reasons: missing_depth, no_receivers, no_measurements,
     too_few_measurements (under 4), not_converged. Rows with a null are no
     measurements. ``scratch`` is a new folder that all executors share.

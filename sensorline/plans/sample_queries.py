@@ -77,7 +77,7 @@ def _(spark, sf):
     arrivals = heard.join(sources, "packet").join(places, "channel").select("channel", "packet", (F.round((F.col("t_tx") + r / 1475.0 + 0.02) * 25000) / 25000).alias("t"))
     last = supplier.agg(F.coalesce(F.max("s_suppkey"), F.lit(1)).alias("m")).first().m
     got = calibrate.calibrate_segments(arrivals, sources, depths, _scratch(spark, "calibrate"), 0, last - 1, 4)
-    return got.select("segment", "z_h", "success", "reason", "n_measurements", (_r("theta_deg", 1) + 0.0).alias("theta_deg"), (_r("dt", 3) + 0.0).alias("dt"))
+    return got.select("segment", "z_h", "success", "reason", "n_measurements", (_r("theta_deg_norm", 1) + 0.0).alias("theta_deg"), (_r("dt", 3) + 0.0).alias("dt"))
 
 
 # blocks and samples

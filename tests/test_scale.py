@@ -55,6 +55,14 @@ def test_lines_without_direction_and_sources_on_vertices_have_no_cosine(spark):
     assert got == {(1, 0): (5.0, None), (1, 1): (5.0, None), (1, 2): (5.0, None), (2, 0): (0.0, None), (2, 1): (1.0, 1.0)}
 
 
+def test_bearings_are_within_a_turn(spark, sf, monkeypatch):
+    """Steps may leave a bearing some turns on, as 15 of 250 segments of sf0.1 did."""
+    fit = calibrate.calibrate_segments
+    monkeypatch.setattr(calibrate, "calibrate_segments", lambda *a: fit(*a).withColumn("theta_deg", F.col("theta_deg") - 720))
+    got = [r.theta_deg for r in registry.queries()["f14_calibrate_segments"](spark, sf).collect() if r.success]
+    assert got and all(-60 <= t < 60 for t in got)
+
+
 def test_unwrapped_jumps_of_half_a_step_agree_with_sql(spark, tmp_path):
     """32.79 - 77.79 is -45 less a rounding: the SQL's floor of a quotient gave 45, outside of [-45, 45)."""
     rows = [(k, f"2024-01-01 00:00:0{k}", k, v) for k, v in enumerate([77.79, 32.79, 88.68, 43.68, 43.68, 133.68])]
