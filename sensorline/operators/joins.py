@@ -48,7 +48,7 @@ def bracketing(queries: DataFrame, knots: DataFrame, at: str, values: list[str],
     """As-of join both ways: for each query the last knot at or before it and the
     first at or after it, as ``at_lo``, ``v_lo``, ``at_hi``, ``v_hi``.
 
-    Both streams are united and swept once in order of ``at``; ties put knots
+    Both streams are united and swept in order of ``at`` and back; ties put knots
     first, so a query on a knot meets it on both sides. ``on`` partitions the
     sweep. Outside the knots' span a side is null.
     """
@@ -57,8 +57,10 @@ def bracketing(queries: DataFrame, knots: DataFrame, at: str, values: list[str],
     q = queries.select(*on, at, F.lit(None).cast(k.schema["__k"].dataType).alias("__k"), *q_cols, F.lit(1).alias("__q"))
     order = [F.col(at), F.col("__q")]
     w = W.partitionBy(*on) if on else W.partitionBy(F.lit(0))
-    swept = k.unionByName(q).withColumn("__lo", F.last("__k", ignorenulls=True).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    swept = swept.withColumn("__next", F.first("__k", ignorenulls=True).over(w.orderBy(*order).rowsBetween(0, W.unboundedFollowing)))
+    seen = lambda by: F.last("__k", ignorenulls=True).over(w.orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+    swept = k.unionByName(q).withColumn("__lo", seen(order))
+    # swept backwards: a frame that ends with the partition is read anew for each row
+    swept = swept.withColumn("__next", seen([c.desc() for c in order]))
     swept = swept.withColumn("__hi", F.when(F.col("__lo.at") == F.col(at), F.col("__lo")).otherwise(F.col("__next")))
     out = swept.filter("__q = 1")
     sides = [F.col(f"__{s}.{c}").alias(f"{c}_{s}") for s in ("lo", "hi") for c in ("at", *values)]
@@ -78,8 +80,9 @@ def bracketing_bucketed(queries: DataFrame, knots: DataFrame, at: str, values: l
     q = queries.withColumn("cell", F.floor(F.col(at) / width))
     ends = k.groupBy(*keys).agg(F.max_by(F.struct(at, *values), at).alias("last"), F.min_by(F.struct(at, *values), at).alias("first"))
     cells = q.select(*keys).distinct().join(ends, list(keys), "full")
-    w = (W.partitionBy(*on) if on else W.partitionBy(F.lit(0))).orderBy("cell")  # a row per cell, not per knot
-    edges = cells.select(*keys, F.last("last", True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    w = W.partitionBy(*on) if on else W.partitionBy(F.lit(0))  # a row per cell, not per knot
+    side = lambda end, by: F.last(end, True).over(w.orderBy(by).rowsBetween(W.unboundedPreceding, -1))
+    edges = cells.select(*keys, side("last", F.col("cell")).alias("before"), side("first", F.col("cell").desc()).alias("after"))
     carried = edges.select(*keys, F.explode(F.array("before", "after")).alias("e")).filter("e is not null").select(*keys, "e.*")
     return bracketing(q, k.unionByName(carried), at, values, keys).drop("cell")
 

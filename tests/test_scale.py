@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from sensorline.operators import calibrate, packets, polyline
+from sensorline.operators import calibrate, joins, packets, polyline
 from sensorline.plans import registry
 from sensorline.streaming import streams
 
@@ -72,3 +72,18 @@ def test_unwrapped_jumps_of_half_a_step_agree_with_sql(spark, tmp_path):
     want = db.execute(registry.oracle_sql()["b6_unwrap"]).fetchall()
     got = registry.queries()["b6_unwrap"](spark, str(tmp_path)).select("channel", "sample_idx", "unwrapped")
     assert sorted(want) == sorted(map(tuple, got.collect())) and sorted(want)[1][2] == 32.79
+
+
+def test_long_cells_of_a_sweep_take_time_in_proportion(spark):
+    """60,000 queries in one cell: a frame to the end of the partition, read anew for each row, took minutes."""
+    n = 60_000
+    q = spark.range(n).select("id", (F.col("id") / n * 100).alias("x"))
+    knots = spark.createDataFrame([(float(k), float(k * k)) for k in (0, 10, 50, 99)], "x double, v double")
+    start = time.monotonic()
+    got = joins.bracketing_bucketed(q, knots, "x", ["v"], 1000.0).select("id", "at_lo", "v_lo", "at_hi", "v_hi").toPandas().sort_values("id")
+    assert time.monotonic() - start < 30
+    x, at = got["id"].to_numpy() / n * 100, np.array([0.0, 10.0, 50.0, 99.0])
+    lo, hi = np.searchsorted(at, x, "right") - 1, np.searchsorted(at, x, "left")
+    assert (got["at_lo"].to_numpy() == at[lo]).all() and (got["v_lo"].to_numpy() == at[lo] ** 2).all()
+    inside = hi < 4
+    assert (got["at_hi"].to_numpy()[inside] == at[hi[inside]]).all() and got["at_hi"][~inside].isna().all()
