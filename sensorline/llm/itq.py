@@ -11,10 +11,13 @@ probability about 0.35, so sixteen tables miss such a pair with probability
 
 The axes go through the origin, as the cosine does: about the mean, the bits of
 one tight cluster would be noise. Where the vectors of a label have a mean of
-some length, such bits are not balanced and buckets fill. A full bucket whose
-vectors lie wide apart is split by signs about the label's mean, learned in the
-same way, by as many as the logarithm of its size asks for; a full bucket of
-vectors so near that a good part of its pairs link is compared whole.
+some length, such bits are not balanced and buckets fill. Full buckets are compared
+whole, block by block, so that no pair that meets is left out; a label whose tables
+hold more pairs than the label itself is one bucket, which costs less and finds all.
+
+On demand (``exact=False``) a full bucket whose vectors lie wide apart is split by
+signs about the label's mean, learned in the same way, by as many as the logarithm
+of its size asks for. That takes far fewer pairs and misses some that link.
 """
 
 from __future__ import annotations
@@ -179,6 +182,18 @@ def split_keys(indexed: DataFrame, cosine: float = COSINE) -> DataFrame:
     return indexed.select("node", "copies", "label", "v").join(keyed, "node")
 
 
+def whole_keys(indexed: DataFrame) -> DataFrame:
+    """node, copies, label, v and ``keys array<long>``, the keys of every table; one
+    key for vectors of a label and length whose tables hold more pairs than they make."""
+    cells = indexed.select("label", F.size("v").alias("size"), F.posexplode("keys").alias("place", "key"))
+    counts = cells.groupBy("label", "size", "place", "key").agg(F.count("*").alias("n"))
+    held = counts.groupBy("label", "size").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum(F.when(F.col("place") == 0, F.col("n"))).alias("n"))
+    one = stage_table(held.filter(F.col("pairs") > F.col("n") * (F.col("n") - 1)).select(F.col("label").alias("l"), "size"), "whole-labels")
+    met = indexed.join(one, (F.col("label") == F.col("l")) & (F.size("v") == F.col("size")), "left")
+    keys = F.when(F.col("size").isNotNull(), F.array(-F.col("size").cast("long"))).otherwise(F.col("keys").cast("array<long>"))
+    return met.select("node", "copies", "label", "v", keys.alias("keys"))
+
+
 def compare_buckets(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links of one task's buckets: (node, partner, links). ``links`` counts the
     vectors linked to ``node`` by pairs that this bucket is the first table to
@@ -186,7 +201,7 @@ def compare_buckets(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
     or null."""
     found = []
     rows = rows.sort_values(["unit", "block"], kind="stable").reset_index(drop=True)
-    keys = np.array(rows["keys"].tolist(), np.int64)
+    keys = rows["keys"].to_numpy()
     node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
     block, tables = rows["block"].to_numpy(), rows["place"].to_numpy()
     vectors = rows["v"].to_numpy()
@@ -205,7 +220,7 @@ def compare_buckets(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         if not len(x):
             continue
         table = tables[a]
-        k = keys[a:b]
+        k = np.array(keys[a:b].tolist(), np.int64)
         fresh = ~(k[x, :table] == k[y, :table]).any(1)
         links = np.bincount(x[fresh], copies[a:b][y[fresh]], b - a) + np.bincount(y[fresh], copies[a:b][x[fresh]], b - a)
         ids = node[a:b]
@@ -252,7 +267,7 @@ def links(indexed: DataFrame, cosine: float = COSINE) -> DataFrame:
     return units.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInPandas(lambda rows: compare_buckets(rows, cosine), "node long, partner long, links long")
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, exact: bool = True) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label).
 
     Vectors link only within a label. Equal vectors are reduced to one before
@@ -260,13 +275,15 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     others. Vectors that cannot link (null, empty, zero, null or non-finite
     components, null label) and rows without a vec_id have no links, their own
     vec_id as component_id, and stay. Vectors of different lengths never link.
+    Without ``exact`` full buckets of far vectors are split, see ``split_keys``.
     """
     given = clean_vectors(rows)
     digest = [F.xxhash64("label", "v").alias("h1"), F.xxhash64(F.lit(1), "v", "label").alias("h2")]
     good = given.filter("usable")
     keyed = good.select("vec_id", *digest)
     distinct = good.select("vec_id", "label", "v", *digest).groupBy("h1", "h2").agg(F.min_by(F.struct("label", "v"), "vec_id").alias("x"), F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    indexed = stage_table(split_keys(stage_table(index(stage_table(distinct.select("node", "copies", "x.label", "x.v"), "vectors")), "vector-index"), cosine), "vector-keys")
+    made = stage_table(index(stage_table(distinct.select("node", "copies", "x.label", "x.v"), "vectors")), "vector-index")
+    indexed = stage_table(whole_keys(made) if exact else split_keys(made, cosine), "vector-keys")
     found = stage_table(links(indexed, cosine), "vector-links")
     classes = connected_components(found.filter("partner >= 0").select(F.col("node").alias("a"), F.col("partner").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

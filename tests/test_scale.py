@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from sensorline.llm import itq
 from sensorline.operators import calibrate, joins, packets, polyline
 from sensorline.plans import registry
 from sensorline.streaming import streams
@@ -87,3 +88,21 @@ def test_long_cells_of_a_sweep_take_time_in_proportion(spark):
     assert (got["at_lo"].to_numpy() == at[lo]).all() and (got["v_lo"].to_numpy() == at[lo] ** 2).all()
     inside = hi < 4
     assert (got["at_hi"].to_numpy()[inside] == at[hi[inside]]).all() and got["at_hi"][~inside].isna().all()
+
+
+def test_full_buckets_of_far_vectors_lose_no_link(spark):
+    """Neighbours just within the threshold, about a mean of three times the spread: fine signs part some of them."""
+    rng = np.random.default_rng(5)
+    n, dim = 2000, 32
+    x = rng.standard_normal((n, dim))
+    x += 3 * np.sqrt(dim) * np.eye(dim)[0]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = rng.uniform(0.9801, 0.983, 300)
+    side = rng.standard_normal((300, dim))
+    side -= (side * unit[:300]).sum(1, keepdims=True) * unit[:300]
+    x[1000:1300] = want[:, None] * unit[:300] + np.sqrt(1 - want[:, None] ** 2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    df = spark.createDataFrame([(k, [float(z) for z in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()} == dict(enumerate((linked.sum(1) - 1).tolist()))
