@@ -27,7 +27,7 @@ def test_state_of_scattered_packets_is_small(spark, tmp_path):
 
 
 def test_decoding_of_many_receptions_is_quick_and_least_in_errors():
-    """4,096 words took 24 s by arrays of receptions x states; against the encoder with three errors each."""
+    """4,096 words with three errors each, against the encoder's input."""
     rng, n = np.random.default_rng(1), 4_096
     bits = np.hstack([rng.integers(0, 2, (n, 64)), np.zeros((n, packets.MEMORY), int)])
     state, coded = np.zeros(n, int), []
@@ -76,7 +76,7 @@ def test_unwrapped_jumps_of_half_a_step_agree_with_sql(spark, tmp_path):
 
 
 def test_long_cells_of_a_sweep_take_time_in_proportion(spark):
-    """60,000 queries in one cell: a frame to the end of the partition, read anew for each row, took minutes."""
+    """60,000 queries in one cell: a frame to the end of the partition would be read anew for each row."""
     n = 60_000
     q = spark.range(n).select("id", (F.col("id") / n * 100).alias("x"))
     knots = spark.createDataFrame([(float(k), float(k * k)) for k in (0, 10, 50, 99)], "x double, v double")
