@@ -94,8 +94,12 @@ def packet_lines(points: DataFrame, coords: tuple[str, ...] = ("e", "n", "u"), f
 
 
 def line_points(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rows keys, channel, s, t of ``packet_lines``."""
-    return lines.select(*keys, F.explode("line").alias("x")).select(*keys, "x.*")
+    """Rows keys, channel, s, t of ``packet_lines``.
+
+    The generator is given an expression: for a plain column Spark infers a filter on
+    its size and works out the whole line once more for it, again for each point.
+    """
+    return lines.select(*keys, F.inline(F.when(F.size("line") > 0, F.col("line"))))
 
 
 def gather_line(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -136,35 +140,70 @@ def theil_sen_line(line: Column) -> Column:
     return _let(_median(slopes), lambda k: F.struct(k.alias("slope"), _median(F.transform(line, lambda p: p["t"] - k * p["s"])).alias("intercept")))
 
 
+#: Numbers in an array of many groups that are worked on together, about.
+TOGETHER = 1 << 19
+
+
+def _by_size(s_all: pd.Series, t_all: pd.Series, least: int, each: int = 1):
+    """Rows of a batch whose lines have one size of at least ``least``, and their s and t as rows
+    of arrays; ``each`` tells how many numbers a point needs."""
+    size = np.array([-1 if s is None else len(s) for s in s_all], int)
+    flat = [np.concatenate([np.zeros(0), *(np.asarray(v, float) for v in x if v is not None)]) for x in (s_all, t_all)]
+    start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    for n in np.unique(size[size >= least]):
+        same = np.flatnonzero(size == n)
+        step = max(1, TOGETHER // max(1, int(n) * each))
+        for begin in range(0, len(same), step):
+            rows = same[begin : begin + step]
+            at = start[rows, None] + np.arange(n)
+            yield rows, flat[0][at], flat[1][at]
+
+
 def ransac_line(line: Column, key: Column, trials: int = 200, seed: int = 0) -> Column:
     """slope and intercept of seeded RANSAC over an array of (s, t): samples of 3,
     inliers within the median absolute deviation of t, least squares over the
-    best set. The draws follow from ``key``, so partitions do not matter."""
+    best set. The draws follow from ``key``, so partitions do not matter; lines of
+    one size are fitted together."""
 
     @F.pandas_udf("struct<slope double, intercept double>")
     def fit(s_all: pd.Series, t_all: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out = np.full((len(keys), 2), np.nan)
-        for k, (s, t, key_) in enumerate(zip(s_all, t_all, keys)):
-            s, t = np.asarray(s, float), np.asarray(t, float)
-            if len(s) < 3:
-                continue
-            rng = np.random.default_rng([seed, int(key_) & (1 << 63) - 1])
-            limit = np.median(np.abs(t - np.median(t)))
-            pick = rng.random((trials, len(s))).argsort(1)[:, :3]  # all samples at once
-            ds, dt = s[pick] - s[pick].mean(1, keepdims=True), t[pick] - t[pick].mean(1, keepdims=True)
-            across = (ds * ds).sum(1)
-            slope = np.divide((ds * dt).sum(1), across, out=np.full(trials, np.nan), where=across > 0)
-            off = t[pick].mean(1) - slope * s[pick].mean(1)
-            inside = np.abs(t - slope[:, None] * s - off[:, None]) <= limit
-            best = inside[inside.sum(1).argmax()]
-            best = best if best.any() else np.ones(len(s), bool)
-            x, y = s[best] - s[best].mean(), t[best] - t[best].mean()
-            if x @ x > 0:
-                a = (x @ y) / (x @ x)
-                out[k] = a, t[best].mean() - a * s[best].mean()
+        keys = keys.to_numpy()
+        for rows, s, t in _by_size(s_all, t_all, 3, trials):
+            limit = np.median(np.abs(t - np.median(t, 1, keepdims=True)), 1)
+            drawn = np.empty((len(rows), trials, s.shape[1]))
+            for k, row in enumerate(rows):
+                np.random.default_rng([seed, int(keys[row]) & (1 << 63) - 1]).random(out=drawn[k])
+            pick = drawn.argsort(2)[:, :, :3]
+            of = np.arange(len(rows))[:, None, None]
+            ps, pt = s[of, pick], t[of, pick]
+            ms, mt = ps.mean(2), pt.mean(2)
+            ds, dt = ps - ms[:, :, None], pt - mt[:, :, None]
+            across = (ds * ds).sum(2)
+            slope = np.divide((ds * dt).sum(2), across, out=np.full(across.shape, np.nan), where=across > 0)
+            off = mt - slope * ms
+            inside = np.abs(t[:, None] - slope[:, :, None] * s[:, None] - off[:, :, None]) <= limit[:, None, None]
+            best = inside[np.arange(len(rows)), inside.sum(2).argmax(1)]
+            best[~best.any(1)] = True
+            held = best.sum(1)
+            for m in np.unique(held):
+                mine = np.flatnonzero(held == m)
+                x, y = (v[mine][best[mine]].reshape(-1, m) for v in (s, t))
+                mx, my = x.mean(1), y.mean(1)
+                x, y = x - mx[:, None], y - my[:, None]
+                xx, xy = (np.array([a @ b for a, b in zip(x, v)]) for v in (x, y))
+                good = xx > 0
+                a = xy[good] / xx[good]
+                out[rows[mine[good]]] = np.stack([a, my[good] - a * mx[good]], 1)
         return pd.DataFrame(out, columns=["slope", "intercept"])
 
-    return fit(F.transform(line, lambda p: p["s"]), F.transform(line, lambda p: p["t"]), key)
+    return fit(line["s"], line["t"], key)
+
+
+def ols_lines(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``ols_fit`` of rows with ``line``, within the row. Points without s or t count in n only."""
+    told = F.filter("line", lambda p: p["s"].isNotNull() & p["t"].isNotNull())
+    return _fit_lines(lines, keys, _let(told, ols_line))
 
 
 def ols_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -172,40 +211,59 @@ def ols_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return points.groupBy(*keys).agg(F.regr_slope("t", "s").alias("slope"), F.regr_intercept("t", "s").alias("intercept"), F.count("*").alias("n"))
 
 
-def _fit_rows(points: DataFrame, keys: tuple[str, ...], model) -> DataFrame:
-    held = gather_line(points, keys).withColumn("m", model(F.col("line")))
-    return held.select(*keys, "m.slope", "m.intercept", F.size("line").cast("long").alias("n"))
+def _fit_lines(lines: DataFrame, keys: tuple[str, ...], model: Column) -> DataFrame:
+    """slope, intercept and n of rows with ``line``. The fit becomes a generated row, so that
+    filters on it stay above it and it is worked out once."""
+    held = lines.select(*keys, F.size("line").cast("long").alias("n"), model.alias("m"))
+    return held.select(*keys, F.inline(F.array(F.struct("m.slope", "m.intercept", "n"))))
+
+
+def _middle(v: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Medians of the first ``count`` of the sorted numbers of each row."""
+    at = np.arange(len(v))
+    return (v[at, (count - 1) // 2] + v[at, count // 2]) / 2 + 0.0
 
 
 @F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType())]))
 def _theil_sen(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
-    """Median slopes of a batch of lines and the medians of t - slope * s; nothing for a null line."""
+    """Median slopes of a batch of lines and the medians of t - slope * s; nothing for a null
+    line. Lines of one size of up to ``slopes.FEW`` points form all their pairs together."""
     out = np.full((len(s_all), 2), np.nan)
-    for k, (s, t) in enumerate(zip(s_all, t_all)):
-        if s is None:
+    for rows, s, t in _by_size(s_all, t_all, 2, slopes.FEW):
+        if s.shape[1] > slopes.FEW:
+            for row, x, y in zip(rows, s, t):
+                slope = slopes.median_slope(x, y)
+                if slope == slope:
+                    out[row] = slope, np.median(y - slope * x)
+            continue
+        a, b = np.triu_indices(s.shape[1], 1)
+        ds, dt = s[:, b] - s[:, a], t[:, b] - t[:, a]
+        count = (ds != 0).sum(1)
+        rows, s, t, ds, dt, count = (v[count > 0] for v in (rows, s, t, ds, dt, count))
+        if not len(rows):
             continue
-        slope = slopes.median_slope(s, t)
-        if slope == slope:
-            out[k] = slope, np.median(t - slope * s)
+        slope = _middle(np.sort(np.divide(dt, ds, out=np.full(ds.shape, np.nan), where=ds != 0), 1), count)
+        rest = np.sort(t - slope[:, None] * s, 1)
+        out[rows] = np.stack([slope, _middle(rest, np.full(len(rows), s.shape[1]))], 1)
     return pd.DataFrame(out, columns=["slope", "intercept"])
 
 
+def theil_sen_lines(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``theil_sen_fit`` of rows with ``line``, within the row."""
+    whole = lambda x: x.isNotNull() & ~F.isnan(x)
+    told = lines.select(*keys, F.filter("line", lambda p: whole(p["s"]) & whole(p["t"])).alias("line"))
+    return _fit_lines(told, keys, _theil_sen("line.s", "line.t")).filter("slope is not null")
+
+
 def theil_sen_fit(points: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """slope (median of the slopes of all pairs) and intercept (median of t - slope * s).
 
     In groups of over ``slopes.FEW`` points the median is found by counting
     inversions, so all channels of a cable need no array of all pairs; smaller ones
-    form their pairs as columns. Both give the same bits. Points without s or t are left
-    out; groups without a pair of different s give no row.
+    form their pairs, many groups at once. Both give the same bits. Points without s
+    or t are left out; groups without a pair of different s give no row.
     """
-    told = points.filter("s is not null and t is not null and not isnan(s) and not isnan(t)")
-
-    def model(line: Column) -> Column:
-        many = F.size(line) > slopes.FEW
-        found = _theil_sen(*[F.when(many, F.transform(line, lambda p: p[c])) for c in ("s", "t")])
-        return F.when(many, found).otherwise(theil_sen_line(line))
-
-    return _fit_rows(told, keys, model).filter("slope is not null")
+    return theil_sen_lines(gather_line(points, keys), keys)
 
 
 def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -216,7 +274,12 @@ def _dealt(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def ransac_fit(points: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
     """slope, intercept, n of ``ransac_line``; null for groups of fewer than 3 points."""
-    return _fit_rows(points, keys, lambda line: ransac_line(line, F.xxhash64(*keys), trials, seed))
+    return ransac_lines(gather_line(points, keys), trials, keys, seed)
+
+
+def ransac_lines(lines: DataFrame, trials: int = 200, keys: tuple[str, ...] = KEYS, seed: int = 0) -> DataFrame:
+    """``ransac_fit`` of rows with ``line`` in order of channels, within the row."""
+    return _fit_lines(lines, keys, ransac_line(F.col("line"), F.xxhash64(*keys), trials, seed))
 
 
 #: Fits over rows and what they do over an array of (s, t).
@@ -298,6 +361,16 @@ def _clusters(s: np.ndarray, r: np.ndarray, k: int) -> np.ndarray:
     return label
 
 
+def _plain(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares slopes and intercepts of rows of points; level through the mean where all s are equal."""
+    ms, mt = s.mean(-1), t.mean(-1)
+    ds, dt = s - ms[..., None], t - mt[..., None]
+    across = (ds * ds).sum(-1)
+    level = s.max(-1) == s.min(-1)
+    a = np.where(level, 0.0, (ds * dt).sum(-1) / np.where(level, 1.0, across))
+    return a, mt - a * ms
+
+
 def _line(s: np.ndarray, t: np.ndarray, speed: float) -> tuple[float, float]:
     """Line with |slope| at most 1/speed: least squares, else over the three middle
     points, else clamped to 0.99/speed through the medians."""
@@ -377,7 +450,12 @@ def _shared_lines(s: np.ndarray, t: np.ndarray, label: np.ndarray, k: int, round
     return slope
 
 
-def multiline_fit(points: DataFrame, k: int = 3, rounds: int | None = None, speed: float = SPEED, shared: bool = False, keys: tuple[str, ...] = KEYS, least: int = 3) -> DataFrame:
+def multiline_fit(points: DataFrame, **options) -> DataFrame:
+    """``multiline_lines`` of points (keys, channel, s, t), gathered by one shuffle."""
+    return multiline_lines(gather_line(points, options.get("keys", KEYS)), **options)
+
+
+def multiline_lines(lines: DataFrame, k: int = 3, rounds: int | None = None, speed: float = SPEED, shared: bool = False, keys: tuple[str, ...] = KEYS, least: int = 3) -> DataFrame:
     """slope, n_lines, n of ``k`` lines per group, for arrivals over several paths.
 
     Points start in clusters of place and residual; then lines are fitted and
@@ -387,16 +465,12 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int | None = None, spee
     slope nearest the median of the usable ones is given, with it all lines share
     one slope, repaired where it is too steep, and one outlier may be left out.
     Groups of fewer than 2 points have a null slope. Groups are a few dozen
-    channels and sorted first, so the result depends on nothing but their rows.
+    channels and in order of channels, so the result depends on nothing but their
+    rows. Plain lines of a batch are fitted together.
     """
     most = rounds or (8 if shared else 5)
 
-    def one(s: np.ndarray, t: np.ndarray) -> tuple[float, int]:
-        if len(s) < 2:
-            return math.nan, 0
-        a, b = np.polyfit(s, t, 1) if np.ptp(s) else (0.0, t.mean())
-        if len(s) < k * least:
-            return float(a), 1
+    def one(s: np.ndarray, t: np.ndarray, a: float, b: float) -> tuple[float, int]:
         label = _clusters(s, t - a * s - b, k)
         if shared:
             return _shared_lines(s, t, label, k, most, speed, least), k
@@ -416,8 +490,17 @@ def multiline_fit(points: DataFrame, k: int = 3, rounds: int | None = None, spee
 
     @F.pandas_udf("struct<slope double, n_lines long>")
     def fit(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(np.asarray(s, float), np.asarray(t, float)) for s, t in zip(s_all, t_all)], columns=["slope", "n_lines"])
-
-    held = _dealt(gather_line(points, keys), keys)
-    made = held.withColumn("m", fit(F.transform("line", lambda p: p["s"]), F.transform("line", lambda p: p["t"])))
-    return made.select(*keys, "m.slope", "m.n_lines", F.size("line").cast("long").alias("n"))
+        slope, count = np.full(len(s_all), np.nan), np.zeros(len(s_all), np.int64)
+        for rows, s, t in _by_size(s_all, t_all, 2):
+            a, b = _plain(s, t)
+            if s.shape[1] < k * least:
+                slope[rows], count[rows] = a, 1
+                continue
+            for row, *x in zip(rows, s, t, a, b):
+                if not shared and np.ptp(x[0]):  # rounding can decide which of two lines is nearest to their median
+                    x[2:] = np.polyfit(x[0], x[1], 1)
+                slope[row], count[row] = one(*x)
+        return pd.DataFrame({"slope": slope, "n_lines": count})
+
+    held = _dealt(lines.select(*keys, F.size("line").cast("long").alias("n"), "line.s", "line.t"), keys)
+    return held.select(*keys, "n", fit("s", "t").alias("m")).select(*keys, "m.slope", "m.n_lines", "n")

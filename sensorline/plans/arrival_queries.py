@@ -232,7 +232,7 @@ def _(spark, sf):
 
 @_query("f3_ols_fit", f"with {B.AXIS} select packet, subarray_id, round(regr_slope(t, s), 9) as slope, round(regr_intercept(t, s), 9) as intercept, count(*) as n from st group by all having count(*) > 2")
 def _(spark, sf):
-    return doa.ols_fit(B.placed(spark, sf)).filter("n > 2").select("packet", "subarray_id", _r("slope", 9).alias("slope"), _r("intercept", 9).alias("intercept"), "n")
+    return doa.ols_lines(B.lines(spark, sf)).filter("n > 2").select("packet", "subarray_id", _r("slope", 9).alias("slope"), _r("intercept", 9).alias("intercept"), "n")
 
 
 @_query(
@@ -241,12 +241,12 @@ def _(spark, sf):
     select packet, subarray_id, round(sl, 9) as slope, round(median(t - sl * s), 9) as intercept, count(*) as n from st join pr using (packet, subarray_id) group by packet, subarray_id, sl""",
 )
 def _(spark, sf):
-    return doa.theil_sen_fit(B.placed(spark, sf)).select("packet", "subarray_id", _r("slope", 9).alias("slope"), _r("intercept", 9).alias("intercept"), "n")
+    return doa.theil_sen_lines(B.lines(spark, sf)).select("packet", "subarray_id", _r("slope", 9).alias("slope"), _r("intercept", 9).alias("intercept"), "n")
 
 
 @_query("f3_ransac_fit", None)
 def _(spark, sf):
-    return doa.ransac_fit(B.placed(spark, sf))
+    return doa.ransac_lines(B.lines(spark, sf))
 
 
 @_query(
@@ -279,12 +279,12 @@ _PATHS = {"k": 2, "least": 2}
 
 @_query("f7_multiline_fit", None)
 def _(spark, sf):
-    return doa.multiline_fit(B.placed(spark, sf), **_PATHS)
+    return doa.multiline_lines(B.lines(spark, sf), **_PATHS)
 
 
 @_query("f8_shared_slope_loop", None)
 def _(spark, sf):
-    return doa.multiline_fit(B.placed(spark, sf), shared=True, **_PATHS)
+    return doa.multiline_lines(B.lines(spark, sf), shared=True, **_PATHS)
 
 
 def _located(spark, sf):

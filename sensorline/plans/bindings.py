@@ -38,11 +38,13 @@ TIME = 2e8
 
 
 def fit_points(spark: SparkSession, sf: str) -> DataFrame:
-    """packet, subarray_id, channel, t and positions e, n, u of a bent line."""
+    """packet, subarray_id, channel, t and positions e, n, u of a bent line. Arrivals are
+    dealt by packet, so merging, slicing and lines of a packet share one shuffle."""
     from sensorline.operators.arrivals import subarray_slice
 
     c = F.col("channel").cast("double")
-    cut = subarray_slice(arrivals(spark, sf), subarrays(spark, sf))
+    dealt = merge_arrivals(raw_arrivals(spark, sf).repartition("packet"))
+    cut = subarray_slice(dealt, subarrays(spark, sf))
     return cut.select("packet", "subarray_id", "channel", (F.col("sample_idx") / TIME).alias("t"), (10 * c + F.col("packet") % 7).alias("e"), (3 * c + 0.5 * c * c).alias("n"), (0.1 * c).alias("u"))
 
 

@@ -4,10 +4,12 @@ import time
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sensorline.llm import itq
-from sensorline.operators import calibrate, joins, packets, polyline
+from sensorline.operators import calibrate, doa, joins, packets, polyline
+from sensorline.plans import bindings as B
 from sensorline.plans import registry
 from sensorline.streaming import streams
 
@@ -106,3 +108,30 @@ def test_full_buckets_of_far_vectors_lose_no_link(spark):
     linked = unit @ unit.T >= 0.98
     df = spark.createDataFrame([(k, [float(z) for z in v], 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     assert {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()} == dict(enumerate((linked.sum(1) - 1).tolist()))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_lines_work_no_line_out_for_a_filter(spark, sf):
+    plan = _plan(B.placed(spark, sf))
+    assert "Filter (size(zip_with" not in plan and "hashpartitioning(packet" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # merging, slicing and lines share the shuffle by packet
+
+
+@pytest.mark.parametrize("name", ["f3_ols_fit", "f3_theil_sen_fit", "f3_ransac_fit"])
+def test_fits_stay_in_the_rows_of_their_lines(spark, sf, name):
+    plan = _plan(registry.queries()[name](spark, sf))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("size(zip_with") == 0
+
+
+def test_fits_of_many_sizes_equal_those_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, 0, c, 3.0 * c + (g % 3), float(rng.normal())) for g in range(40) for c in range(g % 9)]
+    points = spark.createDataFrame(rows, "packet long, subarray_id long, channel int, s double, t double")
+    for fit in (doa.ransac_fit, doa.theil_sen_fit, lambda p: doa.multiline_fit(p, k=2, least=2), lambda p: doa.multiline_fit(p, k=2, least=2, shared=True)):
+        whole = {r.packet: r for r in fit(points).collect()}
+        for g in (1, 2, 3, 5, 8, 17, 26):
+            alone = fit(points.filter(f"packet = {g}")).collect()
+            assert [whole[g]] == alone if alone else g not in whole
