@@ -34,7 +34,9 @@ def cone_plane_points(fits: DataFrame, source_u: float = SOURCE_U, spread_deg: f
     re, rn, ru. Rings are inner, nominal and outer (angle less spread, angle,
     angle plus spread, kept off 0 and 180). A sound that travels along a cone
     direction comes from the opposite one; where a ring meets the plane nowhere
-    within window and range, the other hemisphere is taken.
+    within window and range, the other hemisphere is taken. Which one that is follows
+    from the row of the ring: without a window the points of the steepest
+    directions are the nearest ones, so they tell it. Nothing is shuffled.
     """
     rings = F.explode(F.array(*[F.struct(F.lit(n).alias("ring"), F.lit(d).alias("off")) for n, d in (("inner", -spread_deg), ("nominal", 0.0), ("outer", spread_deg))])).alias("ring_")
     clip = lambda a: F.greatest(F.lit(EDGE_DEG), F.least(F.lit(180.0 - EDGE_DEG), a))
@@ -42,22 +44,33 @@ def cone_plane_points(fits: DataFrame, source_u: float = SOURCE_U, spread_deg: f
     held = held.withColumn("theta", F.radians(clip(clip(F.col("angle_deg")) + F.col("ring_.off"))))
     e1, e2, e3 = _basis(F.col("ax"), F.col("ay"), F.col("az"))
     held = held.withColumns({f"{v}{c}": x for v, vec in (("p", e2), ("q", e3)) for c, x in zip("xyz", vec)})
-    around = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-    phi = F.col("k") * (2 * math.pi / samples)
-    prop = {c: F.cos("theta") * F.col(f"a{c}") + F.sin("theta") * (F.cos(phi) * F.col(f"p{c}") + F.sin(phi) * F.col(f"q{c}")) for c in "xyz"}
-    both = around.withColumns({f"d{c}": -prop[c] for c in "xyz"}).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("flipped"))
-    sign = F.when(F.col("flipped"), -1.0).otherwise(1.0)
-    nz = sign * F.col("dz")
-    far = F.when(F.abs(nz) > 1e-8, (source_u - F.col("ru")) / nz)
-    met = both.withColumn("dist", far).filter("dist > 0").withColumns({"e": F.col("re") + F.col("dist") * sign * F.col("dx"), "n": F.col("rn") + F.col("dist") * sign * F.col("dy"), "u": F.lit(source_u)})
-    if max_range is not None:
-        met = met.filter(F.col("dist") <= max_range)
-    if window is not None:
-        met = met.filter(F.col("e").between(window[0], window[1]) & F.col("n").between(window[2], window[3]))
-    ring = W.partitionBy("packet", "subarray_id", "ring_.ring")
-    straight = F.count_if(~F.col("flipped")).over(ring) > 0
-    kept = met.withColumn("__s", straight).filter(F.col("flipped") != F.col("__s"))
-    return kept.select("packet", "subarray_id", F.col("ring_.ring").alias("ring"), "k", "flipped", "e", "n", "u")
+    height = source_u - F.col("ru")
+
+    def meet(k: Column, sign: Column | float) -> Column:
+        """Distance at which direction k meets the plane, and the place there."""
+        phi = k * (2 * math.pi / samples)
+        d = {c: -(F.cos("theta") * F.col(f"a{c}") + F.sin("theta") * (F.cos(phi) * F.col(f"p{c}") + F.sin(phi) * F.col(f"q{c}"))) for c in "xyz"}
+        dist = F.when(F.abs(d["z"]) > 1e-8, height / (sign * d["z"]))
+        return F.struct(dist.alias("dist"), *[(F.col(f"r{x}") + dist * sign * d[c]).alias(x) for x, c in (("e", "x"), ("n", "y"))])
+
+    def hit(m: Column) -> Column:
+        seen = m["dist"] > 0
+        if max_range is not None:
+            seen = seen & (m["dist"] <= max_range)
+        if window is not None:
+            seen = seen & m["e"].between(window[0], window[1]) & m["n"].between(window[2], window[3])
+        return seen
+
+    if window is None:
+        way = F.when(height < 0, 1.0).otherwise(-1.0)
+        nearest = F.round(F.atan2(way * F.col("qz"), way * F.col("pz")) * (samples / (2 * math.pi))).cast("int")
+        asked = F.array(*[F.pmod(nearest + d, F.lit(samples)) for d in (-1, 0, 1)])
+    else:
+        asked = F.sequence(F.lit(0), F.lit(samples - 1))
+    straight = F.coalesce(F.exists(asked, lambda k: hit(meet(k, F.lit(1.0)))), F.lit(False))
+    around = held.withColumn("flipped", ~straight).select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
+    met = around.select("packet", "subarray_id", F.col("ring_.ring").alias("ring"), "k", "flipped", meet(F.col("k"), F.when(F.col("flipped"), -1.0).otherwise(1.0)).alias("m"))
+    return met.filter(hit(F.col("m"))).select("packet", "subarray_id", "ring", "k", "flipped", "m.e", "m.n", F.lit(source_u).alias("u"))
 
 
 def band_polygon(points: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorline.llm import itq
-from sensorline.operators import calibrate, doa, joins, packets, polyline
+from sensorline.operators import calibrate, doa, joins, locate, packets, polyline
 from sensorline.plans import bindings as B
 from sensorline.plans import registry
 from sensorline.streaming import streams
@@ -135,3 +135,13 @@ def test_fits_of_many_sizes_equal_those_one_by_one(spark):
         for g in (1, 2, 3, 5, 8, 17, 26):
             alone = fit(points.filter(f"packet = {g}")).collect()
             assert [whole[g]] == alone if alone else g not in whole
+
+
+def test_rings_are_not_shuffled_and_take_the_side_that_meets_the_plane(spark):
+    rows = [(k, 0, 20.0 + 7 * k, 0.6, 0.0 if k % 2 else 0.8, 0.8 if k % 2 else 0.0, 1.0, 2.0, -10.0 + 5 * k) for k in range(20)]
+    fits = spark.createDataFrame(rows, "packet long, subarray_id int, angle_deg double, ax double, ay double, az double, re double, rn double, ru double")
+    for far in (50.0, 500.0):
+        got = locate.cone_plane_points(fits, max_range=far)
+        assert "Window" not in _plan(got) and "Exchange" not in _plan(got)
+        scanned = locate.cone_plane_points(fits, max_range=far, window=(-1e9, 1e9, -1e9, 1e9))  # asks every direction
+        assert sorted(got.collect()) == sorted(scanned.collect()) and got.count() > 0
