@@ -89,6 +89,60 @@ def band_polygon(points: DataFrame) -> DataFrame:
     return good.select("packet", "subarray_id", "n_vertices", F.abs("a").alias("area"), (F.col("se") / (6 * F.col("a"))).alias("ce"), (F.col("sn") / (6 * F.col("a"))).alias("cn"))
 
 
+#: Numbers in an array of the rings of many fits that are worked on together, about.
+TOGETHER = 1 << 18
+
+
+def _ring_places(f: np.ndarray, off: float, source_u: float, samples: int, max_range: float | None):
+    """e, n of the directions of one ring and which of them meet the plane, for rows
+    (angle_deg, ax, ay, az, re, rn, ru): ``cone_plane_points`` for many fits at once."""
+    clip = lambda a: np.maximum(EDGE_DEG, np.minimum(180.0 - EDGE_DEG, a))
+    theta, axis = np.radians(clip(clip(f[:, 0]) + off)), f[:, 1:4]
+    flat = np.abs(axis[:, 2]) < 0.9
+    p = np.cross(axis, np.stack([~flat, np.zeros(len(f)), flat], 1).astype(float))
+    p /= np.sqrt((p * p).sum(1))[:, None]
+    q = np.cross(axis, p)
+    phi = np.arange(samples) * (2 * math.pi / samples)
+    d = [-(np.cos(theta)[:, None] * axis[:, c, None] + np.sin(theta)[:, None] * (np.cos(phi) * p[:, c, None] + np.sin(phi) * q[:, c, None])) for c in range(3)]
+    r = np.divide((source_u - f[:, 6])[:, None], d[2], out=np.full(d[2].shape, np.nan), where=np.abs(d[2]) > 1e-8)
+    far = np.inf if max_range is None else max_range
+    straight = (r > 0) & (r <= far)
+    met = np.where(straight.any(1)[:, None], straight, (-r > 0) & (-r <= far))
+    return f[:, 4, None] + r * d[0], f[:, 5, None] + r * d[1], met  # both signs of a direction meet the plane in one place
+
+
+def fit_polygons(fits: DataFrame, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG, samples: int = 300, max_range: float | None = None) -> DataFrame:
+    """``band_polygon`` of the ``cone_plane_points`` of fits, within the row of a fit: its
+    points are neither rows nor sorted."""
+
+    @F.pandas_udf("struct<n_vertices long, rings long, a double, se double, sn double>")
+    def polygon(*columns: pd.Series) -> pd.DataFrame:
+        table = np.stack([c.to_numpy(float) for c in columns], 1)
+        out = np.zeros((len(table), 5))
+        step = max(1, TOGETHER // samples)
+        for begin in range(0, len(table), step):
+            part = table[begin : begin + step]
+            outer, inner = (_ring_places(part, off, source_u, samples, max_range) for off in (spread_deg, -spread_deg))
+            e, n, met = (np.hstack([x, y[:, ::-1]]) for x, y in zip(outer, inner))
+            count = met.sum(1)
+            some = np.flatnonzero(count)
+            row = np.repeat(np.arange(len(part)), count)
+            e, n = e[met], n[met]
+            follow = np.arange(1, len(row) + 1)
+            stop = np.cumsum(count)
+            follow[stop[some] - 1] = (stop - count)[some]
+            e2, n2 = e[follow], n[follow]
+            cross = e * n2 - e2 * n
+            sums = [np.bincount(row, v, len(part)) for v in (cross, (e + e2) * cross, (n + n2) * cross)]
+            out[begin : begin + step] = np.stack([count, outer[2].any(1).astype(int) + inner[2].any(1), sums[0] / 2, sums[1], sums[2]], 1)
+        made = pd.DataFrame(out, columns=["n_vertices", "rings", "a", "se", "sn"])
+        return made.astype({"n_vertices": "int64", "rings": "int64"})
+
+    held = fits.select("packet", "subarray_id", polygon(*[F.col(c).cast("double") for c in ("angle_deg", "ax", "ay", "az", "re", "rn", "ru")]).alias("g"))
+    good = held.select("packet", "subarray_id", F.inline(F.array("g"))).filter("rings = 2 and n_vertices >= 3 and abs(a) > 1e-9")
+    return good.select("packet", "subarray_id", "n_vertices", F.abs("a").alias("area"), (F.col("se") / (6 * F.col("a"))).alias("ce"), (F.col("sn") / (6 * F.col("a"))).alias("cn"))
+
+
 def qualified_packets(fits: DataFrame, subarrays: DataFrame) -> DataFrame:
     """Packets valid, with points and a nominal ring, in all the subarrays: relational division."""
     good = fits.filter("valid and has_points and nominal_points > 0").join(subarrays.select("subarray_id").distinct(), "subarray_id", "left_semi")

@@ -318,8 +318,7 @@ def _(spark, sf):
     select packet, subarray_id, n_vertices, round(abs(a), 2) as area from g where rings = 2 and n_vertices >= 3 and abs(a) > 1e-9""",
 )
 def _(spark, sf):
-    pts = locate.cone_plane_points(_located(spark, sf), max_range=500.0)
-    return locate.band_polygon(pts).select("packet", "subarray_id", "n_vertices", _r("area", 2).alias("area"))
+    return locate.fit_polygons(_located(spark, sf), max_range=500.0).select("packet", "subarray_id", "n_vertices", _r("area", 2).alias("area"))
 
 
 @_query(

@@ -145,3 +145,16 @@ def test_rings_are_not_shuffled_and_take_the_side_that_meets_the_plane(spark):
         assert "Window" not in _plan(got) and "Exchange" not in _plan(got)
         scanned = locate.cone_plane_points(fits, max_range=far, window=(-1e9, 1e9, -1e9, 1e9))  # asks every direction
         assert sorted(got.collect()) == sorted(scanned.collect()) and got.count() > 0
+
+
+def test_polygons_of_fits_equal_those_of_their_points(spark, sf):
+    from sensorline.plans.arrival_queries import _located
+
+    fits = _located(spark, sf).filter("packet < 400").cache()
+    for far in (60.0, 500.0):
+        plain = {(r.packet, r.subarray_id): r for r in locate.band_polygon(locate.cone_plane_points(fits, max_range=far)).collect()}
+        got = {(r.packet, r.subarray_id): r for r in locate.fit_polygons(fits, max_range=far).collect()}
+        assert got.keys() == plain.keys() and got
+        for key, r in got.items():
+            assert r.n_vertices == plain[key].n_vertices and r.area == pytest.approx(plain[key].area, rel=1e-7, abs=1e-5)
+    assert "Window" not in _plan(registry.queries()["f10_band_polygon"](spark, sf))
