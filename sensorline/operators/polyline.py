@@ -203,11 +203,30 @@ def tx_times(runs: DataFrame) -> DataFrame:
     return at.select("run_id", "packet", F.timestamp_micros(micros).alias("ts"), (F.col("offset") + F.col("packet") * F.col("period")).alias("sample_idx"))
 
 
-def run_window(fixes: DataFrame, runs: DataFrame, margin_s: int = 180) -> DataFrame:
-    """Fixes inside [start - margin, stop + margin] of a run, with run_id."""
-    second = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    r = runs.select("run_id", (F.unix_micros(F.col("start_ts").cast("timestamp")) / 1e6 - margin_s).alias("__lo"), (F.unix_micros(F.col("stop_ts").cast("timestamp")) / 1e6 + margin_s).alias("__hi"))
-    return point_interval_join(fixes.withColumn("__t", second), r, "__t", "__lo", "__hi", 3600.0, closed="both").drop("__t", "__lo", "__hi")
+#: Fixes that are one row on their way to the runs.
+FIX_BLOCK = 4096
+
+
+def run_window(fixes: DataFrame, runs: DataFrame, margin_s: int = 180, width_s: int = 60) -> DataFrame:
+    """Fixes inside [start - margin, stop + margin] of a run, with run_id.
+
+    The result is fixes times the runs that overlap, so a pair must cost no more than
+    its row: the fixes of ``width_s`` seconds stand as arrays of at most ``FIX_BLOCK``,
+    and a run meets whole arrays in the cells of its window; only those of its two
+    ends hold fixes outside. Times are compared as whole microseconds.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    cell = lambda t: F.expr(f"{t} div {width_s * 1_000_000}")
+    margin = margin_s * 1_000_000
+    # few bytes but much work, which size-based merging of partitions does not see
+    parts = int(fixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timed = fixes.withColumn("__us", us("ts")).filter("__us is not null").withColumn("__cell", cell("__us")).repartition(parts, "__cell")
+    placed = timed.withColumn("__block", F.floor((F.row_number().over(W.partitionBy("__cell").orderBy("__us")) - 1) / FIX_BLOCK))
+    blocks = placed.groupBy("__cell", "__block").agg(F.collect_list(F.struct("__us", *fixes.columns)).alias("__rows"))
+    spans = runs.select("run_id", (us("start_ts") - margin).alias("__lo"), (us("stop_ts") + margin).alias("__hi")).filter("__lo <= __hi")
+    met = spans.withColumn("__cell", F.explode(F.sequence(cell("__lo"), cell("__hi")))).repartition(parts, "__cell").join(blocks, "__cell")
+    each = met.select("run_id", "__lo", "__hi", F.explode("__rows").alias("__x")).filter("__x.__us between __lo and __hi")
+    return each.select(*[F.col("__x")[c].alias(c) for c in fixes.columns], "run_id")
 
 
 def interp_positions(queries: DataFrame, fixes: DataFrame, on: tuple[str, ...] = (), width: float = 3600.0) -> DataFrame:

@@ -158,3 +158,43 @@ def test_polygons_of_fits_equal_those_of_their_points(spark, sf):
         for key, r in got.items():
             assert r.n_vertices == plain[key].n_vertices and r.area == pytest.approx(plain[key].area, rel=1e-7, abs=1e-5)
     assert "Window" not in _plan(registry.queries()["f10_band_polygon"](spark, sf))
+
+
+def _join_rows(df) -> int:
+    """Rows that the joins of a collected frame gave out."""
+
+    def nodes(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        return [node, *[n for x in inner for n in nodes(x)]]
+
+    joins_ = [n for n in nodes(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName().endswith("JoinExec")]
+    assert joins_
+    return sum(n.metrics().apply("numOutputRows").value() for n in joins_)
+
+
+def test_fixes_of_one_time_meet_runs_as_arrays(spark):
+    """5,000 fixes at one time and 40 runs: their 200,000 pairs are not rows of the join."""
+    at = lambda us: F.timestamp_micros(F.lit(1_700_000_000_000_000) + us)
+    fixes = spark.range(5_000).select(F.col("id").alias("event_id"), at(F.lit(0)).alias("ts"))
+    runs = spark.range(40).select(F.col("id").alias("run_id"), at(F.lit(-1_000_000)).alias("start_ts"), at(F.lit(7)).alias("stop_ts"))
+    got = polyline.run_window(fixes, runs)
+    assert got.columns == ["event_id", "ts", "run_id"]
+    rows = got.collect()
+    assert len(rows) == 200_000 == len({(r.event_id, r.run_id) for r in rows})
+    assert _join_rows(got) == 80
+
+
+def test_run_windows_hold_their_ends_to_the_microsecond(spark):
+    at = lambda s, us=0: F.timestamp_micros(F.lit(s * 1_000_000 + us))
+    ends = [(1, 100, 0), (2, 100, -1), (3, 1060, 0), (4, 1060, 1), (5, 500, 0), (6, -20, 0)]
+    fixes = None
+    for key, s, us in ends:
+        one = spark.range(1).select(F.lit(key).alias("event_id"), at(s, us).alias("ts"))
+        fixes = one if fixes is None else fixes.unionByName(one)
+    fixes = fixes.unionByName(spark.sql("select 7 as event_id, cast(null as timestamp) as ts"))
+    runs = spark.range(1).select(F.lit("a").alias("run_id"), at(280).alias("start_ts"), at(880).alias("stop_ts"))
+    runs = runs.unionByName(spark.range(1).select(F.lit("b").alias("run_id"), at(150).alias("start_ts"), at(-190).alias("stop_ts")))
+    runs = runs.unionByName(spark.range(1).select(F.lit("c").alias("run_id"), at(900).alias("start_ts"), at(100).alias("stop_ts")))
+    got = {(r.event_id, r.run_id) for r in polyline.run_window(fixes, runs).collect()}
+    assert got == {(1, "a"), (3, "a"), (5, "a"), (6, "b")}
