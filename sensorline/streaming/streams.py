@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 
 def block_coverage(arrivals: DataFrame, window: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
@@ -32,86 +32,96 @@ def block_coverage(arrivals: DataFrame, window: str = "10 seconds", late: str =
     return summed.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "channel", "packets", "n")
 
 
+#: Groups of channels that share their state: calls and state rows of a batch are bounded by them, not by the channels.
+GROUPS = 256
+_CHANNEL = ["blank", "channel"]
+
+
 class _Integral(StatefulProcessor):
-    """Running sum of despiked samples of a channel, carried between batches."""
+    """Running sums of despiked samples of the channels of a group, carried between batches."""
 
     def __init__(self, threshold: float, dt: float):
         self.threshold, self.dt = threshold, dt
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sum = handle.getValueState("sum", StructType([StructField("s", DoubleType())]))
+        self.sums = handle.getValueState("sums", StructType([StructField(c, BinaryType()) for c in (*_CHANNEL, "s")]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        total = self.sum.get()[0] if self.sum.exists() else 0.0
-        part = pd.concat(list(rows)).sort_values("sample_idx", kind="stable")
+    def _summed(self, part: pd.DataFrame) -> pd.DataFrame:
+        """Integrals of samples in order, the carried sums taken on and kept."""
+        told = self.sums.get() if self.sums.exists() else (b"", b"", b"")
+        carried = pd.DataFrame({c: np.frombuffer(x, kind) for c, x, kind in zip((*_CHANNEL, "s"), told, (bool, np.int64, float))})
         value = part["value"].where(part["value"].abs() <= self.threshold, 0.0)
-        run = total + value.cumsum()
-        self.sum.update((float(run.iloc[-1]),))
-        yield pd.DataFrame({"channel": key[0], "sample_idx": part["sample_idx"].to_numpy(), "integral": run.to_numpy() * self.dt})
+        run = value.groupby([part[c] for c in _CHANNEL]).cumsum().to_numpy()
+        run = run + part[_CHANNEL].merge(carried, "left", _CHANNEL)["s"].fillna(0.0).to_numpy()
+        held = pd.concat([carried, part[_CHANNEL].assign(s=run)]).drop_duplicates(_CHANNEL, keep="last")
+        self.sums.update(tuple(held[c].to_numpy(kind).tobytes() for c, kind in zip(held, (bool, np.int64, float))))
+        return pd.DataFrame({"channel": part["channel"].astype("Int64").mask(part["blank"]).array, "sample_idx": part["sample_idx"].to_numpy(), "integral": run * self.dt})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        yield self._summed(pd.concat(list(rows)).sort_values([*_CHANNEL, "sample_idx"], kind="stable"))
 
     def close(self) -> None:
         pass
 
 
 class _OrderedIntegral(_Integral):
-    """The same sum over samples that come in any order within the watermark's delay.
+    """The same sums over samples that come in any order within the watermark's delay.
 
-    Samples wait in a list of blocks, one for each batch that brought some, until
-    the watermark has passed their time: from then on no earlier sample is let
-    in, so they are summed in order. A timer stands at the least waiting time.
+    Samples wait in a list of blocks, one for each Arrow batch that brought some,
+    until the watermark has passed their time: from then on no earlier sample is
+    let in, so they are summed in order. A timer stands at the least waiting time.
     """
 
-    _BLOCK = StructType([StructField("us", ArrayType(LongType())), StructField("idx", ArrayType(LongType())), StructField("value", ArrayType(DoubleType()))])
+    _KINDS = {"blank": bool, "channel": np.int64, "us": np.int64, "sample_idx": np.int64, "value": float}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self._BLOCK)
+        self.waiting = handle.getListState("waiting", StructType([StructField(c, BinaryType()) for c in self._KINDS]))
 
-    def _wait(self, us: np.ndarray) -> None:
-        self.handle.registerTimer(-(-int(us.min()) // 1000))  # timers are whole milliseconds
+    def _wait(self, part: pd.DataFrame) -> None:
+        self.waiting.appendValue(tuple(part[c].to_numpy(kind).tobytes() for c, kind in self._KINDS.items()))
+        self.handle.registerTimer(-(-int(part["us"].min()) // 1000))  # timers are whole milliseconds
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows))
-        us, idx, value = part["us"].to_numpy(np.int64), part["sample_idx"].to_numpy(np.int64), part["value"].to_numpy(float)
-        self.waiting.appendValue((us.tolist(), idx.tolist(), value.tolist()))
-        self._wait(us)
+        for part in rows:
+            if len(part):
+                self._wait(part)
         yield pd.DataFrame({"channel": [], "sample_idx": [], "integral": []}).astype({"channel": "int64", "sample_idx": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         blocks = list(self.waiting.get())
-        us, idx = (np.concatenate([np.asarray(b[k], np.int64) for b in blocks] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        value = np.concatenate([np.asarray(b[2], float) for b in blocks] or [np.zeros(0)])
-        due = us <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not blocks:
+            return
+        held = pd.DataFrame({c: np.frombuffer(b"".join(b[k] for b in blocks), kind) for k, (c, kind) in enumerate(self._KINDS.items())})
+        due = held["us"] <= timerValues.getCurrentWatermarkInMs() * 1000
         if not due.any():
             return
-        rest = ~due
         self.waiting.clear()
-        if rest.any():
-            self.waiting.appendValue((us[rest].tolist(), idx[rest].tolist(), value[rest].tolist()))
-            self._wait(us[rest])
-        order = np.lexsort((idx[due], us[due]))
-        value = value[due][order]
-        run = (self.sum.get()[0] if self.sum.exists() else 0.0) + np.cumsum(np.where(np.abs(value) <= self.threshold, value, 0.0))
-        self.sum.update((float(run[-1]),))
-        yield pd.DataFrame({"channel": key[0], "sample_idx": idx[due][order], "integral": run * self.dt})
+        if not due.all():
+            self._wait(held[~due])
+        yield self._summed(held[due].sort_values([*_CHANNEL, "us", "sample_idx"], kind="stable"))
 
 
-def running_integral(samples: DataFrame, threshold: float, dt: float, late: str | None = None) -> DataFrame:
+def running_integral(samples: DataFrame, threshold: float, dt: float, late: str | None = None, groups: int = GROUPS) -> DataFrame:
     """channel, sample_idx, integral of samples (channel, sample_idx, value).
 
     Without ``late`` the samples of a channel must come in order of batches and
     are given out at once. With it, samples also have ``ts`` and may come up to
     ``late`` behind the latest one seen in any channel: a sample is given out in
     order of time, then number, once the watermark has passed it; what comes
-    later than that is dropped. A channel holds the samples of that delay.
+    later than that is dropped. The state holds the samples of that delay.
     Values that are null or NaN count as 0; rows without a time are dropped.
+    Channels are kept in ``groups`` groups, so that a batch takes as many calls and
+    not one per channel; a stream that goes on must keep the number.
     """
+    group = F.pmod(F.xxhash64("channel"), F.lit(groups)).alias("group")
+    told = [group, F.col("channel").isNull().alias("blank"), F.coalesce(F.col("channel").cast("long"), F.lit(0)).alias("channel"), "sample_idx", "value"]
     out = "channel long, sample_idx long, integral double"
     if late is None:
-        return samples.select("channel", "sample_idx", "value").groupBy("channel").transformWithStateInPandas(_Integral(threshold, dt), out, "Append", "None")
-    timed = samples.filter("ts is not null").select("channel", "sample_idx", "value", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
-    return timed.groupBy("channel").transformWithStateInPandas(_OrderedIntegral(threshold, dt), out, "Append", "EventTime")
+        return samples.select(*told).groupBy("group").transformWithStateInPandas(_Integral(threshold, dt), out, "Append", "None")
+    timed = samples.filter("ts is not null").select(*told, "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    return timed.groupBy("group").transformWithStateInPandas(_OrderedIntegral(threshold, dt), out, "Append", "EventTime")
 
 
 def assign_stream(peaks: DataFrame, offset_s: float, period_s: float, tol_s: float) -> DataFrame:

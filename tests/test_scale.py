@@ -198,3 +198,30 @@ def test_run_windows_hold_their_ends_to_the_microsecond(spark):
     runs = runs.unionByName(spark.range(1).select(F.lit("c").alias("run_id"), at(900).alias("start_ts"), at(100).alias("stop_ts")))
     got = {(r.event_id, r.run_id) for r in polyline.run_window(fixes, runs).collect()}
     assert got == {(1, "a"), (3, "a"), (5, "a"), (6, "b")}
+
+
+def test_integrals_of_many_channels_share_calls_and_state(spark, tmp_path):
+    """2,000 channels, one without a number and ids beyond 2**53, in two unordered deliveries: a state row per channel would be 2,000 of them."""
+    big = 1 << 60
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.range(6_000).select(
+            F.when(F.col("id") % 2_000 > 0, F.lit(big) + F.col("id") % 2_000).alias("channel"), (F.lit(9) - F.floor(F.col("id") / 2_000)).alias("sample_idx"),
+            F.when(F.col("id") % 7 > 0, F.col("id") % 11 + 0.25).alias("value"), F.timestamp_seconds(F.lit(1_000) - F.floor(F.col("id") / 2_000)).alias("ts"),
+        )
+        rows.limit(0).write.parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        for turn in (rows.filter("sample_idx = 8"), rows.filter("sample_idx <> 8"), rows.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(9_000)))):
+            turn.write.mode("append").parquet(f"{tmp_path}/in")
+            run = streams.running_integral(source, 9.0, 2.0, "60 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+            assert max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) < 1_500
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want, total = {}, {}
+    for k in range(5_999, -1, -1):  # times run against the numbers of the samples' ids
+        value = 0.0 if k % 7 == 0 or k % 11 + 0.25 > 9 else k % 11 + 0.25
+        channel = big + k % 2_000 if k % 2_000 else None
+        total[channel] = total.get(channel, 0.0) + value
+        want[channel, 9 - k // 2_000] = total[channel] * 2.0
+    assert {(r.channel, r.sample_idx): r.integral for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
