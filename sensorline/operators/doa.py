@@ -286,36 +286,74 @@ def ransac_lines(lines: DataFrame, trials: int = 200, keys: tuple[str, ...] = KE
 LINES = {ols_fit: ols_line, theil_sen_fit: theil_sen_line}
 
 
+def _trimmed(first: float, second: float):
+    """Counts, last slope and residual figures of ``trimmed_lines`` by least squares, for
+    the lines of a batch; those of one size are worked on together."""
+    names = ["channels_available", "n_inliers_stage1", "n_inliers_stage2", "slope", "rms", "most"]
+
+    @F.pandas_udf(", ".join(f"{c} {'double' if k > 2 else 'long'}" for k, c in enumerate(names)))
+    def fit(s_all: pd.Series, t_all: pd.Series) -> pd.DataFrame:
+        out = np.full((len(s_all), 6), np.nan)
+        out[:, :3] = 0
+        for rows, s, t in _by_size(s_all, t_all, 1, 8):
+
+            def off(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Slopes over the held points and the distances of all points from the lines."""
+                mean = lambda v: (v * held).sum(1, keepdims=True) / held.sum(1, keepdims=True)
+                ms, mt = mean(s), mean(t)
+                ds = (s - ms) * held
+                across = (ds * ds).sum(1, keepdims=True)
+                slope = np.where(across > 0, (ds * (t - mt)).sum(1, keepdims=True) / across, np.nan)
+                return slope[:, 0], t - slope * s - (mt - slope * ms)
+
+            with np.errstate(invalid="ignore", divide="ignore"):
+                one = np.abs(off(np.ones(s.shape, bool))[1]) < first
+                two = one & (np.abs(off(one)[1]) < second)
+                slope, rest = off(two)
+            rest = np.where(two, rest, 0.0)
+            count = two.sum(1)
+            rms = np.sqrt((rest * rest).sum(1) / np.maximum(count, 1))
+            out[rows] = np.stack([np.full(len(rows), s.shape[1]), one.sum(1), count, slope, rms, np.abs(rest).max(1)], 1)
+        return pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[:3], "int64"))
+
+    return fit
+
+
 def trimmed_lines(lines: DataFrame, first_m: float = 10.0, second_m: float = 5.0, speed: float = SPEED, line=ols_line) -> DataFrame:
     """Fit, keep |residual| < first_m / speed, fit, keep < second_m / speed, fit.
 
     ``lines`` has one row per group with ``line``, an array of (channel, s, t);
-    everything happens within the row. Adds the slope, counts of each stage,
-    residual figures of the last fit, valid and the reason otherwise (fewer
-    than 3 channels left), in place of ``line``.
+    everything happens within the row, by least squares for many rows at once.
+    Adds the slope, counts of each stage, residual figures of the last fit, valid
+    and the reason otherwise (fewer than 3 channels left), in place of ``line``.
     """
     off = lambda m: lambda p: p["t"] - m["slope"] * p["s"] - m["intercept"]
     near = lambda k, m, far: F.filter(k, lambda p: F.abs(off(m)(p)) < far / speed)
 
-    def row(given: Column, k1: Column, k2: Column, m: Column, r: Column) -> Column:
-        a, b, c = (F.size(x).cast("long") for x in (given, k1, k2))
-        slope = m["slope"]
+    def told(v: Column) -> Column:
+        a, b, c, slope = (v[x] for x in ("channels_available", "n_inliers_stage1", "n_inliers_stage2", "slope"))
         reason = F.when(a < 3, "too_few_channels").when(b < 3, "too_few_inliers_stage1").when(c < 3, "too_few_inliers_stage2").when(slope.isNull() | F.isnan(slope), "no_slope")
-        rms = F.sqrt(F.try_divide(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x), F.size(r)))
+        figures = [(slope, "slope"), (v["rms"], "residual_rms"), (v["most"], "residual_max_abs")]
+        counts = [a.alias("channels_available"), b.alias("n_inliers_stage1"), c.alias("n_inliers_stage2")]
+        return _let(reason, lambda why: F.struct(*counts, why.isNull().alias("valid"), why.alias("reason"), *[F.when(why.isNull(), x).alias(n) for x, n in figures]))
 
-        def told(why: Column) -> Column:
-            figures = [F.when(why.isNull(), x).alias(n) for x, n in ((slope, "slope"), (rms, "residual_rms"), (F.array_max(F.transform(r, F.abs)), "residual_max_abs"))]
-            return F.struct(a.alias("channels_available"), b.alias("n_inliers_stage1"), c.alias("n_inliers_stage2"), why.isNull().alias("valid"), why.alias("reason"), *figures)
+    def last(given: Column, k1: Column, k2: Column) -> Column:
+        size = lambda x: F.size(x).cast("long")
 
-        return _let(reason, told)
+        def row(m: Column, r: Column) -> Column:
+            rms = F.sqrt(F.try_divide(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x), F.size(r)))
+            return F.struct(size(given).alias("channels_available"), size(k1).alias("n_inliers_stage1"), size(k2).alias("n_inliers_stage2"), m["slope"].alias("slope"), rms.alias("rms"), F.array_max(F.transform(r, F.abs)).alias("most"))
 
-    def last(given: Column, k1: Column, k2: Column) -> Column:
-        return _let(line(k2), lambda m: _let(F.transform(k2, off(m)), lambda r: row(given, k1, k2, m, r)))
+        return _let(line(k2), lambda m: _let(F.transform(k2, off(m)), lambda r: row(m, r)))
 
-    second = lambda given, k1: _let(line(k1), lambda m: _let(near(k1, m, second_m), lambda k2: last(given, k1, k2)))
-    fitted = _let(F.col("line"), lambda given: _let(line(given), lambda m: _let(near(given, m, first_m), lambda k1: second(given, k1))))
+    if line is ols_line:
+        fitted = _trimmed(first_m / speed, second_m / speed)("line.s", "line.t")
+    else:
+        second = lambda given, k1: _let(line(k1), lambda m: _let(near(k1, m, second_m), lambda k2: last(given, k1, k2)))
+        fitted = _let(F.col("line"), lambda given: _let(line(given), lambda m: _let(near(given, m, first_m), lambda k1: second(given, k1))))
     # a generated row: filters on its columns stay above it, so nothing is worked out twice
-    return lines.select(*[x for x in lines.columns if x != "line"], F.inline(F.array(fitted)))
+    held = [x for x in lines.columns if x != "line"]
+    return lines.select(*held, fitted.alias("__fit")).select(*held, F.inline(F.array(told(F.col("__fit")))))
 
 
 def trimmed_fit(points: DataFrame, first_m: float = 10.0, second_m: float = 5.0, speed: float = SPEED, keys: tuple[str, ...] = KEYS, fit=ols_fit) -> DataFrame:

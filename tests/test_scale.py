@@ -225,3 +225,16 @@ def test_integrals_of_many_channels_share_calls_and_state(spark, tmp_path):
         total[channel] = total.get(channel, 0.0) + value
         want[channel, 9 - k // 2_000] = total[channel] * 2.0
     assert {(r.channel, r.sample_idx): r.integral for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_trimmed_lines_of_a_batch_equal_those_by_columns(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, 0, c, 3.0 * c, float(c * 4e-4 + rng.normal() * 4e-3) if (g, c) != (5, 1) else None) for g in range(60) for c in range(1 + g % 8)]
+    rows += [(100, 0, c, 2.0, 0.001 * c) for c in range(5)]  # one place: no slope
+    lines = doa.gather_line(spark.createDataFrame(rows, "packet long, subarray_id long, channel int, s double, t double"))
+    got = {r.packet: r.asDict() for r in doa.trimmed_lines(lines).collect()}
+    want = {r.packet: r.asDict() for r in doa.trimmed_lines(lines, line=lambda k: doa.ols_line(k)).collect()}
+    assert got.keys() == want.keys() and len({r["reason"] for r in want.values()}) >= 4
+    for key, r in want.items():
+        assert got[key] == {c: pytest.approx(v, rel=1e-9, abs=1e-15) if isinstance(v, float) else v for c, v in r.items()}
+    assert "ArrowEvalPython" in _plan(doa.trimmed_lines(lines)) and _plan(doa.trimmed_lines(lines)).count("aggregate(") == 0
