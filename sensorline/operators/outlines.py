@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorline.operators.locate import SOURCE_U, _least_of_linked
+from sensorline.operators.locate import SOURCE_U, SPREAD_DEG, TOGETHER, _least_of_linked, _ring_places
 
 #: Regions of less area are rounding.
 SPECK = 1e-9
@@ -25,22 +25,38 @@ def outlines(points: DataFrame) -> DataFrame:
     return g.filter(whole).select("packet", "subarray_id", "p.e", "p.n")
 
 
-def _edges(outline_e, outline_n) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (x1, y1, x2, y2) with y1 < y2 of closed outlines, and the outline of each; level ones bound no strip."""
-    ends, owner = [], []
-    for k, (e, n) in enumerate(zip(outline_e, outline_n)):
-        place = np.stack([np.asarray(e, float), np.asarray(n, float)], 1)
-        ends.append(np.hstack([place, np.roll(place, -1, 0)]))
-        owner.append(np.full(len(place), k))
-    edges, owner = np.concatenate(ends), np.concatenate(owner)
-    edges = np.where((edges[:, 1] <= edges[:, 3])[:, None], edges, edges[:, [2, 3, 0, 1]])
-    rising = edges[:, 1] < edges[:, 3]
-    return edges[rising], owner[rising]
+def fit_outlines(fits: DataFrame, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG, samples: int = 300, max_range: float | None = None) -> DataFrame:
+    """``outlines`` of the ``cone_plane_points`` of fits, within the row of a fit: its points are
+    neither rows nor sorted."""
+
+    @F.pandas_udf("struct<e array<double>, n array<double>>")
+    def outline(*columns: pd.Series) -> pd.DataFrame:
+        table = np.stack([c.to_numpy(float) for c in columns], 1)
+        held: list[tuple] = []
+        step = max(1, TOGETHER // samples)
+        for begin in range(0, len(table), step):
+            outer, inner = (_ring_places(table[begin : begin + step], off, source_u, samples, max_range) for off in (spread_deg, -spread_deg))
+            e, n, met = (np.hstack([x, y[:, ::-1]]) for x, y in zip(outer, inner))
+            whole = outer[2].any(1) & inner[2].any(1) & (met.sum(1) >= 3)
+            held += [(e[k, met[k]], n[k, met[k]]) if whole[k] else (None, None) for k in range(len(e))]
+        return pd.DataFrame(held, columns=["e", "n"])
+
+    made = fits.select("packet", "subarray_id", outline(*[F.col(c).cast("double") for c in ("angle_deg", "ax", "ay", "az", "re", "rn", "ru")]).alias("g"))
+    return made.select("packet", "subarray_id", F.inline(F.array("g"))).filter("e is not null")
 
 
-def _pieces(edges: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Edges cut at the heights ``y``: edge, strip, x at the strip's bottom and top."""
-    first, stop = np.searchsorted(y, edges[:, 1]), np.searchsorted(y, edges[:, 3])
+def _heights(group: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different heights of all groups, group by group from below: group, height; and the place of each given one."""
+    order = np.lexsort((y, group))
+    group, y = group[order], y[order]
+    first = np.append(True, (group[1:] != group[:-1]) | (y[1:] != y[:-1]))
+    place = np.empty(len(order), int)
+    place[order] = np.cumsum(first) - 1
+    return group[first], y[first], place
+
+
+def _pieces(edges: np.ndarray, first: np.ndarray, stop: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges from height ``first`` to ``stop`` of ``y``, cut at the heights between: edge, strip, x at the strip's bottom and top."""
     count = stop - first
     edge = np.repeat(np.arange(len(edges)), count)
     strip = np.arange(len(edge)) - np.repeat(np.cumsum(count) - stop, count)
@@ -49,8 +65,8 @@ def _pieces(edges: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     return edge, strip, at(y[strip]), at(y[strip + 1])
 
 
-def _crossings(y: np.ndarray, strip: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Heights at which pieces of one strip cross: pairs in another order at the top than at the bottom."""
+def _crossings(y: np.ndarray, strip: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strips and heights at which pieces of one strip cross: pairs in another order at the top than at the bottom."""
     order = np.lexsort((high, low, strip))
     strip, low, high = strip[order], low[order], high[order]
     turned = strip[1:][(strip[1:] == strip[:-1]) & (high[1:] < high[:-1])]
@@ -65,44 +81,69 @@ def _crossings(y: np.ndarray, strip: np.ndarray, low: np.ndarray, high: np.ndarr
     gap, over = low[b] - low[a], high[a] - high[b]
     foot, top = y[strip[a]], y[strip[a] + 1]
     h = foot + (top - foot) * (gap / (gap + over))
-    return h[(h > foot) & (h < top)]
+    inner = (h > foot) & (h < top)
+    return strip[a][inner], h[inner]
 
 
-def common_polygon(outline_e, outline_n) -> np.ndarray:
-    """Rows (area, e, n) of the connected regions inside all the closed outlines, the largest first.
+def common_polygons(group: np.ndarray, outline_e: list, outline_n: list) -> tuple[np.ndarray, np.ndarray]:
+    """Groups and rows (area, e, n) of the connected regions inside all the closed outlines of a
+    group, the largest first. ``group`` counts from 0 and tells the group of each outline, in order.
 
     A place is inside an outline that crosses itself if a ray from it meets the
     outline an odd number of times. The heights of all vertices and crossings cut
     the plane into strips in which no edges cross; between neighbouring edges lie
     trapezoids, whose areas and moments are exact. Trapezoids that share a part of
-    a side are one region; those that meet in a point are not.
+    a side are one region; those that meet in a point are not. A strip belongs to one
+    group, so the strips of many groups are worked on together.
     """
-    edges, owner = _edges(outline_e, outline_n)
+    nothing = np.zeros(0, int), np.zeros((0, 3))
+    size = np.array([len(e) for e in outline_e], int)
+    if not size.sum():
+        return nothing
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.stack([np.concatenate([np.asarray(v, float) for v in x]) for x in (outline_e, outline_n)], 1)
+    follow = np.arange(1, len(place) + 1)
+    stops = np.cumsum(size)[size > 0]
+    follow[stops - 1] = stops - size[size > 0]
+    edges = np.hstack([place, place[follow]])
+    edges = np.where((edges[:, 1] <= edges[:, 3])[:, None], edges, edges[:, [2, 3, 0, 1]])
+    rising = edges[:, 1] < edges[:, 3]  # level edges bound no strip
+    edges, owner = edges[rising], owner[rising]
     if not len(edges):
-        return np.zeros((0, 3))
-    middle = edges[:, :2].mean(0)
-    edges = edges - np.tile(middle, 2)
-    y = np.unique(edges[:, [1, 3]])
-    y = np.unique(np.concatenate([y, _crossings(y, *_pieces(edges, y)[1:])]))
-    edge, strip, low, high = _pieces(edges, y)
+        return nothing
+    of = group[owner]
+    n_groups = int(group.max()) + 1
+    many = np.maximum(np.bincount(of, minlength=n_groups), 1)
+    middle = np.stack([np.bincount(of, edges[:, k], n_groups) / many for k in (0, 1)], 1)
+    edges = edges - np.tile(middle[of], 2)
+    given = np.concatenate([edges[:, 1], edges[:, 3]])
+    y_of, y, at = _heights(np.tile(of, 2), given)
+    strip, h = _crossings(y, *_pieces(edges, at[: len(edges)], at[len(edges) :], y)[1:])
+    y_of, y, at = _heights(np.concatenate([of, of, y_of[strip]]), np.concatenate([given, h]))
+    edge, strip, low, high = _pieces(edges, at[: len(edges)], at[len(edges) : 2 * len(edges)], y)
     order = np.lexsort((low + high, strip))
     edge, strip, low, high = edge[order], strip[order], low[order], high[order]
+    within = np.arange(len(group)) - np.searchsorted(group, group)  # number of an outline in its group
+    bits, outlines_of = within[owner[edge]], np.bincount(group, minlength=n_groups)
     inside = np.ones(len(edge), bool)
-    for k in range(len(outline_e)):  # a strip's edges of an outline are even in number, so counts need no restart
-        inside &= np.cumsum(owner[edge] == k) % 2 == 1
+    for k in range(int(outlines_of.max())):  # a strip's edges of an outline are even in number, so counts need no restart
+        inside &= (np.cumsum(bits == k) % 2 == 1) | (k >= outlines_of[y_of[strip]])
     at = np.flatnonzero(inside)
     if not len(at):
-        return np.zeros((0, 3))
+        return nothing
     strip, l0, l1, r0, r1 = strip[at], low[at], high[at], low[at + 1], high[at + 1]
+    mine = y_of[strip]
     foot, height = y[strip], y[strip + 1] - y[strip]
     area = height * ((r0 - l0) + (r1 - l1)) / 2
     e = height * (r0 * r0 + r0 * r1 + r1 * r1 - l0 * l0 - l0 * l1 - l1 * l1) / 6
     n = foot * area + height * height * ((r0 - l0) + 2 * (r1 - l1)) / 6
 
     beside = np.flatnonzero((at[1:] == at[:-1] + 1))
-    least, width = min(l0.min(), l1.min()), np.ptp([l0.min(), l1.min(), r0.max(), r1.max()]) + 1.0
-    key = lambda s, x: s * width + (x - least)
-    touch = 1e-9 * width
+    least, most = np.full(n_groups, np.inf), np.full(n_groups, -np.inf)
+    np.minimum.at(least, mine, np.minimum(l0, l1))
+    np.maximum.at(most, mine, np.maximum(r0, r1))
+    key = lambda s, x: s + (x - least[mine]) / (most - least + 1.0)[mine]
+    touch = 1e-9
     first = np.searchsorted(np.maximum.accumulate(key(strip, r0)), key(strip + 1, l1) + touch, "right")
     stop = np.searchsorted(np.maximum.accumulate(key(strip, l0)), key(strip + 1, r1) - touch, "left")
     count = np.maximum(stop - first, 0)
@@ -113,8 +154,19 @@ def common_polygon(outline_e, outline_n) -> np.ndarray:
     total = [np.bincount(label, v, len(roots)) for v in (area, e, n)]
     kept = total[0] > SPECK
     area, e, n = (v[kept] for v in total)
-    out = np.stack([area, e / area + middle[0], n / area + middle[1]], 1)
-    return out[np.lexsort((out[:, 2], out[:, 1], -out[:, 0]))]
+    mine = mine[roots[kept]]
+    out = np.stack([area, e / area + middle[mine, 0], n / area + middle[mine, 1]], 1)
+    order = np.lexsort((out[:, 2], out[:, 1], -out[:, 0], mine))
+    return mine[order], out[order]
+
+
+def common_polygon(outline_e, outline_n) -> np.ndarray:
+    """``common_polygons`` of one group."""
+    return common_polygons(np.zeros(len(outline_e), int), list(outline_e), list(outline_n))[1]
+
+
+#: Vertices of the groups that are worked on together, about.
+VERTICES = 1 << 14
 
 
 def common_regions(bands: DataFrame, keys: tuple[str, ...] = ("packet",)) -> DataFrame:
@@ -130,13 +182,12 @@ def common_regions(bands: DataFrame, keys: tuple[str, ...] = ("packet",)) -> Dat
 
     def run(batches):
         for batch in batches:
-            found = [common_polygon(e, n) for e, n in zip(batch["e"], batch["n"])]
-            rows = np.repeat(np.arange(len(batch)), [len(f) for f in found])
-            if not len(rows):
-                continue
-            places = np.concatenate(found)
-            rank = np.concatenate([np.arange(len(f)) + 1 for f in found])
-            yield pd.DataFrame({**{k: batch[k].to_numpy()[rows] for k in keys}, "rank": rank, "e": places[:, 1], "n": places[:, 2], "area": places[:, 0]})
+            vertices = np.cumsum([sum(map(len, e)) for e in batch["e"]])
+            for _, rows in batch.groupby(vertices // VERTICES):
+                group = np.repeat(np.arange(len(rows)), [len(e) for e in rows["e"]])
+                of, places = common_polygons(group, *([v for x in rows[c] for v in x] for c in ("e", "n")))
+                rank = np.arange(len(of)) - np.searchsorted(of, of) + 1
+                yield pd.DataFrame({**{k: rows[k].to_numpy()[of] for k in keys}, "rank": rank, "e": places[:, 1], "n": places[:, 2], "area": places[:, 0]})
 
     return held.select(*keys, "o.e", "o.n").mapInPandas(run, f"{kinds}, rank int, e double, n double, area double")
 

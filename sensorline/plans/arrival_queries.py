@@ -388,8 +388,8 @@ def _scanline_sql(group: str) -> str:
 
 
 def _common_outlines(spark, sf, keys: tuple[str, ...]):
-    fits = _located(spark, sf).repartition("packet")  # rings, outlines and regions of a packet stand together from here
-    bands = outlines.outlines(locate.cone_plane_points(fits, samples=_VERTICES, max_range=500.0))
+    fits = _located(spark, sf).repartition("packet")  # outlines and regions of a packet stand together from here
+    bands = outlines.fit_outlines(fits, samples=_VERTICES, max_range=500.0)
     whole = outlines.whole_areas(outlines.common_regions(bands, keys), keys).filter("area > 0.001")
     return whole.select(*keys, _r("area", 3).alias("area"), (_r("e", 3) + 0.0).alias("e"), (_r("n", 3) + 0.0).alias("n"))
 

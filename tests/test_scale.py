@@ -238,3 +238,34 @@ def test_trimmed_lines_of_a_batch_equal_those_by_columns(spark):
     for key, r in want.items():
         assert got[key] == {c: pytest.approx(v, rel=1e-9, abs=1e-15) if isinstance(v, float) else v for c, v in r.items()}
     assert "ArrowEvalPython" in _plan(doa.trimmed_lines(lines)) and _plan(doa.trimmed_lines(lines)).count("aggregate(") == 0
+
+
+def test_common_polygons_of_many_groups_equal_those_one_by_one():
+    from sensorline.operators import outlines
+
+    rng = np.random.default_rng(2)
+    group, e, n = [], [], []
+    for g in range(60):
+        for _ in range(1 + g % 3):
+            turn, r = np.sort(rng.random(9)) * 2 * np.pi, rng.uniform(20, 200, 9)
+            group, e, n = [*group, g], [*e, 1e3 * g + r * np.cos(turn)], [*n, r * np.sin(turn)]
+    group = np.array(group)
+    of, got = outlines.common_polygons(group, e, n)
+    for g in range(60):
+        mine = np.flatnonzero(group == g)
+        assert got[of == g] == pytest.approx(outlines.common_polygon([e[k] for k in mine], [n[k] for k in mine]), rel=1e-9, abs=1e-6)
+    assert len(set(of.tolist())) > 50
+
+
+@pytest.mark.parametrize("name", ["f10_resolved_outlines", "f12_common_outline"])
+def test_outlines_of_fits_are_not_points(spark, sf, name):
+    from sensorline.operators import outlines
+    from sensorline.plans.arrival_queries import _located
+
+    assert "collect_list(p#" not in _plan(registry.queries()[name](spark, sf))  # no row per vertex
+    fits = _located(spark, sf).filter("packet < 300").cache()
+    plain = {(r.packet, r.subarray_id): r for r in outlines.outlines(locate.cone_plane_points(fits, samples=36, max_range=500.0)).collect()}
+    got = {(r.packet, r.subarray_id): r for r in outlines.fit_outlines(fits, samples=36, max_range=500.0).collect()}
+    assert got.keys() == plain.keys() and got
+    for key, r in got.items():
+        assert r.e == pytest.approx(plain[key].e, rel=1e-7, abs=1e-5) and r.n == pytest.approx(plain[key].n, rel=1e-7, abs=1e-5)
