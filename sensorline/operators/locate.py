@@ -220,6 +220,15 @@ def intersect_bands(fits: DataFrame, window: tuple[float, float, float, float],
     one row, so one aggregation is the only shuffle; squares of many packets are
     halved together, see ``_descend``.
     """
+    def cells(packet: np.ndarray, row: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"packet": packet[row], "ix": ix, "iy": iy, "e": window[0] + (ix + 0.5) * cell_m, "n": window[2] + (iy + 0.5) * cell_m})
+
+    return _in_bands(fits, window, cell_m, source_u, spread_deg, cells, "ix int, iy int, e double, n double")
+
+
+def _in_bands(fits: DataFrame, window: tuple[float, float, float, float], cell_m: float, source_u: float, spread_deg: float, out, schema: str) -> DataFrame:
+    """Rows packet and ``schema`` that ``out`` makes of the cells of ``intersect_bands``:
+    it is given some packets, and for each cell the row of its packet, ix and iy."""
     kind = fits.schema["packet"].dataType.simpleString()
     # few bytes but much work, which size-based merging of partitions does not see
     dealt = fits.repartition(int(fits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "packet")
@@ -241,9 +250,9 @@ def intersect_bands(fits: DataFrame, window: tuple[float, float, float, float],
                 angles[given] = np.where(met, angles[given], 180 - angles[given])
                 squares, _, shape = _descend(table[:, :, :6], angles, given, window, cell_m, source_u, spread_deg)
                 row, ix, iy = _unrolled(squares, shape)
-                yield pd.DataFrame({"packet": part["packet"].to_numpy()[row], "ix": ix, "iy": iy, "e": window[0] + (ix + 0.5) * cell_m, "n": window[2] + (iy + 0.5) * cell_m})
+                yield out(part["packet"].to_numpy(), row, ix, iy)
 
-    return held.mapInPandas(run, f"packet {kind}, ix int, iy int, e double, n double")
+    return held.mapInPandas(run, f"packet {kind}, {schema}")
 
 
 def fine_cells(fits: DataFrame, window: tuple[float, float, float, float], coarse_m: float = 5.0, parts: int = 5, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
@@ -266,6 +275,21 @@ def _least_of_linked(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return top
 
 
+def _labelled(row: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the cells by row, ix and iy, and the place in it of the least cell that each reaches within its row."""
+    x, y = ix - ix.min(), iy - iy.min()
+    height, width = int(x.max()) + 2, int(y.max()) + 2
+    key = (row * height + x) * width + y
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    links = []
+    for step in (0, 1, width):  # a cell given twice, the next in the column, the next in the row
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        hit = np.flatnonzero(key[at] == key + step)
+        links.append((hit, at[hit]))
+    return order, _least_of_linked(len(key), *(np.concatenate(v) for v in zip(*links)))
+
+
 def _label_tiles(batches):
     """Cells with the least cell (rx, ry) that they reach inside their tile, a batch of tiles at once."""
     for batch in batches:
@@ -273,17 +297,8 @@ def _label_tiles(batches):
         if not len(row):
             continue
         ix, iy, e, n = (np.concatenate(list(batch[c])) for c in ("ix", "iy", "e", "n"))
-        x, y = ix - ix.min(), iy - iy.min()
-        height, width = int(x.max()) + 2, int(y.max()) + 2
-        key = (row * height + x) * width + y
-        order = np.argsort(key, kind="stable")
-        row, ix, iy, e, n, key = (v[order] for v in (row, ix, iy, e, n, key))
-        links = []
-        for step in (0, 1, width):  # a cell given twice, the next in the column, the next in the row
-            at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
-            hit = np.flatnonzero(key[at] == key + step)
-            links.append((hit, at[hit]))
-        top = _least_of_linked(len(key), *(np.concatenate(v) for v in zip(*links)))
+        order, top = _labelled(row, ix, iy)
+        row, ix, iy, e, n = (v[order] for v in (row, ix, iy, e, n))
         yield pd.DataFrame({"packet": batch["packet"].to_numpy()[row], "ix": ix, "iy": iy, "e": e, "n": n, "rx": ix[top], "ry": iy[top]})
 
 
@@ -332,6 +347,31 @@ def track_centroids(labelled: DataFrame, cell_m: float, top: int = 2, source_u:
     return ranked.filter(F.col("rank") <= top).select("packet", "rank", "e", "n", F.lit(source_u).alias("u"), "area")
 
 
-def locate(fits: DataFrame, window: tuple[float, float, float, float], coarse_m: float = 5.0, parts: int = 5, **options) -> DataFrame:
-    """Track of all packets: coarse cells, finer cells around them, regions, centroids."""
-    return track_centroids(regions(fine_cells(fits, window, coarse_m, parts, **options)), coarse_m / parts, source_u=options.get("source_u", SOURCE_U))
+def _band_tracks(fits: DataFrame, window: tuple[float, float, float, float], cell_m: float, source_u: float, spread_deg: float, top: int = 2) -> DataFrame:
+    """``track_centroids`` of the regions of ``intersect_bands``, for windows of one tile: cells
+    are labelled and summed where they are found, so they are neither rows nor shuffled."""
+
+    def tracks(packet: np.ndarray, row: np.ndarray, ix: np.ndarray, iy: np.ndarray) -> pd.DataFrame:
+        e, n = window[0] + (ix + 0.5) * cell_m, window[2] + (iy + 0.5) * cell_m
+        held = (e < window[1]) & (n < window[3])
+        row, ix, iy, e, n = (v[held] for v in (row, ix, iy, e, n))
+        if not len(row):
+            return pd.DataFrame({"packet": packet[:0], "rank": [], "e": [], "n": [], "u": [], "area": []})
+        order, root = _labelled(row, ix, iy)
+        roots, label, count = np.unique(root, return_inverse=True, return_counts=True)
+        e, n = (np.bincount(label, v[order]) / count for v in (e, n))
+        mine, area = row[order][roots], count * cell_m * cell_m
+        order = np.lexsort((n, e, -area, mine))
+        rank = np.arange(len(order)) - np.searchsorted(mine[order], mine[order]) + 1
+        order, rank = order[rank <= top], rank[rank <= top]
+        return pd.DataFrame({"packet": packet[mine[order]], "rank": rank, "e": e[order], "n": n[order], "u": source_u, "area": area[order]})
+
+    return _in_bands(fits, window, cell_m, source_u, spread_deg, tracks, "rank int, e double, n double, u double, area double")
+
+
+def locate(fits: DataFrame, window: tuple[float, float, float, float], coarse_m: float = 5.0, parts: int = 5, source_u: float = SOURCE_U, spread_deg: float = SPREAD_DEG) -> DataFrame:
+    """Track of all packets: cells, regions, centroids; a window of one tile keeps them within the packet."""
+    cell_m = coarse_m / parts
+    if max(window[1] - window[0], window[3] - window[2]) <= TILE * cell_m:
+        return _band_tracks(fits, window, cell_m, source_u, spread_deg)
+    return track_centroids(regions(fine_cells(fits, window, coarse_m, parts, source_u, spread_deg)), cell_m, source_u=source_u)

@@ -269,3 +269,14 @@ def test_outlines_of_fits_are_not_points(spark, sf, name):
     assert got.keys() == plain.keys() and got
     for key, r in got.items():
         assert r.e == pytest.approx(plain[key].e, rel=1e-7, abs=1e-5) and r.n == pytest.approx(plain[key].n, rel=1e-7, abs=1e-5)
+
+
+def test_tracks_of_one_tile_are_not_shuffled_as_cells(spark, sf):
+    from sensorline.plans.arrival_queries import WINDOW, _located
+
+    fits = _located(spark, sf).filter("packet < 600").cache()
+    got = locate.locate(fits, WINDOW, 10.0, 2)
+    plan = _plan(got)
+    whole = locate.track_centroids(locate.regions(locate.fine_cells(fits, WINDOW, 10.0, 2)), 5.0)
+    assert sorted(got.collect()) == sorted(whole.select(*got.columns).collect()) and got.count() > 0
+    assert plan.count("MapInPandas") == 1 and "Window" not in plan
