@@ -30,20 +30,48 @@ def angle_histogram(fits: DataFrame, bins: DataFrame) -> DataFrame:
     return rows.select("subarray_id", "b.bin_no", F.coalesce(F.element_at("m", F.col("b.bin_no")), F.lit(0)).alias("n"))
 
 
-def angle_series(fits: DataFrame, max_packet: int | None = None) -> DataFrame:
+#: Packets in a block of a series: the unit of work of its segments and gaps.
+BLOCK = 1 << 16
+
+
+def angle_series(fits: DataFrame, max_packet: int | None = None, path: str | None = None, block: int = BLOCK) -> DataFrame:
     """subarray_id, packet, angle, segment for packets 0..max_packet (the largest
     with an angle if not given); angle and segment are null where there is none. A
     jump of more than one packet starts a new segment; subarrays without any
-    angle are left out."""
+    angle are left out.
+
+    A subarray is worked on in blocks of ``block`` packets, each angle with the gap
+    before it; a table with a row per block carries the segments on. The angles are
+    read twice: with ``path``, a new folder, they are written there and the fits are
+    worked out once.
+    """
     known = fits.filter(F.col("valid") & F.col("angle_off_axis_deg").isNotNull() & (F.col("packet") >= 0)).select("subarray_id", F.col("packet").cast("long").alias("packet"), F.col("angle_off_axis_deg").alias("angle"))
     if max_packet is not None:
         known = known.filter(F.col("packet") <= max_packet)
-    w = W.partitionBy("subarray_id").orderBy("packet")
-    cut = known.withColumn("segment", F.sum((F.coalesce(F.col("packet") - F.lag("packet").over(w), F.lit(1)) > 1).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    tops = known.groupBy("subarray_id").agg(F.max("packet").alias("top"))  # a row per subarray
-    last = tops.agg(F.max("top").alias("last")) if max_packet is None else tops.agg(F.lit(max_packet).cast("long").alias("last"))
-    dense = tops.select("subarray_id").join(F.broadcast(last)).select("subarray_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("packet"))
-    return dense.join(cut, ["subarray_id", "packet"], "left")
+    w = W.partitionBy("subarray_id", "block").orderBy("packet")
+    within = known.withColumn("block", F.expr(f"packet div {block}")).withColumn("prev", F.lag("packet").over(w))
+    placed = within.withColumn("cuts", F.sum(F.coalesce((F.col("packet") - F.col("prev") > 1).cast("long"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    if path is not None:
+        placed.write.parquet(path)
+        placed = fits.sparkSession.read.schema(placed.schema).parquet(path)
+
+    blocks = placed.groupBy("subarray_id", "block").agg(F.min("packet").alias("first"), F.max("packet").alias("last"), F.max("cuts").alias("cuts"))  # a row per block
+    w_b = W.partitionBy("subarray_id").orderBy("block")
+    cut = F.coalesce((F.col("first") - F.lag("last").over(w_b) > 1).cast("long"), F.lit(0))
+    before = blocks.withColumn("cut", cut).select("subarray_id", "block", (F.sum(F.col("cut") + F.col("cuts")).over(w_b.rowsBetween(W.unboundedPreceding, 0)) - F.col("cuts")).alias("before"))
+    start = F.when(F.col("prev").isNull(), F.col("block") * block).otherwise(F.least(F.col("prev") + 1, F.col("packet")))
+    filled = placed.join(before, ["subarray_id", "block"]).select("subarray_id", F.explode(F.sequence(start, "packet")).alias("k"), "packet", "angle", (F.col("before") + F.col("cuts")).alias("segment"))
+    own = lambda c: F.when(F.col("k") == F.col("packet"), F.col(c)).alias(c)
+    held = filled.select("subarray_id", F.col("k").alias("packet"), own("angle"), own("segment"))
+
+    tops = blocks.groupBy("subarray_id").agg(F.max("last").alias("top"))  # a row per subarray
+    end = tops.agg((F.max("top") if max_packet is None else F.lit(max_packet).cast("long")).alias("end"))
+    grid = tops.select("subarray_id").join(F.broadcast(end)).select("subarray_id", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"end div {block}"))).alias("block"))
+    # few bytes but much work, which size-based merging of partitions does not see
+    dealt = grid.repartition(int(fits.sparkSession.conf.get("spark.sql.shuffle.partitions")), "subarray_id", "block")
+    rest = dealt.join(blocks.select("subarray_id", "block", "last"), ["subarray_id", "block"], "left").select("subarray_id", F.coalesce(F.col("last") + 1, F.col("block") * block).alias("a"), F.least("end", (F.col("block") + 1) * block - 1).alias("b"))
+    tails = rest.filter("a <= b").select("subarray_id", F.explode(F.sequence("a", "b")).alias("packet"), *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("angle", "segment")])
+    return held.unionByName(tails)
 
 
 def channel_usage(fits: DataFrame) -> DataFrame:

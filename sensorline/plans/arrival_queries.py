@@ -8,6 +8,7 @@ from sensorline.functions import scalars
 from sensorline.operators import arrivals as A
 from sensorline.operators import detection, doa, locate, outlines, reports
 from sensorline.plans import bindings as B
+from sensorline.plans.sample_queries import _scratch
 from sensorline.sources import arrivals as files
 from sensorline.sources import tables
 
@@ -422,7 +423,7 @@ def angle_histogram(spark, sf):
     select subarray_id, packet, round(angle, 4) as angle, cast(segment as bigint) as segment from (select distinct subarray_id, g.packet from kn, range((select max(packet) + 1 from kn)) as g(packet)) left join sg using (subarray_id, packet)""",
 )
 def _(spark, sf):
-    return reports.angle_series(B.doa_fits(spark, sf)).select("subarray_id", "packet", _r("angle", 4).alias("angle"), "segment")
+    return reports.angle_series(B.doa_fits(spark, sf), path=_scratch(spark, "angles")).select("subarray_id", "packet", _r("angle", 4).alias("angle"), "segment")
 
 
 @_query(

@@ -280,3 +280,28 @@ def test_tracks_of_one_tile_are_not_shuffled_as_cells(spark, sf):
     whole = locate.track_centroids(locate.regions(locate.fine_cells(fits, WINDOW, 10.0, 2)), 5.0)
     assert sorted(got.collect()) == sorted(whole.select(*got.columns).collect()) and got.count() > 0
     assert plan.count("MapInPandas") == 1 and "Window" not in plan
+
+
+def test_series_of_angles_in_blocks(spark, tmp_path):
+    """Gaps within, at the borders of and over whole blocks of 8; a packet given twice; a subarray that ends early."""
+    from sensorline.operators import reports
+
+    given = {1: [0, 1, 7, 8, 9, 33, 34, 40, 41, 41], 2: [3], 3: [15, 16, 17, 31, 32]}
+    rows = [(s, p, True, float(p)) for s, ps in given.items() for p in ps] + [(4, 2, False, 1.0), (1, -1, True, 1.0)]
+    fits = spark.createDataFrame(rows, "subarray_id int, packet long, valid boolean, angle_off_axis_deg double")
+    for most, path in ((None, None), (None, f"{tmp_path}/a"), (45, f"{tmp_path}/b"), (16, None)):
+        want = []
+        for s, ps in given.items():
+            last, segment, seen = 41 if most is None else most, 0, None
+            for p in range(last + 1):
+                if p in ps:
+                    segment += seen is not None and p - seen > 1
+                    seen = p
+                want += [(s, p, float(p), segment) if p in ps else (s, p, None, None)] * max(1, ps.count(p))
+        key = lambda r: (r[0], r[1])
+        assert sorted(map(tuple, reports.angle_series(fits, most, path, block=8).collect()), key=key) == sorted(want, key=key)
+
+
+def test_series_of_angles_is_dealt_by_blocks_and_fits_once(spark, sf):
+    plan = _plan(registry.queries()["g2_angle_series"](spark, sf))
+    assert "hashpartitioning(subarray_id" in plan and "lineitem" not in plan
