@@ -51,16 +51,21 @@ def _cells(series: DataFrame, cell: int, on: str = "channel", order: str = "samp
     return packed.select("channel", "cell", F.col("s.at").alias("at"), F.col("s.v").alias("v"))
 
 
-def _each(df: DataFrame, body, schema: str) -> DataFrame:
-    """Rows (tuples) that ``body`` makes of each row; many rows are one Arrow batch."""
+def _each(df: DataFrame, body, schema: str, by: str | None = None) -> DataFrame:
+    """Rows (tuples) that ``body`` makes of each row; many rows are one Arrow batch.
+
+    Rows with long arrays give ``by``, which tells them apart within their channel: a batch
+    holds as many rows however long they are, so these are handed over one by one.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            made = [out for row in batch.itertuples(index=False) for out in body(row)]
-            yield pd.DataFrame(made, columns=names) if made else pd.DataFrame({c: [] for c in names})
+    def made(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [out for row in batch.itertuples(index=False) for out in body(row)]
+        return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: [] for c in names})
 
-    return df.mapInPandas(run, schema)
+    if by is not None:
+        return df.groupBy("channel", by).applyInPandas(lambda rows: made(rows), schema)
+    return df.mapInPandas(lambda batches: map(made, batches), schema)
 
 
 def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +118,7 @@ def local_maxima(series: DataFrame, height: float, value: str = "value", order:
     """
     kind = series.schema[on].dataType.simpleString()
     cells = _cells(series, cell, on, order, value)
-    ends = _each(cells, _summary, f"channel {kind}, cell long, n long, first double, first_n long, second double, last double, last_n long, before_last double")
+    ends = _each(cells, _summary, f"channel {kind}, cell long, n long, first double, first_n long, second double, last double, last_n long, before_last double", "cell")
     links = _each(ends.groupBy("channel").agg(F.collect_list(F.struct("cell", *_SUMMARY)).alias("cells")), _linked, f"channel {kind}, cell long, back long, before double, ahead long, after double")
 
     def pick(row) -> list[tuple]:
@@ -127,7 +132,7 @@ def local_maxima(series: DataFrame, height: float, value: str = "value", order:
         found = (level > before) & (level > after) & (level >= height) & (middle >= 0) & (middle < len(v))
         return [(row.channel, p, x) for p, x in zip(at[middle[found]].tolist(), level[found].tolist())]
 
-    return _each(cells.join(links, ["channel", "cell"]), pick, f"channel {kind}, peak long, level double").withColumnRenamed("channel", on)
+    return _each(cells.join(links, ["channel", "cell"]), pick, f"channel {kind}, peak long, level double", "cell").withColumnRenamed("channel", on)
 
 
 def _thin(at: np.ndarray, level: np.ndarray, distance: int, unsure: np.ndarray) -> np.ndarray:
@@ -179,7 +184,7 @@ def keep_distant(peaks: DataFrame, distance: int, zone: int | None = None) -> Da
         return [(row.channel, *x) for x in zip(at[left].tolist(), level[left].tolist(), state[left].tolist())]
 
     zones = near.groupBy("channel", "zone").agg(F.sort_array(F.collect_list(F.struct("peak", "level", "own"))).alias("peaks"))
-    first = _each(zones, decide, f"channel {kind}, peak long, level double, state long")
+    first = _each(zones, decide, f"channel {kind}, peak long, level double, state long", "zone")
     w = W.partitionBy("channel").orderBy("peak")  # kept ones, a distance apart, and the few open ones
     gap = F.coalesce((F.col("peak") - F.lag("peak").over(w) >= distance).cast("long"), F.lit(1))
     runs = first.withColumn("gap", gap).withColumn("run", F.sum("gap").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -245,7 +250,7 @@ def prominences(series: DataFrame, peaks: DataFrame, cell: int = CELL) -> DataFr
         return [(row.channel, row.cell, x["peak"], x["level"], side, ground, done) for x in row.peaks for side, ground, done in _ground(row.at, row.v, x["peak"], x["level"])]
 
     side_rows = f"channel {kind}, cell long, peak long, level double, side string, ground double"
-    local = _each(cells.join(mine, ["channel", "cell"]), within, f"{side_rows}, done boolean")
+    local = _each(cells.join(mine, ["channel", "cell"]), within, f"{side_rows}, done boolean", "cell")
     table = cells.groupBy("channel").agg(F.sort_array(F.collect_list(F.struct("cell", F.array_max("v").alias("top"), F.array_min("v").alias("low")))).alias("table"))
     searching = local.filter("not done").groupBy("channel", F.floor(F.col("cell") / TABLE_CELLS).alias("part")).agg(F.collect_list(F.struct("cell", "peak", "level", "side", "ground")).alias("sides"))
 
@@ -262,7 +267,7 @@ def prominences(series: DataFrame, peaks: DataFrame, cell: int = CELL) -> DataFr
                 out.append((row.channel, int(names[order][k]) if k < len(names) else -1, x["peak"], x["level"], side, min(ground, x["ground"]), k == len(names)))
         return out
 
-    sought = _each(searching.join(table, "channel"), ask, f"{side_rows}, done boolean")
+    sought = _each(searching.join(table, "channel"), ask, f"{side_rows}, done boolean", "part")
     questions = sought.filter("not done").groupBy("channel", "cell").agg(F.collect_list(F.struct("peak", "level", "side", "ground")).alias("sides"))
 
     def answer(row) -> list[tuple]:
@@ -273,7 +278,7 @@ def prominences(series: DataFrame, peaks: DataFrame, cell: int = CELL) -> DataFr
             out.append((row.channel, row.cell, x["peak"], x["level"], x["side"], min(x["ground"], part.min()) if len(part) else x["ground"]))
         return out
 
-    answered = _each(cells.join(questions, ["channel", "cell"]), answer, side_rows)
+    answered = _each(cells.join(questions, ["channel", "cell"]), answer, side_rows, "cell")
     sides = local.filter("done").drop("done").unionByName(sought.filter("done").drop("done")).unionByName(answered)
     return sides.groupBy("channel", "peak", "level").agg((F.col("level") - F.max("ground")).alias("prominence"))
 

@@ -305,3 +305,11 @@ def test_series_of_angles_in_blocks(spark, tmp_path):
 def test_series_of_angles_is_dealt_by_blocks_and_fits_once(spark, sf):
     plan = _plan(registry.queries()["g2_angle_series"](spark, sf))
     assert "hashpartitioning(subarray_id" in plan and "lineitem" not in plan
+
+
+def test_cells_of_peaks_are_handed_over_one_by_one(spark):
+    """An Arrow batch holds 10,000 rows however long, so a batch of cells would be a partition's whole series."""
+    from sensorline.operators import detection
+
+    series = spark.range(100).select((F.col("id") % 2).alias("channel"), F.col("id").alias("sample_idx"), F.col("id").cast("double").alias("value"))
+    assert "FlatMapGroupsInPandas" in _plan(detection.local_maxima(series, 1.0))
